@@ -4,7 +4,8 @@
    equal sets become one representative, so copies are never paired.
 2. Representatives are partitioned into groups of similar sets (size band and minimum hash), large groups are split.
    The matrix holds for each group the union of its members' probing tokens: the rarest that any partner must share.
-3. A document probes the matrix with its own rarest tokens. Groups whose sizes can't match are left out.
+3. A document probes the matrix with its own rarest tokens. Groups whose sizes can't match, or that share too few of
+   them, are left out.
 4. For each (document, group) that remains, the overlap with the union of the group's whole sets bounds the similarity
    to every member. Only groups over the bound are opened, and members are compared exactly.
 5. Links become component ids.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import anti, arrow, components, mix, prepare, semi, stored, texts_of
@@ -39,6 +40,18 @@ def least_overlap(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
+def least_shared(n: Column, low: Column, high: Column, num: int, den: int) -> Column:
+    """Probing tokens that a set of n tokens must share with any partner of low to high tokens.
+
+    Of two sets, take the one whose probing tokens end first in the order: common tokens are among the probing tokens of
+    both, or among the rest of that one. So the shared ones are at least the overlap needed less that rest. The need is
+    least for partners as small, or as large, as they may be.
+    """
+    up = lambda x, y: F.ceil(x / F.lit(y))
+    need = lambda d: up(F.lit(num) * (n + d), num + den) - up(F.lit(num) * F.greatest(n, d), den) + 1
+    return F.greatest(F.lit(1), F.least(need(F.greatest(low, up(n * num, den))), need(F.least(high, F.floor(n * den / num)))))
+
+
 def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
@@ -210,7 +223,8 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 4, den: int
     asks = tokens.select("token", F.col("doc_id").alias("q"), F.col("n").alias("qn"), F.col("g").alias("qg"))
     fits = (F.col("qn") * num <= F.col("high") * den) & (F.col("low") * num <= F.col("qn") * den)
     found = asks.join(matrix, "token").where((F.col("qg") < F.col("g")) & fits | (F.col("qg") == F.col("g")) & (F.col("members") > 1))
-    found = stored(found.groupBy("q", "g").agg(F.first("qn").alias("qn")), "candidates")
+    found = found.groupBy("q", "g").agg(F.first("qn").alias("qn"), F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = stored(found.where(F.col("shared") >= least_shared(F.col("qn"), F.col("low"), F.col("high"), num, den)).select("q", "g"), "candidates")
 
     opened = stored(grouped.select("doc_id", "g", "n").join(found.select("g").distinct(), "g", "left_semi"), "members")
     needed = opened.select("doc_id").union(found.select("q")).distinct()
