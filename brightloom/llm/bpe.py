@@ -27,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare, texts_of
+from .common import arrow, prepare, texts_of, trimmed
 
 #: Largest vocabulary file that is broadcast.
 MODEL_BYTES = 64 << 20
-#: Words whose encodings a worker remembers.
-REMEMBERED = 250_000
+#: Words whose encodings, and token pairs whose tests, a worker remembers.
+REMEMBERED, PAIRS = 120_000, 300_000
 #: Texts of these characters only are normalised and split here; NFC leaves them as they are. Others go through the file's own normaliser and splitter.
 PLAIN = re.compile("[^\\t-\\r -~\\xa1-\\u024f]")
 _FAR = 1 << 30
@@ -44,7 +44,9 @@ class Bpe:
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.end: str = spec["model"]["end_of_word_suffix"] or ""
         self.special: dict[str, int] = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.token_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.token_of = [""] * (1 + max([*vocab.values(), *self.special.values()]))
+        for t, i in (*vocab.items(), *self.special.items()):
+            self.token_of[i] = t
         self.model = model
         split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(split).findall
@@ -57,32 +59,28 @@ class Bpe:
         # A symbol that ends a word is one character of its own, so tokens are plain strings of symbols.
         self.last = {c: chr(0x10000 + ord(c)) for c in self.byte.values()}
         symbols = {self._symbols(t): i for t, i in vocab.items()}
-        rank: dict[tuple[int, int], int] = {}
-        made: dict[int, tuple[int, int]] = {}
-        for r, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            pair = (vocab[a], vocab[b])
-            rank.setdefault(pair, r)
-            made.setdefault(vocab[a + b], pair)
-        self.rank = rank
-        # The tokens at a token's right and left edge while it is merged, each with the rank that ends it.
-        self.right: dict[int, list[tuple[int, int]]] = {}
-        self.left: dict[int, list[tuple[int, int]]] = {}
-        whole: set[int] = set()
+        pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in (x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"])]
+        del spec, vocab
+        self.rank: dict[int, int] = {}
+        made: dict[int, tuple[int, int, int]] = {}
+        for r, (a, b, t) in enumerate(pairs):
+            self.rank.setdefault(a << 32 | b, r)
+            made.setdefault(t, (a, b, r))
+        # The tokens at a token's right and left edge while it is merged, each followed by the rank that ends it.
+        self.right: dict[int, tuple[int, ...]] = {}
+        self.left: dict[int, tuple[int, ...]] = {}
         for s, i in sorted(symbols.items(), key=lambda x: len(x[0])):
             if len(s) == 1:
-                self.right[i], self.left[i] = [(i, _FAR)], [(i, _FAR)]
-                whole.add(i)
-            elif i in made and (p := made[i])[0] in whole and p[1] in whole:
-                r = rank[p]
-                if self._apart(p[0], p[1], r):
-                    self.right[i] = [(i, _FAR), (p[1], r), *self.right[p[1]][1:]]
-                    self.left[i] = [(i, _FAR), (p[0], r), *self.left[p[0]][1:]]
-                    whole.add(i)
+                self.right[i] = self.left[i] = (i, _FAR)
+            elif i in made:
+                a, b, r = made[i]
+                if a in self.right and b in self.right and self._apart(a, b, r):
+                    self.right[i] = (i, _FAR, b, r, *self.right[b][2:])
+                    self.left[i] = (i, _FAR, a, r, *self.left[a][2:])
         self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for s, i in symbols.items():
-            if i in whole:
+            if i in self.right:
                 self.automaton.add_word(s, (i, len(s)))
         self.automaton.make_automaton()
         self.known: dict[str, tuple[str, str]] = {}
@@ -95,12 +93,12 @@ class Bpe:
 
     def _apart(self, a: int, b: int, before: int = _FAR) -> bool:
         """Whether no merge of a rank under `before` joins the end of a to the start of b."""
-        rank = self.rank
-        for x, end_x in self.right[a]:
-            for y, end_y in self.left[b]:
-                r = rank.get((x, y))
+        rank, right, left = self.rank, self.right[a], self.left[b]
+        for i in range(0, len(right), 2):
+            x, end_x = right[i] << 32, min(before, right[i + 1])
+            for j in range(0, len(left), 2):
                 # x must still be there, and of equal merges the one further left goes first
-                if r is not None and r < before and r < end_x and r <= end_y:
+                if (r := rank.get(x | left[j])) is not None and r < end_x and r <= left[j + 1]:
                     return False
         return True
 
@@ -120,7 +118,7 @@ class Bpe:
                         continue
                     ok = pairs.get(last << 32 | t)
                     if ok is None:
-                        if len(pairs) > 1_000_000:
+                        if len(pairs) >= PAIRS:
                             pairs.clear()
                         ok = pairs[last << 32 | t] = self._apart(last, t)
                     if not ok:
@@ -137,6 +135,11 @@ class Bpe:
         """Without a decoder in the file, tokens are joined by a space."""
         return " ".join([self.token_of[i] for i in ids])
 
+    def forget(self) -> None:
+        """Drops what earlier words left behind."""
+        self.known.clear()
+        self.pairs.clear()
+
     def _remember(self, word: str) -> tuple[str, str]:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
@@ -171,11 +174,6 @@ class Bpe:
         return " ".join([x[0] for x in out]), " ".join([x[1] for x in out])
 
 
-@functools.lru_cache(2)
-def _loaded(model: str) -> Bpe:
-    return Bpe(model)
-
-
 def _model_text(path: str) -> str:
     data = Path(path).read_bytes()
     if len(data) > MODEL_BYTES:
@@ -191,12 +189,12 @@ def encode_texts(documents: DataFrame, path: str) -> DataFrame:
     out = arrow(kind)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(model.value)
+        bpe = Bpe(model.value)  # lives as long as the task, so idle workers don't keep it
         for b in parts:
             got = [bpe.encode(t) for t in texts_of(b.column(1))]
             yield pa.record_batch([b.column(0), pa.array([x.count(" ") + 1 if x else 0 for x, _ in got], pa.int64()), pa.array([x for x, _ in got]), pa.array([y for _, y in got])], schema=out)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), kind)
 
 
 def token_digests(documents: DataFrame, path: str) -> DataFrame:
@@ -207,10 +205,10 @@ def token_digests(documents: DataFrame, path: str) -> DataFrame:
     out = arrow(kind)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(model.value)
+        bpe = Bpe(model.value)  # lives as long as the task, so idle workers don't keep it
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for b in parts:
             got = [bpe.encode(t) for t in texts_of(b.column(1))]
             yield pa.record_batch([b.column(0), pa.array([x.count(" ") + 1 if x else 0 for x, _ in got], pa.int64()), pa.array([sha(x) for x, _ in got]), pa.array([sha(y) for _, y in got])], schema=out)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), kind)

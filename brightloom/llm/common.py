@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 _shipped: set[str] = set()
 
 #: Rows and bytes of one Arrow batch; both bound what a Python worker holds at once.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -64,12 +66,30 @@ def arrow(schema: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.strip().split(" ") for x in schema.split(","))])
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches; when a task's rows end, its worker gives freed memory back to the system.
+
+    Workers stay for later tasks, of other stages too, and would otherwise each keep the largest heap that they had.
+    """
+
+    def over(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(parts)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return over
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def batches_of(items: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def batches_of(items: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Slices of the list with at most so many bytes each, or one item."""
     start, total = 0, 0
     for i, x in enumerate(items):
@@ -130,7 +150,7 @@ def key_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndar
             yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    rows = keys.select(F.col(column).cast("long").alias("k")).where("k is not null").mapInArrow(local, "block int, bits binary").repartition(8, "block").mapInArrow(merged, "block int, bits binary").collect()  # 64 blocks at most
+    rows = keys.select(F.col(column).cast("long").alias("k")).where("k is not null").mapInArrow(trimmed(local), "block int, bits binary").repartition(8, "block").mapInArrow(trimmed(merged), "block int, bits binary").collect()  # 64 blocks at most
     for r in rows:
         out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -141,14 +161,12 @@ def in_bitmap(spark: SparkSession, bitmap: np.ndarray, column: Column) -> Column
     held = spark.sparkContext.broadcast(bitmap)
     bits = len(bitmap) * 8
 
-    @F.pandas_udf("boolean")
-    def found(keys: pd.Series) -> pd.Series:
-        null = keys.isna().to_numpy()
-        k = keys.fillna(0).to_numpy().astype(np.int64)
-        ok = ~null
-        for p in _places(k, bits):
+    @F.arrow_udf("boolean")
+    def found(keys: pa.Array) -> pa.Array:
+        ok = ~keys.is_null().to_numpy(zero_copy_only=False)
+        for p in _places(keys.fill_null(0).to_numpy(zero_copy_only=False), bits):
             ok &= (held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(ok)
+        return pa.array(ok)
 
     return found(column.cast("long"))
 

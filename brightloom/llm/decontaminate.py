@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, mix, prepare, texts_of
+from .common import arrow, mix, prepare, texts_of, trimmed
 from .words import NON_WORD, word_hashes
 
 #: Least share of an item's score for itself, and of the n-grams of its question and of its answer.
@@ -172,7 +172,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     clean[d] = False
                 yield b.filter(pa.array(clean))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = documents.mapInArrow(trimmed(run), documents.schema)
     return documents
 
 
@@ -190,4 +190,4 @@ def _searched(rows: DataFrame, index: Broadcast[Index], last: bool) -> DataFrame
                 best[d] = max(best[d], s)
             yield pa.record_batch([b.column(0), *([] if last else [b.column(1)]), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], schema=out)
 
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(trimmed(run), kind)

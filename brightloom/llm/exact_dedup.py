@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, in_bitmap, key_bitmap, prepare, semi, stored, texts_of
+from .common import arrow, in_bitmap, key_bitmap, prepare, semi, stored, texts_of, trimmed
 
 #: What normalisation deletes: space and 0x09 to 0x0D.
 DELETED = bytes([0x20, *range(0x09, 0x0E)])
@@ -76,7 +76,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             h = [fingerprint(x) for x in data]
             yield pa.record_batch([b.column(0), pa.array(map(len, texts), pa.int64()), *(pa.array([x[i] for x in h], pa.int64()) for i in range(3)), pa.array([hashlib.sha256(x).hexdigest() for x in data])], schema=out)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), kind)
 
 
 def _chunks(documents: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def _chunks(documents: DataFrame) -> DataFrame:
                 n = max(1, -(-len(x) // CHUNK))
                 yield pa.record_batch([*(pa.array([v] * n, pa.int64()) for v in h), pa.array(range(n), pa.int64()), pa.array([x[i * CHUNK : (i + 1) * CHUNK] for i in range(n)], pa.binary())], schema=out)
 
-    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), kind)
 
 
 def collisions(documents: DataFrame, prints: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti, arrow, components, mix, prepare, semi, stored, texts_of
+from .common import anti, arrow, components, mix, prepare, semi, stored, texts_of, trimmed
 from .words import shingle_sets
 
 #: Cells of the frequency sketch, the blocks that it is summed in.
@@ -69,7 +69,7 @@ def set_rows(documents: DataFrame, k: int) -> DataFrame:
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=out)
             held += [_cells(s) for s in sets]
             size += sum(map(len, sets))
-            if size > 1 << 22:
+            if size > 1 << 20:
                 sketch += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.int32)
                 held, size = [], 0
         if size:
@@ -79,7 +79,7 @@ def set_rows(documents: DataFrame, k: int) -> DataFrame:
             none = pa.nulls(1)
             yield pa.record_batch([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([i], pa.int32()), pa.array([pa.compress(blocks[i].tobytes(), "zstd", asbytes=True)], pa.binary())], schema=out)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, fp binary, block int, counts binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, n long, fp binary, block int, counts binary")
 
 
 def frequency_sketch(rows: DataFrame) -> np.ndarray:
@@ -97,7 +97,7 @@ def frequency_sketch(rows: DataFrame) -> np.ndarray:
             yield pa.record_batch([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
 
     sketch = np.zeros(CELLS, np.uint8)
-    for r in rows.where("block is not null").select("block", "counts").repartition(BLOCKS // 4, "block").mapInArrow(summed, "block int, level binary").collect():  # 64 rows at most
+    for r in rows.where("block is not null").select("block", "counts").repartition(BLOCKS // 4, "block").mapInArrow(trimmed(summed), "block int, level binary").collect():  # 64 rows at most
         sketch[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
     return sketch
 
@@ -126,7 +126,7 @@ def probe_rows(documents: DataFrame, k: int, num: int, den: int, sketch: np.ndar
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], schema=out)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, cell long, tokens array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, n long, cell long, tokens array<long>")
 
 
 def token_sets(documents: DataFrame, k: int) -> DataFrame:
@@ -136,7 +136,7 @@ def token_sets(documents: DataFrame, k: int) -> DataFrame:
         for b in parts:
             yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingle_sets(texts_of(b.column(1)), k)], pa.binary())], names=["doc_id", "tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, tokens binary")
 
 
 def open_groups(ids: list[int], sets: list[np.ndarray], asks: list[int], ask_sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -201,7 +201,7 @@ def similar_links(rows: DataFrame, num: int, den: int) -> DataFrame:
         if (x := opened()) is not None:
             yield x
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(trimmed(run), "a long, b long")
 
 
 def jaccard_components(documents: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

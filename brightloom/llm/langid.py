@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare
+from .common import arrow, prepare, trimmed
 from .linear import collected_features, fit_logistic, ngram_features
 
 #: Documents of each language in the sample, and the most languages (the most frequent ones).
@@ -74,8 +74,7 @@ def learn(labelled: DataFrame) -> Languages:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = rows.where(F.col("lang").isin(names)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE).select("doc_id", "lang")
     picked = {r["doc_id"]: r["lang"] for r in picked.collect()}  # PER_LANGUAGE x LANGUAGES rows at most
-    sample = labelled.sparkSession.createDataFrame([(d,) for d in picked], "doc_id long")
-    ids, x = collected_features(labelled, sample)
+    ids, x = collected_features(labelled, list(picked))
     at = np.array([names.index(picked[d]) for d in ids.tolist()])
     code = codewords(len(names))
     y = (code[at] > 0).astype(np.float64)
@@ -112,7 +111,7 @@ def predict(documents: DataFrame, model: Languages) -> DataFrame:
                 best, p, lead = (np.zeros(len(texts), int),) * 3
             yield pa.record_batch([b.column(0), pa.array([m.names[i] if ok else UNKNOWN for i, ok in zip(best, known, strict=True)]), pa.array([float(v) if ok else 0.0 for v, ok in zip(p, known, strict=True)]), pa.array([not ok or v < AMBIGUOUS for v, ok in zip(lead.tolist(), known, strict=True)], pa.bool_())], schema=out)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), kind)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, semi, texts_of
+from .common import batches_of, texts_of, trimmed
 
 DIMENSIONS = 4096
 
@@ -41,7 +41,7 @@ def ngram_features(texts: list[str], n: int = 3) -> Iterator[tuple[int, np.ndarr
             yield k, np.sqrt(count / max(1, count.sum())).astype(np.float32)
 
 
-def collected_features(documents: DataFrame, sample: DataFrame, features=ngram_features) -> tuple[np.ndarray, np.ndarray]:
+def collected_features(documents: DataFrame, sample: list[int], features: Callable[[list[str]], Iterator[tuple[int, np.ndarray]]] = ngram_features) -> tuple[np.ndarray, np.ndarray]:
     """(doc_id, features) of a sample of bounded size: whole texts are counted on the executors, counts come to the driver."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +49,9 @@ def collected_features(documents: DataFrame, sample: DataFrame, features=ngram_f
             x = [f.astype(np.float16).tobytes() for _, f in features(texts_of(b.column(1)))]
             yield pa.record_batch([b.column(0), pa.array(x, pa.binary())], names=["doc_id", "x"])
 
-    rows = semi(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), sample, "doc_id").mapInArrow(run, "doc_id long, x binary").dropDuplicates(["doc_id"]).collect()  # as many as the sample has
+    ids = documents.sparkSession.createDataFrame([(d,) for d in sample], "doc_id long")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(trimmed(run), "doc_id long, x binary").dropDuplicates(["doc_id"]).collect()  # as many as the sample has
     rows.sort(key=lambda r: r["doc_id"])
     return np.array([r["doc_id"] for r in rows], np.int64), np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
 

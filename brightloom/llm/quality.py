@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare, stored, texts_of
+from .common import arrow, prepare, stored, texts_of, trimmed
 from .linear import DIMENSIONS, collected_features, fit_logistic, ngram_features
 from .words import word_hashes
 
@@ -82,7 +82,7 @@ def vote_rows(documents: DataFrame) -> DataFrame:
             v, n = votes(texts_of(b.column(1)))
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array((v.astype(np.int64) @ PLACES).astype(np.int32))], schema=out)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), kind)
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +147,7 @@ class Model:
 
 def train(documents: DataFrame) -> Model:
     """Votes of all documents, posteriors of their patterns, and the scorer from a bounded sample."""
-    spark = prepare(documents.sparkSession)
+    prepare(documents.sparkSession)
     rows = stored(vote_rows(documents), "votes").where("words > 0")
     found = rows.groupBy("pattern").count().orderBy("pattern").collect()  # 3^8 rows at most
     patterns, counts = np.array([r["pattern"] for r in found], np.int64), np.array([r["count"] for r in found], np.float64)
@@ -160,7 +160,7 @@ def train(documents: DataFrame) -> Model:
             picked |= {r["doc_id"]: posterior[r["pattern"]] for r in some.collect()}  # SAMPLE rows at most
     if len({x >= 0.5 for x in picked.values()}) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), 0.0, False, posterior)
-    ids, x = collected_features(documents, spark.createDataFrame([(d,) for d in picked], "doc_id long"), features)
+    ids, x = collected_features(documents, list(picked), features)
     y = np.array([[picked[d]] for d in ids.tolist()])
     weight = np.where(y >= 0.5, 1 / max(1, (y >= 0.5).sum()), 1 / max(1, (y < 0.5).sum()))
     w, b = fit_logistic(x, y, weight)
@@ -178,7 +178,7 @@ def quality_scores(documents: DataFrame) -> DataFrame:
             score, post, _ = held.value.score(texts_of(b.column(1)))
             yield pa.record_batch([b.column(0), pa.array(post), pa.array(score), pa.array(score >= REJECT)], schema=out)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), kind)
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
@@ -190,4 +190,4 @@ def keep_good(documents: DataFrame) -> DataFrame:
         for b in parts:
             yield b.filter(pa.array(held.value.score(texts_of(b.column(at)))[0] >= REJECT))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(trimmed(run), documents.schema)

@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare, shared_folder, stored, texts_of
+from .common import arrow, prepare, shared_folder, stored, texts_of, trimmed
 
 #: Fixed patterns, and the least length of group 2, of the match, of the match. Case counts for ASCII letters only.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -82,7 +82,7 @@ def _findings(versions: DataFrame, rules: str) -> DataFrame:
                 rows.append((blob, rules, n[0], n[1], n[2], hashlib.sha256(told(base).encode()).hexdigest(), told(all_of)))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out) if rows else pa.record_batch([pa.array([], f.type) for f in out], schema=out)
 
-    return versions.select("blob", "text").mapInArrow(run, LEDGER)
+    return versions.select("blob", "text").mapInArrow(trimmed(run), LEDGER)
 
 
 def ledger_rows(spark: SparkSession, ledger: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare
+from .common import arrow, prepare, trimmed
 
 #: Sampled urls of each label; trees, their depth, step and histogram bins; slots of suffix statistics.
 SAMPLE, TREES, DEPTH, STEP, BINS, SLOTS = 4000, 40, 4, 0.2, 64, 1024
@@ -163,7 +163,7 @@ def suffix_rates(labelled: DataFrame) -> np.ndarray:
         some = np.flatnonzero(n)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(blocked[some])], names=["slot", "n", "blocked"])
 
-    rows = labelled.select("url", "label").mapInArrow(run, "slot int, n long, blocked long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).collect()  # SLOTS rows at most
+    rows = labelled.select("url", "label").mapInArrow(trimmed(run), "slot int, n long, blocked long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).collect()  # SLOTS rows at most
     n, blocked = np.zeros(SLOTS), np.zeros(SLOTS)
     for r in rows:
         n[r["slot"]], blocked[r["slot"]] = r["n"], r["blocked"]
@@ -207,4 +207,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
             told = [r or ("block" if s >= limit else "allow") for r, s in zip(b.column(5).to_pylist(), score.tolist(), strict=True)]
             yield pa.record_batch([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(told), pa.array(score)], schema=out)
 
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(trimmed(run), kind)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare, shared_folder, stored
+from .common import arrow, prepare, shared_folder, stored, trimmed
 
 #: Compressed bytes after which a file is closed, and the smallest payload that can be revisited.
 ROLL_BYTES, MIN_REVISIT = 64 << 20, 0
@@ -149,7 +149,7 @@ def write_warc(pages: DataFrame, folder: str, shards: int | None = None, roll: i
 
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root)
-    lines = sorted((r.asDict() for r in dealt.mapInArrow(run, kind).collect()), key=lambda x: x["file"])  # one line for each file
+    lines = sorted((r.asDict() for r in dealt.mapInArrow(trimmed(run), kind).collect()), key=lambda x: x["file"])  # one line for each file
     with files.open_output_stream(f"{root}/_temporary-manifest") as f:
         f.write(json.dumps({"format": "WARC/1.1", "files": lines}, indent=1).encode())
     files.move(f"{root}/_temporary-manifest", f"{root}/manifest.json")
@@ -188,7 +188,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     listed = spark.createDataFrame([(x["file"], x["bytes"]) for x in lines], "file string, bytes long")
-    return listed.repartition(max(1, len(lines))).mapInArrow(run, kind)
+    return listed.repartition(max(1, len(lines))).mapInArrow(trimmed(run), kind)
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:

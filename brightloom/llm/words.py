@@ -51,10 +51,10 @@ def word_hashes(texts: list[str], apart: np.ndarray = SPACE) -> tuple[np.ndarray
     hashes: list[np.ndarray] = []
     counts = np.zeros(len(raw), np.int64)
     for i, j in batches_of(raw):
-        if j == i + 1 and len(raw[i]) > 1 << 21:
+        if j == i + 1 and len(raw[i]) > 1 << 19:
             data, at = np.frombuffer(raw[i], np.uint8), 0
             while at < len(data):
-                stop = at + (1 << 20)
+                stop = at + (1 << 18)
                 while stop < len(data):
                     near = np.flatnonzero(apart[data[stop : stop + 65536]])
                     if len(near):
