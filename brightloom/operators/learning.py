@@ -11,6 +11,8 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def hash_order(key: str) -> Column:
     """An order that other engines can make too."""
@@ -25,11 +27,10 @@ def stratified_split(df: DataFrame, key: str, label: str, test: float) -> DataFr
 
 
 def random_split(df: DataFrame, key: str, test: float) -> DataFrame:
-    """Adds is_test: exactly ceil(test * n) rows. The cut is found among hashes by range sort, so no single task ranks all rows."""
-    n = df.count()
-    want = math.ceil(test * n)
-    chosen = df.select(key).orderBy(hash_order(key), key).limit(want).withColumn("is_test", F.lit(True))
-    return df.join(chosen, key, "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
+    """Adds is_test: exactly ceil(test * n) rows, the first in hash order, ranked in buckets of the hash's first digits."""
+    want = math.ceil(test * df.count())
+    out = ranked(df, F.substring(hash_order(key), 1, 3), [hash_order(key), F.col(key)])
+    return out.withColumn("is_test", F.col("rank") <= want).drop("rank")
 
 
 def squared_distance(a: Column, b: Column) -> Column:

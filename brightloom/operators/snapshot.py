@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def insert(old: DataFrame, new: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
     """Adds rows; defaults fill columns that the new rows lack or hold as null."""
@@ -67,6 +69,6 @@ def outcomes(changes: DataFrame, old: DataFrame, key: str, owner: str, caller: s
     return joined.select(F.col(f"c.{key}").alias(key), status.alias("status"))
 
 
-def next_ids(rows: DataFrame, start: int, order: list[str]) -> DataFrame:
-    """Rows with ids after `start`, gapless in the order; for small batches of new rows, as it ranks them in one task."""
-    return rows.withColumn("id", F.lit(start) + F.row_number().over(Window.orderBy(*order)))
+def next_ids(rows: DataFrame, start: int, bucket: Column, order: list[Column]) -> DataFrame:
+    """Rows with ids after `start`, gapless in the order; buckets as for ranked()."""
+    return ranked(rows, bucket, order, "id").withColumn("id", F.col("id") + start)
