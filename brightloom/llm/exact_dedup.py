@@ -113,7 +113,7 @@ def exact_groups(documents: DataFrame) -> DataFrame:
     if bad.isEmpty():
         rows = rows.withColumn("apart", F.lit(""))
     else:
-        rows = rows.join(bad.withColumn("bad", F.lit(True)), ["h1", "h2", "size"], "left").withColumn("apart", F.when("bad", F.col("sha")).otherwise("")).drop("bad")
+        rows = rows.join(bad.withColumn("bad", F.lit(True)), ["h1", "h2", "size"], "left").withColumn("apart", F.when(F.col("bad"), F.col("sha")).otherwise("")).drop("bad")
     rows = stored(rows, "classes")
     best = F.min(F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
     groups = rows.groupBy(*key).agg(best.alias("best"), F.count("*").alias("group_size"))
