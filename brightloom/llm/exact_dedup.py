@@ -97,7 +97,8 @@ def _chunks(documents: DataFrame) -> DataFrame:
 def collisions(documents: DataFrame, prints: DataFrame) -> DataFrame:
     """(h1, h2, size) of groups whose texts differ in some chunk."""
     key = ["h1", "h2", "size"]
-    groups = prints.where("size > 0").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    # written first: a hot group's rows then meet a plain table, and the join can split them
+    groups = stored(prints.where("size > 0").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "repeated")
     shared = prints.join(groups, key, "left_semi")
     again = semi(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shared, "doc_id")
     return _chunks(again).groupBy(*key, "no").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high").select(*key).distinct()
@@ -116,8 +117,16 @@ def exact_groups(documents: DataFrame) -> DataFrame:
         rows = rows.join(bad.withColumn("bad", F.lit(True)), ["h1", "h2", "size"], "left").withColumn("apart", F.when(F.col("bad"), F.col("sha")).otherwise("")).drop("bad")
     rows = stored(rows, "classes")
     best = F.min(F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
-    groups = rows.groupBy(*key).agg(best.alias("best"), F.count("*").alias("group_size"))
-    return rows.join(groups, key).select("doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("chars").alias("n_chars"))
+    groups = stored(rows.groupBy(*key).agg(best.alias("best"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
+    alone = F.col("group_size").isNull()
+    return rows.join(groups, key, "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("best.row"))).alias("kept"),
+        F.col("sha").alias("text_sha256"),
+        F.col("chars").alias("n_chars"),
+    )
 
 
 def drop_copies(documents: DataFrame) -> DataFrame:

@@ -215,6 +215,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 4, den: int
     probes = probe_rows(documents, k, num, den, sketch).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     probes = stored(probes, "probes")
     splits = probes.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / GROUP_ROWS, F.sum("n") / GROUP_TOKENS)).alias("splits")).where("splits > 1")
+    splits = stored(splits, "splits")  # a plain table: the join can then split a hot group's rows
     part = F.when(F.col("splits").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.pmod(F.xxhash64("doc_id"), F.col("splits"))))
     grouped = stored(probes.join(splits, "cell", "left").select("doc_id", "n", "tokens", part.alias("g")), "grouped")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow, prepare, trimmed
-from .linear import collected_features, fit_logistic, ngram_features
+from .linear import among_first, collected_features, fit_logistic, ngram_features
 
 #: Documents of each language in the sample, and the most languages (the most frequent ones).
 PER_LANGUAGE, LANGUAGES = 400, 128
@@ -68,11 +68,13 @@ class Languages:
 def learn(labelled: DataFrame) -> Languages:
     """From rows (doc_id, text, lang)."""
     rows = labelled.where("doc_id is not null and lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    names = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    names = sorted(counts)
     if not names:
         return Languages([], np.ones((0, 1), np.int8), np.zeros((0, 1)), np.zeros(1), np.ones(1))
+    sizes = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, counts[n])]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.where(F.col("lang").isin(names)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE).select("doc_id", "lang")
+    picked = rows.where(F.col("lang").isin(names) & among_first(F.col("doc_id"), PER_LANGUAGE, sizes)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE).select("doc_id", "lang")
     picked = {r["doc_id"]: r["lang"] for r in picked.collect()}  # PER_LANGUAGE x LANGUAGES rows at most
     ids, x = collected_features(labelled, list(picked))
     at = np.array([names.index(picked[d]) for d in ids.tolist()])

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, texts_of, trimmed
@@ -41,6 +41,13 @@ def ngram_features(texts: list[str], n: int = 3) -> Iterator[tuple[int, np.ndarr
             yield k, np.sqrt(count / max(1, count.sum())).astype(np.float32)
 
 
+def among_first(key: Column, wanted: int, rows: Column | int) -> Column:
+    """Whether a key's hash is so low that about four times the wanted number of rows pass: a sample's choice then starts
+    from few rows, however many there are."""
+    share = F.least(F.lit(1.0), F.lit(4.0 * wanted + 100) / rows)
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 11) < F.lit(float(1 << 53)) * share
+
+
 def collected_features(documents: DataFrame, sample: list[int], features: Callable[[list[str]], Iterator[tuple[int, np.ndarray]]] = ngram_features) -> tuple[np.ndarray, np.ndarray]:
     """(doc_id, features) of a sample of bounded size: whole texts are counted on the executors, counts come to the driver."""
 

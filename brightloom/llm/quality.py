@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, prepare, stored, texts_of, trimmed
-from .linear import DIMENSIONS, collected_features, fit_logistic, ngram_features
+from .linear import DIMENSIONS, among_first, collected_features, fit_logistic, ngram_features
 from .words import word_hashes
 
 #: Documents of either weak label in the sample.
@@ -156,7 +156,8 @@ def train(documents: DataFrame) -> Model:
     for label in (False, True):
         chosen = [p for p, x in posterior.items() if (x >= 0.5) == label]
         if chosen:
-            some = rows.where(F.col("pattern").isin(chosen) & F.col("doc_id").isNotNull()).select("doc_id", "pattern").orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(SAMPLE)
+            size = int(sum(n for p, n in zip(patterns.tolist(), counts.tolist(), strict=True) if p in set(chosen)))
+            some = rows.where(F.col("pattern").isin(chosen) & F.col("doc_id").isNotNull() & among_first(F.col("doc_id"), SAMPLE, size)).select("doc_id", "pattern").orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(SAMPLE)
             picked |= {r["doc_id"]: posterior[r["pattern"]] for r in some.collect()}  # SAMPLE rows at most
     if len({x >= 0.5 for x in picked.values()}) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), 0.0, False, posterior)
