@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti, arrow, components, mix, prepare, semi, stored, texts_of, trimmed
+from .common import anti, arrow, components, discard, mix, prepare, semi, stored, texts_of, trimmed
 from .words import shingle_sets
 
 #: Cells of the frequency sketch, the blocks that it is summed in.
@@ -218,6 +218,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 4, den: int
     splits = stored(splits, "splits")  # a plain table: the join can then split a hot group's rows
     part = F.when(F.col("splits").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.pmod(F.xxhash64("doc_id"), F.col("splits"))))
     grouped = stored(probes.join(splits, "cell", "left").select("doc_id", "n", "tokens", part.alias("g")), "grouped")
+    discard(probes, splits)
 
     tokens = grouped.select("doc_id", "n", "g", F.explode("tokens").alias("token"))
     matrix = tokens.repartition("token").groupBy("token", "g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
@@ -228,13 +229,16 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 4, den: int
     found = stored(found.where(F.col("shared") >= least_shared(F.col("qn"), F.col("low"), F.col("high"), num, den)).select("q", "g"), "candidates")
 
     opened = stored(grouped.select("doc_id", "g", "n").join(found.select("g").distinct(), "g", "left_semi"), "members")
+    discard(grouped)
     needed = opened.select("doc_id").union(found.select("q")).distinct()
     whole_sets = stored(token_sets(semi(documents.select("doc_id", "text"), needed, "doc_id"), k).dropDuplicates(["doc_id"]), "whole")
     loads = found.groupBy("g").agg(F.count("*").alias("asked")).select("g", F.ceil(F.col("asked") / QUERY_ROWS).alias("parts"))
     members = opened.join(loads, "g").join(whole_sets, "doc_id").select("g", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.lit(0).alias("query"), "doc_id", "tokens")
     queries = found.join(loads, "g").withColumnRenamed("q", "doc_id").join(whole_sets, "doc_id").select("g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("query"), "doc_id", "tokens")
     dealt = members.union(queries).repartition("g", "part").sortWithinPartitions("g", "part", "query", "doc_id")
-    linked = components(stored(similar_links(dealt, num, den), "links"), "labels")
+    links = stored(similar_links(dealt, num, den), "links")
+    discard(found, opened, whole_sets)
+    linked = components(links, "labels")
 
     reps = classes.select("fp", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return sets.join(reps, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
