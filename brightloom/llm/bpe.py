@@ -18,6 +18,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -27,12 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare, texts_of, trimmed
+from .common import arrow, give_back, prepare, texts_of, trimmed
 
 #: Largest vocabulary file that is broadcast.
 MODEL_BYTES = 64 << 20
 #: Words whose encodings, and token pairs whose tests, a worker remembers.
-REMEMBERED, PAIRS = 120_000, 300_000
+REMEMBERED, PAIRS = 50_000, 150_000
 #: Texts of these characters only are normalised and split here; NFC leaves them as they are. Others go through the file's own normaliser and splitter.
 PLAIN = re.compile("[^\\t-\\r -~\\xa1-\\u024f]")
 _FAR = 1 << 30
@@ -62,28 +63,25 @@ class Bpe:
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in (x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"])]
         del spec, vocab
         self.rank: dict[int, int] = {}
-        made: dict[int, tuple[int, int, int]] = {}
+        # Of each token that a merge made: its halves and the merge's rank; single symbols have rank -1.
+        n = len(self.token_of)
+        self.head, self.tail, self.made = array("i", [0] * n), array("i", [0] * n), array("i", [-1] * n)
         for r, (a, b, t) in enumerate(pairs):
             self.rank.setdefault(a << 32 | b, r)
-            made.setdefault(t, (a, b, r))
-        # The tokens at a token's right and left edge while it is merged, each followed by the rank that ends it.
-        self.right: dict[int, tuple[int, ...]] = {}
-        self.left: dict[int, tuple[int, ...]] = {}
-        for s, i in sorted(symbols.items(), key=lambda x: len(x[0])):
-            if len(s) == 1:
-                self.right[i] = self.left[i] = (i, _FAR)
-            elif i in made:
-                a, b, r = made[i]
-                if a in self.right and b in self.right and self._apart(a, b, r):
-                    self.right[i] = (i, _FAR, b, r, *self.right[b][2:])
-                    self.left[i] = (i, _FAR, a, r, *self.left[a][2:])
+            if self.made[t] < 0:
+                self.head[t], self.tail[t], self.made[t] = a, b, r
+        del pairs
         self.pairs: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for s, i in symbols.items():
-            if i in self.right:
-                self.automaton.add_word(s, (i, len(s)))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        whole = bytearray(n)  # tokens whose own encoding is themselves
+        for s, i in sorted(symbols.items(), key=lambda x: len(x[0])):
+            a, b = self.head[i], self.tail[i]
+            if len(s) == 1 or self.made[i] >= 0 and whole[a] and whole[b] and self._apart(a, b, self.made[i]):
+                whole[i] = 1
+                self.automaton.add_word(s, i << 8 | len(s))
         self.automaton.make_automaton()
         self.known: dict[str, tuple[str, str]] = {}
+        give_back()
 
     def _symbols(self, token: str) -> str:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -93,24 +91,33 @@ class Bpe:
 
     def _apart(self, a: int, b: int, before: int = _FAR) -> bool:
         """Whether no merge of a rank under `before` joins the end of a to the start of b."""
-        rank, right, left = self.rank, self.right[a], self.left[b]
-        for i in range(0, len(right), 2):
-            x, end_x = right[i] << 32, min(before, right[i + 1])
-            for j in range(0, len(left), 2):
+        rank, head, tail, made = self.rank, self.head, self.tail, self.made
+        # Down the right edge of a and the left edge of b; each token there lasts until the merge that uses it.
+        x, end_x = a, before
+        while True:
+            y, end_y = b, _FAR
+            while True:
                 # x must still be there, and of equal merges the one further left goes first
-                if (r := rank.get(x | left[j])) is not None and r < end_x and r <= left[j + 1]:
+                if (r := rank.get(x << 32 | y)) is not None and r < end_x and r <= end_y:
                     return False
+                if made[y] < 0:
+                    break
+                y, end_y = head[y], made[y]
+            if made[x] < 0:
+                break
+            x, end_x = tail[x], min(before, made[x])
         return True
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a word given as stand-ins of its bytes."""
         s = word[:-1] + self.last[word[-1]] if self.end else word
-        ends: list[list[tuple[int, int]]] = [[] for _ in s]
+        ends: list[list[int]] = [[] for _ in s]
         for at, found in self.automaton.iter(s):
             ends[at].append(found)
         token, back, pairs = [0] * len(s), [0] * len(s), self.pairs
         for i, found in enumerate(ends):
-            for t, n in found:
+            for f in found:
+                t, n = f >> 8, f & 255
                 before = i - n
                 if before >= 0:
                     last = token[before]
@@ -135,11 +142,6 @@ class Bpe:
         """Without a decoder in the file, tokens are joined by a space."""
         return " ".join([self.token_of[i] for i in ids])
 
-    def forget(self) -> None:
-        """Drops what earlier words left behind."""
-        self.known.clear()
-        self.pairs.clear()
-
     def _remember(self, word: str) -> tuple[str, str]:
         if len(self.known) >= REMEMBERED:
             self.known.clear()

@@ -76,6 +76,14 @@ def arrow(schema: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.strip().split(" ") for x in schema.split(","))])
 
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same function of batches; when a task's rows end, its worker gives freed memory back to the system.
 
@@ -86,10 +94,7 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(parts)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return over
 
@@ -184,7 +189,7 @@ def in_bitmap(spark: SparkSession, bitmap: np.ndarray, column: Column) -> Column
 def semi(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows whose key is among the keys. Wide rows are shuffled only if the bitmap lets them pass."""
     keys = keys.select(column).distinct()
-    return df.where(in_bitmap(df.sparkSession, key_bitmap(keys, column), F.col(column))).join(keys, column, "left_semi")
+    return df.where(in_bitmap(df.sparkSession, key_bitmap(keys, column), F.col(column))).join(keys.hint("merge"), column, "left_semi")
 
 
 def anti(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -192,7 +197,7 @@ def anti(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     keys = keys.select(column).distinct()
     # null keys are never found, so they pass
     maybe = in_bitmap(df.sparkSession, key_bitmap(keys, column), F.col(column))
-    return df.where(~maybe).unionByName(df.where(maybe).join(keys, column, "left_anti"))
+    return df.where(~maybe).unionByName(df.where(maybe).join(keys.hint("merge"), column, "left_anti"))
 
 
 # ---- Components ---------------------------------------------------------------------------------
