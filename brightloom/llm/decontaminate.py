@@ -3,7 +3,7 @@
 Every document is cut into blocks of as many words as the longest item has; a passage is two neighbouring blocks, so
 each span as long as an item lies whole in some passage. Every passage is a query on the inverted index of the items.
 Impacts are BM25 impacts divided by the item's score for itself, so one threshold serves all items. Items are indexed in
-blocks with the largest impact of each term. A passage's bound for an item block is the sum of these over its terms;
+blocks with the largest impact of each term that they have, so the index is never larger than its postings. A passage's bound for an item block is the sum of these over its terms;
 only item blocks over the threshold are scored, which is the pivot test of block-max WAND with a fixed threshold.
 Whatever scores above the threshold is verified: enough of the question's and of the answer's word n-grams must be in
 the passage. The last line of an item is the answer, or its last sentence if it has one line, and a quarter of it at least.
@@ -33,8 +33,8 @@ from .words import NON_WORD, word_hashes
 
 #: Least share of an item's score for itself, and of the n-grams of its question and of its answer.
 SCORE, OVERLAP, GRAM = 0.5, 0.7, 3
-#: Items of a block of the index; words of the items that are broadcast at a time; BM25's parameters.
-BLOCK, SHARD_WORDS, K1, B = 8, 1 << 22, 1.2, 0.75
+#: Items of a block of the index; words of the items that are broadcast at a time; sums that a search holds at a time; BM25's parameters.
+BLOCK, SHARD_WORDS, SUMS, K1, B = 8, 1 << 22, 1 << 20, 1.2, 0.75
 
 
 def _grams(h: np.ndarray) -> np.ndarray:
@@ -61,7 +61,10 @@ class Index:
     first: np.ndarray  # of a term's postings
     items: np.ndarray
     impacts: np.ndarray
-    block_max: np.ndarray  # a row for each term, a column for each block of items
+    block_first: np.ndarray  # of a term's blocks
+    block_no: np.ndarray
+    block_max: np.ndarray  # the largest impact of the term in the block
+    blocks: int
     question: list[np.ndarray]
     answer: list[np.ndarray]
     longest: int
@@ -85,11 +88,13 @@ class Index:
         size = np.array([n[i] for i in order], np.float64)
         impact = idf * count * (K1 + 1) / (count + K1 * (1 - B + B * size[items] / mean)) if len(items) else count
         impact = impact / np.bincount(items, impact, minlength=len(order))[items] if len(items) else impact
-        blocks = np.zeros((len(terms), -(-len(order) // BLOCK)), np.float32)
-        np.maximum.at(blocks, (np.repeat(np.arange(len(terms)), np.diff(first)), items // BLOCK), impact.astype(np.float32) * np.float32(1.00001))
+        term = np.repeat(np.arange(len(terms)), np.diff(first))
+        starts = np.flatnonzero(np.diff(term * len(order) + items // BLOCK, prepend=-1))
+        tops = np.maximum.reduceat(impact, starts) * 1.00001 if len(items) else impact
+        blocks = (np.searchsorted(term[starts], np.arange(len(terms) + 1)), items[starts] // BLOCK, tops, -(-len(order) // BLOCK))
         cut = [answer_start(rows[i][1], int(n[i])) for i in order]
         grams = [[_grams(own[i][:c] if c >= GRAM else own[i]) for i, c in zip(order, cut, strict=True)], [_grams(own[i][c:]) for i, c in zip(order, cut, strict=True)]]
-        return cls(np.array([rows[i][0] for i in order], np.int64), terms, first, items, impact, blocks, *grams, int(n.max(initial=0)))
+        return cls(np.array([rows[i][0] for i in order], np.int64), terms, first, items, impact, *blocks, *grams, int(n.max(initial=0)))
 
     def search(self, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(document's position, item's position, score) of each verified pair, from the words of many documents."""
@@ -107,20 +112,30 @@ class Index:
         total = int(per_doc.sum())
         pairs = np.unique(block[known] * len(self.terms) + at[known])
         b, t = pairs // len(self.terms), pairs % len(self.terms)
-        bound = np.zeros((total + 1, self.block_max.shape[1]), np.float32)
-        if len(b):
-            edge = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-            for i in range(0, len(edge), 4096):  # a bounded slice of the sums at a time
-                stop = edge[i + 4096] if i + 4096 < len(edge) else len(b)
-                some = edge[i : i + 4096]
-                bound[b[some]] = np.add.reduceat(self.block_max[t[some[0] : stop]], some - some[0], axis=0)
-        last = np.zeros(total + 1, bool)
+        n = self.block_first[t + 1] - self.block_first[t]
+        cost = np.cumsum(np.bincount(b, n, minlength=total) + self.blocks)
+        first_pair = np.searchsorted(b, np.arange(total + 2))
+        last = np.zeros(total, bool)
         last[block_at + per_doc - 1] = True
-        reach = bound[:-1] + np.where(last[:-1, None], 0, bound[1:])
-        opened = np.flatnonzero((reach >= SCORE).any(axis=1))
         block_doc = np.repeat(np.arange(len(counts)), per_doc)
         best: dict[tuple[int, int], float] = {}
-        for k in opened.tolist():
+        lo_block = 0
+        while lo_block < total:  # a bounded number of sums at a time
+            hi_block = max(lo_block + 1, int(np.searchsorted(cost, (cost[lo_block - 1] if lo_block else 0) + SUMS, side="right")))
+            here = slice(first_pair[lo_block], first_pair[min(hi_block + 1, total)])
+            m = n[here]
+            post = np.repeat(self.block_first[t[here]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            rows = hi_block - lo_block
+            bound = np.bincount(np.repeat(b[here] - lo_block, m) * self.blocks + self.block_no[post], self.block_max[post], minlength=(rows + 1) * self.blocks).reshape(rows + 1, self.blocks)
+            reach = bound[:-1] + np.where(last[lo_block:hi_block, None], 0, bound[1:])
+            self._score(words, at, known, starts, counts, block_at, block_doc, lo_block, reach, best)
+            lo_block = hi_block
+        yield from ((d, i, s) for (d, i), s in best.items())
+
+    def _score(self, words: np.ndarray, at: np.ndarray, known: np.ndarray, starts: np.ndarray, counts: np.ndarray, block_at: np.ndarray, block_doc: np.ndarray, lo_block: int, reach: np.ndarray, best: dict[tuple[int, int], float]) -> None:
+        """Scores and verifies the item blocks whose bound is over the threshold, for the passages that start with block lo_block."""
+        span = self.longest
+        for k in (lo_block + np.flatnonzero((reach >= SCORE).any(axis=1))).tolist():
             d = int(block_doc[k])
             lo = int(starts[d]) + (k - int(block_at[d])) * span
             hi = min(lo + 2 * span, int(starts[d] + counts[d]))
@@ -128,7 +143,7 @@ class Index:
             n = self.first[terms + 1] - self.first[terms]
             post = np.repeat(self.first[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
             items = self.items[post]
-            ok = reach[k][items // BLOCK] >= SCORE
+            ok = reach[k - lo_block][items // BLOCK] >= SCORE
             score = np.bincount(items[ok], self.impacts[post][ok], minlength=len(self.ids))
             for i in np.flatnonzero(score >= SCORE).tolist():
                 if best.get((d, i), 0) >= score[i]:
@@ -136,7 +151,6 @@ class Index:
                 grams = _grams(words[lo:hi])
                 if all(len(part) and np.isin(part, grams).mean() >= OVERLAP for part in (self.question[i], self.answer[i])):
                     best[d, i] = float(score[i])
-        yield from ((d, i, s) for (d, i), s in best.items())
 
 
 def _indexes(documents: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast[Index]]:
