@@ -32,7 +32,7 @@ from .common import arrow, give_back, prepare, texts_of, trimmed
 
 #: Largest vocabulary file that is broadcast.
 MODEL_BYTES = 64 << 20
-#: Words whose encodings, and token pairs whose tests, a worker remembers.
+#: Words whose encodings each of a worker's two tables remembers, and token pairs whose tests it remembers.
 REMEMBERED, PAIRS = 50_000, 150_000
 #: Texts of these characters only are normalised and split here; NFC leaves them as they are. Others go through the file's own normaliser and splitter.
 PLAIN = re.compile("[^\\t-\\r -~\\xa1-\\u024f]")
@@ -80,7 +80,9 @@ class Bpe:
                 whole[i] = 1
                 self.automaton.add_word(s, i << 8 | len(s))
         self.automaton.make_automaton()
+        # Words go to the older table when the first is full, and come back when they are met again.
         self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
         give_back()
 
     def _symbols(self, token: str) -> str:
@@ -111,27 +113,24 @@ class Bpe:
     def encode_word(self, word: str) -> list[int]:
         """Ids of a word given as stand-ins of its bytes."""
         s = word[:-1] + self.last[word[-1]] if self.end else word
-        ends: list[list[int]] = [[] for _ in s]
-        for at, found in self.automaton.iter(s):
-            ends[at].append(found)
         token, back, pairs = [0] * len(s), [0] * len(s), self.pairs
-        for i, found in enumerate(ends):
-            for f in found:
-                t, n = f >> 8, f & 255
-                before = i - n
-                if before >= 0:
-                    last = token[before]
-                    if back[before] == 0:
-                        continue
-                    ok = pairs.get(last << 32 | t)
-                    if ok is None:
-                        if len(pairs) >= PAIRS:
-                            pairs.clear()
-                        ok = pairs[last << 32 | t] = self._apart(last, t)
-                    if not ok:
-                        continue
-                token[i], back[i] = t, n
-                break
+        for i, f in self.automaton.iter(s):  # by the end of the match, the longest first
+            if back[i]:
+                continue
+            t, n = f >> 8, f & 255
+            before = i - n
+            if before >= 0:
+                if not back[before]:
+                    continue
+                last = token[before]
+                ok = pairs.get(last << 32 | t)
+                if ok is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    ok = pairs[last << 32 | t] = self._apart(last, t)
+                if not ok:
+                    continue
+            token[i], back[i] = t, n
         out, i = [], len(s) - 1
         while i >= 0:
             out.append(token[i])
@@ -143,10 +142,15 @@ class Bpe:
         return " ".join([self.token_of[i] for i in ids])
 
     def _remember(self, word: str) -> tuple[str, str]:
+        out = self.older.get(word)
+        if out is None:
+            plain = word.isascii() and word.isprintable() and " " not in word  # such bytes stand for themselves
+            ids = self.encode_word(word if plain else "".join([self.byte[b] for b in word.encode()]))
+            out = (" ".join(map(str, ids)), self.decode(ids))
         if len(self.known) >= REMEMBERED:
+            self.older = self.known.copy()
             self.known.clear()
-        ids = self.encode_word("".join([self.byte[b] for b in word.encode()]))
-        out = self.known[word] = (" ".join(map(str, ids)), self.decode(ids))
+        self.known[word] = out
         return out
 
     @functools.cached_property
