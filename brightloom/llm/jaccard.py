@@ -44,12 +44,15 @@ def least_shared(n: Column, low: Column, high: Column, num: int, den: int) -> Co
     """Probing tokens that a set of n tokens must share with any partner of low to high tokens.
 
     Of two sets, take the one whose probing tokens end first in the order: common tokens are among the probing tokens of
-    both, or among the rest of that one. So the shared ones are at least the overlap needed less that rest. The need is
-    least for partners as small, or as large, as they may be.
+    both, or among the rest of that one. So the shared ones are at least the overlap needed less that rest. Up to n the
+    need grows with the partner's size, beyond n it falls on the whole, but not in every step, as both terms are rounded
+    up: rounding moves it by less than 1, so the least is at low or among the last sizes, over which it falls by 1.
     """
     up = lambda x, y: F.ceil(x / F.lit(y))
     need = lambda d: up(F.lit(num) * (n + d), num + den) - up(F.lit(num) * F.greatest(n, d), den) + 1
-    return F.greatest(F.lit(1), F.least(need(F.greatest(low, up(n * num, den))), need(F.least(high, F.floor(n * den / num)))))
+    low, high = F.greatest(low, up(n * num, den)), F.least(high, F.floor(n * den / num))
+    last = -(-den * (num + den) // num**2)
+    return F.greatest(F.lit(1), F.least(need(low), *[need(F.greatest(low, high - j)) for j in range(last)]))
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:

@@ -127,6 +127,21 @@ def test_random_near_copies_lose_no_link(spark):
     assert got == dict(enumerate(components_of([sets_of(t, 2) for t in out], 7, 10)))
 
 
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (4, 5), (7, 10), (1, 2)])
+def test_shared_tokens_needed_of_any_size(spark, num, den):
+    def need(n, d):
+        return max(1, -(-num * (n + d) // (num + den)) + (-num * max(n, d) // den) + 1)
+
+    rows = []
+    for n in range(1, 100):
+        least, most = -(-n * num // den), n * den // num
+        for low in {max(1, least - 2), *range(least, most + 1)}:
+            of = [need(n, d) for d in range(max(low, least), most + 1)]
+            rows += [(n, low, max(low, least) + i, min(of[: i + 1])) for i in range(len(of))] + [(n, low, most + 2, min(of))]
+    df = spark.createDataFrame(rows, "n long, low long, high long, want long").withColumn("got", jaccard.least_shared(F.col("n"), F.col("low"), F.col("high"), num, den))
+    assert df.where("got <> want").collect() == []
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long").repartition(4)
     assert {(r["node"], r["component"]) for r in common.components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
