@@ -95,9 +95,18 @@ def preview(s, d):
 # ---- Projections and scalars ---------------------------------------------------------------------
 
 
+def _features(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("l_quantity").alias("x1"), F.col("l_extendedprice").alias("x2"), F.col("l_returnflag").alias("y"))
+
+
 @query("select l_quantity as x1, l_extendedprice as x2, l_returnflag as y from lineitem where l_orderkey <= 500")
 def scan_project(s, d):
-    return table(s, d, "lineitem").where("l_orderkey <= 500").select(F.col("l_quantity").alias("x1"), F.col("l_extendedprice").alias("x2"), F.col("l_returnflag").alias("y"))
+    return _features(table(s, d, "lineitem").where("l_orderkey <= 500"))
+
+
+@query("select l_quantity as x1, l_extendedprice as x2, l_returnflag as y from lineitem")
+def scan_project_all(s, d):
+    return _features(table(s, d, "lineitem"))
 
 
 @query("select * exclude (c_acctbal) from customer")
@@ -122,18 +131,28 @@ def case_projection(s, d):
     return customers(s, d).select("c_custkey", scalar.image_path(f).alias("image_path"))
 
 
+def _strings(rows: DataFrame) -> DataFrame:
+    p = F.col("o_orderpriority")
+    return rows.select(
+        "o_orderkey", scalar.long_date(F.col("o_orderdate")).alias("day"), F.substring(p, 1, 5).alias("prefix"), F.concat("o_orderstatus", F.lit("'s order")).alias("title"), scalar.shortened(p, 6).alias("short"),
+        scalar.truncated(F.col("o_totalprice") / 1000, 3).alias("truncated"), scalar.html_escaped(F.concat(F.lit("<a&"), p, F.lit(">"))).alias("escaped"), scalar.id_or_null(F.substring(p, 1, 1)).alias("number"), scalar.id_or_null(p).alias("no_number"),
+    )
+
+
 @query("""select o_orderkey, strftime(o_orderdate, '%B %d, %Y') as day, substr(o_orderpriority, 1, 5) as prefix, o_orderstatus || '''s order' as title,
     case when length(o_orderpriority) > 6 then substr(o_orderpriority, 1, 6) || '...' else o_orderpriority end as short,
     floor(o_totalprice / 1000 * 1000) / 1000 as truncated, replace(replace(replace('<a&' || o_orderpriority || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped,
     try_cast(substr(o_orderpriority, 1, 1) as int) as number, try_cast(o_orderpriority as int) as no_number from orders where o_orderkey <= 2000""")
 def string_fns(s, d):
-    p = F.col("o_orderpriority")
-    return (
-        orders(s, d)
-        .where("o_orderkey <= 2000")
-        .select("o_orderkey", scalar.long_date(F.col("o_orderdate")).alias("day"), F.substring(p, 1, 5).alias("prefix"), F.concat("o_orderstatus", F.lit("'s order")).alias("title"), scalar.shortened(p, 6).alias("short"))
-        .join(orders(s, d).where("o_orderkey <= 2000").select("o_orderkey", scalar.truncated(F.col("o_totalprice") / 1000, 3).alias("truncated"), scalar.html_escaped(F.concat(F.lit("<a&"), p, F.lit(">"))).alias("escaped"), scalar.id_or_null(F.substring(p, 1, 1)).alias("number"), scalar.id_or_null(p).alias("no_number")), "o_orderkey")
-    )
+    return _strings(orders(s, d).where("o_orderkey <= 2000"))
+
+
+@query("""select o_orderkey, strftime(o_orderdate, '%B %d, %Y') as day, substr(o_orderpriority, 1, 5) as prefix, o_orderstatus || '''s order' as title,
+    case when length(o_orderpriority) > 6 then substr(o_orderpriority, 1, 6) || '...' else o_orderpriority end as short,
+    floor(o_totalprice / 1000 * 1000) / 1000 as truncated, replace(replace(replace('<a&' || o_orderpriority || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped,
+    try_cast(substr(o_orderpriority, 1, 1) as int) as number, try_cast(o_orderpriority as int) as no_number from orders""")
+def string_fns_all(s, d):
+    return _strings(orders(s, d))
 
 
 @query("""select r_name, case when lower(m) in ('release', 'prod', 'production') then false else try_cast(lower(m) as boolean) end as debug, ((5 * 1024 * 1024 + r_regionkey) // (1024 * 1024))::bigint as mb, sha256(r_name) as digest
@@ -184,10 +203,19 @@ def count_by_author(s, d):
     return orders(s, d).groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
+def _outcomes(s: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    changes = rows.select("o_orderkey").unionByName(s.createDataFrame([(-1,)], "o_orderkey long")).withColumn("caller", F.lit(7))
+    return snapshot.outcomes(changes, orders(s, d), "o_orderkey", "o_custkey", "caller")
+
+
 @query("select o_orderkey, case when o_custkey <> 7 then 403 else 200 end as status from orders where o_orderkey <= 1000 union all select -1, 404")
 def authz_decision(s, d):
-    changes = orders(s, d).where("o_orderkey <= 1000").select("o_orderkey").unionByName(s.createDataFrame([(-1,)], "o_orderkey long")).withColumn("caller", F.lit(7))
-    return snapshot.outcomes(changes, orders(s, d), "o_orderkey", "o_custkey", "caller")
+    return _outcomes(s, d, orders(s, d).where("o_orderkey <= 1000"))
+
+
+@query("select o_orderkey, case when o_custkey <> 7 then 403 else 200 end as status from orders union all select -1, 404")
+def authz_decision_all(s, d):
+    return _outcomes(s, d, orders(s, d))
 
 
 @query("""select c_custkey, list_filter([case when length(c_name) < 1 or length(c_name) > 17 then 'name' end, case when not regexp_matches(e, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') then 'email' end, case when c_acctbal < 0 then 'balance' end], lambda x: x is not null) as broken
@@ -237,15 +265,25 @@ def ci_dedupe(s, d):
 # ---- Row writes ------------------------------------------------------------------------------------
 
 
+def _registered(s: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    old = customers(s, d).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
+    k = F.col("c_custkey")
+    name = F.when(k % 2 == 0, F.upper("c_name")).otherwise(F.concat(F.lit("New"), F.floor(k / 4).cast("string")))
+    return snapshot.insert_unique(old, rows.select((k + 1000000).alias("id"), name.alias("username")), ["username"], "id")
+
+
 @query("""with old as (select c_custkey as id, c_name as username from customer), new as (select c_custkey + 1000000 as id, case when c_custkey % 2 = 0 then upper(c_name) else 'New' || c_custkey // 4 end as username from customer where c_custkey <= 100),
     fresh as (select *, row_number() over (partition by lower(username) order by id) as n from new where lower(username) not in (select lower(username) from old))
     select id, username from old union all select id, username from fresh where n = 1""")
 def dml_insert_unique(s, d):
-    old = customers(s, d).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
-    k = F.col("c_custkey")
-    name = F.when(k % 2 == 0, F.upper("c_name")).otherwise(F.concat(F.lit("New"), F.floor(k / 4).cast("string")))
-    new = customers(s, d).where(k <= 100).select((k + 1000000).alias("id"), name.alias("username"))
-    return snapshot.insert_unique(old, new, ["username"], "id")
+    return _registered(s, d, customers(s, d).where("c_custkey <= 100"))
+
+
+@query("""with old as (select c_custkey as id, c_name as username from customer), new as (select c_custkey + 1000000 as id, case when c_custkey % 2 = 0 then upper(c_name) else 'New' || c_custkey // 4 end as username from customer),
+    fresh as (select *, row_number() over (partition by lower(username) order by id) as n from new where lower(username) not in (select lower(username) from old))
+    select id, username from old union all select id, username from fresh where n = 1""")
+def dml_insert_unique_all(s, d):
+    return _registered(s, d, customers(s, d))
 
 
 @query("select o_orderkey as id, o_custkey as user_id, 1 as likes from orders union all select c_custkey + 10000000, c_custkey, 0 from customer")

@@ -47,3 +47,13 @@ def test_same_as_sql(spark, data, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"stacking"}))
 def test_rows(spark, data, name):
     assert catalog.QUERIES[name](spark, data).count() > 0
+
+
+@pytest.mark.parametrize(("name", "of", "extra"), [("scan_project_all", "lineitem", 0), ("string_fns_all", "orders", 0), ("authz_decision_all", "orders", 1)])
+def test_whole_tables_are_read(spark, data, duck, name, of, extra):
+    assert catalog.QUERIES[name](spark, data).count() == duck.sql(f"select count(*) from {of}").fetchall()[0][0] + extra
+
+
+def test_new_rows_of_all_customers_are_inserted(spark, data, duck):
+    n, odd = duck.sql("select count(*), count(distinct c_custkey // 4) filter (c_custkey % 2 = 1) from customer").fetchall()[0]
+    assert catalog.QUERIES["dml_insert_unique_all"](spark, data).count() == n + odd
