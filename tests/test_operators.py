@@ -106,6 +106,26 @@ def test_nearest_neighbours_by_brute_force(spark):
         assert [got[i, k + 1] for k in range(4)] == np.argsort(((x - v) ** 2).sum(axis=1))[:4].tolist()
 
 
+def test_neighbour_votes_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 9, (150, 2)).astype(float), rng.integers(0, 2, 150)  # many ties
+    rows = spark.createDataFrame([(i, i % 5, int(y[i]), *x[i].tolist()) for i in range(150)], "id long, fold int, y int, a double, b double").repartition(4)
+    asked = rows.select(F.col("id").alias("q"), F.when(F.col("id") < 100, F.col("fold")).otherwise(-1).alias("fold"), "a", "b")
+    got = {r["q"]: (r["k5"], r["k7"]) for r in learning.neighbour_votes(rows, asked, [5, 7], ["a", "b"], block=40).collect()}
+    for i in range(150):
+        near = sorted((j for j in range(150) if i >= 100 or j % 5 != i % 5), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))
+        assert got[i] == pytest.approx((y[near[:5]].mean(), y[near[:7]].mean()))
+
+
+def test_stacking_uses_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random((400, 2)) * 8
+    y = (x.astype(int).sum(axis=1) % 2).tolist()  # a chessboard: near rows tell it, lines and small trees don't
+    df = spark.createDataFrame([(i, *x[i].tolist(), y[i]) for i in range(400)], "id long, a double, b double, y int")
+    got = {r["id"]: r["pred"] for r in learning.stacking(df.where("id < 320"), df.where("id >= 320"), "id", ["a", "b"]).collect()}
+    assert len(got) == 80 and np.mean([got[i] == y[i] for i in got]) > 0.65
+
+
 def test_boosted_stumps_fit_what_one_stump_cannot(spark):
     df = spark.createDataFrame([(i, float(i), int(3 <= i < 7)) for i in range(10)], "id long, x double, y int")
     model = learning.adaboost(df, "id", ["x"], rounds=12)
