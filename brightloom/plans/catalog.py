@@ -548,7 +548,7 @@ def logreg(s, d):
 
 @query()
 def rf_classify(s, d):
-    return _fitted(s, d, "forest", maxDepth=8)
+    return _fitted(s, d, "forest", maxDepth=30)
 
 
 @query()
@@ -558,7 +558,7 @@ def adaboost_fit(s, d):
 
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     train, test = _training(s, d)
-    model = learning.adaboost(train, "doc_id", _FEATURES, rounds=8)
+    model = learning.adaboost(train, "doc_id", _FEATURES, rounds=60)
     return test.select("doc_id", "y", learning.boosted(model).alias("pred"))
 
 

@@ -6,6 +6,7 @@ import math
 import duckdb
 import pytest
 
+from brightloom.operators import learning
 from brightloom.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -57,3 +58,21 @@ def test_whole_tables_are_read(spark, data, duck, name, of, extra):
 def test_new_rows_of_all_customers_are_inserted(spark, data, duck):
     n, odd = duck.sql("select count(*), count(distinct c_custkey // 4) filter (c_custkey % 2 = 1) from customer").fetchall()[0]
     assert catalog.QUERIES["dml_insert_unique_all"](spark, data).count() == n + odd
+
+
+def test_ensembles_have_the_size_of_the_reference(spark, data, monkeypatch):
+    asked = {}
+
+    def stopped(kind):
+        def f(*_, **more):
+            asked[kind] = more
+            raise StopIteration
+
+        return f
+
+    monkeypatch.setattr(learning, "adaboost", stopped("adaboost"))
+    monkeypatch.setattr(learning, "classifier", stopped("forest"))
+    for name in ("adaboost_fit", "rf_classify"):
+        with pytest.raises(StopIteration):
+            catalog.QUERIES[name](spark, data)
+    assert asked["adaboost"]["rounds"] == 60 and asked["forest"] == {"maxDepth": 30}
