@@ -606,6 +606,14 @@ def ts_acf(s, d):
     return series.acf(_daily(s, d), 5).select("series_id", "lag", F.round("acf", 6).alias("acf"))
 
 
+_ACF_ALL = _ACF.replace("range(0, 6)", "range(0, 21)")
+
+
+@query(f"{_ACF_ALL} select series_id, cast(lag as int) as lag, round(r, 6) as acf, round(case when lag = 0 then 0 else 1.959963984540054 * sqrt((1 + 2 * coalesce(sum(case when lag > 0 then r * r else 0 end) over (partition by series_id order by lag rows between unbounded preceding and 1 preceding), 0)) / n) end, 6) as band from acf join (select series_id, count(*) as n from c group by 1) using (series_id)")
+def ts_acf_all(s, d):
+    return series.acf(_daily(s, d), 20).select("series_id", "lag", F.round("acf", 6).alias("acf"), F.round("band", 6).alias("band"))
+
+
 @query(f"{_ACF} select series_id, 0 as lag, 1.0::double as pacf from v union all select series_id, 1, round(r, 6) from acf where lag = 1 union all select a.series_id, 2, round((b.r - a.r * a.r) / (1 - a.r * a.r), 6) from acf a join acf b on a.series_id = b.series_id and a.lag = 1 and b.lag = 2")
 def ts_pacf(s, d):
     return series.pacf(_daily(s, d), 5).where("lag <= 2").select("series_id", "lag", F.round("pacf", 6).alias("pacf"))

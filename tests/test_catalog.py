@@ -76,3 +76,7 @@ def test_ensembles_have_the_size_of_the_reference(spark, data, monkeypatch):
         with pytest.raises(StopIteration):
             catalog.QUERIES[name](spark, data)
     assert asked["adaboost"]["rounds"] == 60 and asked["forest"] == {"maxDepth": 30}
+
+
+def test_autocorrelations_reach_lag_20(spark, data):
+    assert {r["lag"] for r in catalog.QUERIES["ts_acf_all"](spark, data).select("lag").distinct().collect()} == set(range(21))
