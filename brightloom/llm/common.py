@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -24,7 +25,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches, makes this package importable on executors and sets a checkpoint folder where none is set."""
+    """Bounds Arrow batches of the session, makes this package importable on executors and, in local mode alone, sets a
+    checkpoint folder where none is set. On a cluster a folder that all machines reach has to be set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
@@ -37,10 +39,20 @@ def prepare(spark: SparkSession) -> SparkSession:
                 z.write(f, f.relative_to(top.parent))
         sc.addPyFile(path)
     if not spark.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint"))
     return spark
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores so that no column has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors can reach."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -210,13 +222,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     folder, so lineage stays short. Labels and edges stay distributed.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), name)
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), name)
+    labels = last = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), name)
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("c"))
         up = labels.select(F.col("node").alias("c"), F.col("component").alias("jump"))
         after = stored(lower.join(up, "c").select("node", "was", F.least("c", "jump").alias("component")), name)
         moved = after.where("component <> was").limit(1).count()
-        labels = after.select("node", "component")
+        discard(last)
+        labels, last = after.select("node", "component"), after
         if not moved:
+            discard(both)
+            labels.stored_at = after.stored_at
             return labels

@@ -1,16 +1,21 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted over ranges of page_id. Each task writes its range to files that roll once their compressed size
+Records are sorted over ranges of page_id. The ranges' bounds are exact: bytes are added up along the sorted page_ids and
+cut into equal parts, so they depend on the rows alone, not on partitions or on samples, and repeated writes of a table
+give the same files and the same manifest. Each task writes its range to files that roll once their compressed size
 passes a limit. Every record's headers are generated anew, with block and payload digests and a record id derived from
 them; each record is one gzip member without a time stamp, so a repeated task writes the same bytes. A file is written
 under a temporary name and renamed when it is closed; a task returns a manifest line for each file; the driver commits
-by renaming the manifest. Readers open only files that the manifest lists, and check sizes and digests.
+by renaming the manifest and removes what failed attempts left. Readers open only files that the manifest lists, and
+check sizes and digests.
 
 Files go through pyarrow's file systems, so the folder may be in any store that these reach.
 
 Defined results: a null html is an empty payload. Of equal payloads of at least MIN_REVISIT bytes the record with the
 smallest page_id is the response, the others revisit it; smaller ones are all responses. Rows that repeat a page_id are
-records of their own, of which one is the response. A null page_id sorts last. An empty table makes an empty manifest.
+records of their own, of which one is the response; they share a range. A null page_id sorts last, in a range of its
+own. In WARC-Target-URI control characters and spaces are percent-encoded (`http://a/ b` comes back as `http://a/%20b`); a
+null url is an empty one. An empty table makes an empty manifest. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +28,19 @@ import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare, shared_folder, stored, trimmed
+from .common import arrow, discard, prepare, shared_folder, stored, trimmed, whole
 
 #: Compressed bytes after which a file is closed, and the smallest payload that can be revisited.
 ROLL_BYTES, MIN_REVISIT = 64 << 20, 0
+#: Payload bytes of a range: the lesser where there are FEW ranges at most, the greater beyond. Bytes that headers count.
+LEAST_RANGE, FEW, RANGE, HEADERS = 1 << 20, 1024, 1 << 30, 600
 #: Records carry this time, as pages have none.
 DATE = "2000-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -44,6 +52,10 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def record_id(page_id: int | None, row: int, payload_digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}/{row}/{payload_digest}')}>"
+
+
 def record(page_id: int | None, row: int, url: str | None, payload: bytes, refers_to: int | None, response: bool) -> bytes:
     """A response with its payload or a revisit without, uncompressed."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -52,7 +64,7 @@ def record(page_id: int | None, row: int, url: str | None, payload: bytes, refer
     uri = "".join(f"%{ord(c):02X}" if c < "!" else c for c in (url or ""))
     head = {
         "WARC-Type": "response" if response else "revisit",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}/{row}/{payload_digest}')}>",
+        "WARC-Record-ID": record_id(page_id, row, payload_digest),
         "WARC-Date": DATE,
         "WARC-Target-URI": uri,
         "WARC-Payload-Digest": f"sha1:{payload_digest}",
@@ -62,7 +74,12 @@ def record(page_id: int | None, row: int, url: str | None, payload: bytes, refer
         "X-Payload-Length": str(len(payload)),
     }
     if not response:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": "" if refers_to is None else str(refers_to)}
+        head |= {
+            "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            "WARC-Refers-To": record_id(refers_to, 0, payload_digest),
+            "WARC-Refers-To-Date": DATE,
+            "X-Refers-To-Page-ID": "" if refers_to is None else str(refers_to),
+        }
     head["Content-Length"] = str(len(block))
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items()) + _END + block + _END + _END
 
@@ -116,43 +133,86 @@ class Writer:
             self.number, self.out = self.number + 1, None
 
 
+def range_bounds(sizes: DataFrame, shards: int | None = None) -> list[int]:
+    """The largest page_id of each range, from distinct rows (page_id, bytes) without nulls."""
+    spark = sizes.sparkSession
+    rows = whole(sizes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id").sortWithinPartitions("page_id"))
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33).cast("int"))
+    held = rows.groupBy("part").agg(F.sum("bytes").alias("bytes")).orderBy("part").collect()  # a row for each partition
+    total, starts = 0, []
+    for r in held:
+        starts.append((r["part"], total))
+        total += r["bytes"]
+    if not total:
+        return []
+    count = shards or max(-(-total // RANGE), min(FEW, -(-total // LEAST_RANGE)))
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(F.broadcast(spark.createDataFrame(starts, "part int, ahead long")), "part").select("page_id", (F.col("ahead") + before).alias("before"))
+    shard = F.floor(F.col("before").cast("decimal(38,0)") * count / total).cast("long")
+    return sorted(r["last"] for r in placed.groupBy(shard.alias("shard")).agg(F.max("page_id").alias("last")).collect())  # a row for each range
+
+
 def write_warc(pages: DataFrame, folder: str, shards: int | None = None, roll: int = ROLL_BYTES) -> list[dict]:
-    """Writes a record for each page and commits; the manifest's lines, sorted by file."""
+    """Writes a record for each page and commits; the manifest's lines, sorted by file. shards: ranges, nearly; without, by the bytes."""
     spark = prepare(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     # Equality of payloads is that of SHA-256 and length; rows get numbers so that repeated rows are told apart.
     sums = stored(base.select("page_id", F.sha2("html", 256).alias("sha"), F.octet_length("html").cast("long").alias("size"), F.monotonically_increasing_id().alias("row")), "payloads")
-    first = sums.groupBy("sha", "size").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("page_id"), F.col("row").alias("row"))).alias("first"), F.count("*").alias("n")).where(f"n > 1 and size >= {MIN_REVISIT}")
-    again = sums.join(first, ["sha", "size"]).where("row <> first.row").select("page_id", "sha", F.col("first.page_id").alias("refers_to"), F.col("first.row").isNotNull().alias("revisit"))
-    again = again.groupBy("page_id", "sha").agg(F.first("refers_to").alias("refers_to"), F.count("*").alias("copies"))
-    again = stored(again, "revisits")
-    spots = base.withColumn("sha", F.sha2("html", 256)).join(again.withColumnRenamed("page_id", "_id").withColumnRenamed("sha", "_sha"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
-    count = shards or max(pages.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = spots.select("page_id", "url", "html", "sha", "refers_to", F.coalesce("copies", F.lit(0)).alias("copies")).repartitionByRange(count, F.col("page_id").asc_nulls_last(), "sha").sortWithinPartitions(F.col("page_id").asc_nulls_last(), "sha", "url")
+    first = sums.where(f"size >= {MIN_REVISIT}").groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("page_id"), F.col("row").alias("row"))).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stored(first, "firsts")  # a plain table: the join can split the rows of a frequent payload
+    again = sums.join(first, "sha").where("row <> first.row").groupBy("page_id", "sha").agg(F.first("first.page_id").alias("refers_to"))
+    bounds = range_bounds(sums.where("page_id is not null").groupBy("page_id").agg(F.sum(F.col("size") + HEADERS).alias("bytes")), shards)
+    held = spark.sparkContext.broadcast(np.array(bounds[:-1], np.int64))
+
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array) -> pa.Array:
+        at = np.searchsorted(held.value, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(held.value) + 1, at).astype(np.int32))
+
+    # What is known of a page's payload sorts right before its rows, so they meet in the range and payloads aren't joined.
+    notes = again.select("page_id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
+    rows = base.select("page_id", F.sha2("html", 256).alias("sha"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    dealt = notes.union(rows).withColumn("range", range_of("page_id")).repartitionById(len(bounds) + 1, "range")
+    dealt = dealt.sortWithinPartitions("range", F.col("page_id").asc_nulls_last(), "sha", "kind", "url")
     kind = "file string, records long, bytes long, sha256 string"
     out = arrow(kind)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        to = Writer(folder, task.partitionId(), str(task.taskAttemptId()), roll)
-        last, nth = None, 0
+        attempt = str(TaskContext.get().taskAttemptId())
+        to, lines = None, []
+        last, nth, note = None, 0, (False, None)
         for b in parts:
-            for page, url, text, sha, refers_to, copies in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                nth = nth + 1 if (page, sha) == last else 0
-                last = (page, sha)
+            for page, sha, is_row, url, text, refers_to, shard in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if to is None or to.shard != shard:
+                    if to:
+                        to.close()
+                    to = Writer(folder, shard, attempt, roll)
+                    lines.append(to.lines)
+                if (page, sha) != last:
+                    last, nth, note = (page, sha), 0, (False, None)
+                if not is_row:
+                    note = (True, refers_to)
+                    continue
                 # of rows that repeat a page, the first one is the response unless an earlier page has the payload
-                response = copies == 0 or nth == 0 and refers_to == page
-                to.add(record(page, nth, url, text.encode("utf-8", "surrogatepass"), refers_to, response))
-        to.close()
-        yield pa.record_batch([pa.array([x[f.name] for x in to.lines], f.type) for f in out], schema=out)
+                response = not note[0] or nth == 0 and note[1] == page
+                to.add(record(page, nth, url, text.encode("utf-8", "surrogatepass"), note[1], response))
+                nth += 1
+        if to:
+            to.close()
+        told = [x for some in lines for x in some]
+        yield pa.record_batch([pa.array([x[f.name] for x in told], f.type) for f in out], schema=out)
 
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root)
     lines = sorted((r.asDict() for r in dealt.mapInArrow(trimmed(run), kind).collect()), key=lambda x: x["file"])  # one line for each file
+    discard(sums, first)
     with files.open_output_stream(f"{root}/_temporary-manifest") as f:
         f.write(json.dumps({"format": "WARC/1.1", "files": lines}, indent=1).encode())
     files.move(f"{root}/_temporary-manifest", f"{root}/manifest.json")
+    for x in files.get_file_info(fs.FileSelector(root)):
+        if x.base_name.startswith("_temporary-"):
+            files.delete_file(x.path)
     return lines
 
 

@@ -205,12 +205,36 @@ def test_warc(spark, tmp_path):
         a, b = ((tmp_path / d / x["file"]).read_bytes() for d in "ab")
         assert a == b and hashlib.sha256(a).hexdigest() == x["sha256"] and gzip.decompress(a).startswith(b"WARC/1.1")
     assert not list((tmp_path / "a").glob("_temporary*"))
+    for head, _ in (x for f in sorted((tmp_path / "a").glob("*.gz")) for x in warc.parsed(gzip.open(f))):
+        if head["WARC-Type"] == "revisit":
+            page = head["X-Refers-To-Page-ID"]
+            assert head["WARC-Refers-To"] == warc.record_id(int(page) if page else None, 0, head["WARC-Payload-Digest"].removeprefix("sha1:"))
     (tmp_path / "a" / lines[0]["file"]).write_bytes(b"")
     with pytest.raises(Exception, match="manifest"):
         warc.read_warc(spark, folder).collect()
     assert warc.warc_round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_are_those_of_the_rows_alone(spark, tmp_path):
+    pages = common.prepare(spark).read.parquet("/root/testdata/sf0.1/pages.parquet")
+    for name, df in {"a": pages.repartition(1), "b": pages.repartition(7), "c": pages.orderBy(F.desc("page_id"))}.items():
+        warc.write_warc(df, f"file://{tmp_path}/{name}", roll=1 << 18)
+    told = [(tmp_path / n / "manifest.json").read_bytes() for n in "abc"]
+    assert told[0] == told[1] == told[2] and told[0].count(b'"file"') > 5
+    assert all((tmp_path / "a" / f.name).read_bytes() == f.read_bytes() for f in (tmp_path / "c").iterdir())
+
+
+def test_ranges_hold_equal_bytes(spark):
+    sizes = spark.createDataFrame([(i * i - 50, 1 + i % 7) for i in range(1000)] + [(-99, 4000)], "page_id long, bytes long").repartition(5)
+    bounds = warc.range_bounds(sizes, 10)
+    rows = sorted((r["page_id"], r["bytes"]) for r in sizes.collect())
+    total, at, want = sum(b for _, b in rows), 0, {}
+    for page, size in rows:
+        want[at * 10 // total] = page
+        at += size
+    assert bounds == sorted(want.values())
+
+
 def test_language_codes_correct_errors():
     for n in (1, 2, 3, 4, 7, 8, 30):
         code = langid.codewords(n)
