@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -66,9 +67,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if (held := _scope.get()) is not None:
+        held.append(out)
     return out
 
 
+#: Tables stored within the innermost `scratch`.
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables that were stored within it, but for those given to the function that it yields."""
+    outer, own = _scope.get(), []
+    token = _scope.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own[:] = [x for x in own if x.stored_at != df.stored_at]
+        if outer is not None:
+            outer.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scope.reset(token)
+        discard(*own)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read again."""
     for df in tables:

@@ -13,8 +13,9 @@
 Frequency only orders tokens. Any order gives the same links, so the sketch's errors can't lose one.
 
 Defined results: null counts as empty. A text without words has an empty set and links with nothing. Rows that repeat
-are documents with equal sets; if a doc_id repeats with other words, one of its texts stands for it. A null doc_id stays in the result, alone in its component (null). An empty table gives
-no rows. Other columns are ignored.
+are documents with equal sets. If a doc_id repeats with other words, the row whose set has the smallest fingerprint stands
+for it, the others link with nothing and take its component. A null doc_id stays in the result, alone in its component
+(null). An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti, arrow, components, discard, mix, prepare, semi, stored, texts_of, trimmed
+from .common import anti, arrow, components, discard, mix, prepare, scratch, semi, stored, texts_of, trimmed
 from .words import shingle_sets
 
 #: Cells of the frequency sketch, the blocks that it is summed in.
@@ -59,6 +60,11 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
+def set_print(s: np.ndarray) -> bytes | None:
+    """A fingerprint of a set, none for an empty one."""
+    return np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)], np.uint64).tobytes() + len(s).to_bytes(8, "big") if len(s) else None
+
+
 def set_rows(documents: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, fp, block, counts): a row per document, and rows that hold counts of the sketch's blocks."""
     out = arrow("doc_id long, n long, fp binary, block int, counts binary")
@@ -67,7 +73,7 @@ def set_rows(documents: DataFrame, k: int) -> DataFrame:
         sketch, held, size = np.zeros(CELLS, np.int32), [], 0
         for b in parts:
             sets = shingle_sets(texts_of(b.column(1)), k)
-            fps = [None if not len(s) else np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)], np.uint64).tobytes() + len(s).to_bytes(8, "big") for s in sets]
+            fps = list(map(set_print, sets))
             none = pa.nulls(b.num_rows)
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=out)
             held += [_cells(s) for s in sets]
@@ -106,14 +112,15 @@ def frequency_sketch(rows: DataFrame) -> np.ndarray:
 
 
 def probe_rows(documents: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n, cell, tokens): a document's rarest tokens, of which any partner shares one, and its group's key."""
+    """(doc_id, fp, n, cell, tokens): a document's rarest tokens, of which any partner shares one, and its group's key."""
     held = documents.sparkSession.sparkContext.broadcast(sketch)
     step = np.log(den / num)
-    out = arrow("doc_id long, n long, cell long, tokens array<long>")
+    kind = "doc_id long, fp binary, n long, cell long, tokens array<long>"
+    out = arrow(kind)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            ids, ns, groups, tokens = [], [], [], []
+            ids, fps, ns, groups, tokens = [], [], [], [], []
             for i, s in zip(b.column(0).to_pylist(), shingle_sets(texts_of(b.column(1)), k), strict=True):
                 if len(s) and i is not None:
                     n = len(s)
@@ -122,24 +129,26 @@ def probe_rows(documents: DataFrame, k: int, num: int, den: int, sketch: np.ndar
                     rare = np.argpartition(order, take - 1)[:take] if take < n else np.arange(n)
                     band = int(np.log(n) / step)
                     ids.append(i)
+                    fps.append(set_print(s))
                     ns.append(n)
                     groups.append(int(mix(np.array([int(mix(s).min()) ^ band], np.uint64))[0].astype(np.int64)))
                     tokens.append(s[rare].astype(np.int64))
             at = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], schema=out)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], schema=out)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, n long, cell long, tokens array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), kind)
 
 
 def token_sets(documents: DataFrame, k: int) -> DataFrame:
-    """(doc_id, tokens): whole sets, as sorted 64-bit words in one binary value."""
+    """(doc_id, fp, tokens): whole sets, as sorted 64-bit words in one binary value."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingle_sets(texts_of(b.column(1)), k)], pa.binary())], names=["doc_id", "tokens"])
+            sets = shingle_sets(texts_of(b.column(1)), k)
+            yield pa.record_batch([b.column(0), pa.array(map(set_print, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "fp", "tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, tokens binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, fp binary, tokens binary")
 
 
 def open_groups(ids: list[int], sets: list[np.ndarray], asks: list[int], ask_sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -213,9 +222,10 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 4, den: int
     rows = stored(set_rows(documents, k), "sets")
     sketch = frequency_sketch(rows)
     sets = rows.where("block is null").select("doc_id", "n", "fp")
-    classes = stored(sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    own = sets.where("fp is not null and doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("fp"))
+    classes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
 
-    probes = probe_rows(documents, k, num, den, sketch).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    probes = probe_rows(documents, k, num, den, sketch).join(classes.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id"])
     probes = stored(probes, "probes")
     splits = probes.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / GROUP_ROWS, F.sum("n") / GROUP_TOKENS)).alias("splits")).where("splits > 1")
     splits = stored(splits, "splits")  # a plain table: the join can then split a hot group's rows
@@ -224,7 +234,8 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 4, den: int
     discard(probes, splits)
 
     tokens = grouped.select("doc_id", "n", "g", F.explode("tokens").alias("token"))
-    matrix = tokens.repartition("token").groupBy("token", "g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    # A frequent token's groups meet in many tasks here; below, both sides of the join are plain tables, so that it can split the token.
+    matrix = stored(tokens.groupBy("token", "g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")), "matrix")
     asks = tokens.select("token", F.col("doc_id").alias("q"), F.col("n").alias("qn"), F.col("g").alias("qg"))
     fits = (F.col("qn") * num <= F.col("high") * den) & (F.col("low") * num <= F.col("qn") * den)
     found = asks.join(matrix, "token").where((F.col("qg") < F.col("g")) & fits | (F.col("qg") == F.col("g")) & (F.col("members") > 1))
@@ -232,9 +243,10 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 4, den: int
     found = stored(found.where(F.col("shared") >= least_shared(F.col("qn"), F.col("low"), F.col("high"), num, den)).select("q", "g"), "candidates")
 
     opened = stored(grouped.select("doc_id", "g", "n").join(found.select("g").distinct(), "g", "left_semi"), "members")
-    discard(grouped)
+    discard(grouped, matrix)
     needed = opened.select("doc_id").union(found.select("q")).distinct()
-    whole_sets = stored(token_sets(semi(documents.select("doc_id", "text"), needed, "doc_id"), k).dropDuplicates(["doc_id"]), "whole")
+    held = token_sets(semi(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), needed, "doc_id"), k).where("fp is not null")
+    whole_sets = stored(held.groupBy("doc_id").agg(F.min_by("tokens", "fp").alias("tokens")), "whole")
     loads = found.groupBy("g").agg(F.count("*").alias("asked")).select("g", F.ceil(F.col("asked") / QUERY_ROWS).alias("parts"))
     members = opened.join(loads, "g").join(whole_sets, "doc_id").select("g", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.lit(0).alias("query"), "doc_id", "tokens")
     queries = found.join(loads, "g").withColumnRenamed("q", "doc_id").join(whole_sets, "doc_id").select("g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("query"), "doc_id", "tokens")
@@ -242,12 +254,22 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 4, den: int
     links = stored(similar_links(dealt, num, den), "links")
     discard(found, opened, whole_sets)
     linked = components(links, "labels")
+    discard(links)
 
-    reps = classes.select("fp", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return sets.join(reps, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    reps = classes.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    reps = stored(reps, "representatives")
+    discard(classes, linked)
+    out = sets.join(reps, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), "fp")
+    # rows of a repeated doc_id with other words take the component of the row that stands for it
+    twice = stored(sets.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.max("fp").alias("most"), F.count_if(F.col("fp").isNull()).alias("empty")).where("fp <> most or fp is not null and empty > 0").select("doc_id", "fp"), "twice")
+    if twice.isEmpty():
+        return out.drop("fp")
+    stands = twice.join(reps, "fp").select("doc_id", F.col("component").alias("own"))
+    return out.join(stands, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "component_id").alias("component_id"))
 
 
 def drop_similar(documents: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows that stay, with all their columns: of each component the one with the smallest doc_id, and rows whose doc_id is null."""
-    found = stored(jaccard_components(documents, k, num, den), "similar")
+    with scratch() as keep:
+        found = keep(stored(jaccard_components(documents, k, num, den), "similar"))
     return anti(documents, found.where("component_id <> doc_id").select("doc_id"), "doc_id")

@@ -75,12 +75,43 @@ def test_fingerprints_compose():
     assert exact_dedup.fingerprint(b"abc")[0] == sum((c + 1) * b**i for i, c in enumerate(b"abc")) % p
 
 
-def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", "ba", "a b", "cd"])], "doc_id long, text string")
-    prints = exact_dedup.fingerprints(df).withColumns({"h1": F.lit(0).cast("long"), "h2": F.lit(0).cast("long")})
-    monkeypatch.setattr(exact_dedup, "fingerprints", lambda _: prints)
-    monkeypatch.setattr(exact_dedup, "collisions", lambda *_: spark.createDataFrame([(0, 0, 2)], "h1 long, h2 long, size long"))
-    assert sorted((r["doc_id"], r["keep_id"]) for r in exact_dedup.exact_groups(df).collect()) == [(0, 2), (1, 1), (2, 2), (3, 3)]
+@pytest.mark.parametrize("n", [80, 3 * exact_dedup.CHUNK])
+def test_colliding_fingerprints_are_told_apart(spark, n):
+    """With two small primes the fingerprints of many texts of a size collide; some of them are true copies."""
+    rnd = random.Random(n)
+    many = 300 if n < 1000 else 24
+    base = ["".join(rnd.choice("ab") for _ in range(n)) for _ in range(many)]
+    rows = [(i, t) for i, t in enumerate(base + [" " + t for t in base[::3]] + [" \n" + base[1]])] + [(None, base[0]), (None, base[1][::-1]), (None, base[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    primes = (3, 5)
+    assert len({exact_dedup.fingerprint(t.encode(), primes) for t in base}) < len(set(base))
+    assert exact_dedup.collisions(df, exact_dedup.fingerprints(df, primes=primes), primes).count() > 0
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[exact_dedup.normalised(t)].append((-len(t), i is None, i))
+    got = exact_dedup.exact_groups(df, primes=primes).collect()
+    assert sorted((repr(r["doc_id"]), r["text_sha256"], repr(r["keep_id"]), r["group_size"]) for r in got) == sorted(
+        (repr(i), hashlib.sha256(k).hexdigest(), repr(min(m)[2]), len(m)) for k, m in groups.items() for _, _, i in m)
+    assert sum(r["kept"] for r in got) == len(groups)
+
+
+def test_pieces_of_huge_texts_are_hashed_apart(spark, docs, monkeypatch):
+    whole = {(r["doc_id"], r["sha"]): (r["h1"], r["h2"], r["size"]) for r in exact_dedup.fingerprints(docs).collect()}
+    seen = []
+    monkeypatch.setattr(exact_dedup, "combined", lambda p, *a, f=exact_dedup.combined: seen.append(p.groupBy("row").count().collect()) or f(p, *a))
+    apart = exact_dedup.fingerprints(docs, huge=1000, piece=1 << 16).collect()
+    assert {(r["doc_id"], r["sha"]): (r["h1"], r["h2"], r["size"]) for r in apart} == whole
+    assert max(r["count"] for r in seen[0]) > 10 and len(seen[0]) > 3
+    want = {r["doc_id"]: tuple(r) for r in exact_dedup.exact_groups(docs).collect()}
+    assert {r["doc_id"]: tuple(r) for r in exact_dedup.exact_groups(docs, huge=1000, piece=1 << 16).collect()} == want
+
+
+def test_copies_go_whatever_the_other_columns_are_called(spark):
+    names = ["_s", "_c", "_id", "_sha", "_n", "text_sha256", "n_code_points", "told", "N", "kept", "row"]
+    df = spark.createDataFrame([(i, t, *[f"{i}{n}" for n in names]) for i, t in enumerate(["a b", "ab", "c", "c", None])], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = exact_dedup.drop_copies(df)
+    assert got.columns == df.columns and sorted((r["doc_id"], r["_s"]) for r in got.collect()) == [(0, "0_s"), (2, "2_s"), (4, "4_s")]
+    assert sorted(r["doc_id"] for r in jaccard.drop_similar(df, 1, 4, 5).collect()) == [0, 1, 2, 4]
 
 
 def sets_of(t, k):
@@ -127,6 +158,16 @@ def test_random_near_copies_lose_no_link(spark):
     assert got == dict(enumerate(components_of([sets_of(t, 2) for t in out], 7, 10)))
 
 
+def test_a_repeated_id_is_one_document(spark):
+    a, b, c = ("x1 x2 x3 x4 x5 x6 x7 x8 x9", "y1 y2 y3 y4 y5 y6 y7 y8 y9", "z1 z2")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " "), (3, b + " "), (4, c), (4, ""), (5, c), (None, a), (6, None), (6, None)], "doc_id long, text string")
+    for n in (1, 4):
+        got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.jaccard_components(df.repartition(n), 1, 4, 5).collect()}
+        stands = min((a, b), key=lambda t: jaccard.set_print(words.shingle_sets([t], 1)[0]))
+        assert got == {(1, 9): 1, (2, 9): 1 if stands == a else 2, (3, 9): 1 if stands == b else 3, (4, 2): 4, (4, 0): 4, (5, 2): 4, (None, 9): None, (6, 0): 6}
+        assert len({r["component_id"] for r in jaccard.jaccard_components(df, 1, 4, 5).where("doc_id in (2, 3)").collect()}) == 2
+
+
 @pytest.mark.parametrize(("num", "den"), [(90, 100), (4, 5), (7, 10), (1, 2)])
 def test_shared_tokens_needed_of_any_size(spark, num, den):
     def need(n, d):
@@ -421,6 +462,20 @@ def test_unique_blobs_are_scanned_in_place(spark):
     assert got == sorted((i, 1, f"assign:0:{len(t)}") for i, t in some)
 
 
+def test_scratch_deletes_what_is_not_kept(spark, docs):
+    there = lambda df: spark.read.parquet(df.stored_at).count()
+    with common.scratch() as keep:
+        a = keep(common.stored(spark.range(3), "a"))
+        b = common.stored(spark.range(4), "b")
+        with common.scratch() as inner:
+            c, d = inner(common.stored(spark.range(5), "c")), common.stored(spark.range(6), "d")
+        assert (there(b), there(c)) == (4, 5)
+    assert there(a) == 3
+    for df in (b, c, d):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            there(df)
+
+
 def test_key_filters(spark):
     df = spark.range(2000).select("id", F.lit("x" * 50).alias("t")).union(spark.createDataFrame([(None, "n")], "id long, t string"))
     keys = spark.range(0, 2000, 7)
