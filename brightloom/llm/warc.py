@@ -40,7 +40,7 @@ from .common import arrow, discard, prepare, shared_folder, stored, trimmed, who
 #: Compressed bytes after which a file is closed, and the smallest payload that can be revisited.
 ROLL_BYTES, MIN_REVISIT = 64 << 20, 0
 #: Payload bytes of a range: the lesser where there are FEW ranges at most, the greater beyond. Bytes that headers count.
-LEAST_RANGE, FEW, RANGE, HEADERS = 1 << 20, 1024, 1 << 30, 600
+LEAST_RANGE, FEW, RANGE, HEADERS = 8 << 20, 1024, 1 << 30, 600
 #: Records carry this time, as pages have none.
 DATE = "2000-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
