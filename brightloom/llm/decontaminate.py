@@ -1,14 +1,20 @@
-"""Benchmark decontamination by a BM25 index of the test items with block-max pruning.
+"""Benchmark decontamination by a BM25 index of the test items with block-max WAND.
 
-Every document is cut into blocks of as many words as the longest item has; a passage is two neighbouring blocks, so
+Every document is cut into pieces of as many words as the longest item has; a passage is two neighbouring pieces, so
 each span as long as an item lies whole in some passage. Every passage is a query on the inverted index of the items.
-Impacts are BM25 impacts divided by the item's score for itself, so one threshold serves all items. Items are indexed in
-blocks with the largest impact of each term that they have, so the index is never larger than its postings. A passage's bound for an item block is the sum of these over its terms;
-only item blocks over the threshold are scored, which is the pivot test of block-max WAND with a fixed threshold.
-Whatever scores above the threshold is verified: enough of the question's and of the answer's word n-grams must be in
+Impacts are BM25 impacts divided by the item's score for itself, so one threshold serves all items. Items lie in blocks,
+and a term's list has an entry for each block that has the term, with its largest impact there.
+
+A passage has a cursor on the list of each of its terms. In each step its cursors are ordered by their blocks; the pivot is the first
+one at which the terms' largest impacts add up to the threshold. No block before the pivot's can hold a result, so
+the cursors behind it skip to that block. If the largest impacts of the cursors that are then at the pivot's block reach the
+threshold, its items are scored; those cursors move on. A passage without a pivot is done. Steps are taken for many passages at once.
+
+Whatever scores at least the threshold is verified: enough of the question's and of the answer's word n-grams must be in
 the passage. The last line of an item is the answer, or its last sentence if it has one line, and a quarter of it at least.
 
-The items are indexed in shards of at most SHARD_WORDS words; each is broadcast and goes over all documents.
+The items are indexed in shards of at most SHARD_WORDS words; each is broadcast and goes over all documents. Document
+frequencies, mean and largest lengths are those of all items, so scores don't depend on the shards.
 
 Defined results: null counts as empty. Items without words match nothing. A text shorter than an item is one passage.
 Rows that repeat get equal results, a null doc_id too; other columns are ignored. Without items nothing is contaminated.
@@ -28,13 +34,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, mix, prepare, texts_of, trimmed
+from .common import arrow, discard, mix, prepare, stored, texts_of, trimmed
 from .words import NON_WORD, word_hashes
 
 #: Least share of an item's score for itself, and of the n-grams of its question and of its answer.
 SCORE, OVERLAP, GRAM = 0.5, 0.7, 3
-#: Items of a block of the index; words of the items that are broadcast at a time; sums that a search holds at a time; BM25's parameters.
-BLOCK, SHARD_WORDS, SUMS, K1, B = 8, 1 << 22, 1 << 20, 1.2, 0.75
+#: Items of a block of the index; words of the items that are broadcast at a time; cursors that a search holds at a time; BM25's parameters.
+BLOCK, SHARD_WORDS, CURSORS, K1, B = 8, 1 << 22, 1 << 19, 1.2, 0.75
 
 
 def _grams(h: np.ndarray) -> np.ndarray:
@@ -54,103 +60,180 @@ def answer_start(text: str, n: int) -> int:
     return max(0, min(n - len(word_hashes([answer.lower()], NON_WORD)[0]), n - GRAM, n - n // 4))
 
 
+@dataclass
+class Statistics:
+    """Of all items with words: their number, their mean and largest lengths, and for a shard's terms the number of items that have them."""
+
+    items: int
+    mean: float
+    longest: int
+    frequency: dict[int, int]
+
+
+def item_words(rows: list[tuple[int, str]]) -> list[np.ndarray]:
+    """The hashes of each item's words."""
+    h, n = word_hashes([t.lower() for _, t in rows], NON_WORD)
+    return np.split(h, np.cumsum(n)[:-1]) if rows else []
+
+
+def statistics_of(words: list[np.ndarray]) -> Statistics:
+    sizes = [len(w) for w in words if len(w)]
+    terms, counts = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True) if sizes else (np.zeros(0, np.uint64), np.zeros(0, int))
+    return Statistics(len(sizes), sum(sizes) / max(1, len(sizes)), max(sizes, default=0), dict(zip(terms.tolist(), counts.tolist(), strict=True)))
+
+
 @dataclass
 class Index:
     ids: np.ndarray
     terms: np.ndarray  # sorted hashes of the items' words
-    first: np.ndarray  # of a term's postings
+    first: np.ndarray  # of a term's entries, one for each block that has it
+    block: np.ndarray  # an entry's block
+    most: np.ndarray  # its largest impact
+    posting: np.ndarray  # its first posting
     items: np.ndarray
     impacts: np.ndarray
-    block_first: np.ndarray  # of a term's blocks
-    block_no: np.ndarray
-    block_max: np.ndarray  # the largest impact of the term in the block
+    limit: np.ndarray  # a term's largest impact
     blocks: int
     question: list[np.ndarray]
     answer: list[np.ndarray]
     longest: int
+    scored: int = 0  # (passage, block) pairs whose items were scored
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]]) -> Index:
-        h, n = word_hashes([t.lower() for _, t in rows], NON_WORD)
-        own = np.split(h, np.cumsum(n)[:-1]) if rows else []
+    def build(cls, rows: list[tuple[int, str]], of: Statistics | None = None) -> Index:
+        own = item_words(rows)
+        of = of or statistics_of(own)
         # the longer items first, so that items of a block have impacts alike
-        order = sorted((i for i in range(len(rows)) if n[i]), key=lambda i: (-int(n[i]), rows[i][0]))
-        mean = max(1.0, float(n[order].mean())) if order else 1.0
+        order = sorted((i for i in range(len(rows)) if len(own[i])), key=lambda i: (-len(own[i]), rows[i][0], rows[i][1]))
         held: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at, i in enumerate(order):
             for t, c in zip(*(x.tolist() for x in np.unique(own[i], return_counts=True)), strict=True):
                 held[t].append((at, c))
-        terms = np.array(sorted(held), np.uint64)
-        first = np.cumsum([0] + [len(held[int(t)]) for t in terms])
-        items = np.array([a for t in terms.tolist() for a, _ in held[t]], np.int64)
-        count = np.array([c for t in terms.tolist() for _, c in held[t]], np.float64)
-        idf = np.repeat([math.log(1 + (len(order) - d + 0.5) / (d + 0.5)) for d in np.diff(first).tolist()], np.diff(first))
-        size = np.array([n[i] for i in order], np.float64)
-        impact = idf * count * (K1 + 1) / (count + K1 * (1 - B + B * size[items] / mean)) if len(items) else count
+        names = sorted(held)
+        sizes = [len(held[t]) for t in names]
+        items = np.array([a for t in names for a, _ in held[t]], np.int64)
+        count = np.array([c for t in names for _, c in held[t]], np.float64)
+        idf = np.repeat([math.log(1 + (of.items - of.frequency[t] + 0.5) / (of.frequency[t] + 0.5)) for t in names], sizes)
+        size = np.array([len(own[i]) for i in order], np.float64)
+        impact = idf * count * (K1 + 1) / (count + K1 * (1 - B + B * size[items] / max(1.0, of.mean))) if len(items) else count
         impact = impact / np.bincount(items, impact, minlength=len(order))[items] if len(items) else impact
-        term = np.repeat(np.arange(len(terms)), np.diff(first))
-        starts = np.flatnonzero(np.diff(term * len(order) + items // BLOCK, prepend=-1))
-        tops = np.maximum.reduceat(impact, starts) * 1.00001 if len(items) else impact
-        blocks = (np.searchsorted(term[starts], np.arange(len(terms) + 1)), items[starts] // BLOCK, tops, -(-len(order) // BLOCK))
-        cut = [answer_start(rows[i][1], int(n[i])) for i in order]
+        term = np.repeat(np.arange(len(names)), sizes)
+        blocks = -(-len(order) // BLOCK)
+        starts = np.flatnonzero(np.diff(term * blocks + items // BLOCK, prepend=-1))
+        most = np.maximum.reduceat(impact, starts) * 1.00001 if len(items) else impact
+        first = np.searchsorted(term[starts], np.arange(len(names) + 1))
+        limit = np.maximum.reduceat(most, first[:-1]) if len(items) else impact
+        cut = [answer_start(rows[i][1], len(own[i])) for i in order]
         grams = [[_grams(own[i][:c] if c >= GRAM else own[i]) for i, c in zip(order, cut, strict=True)], [_grams(own[i][c:]) for i, c in zip(order, cut, strict=True)]]
-        return cls(np.array([rows[i][0] for i in order], np.int64), terms, first, items, impact, *blocks, *grams, int(n.max(initial=0)))
+        return cls(np.array([rows[i][0] for i in order], np.int64), np.array(names, np.uint64), first, items[starts] // BLOCK, most, np.append(starts, len(items)), items, impact, limit, blocks, *grams, of.longest)
 
     def search(self, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(document's position, item's position, score) of each verified pair, from the words of many documents."""
         if not len(self.ids) or not len(words):
             return
-        span = self.longest
+        span, terms = self.longest, len(self.terms)
         at = np.searchsorted(self.terms, words)
-        at[at == len(self.terms)] = 0
+        at[at == terms] = 0
         known = self.terms[at] == words
         starts = np.cumsum(counts) - counts
-        doc = np.repeat(np.arange(len(counts)), counts)
         per_doc = np.maximum(1, -(-counts // span))
-        block_at = np.cumsum(per_doc) - per_doc
-        block = block_at[doc] + (np.arange(len(words)) - starts[doc]) // span
-        total = int(per_doc.sum())
-        pairs = np.unique(block[known] * len(self.terms) + at[known])
-        b, t = pairs // len(self.terms), pairs % len(self.terms)
-        n = self.block_first[t + 1] - self.block_first[t]
-        cost = np.cumsum(np.bincount(b, n, minlength=total) + self.blocks)
-        first_pair = np.searchsorted(b, np.arange(total + 2))
-        last = np.zeros(total, bool)
-        last[block_at + per_doc - 1] = True
-        block_doc = np.repeat(np.arange(len(counts)), per_doc)
+        piece_at = np.cumsum(per_doc) - per_doc
+        doc = np.repeat(np.arange(len(counts)), counts)[known]
+        piece = piece_at[doc] + (np.flatnonzero(known) - starts[doc]) // span
+        pairs = np.unique(piece * terms + at[known])
+        piece_doc = np.repeat(np.arange(len(counts)), per_doc)
+        opens, whole = np.zeros(len(piece_doc) + 1, bool), np.ones(len(piece_doc), bool)
+        opens[piece_at] = True
+        whole[piece_at + per_doc - 1] = per_doc == 1  # a document's last piece is in the passage before it
+        at_piece = np.searchsorted(pairs, np.arange(len(piece_doc) + 2) * terms)
         best: dict[tuple[int, int], float] = {}
-        lo_block = 0
-        while lo_block < total:  # a bounded number of sums at a time
-            hi_block = max(lo_block + 1, int(np.searchsorted(cost, (cost[lo_block - 1] if lo_block else 0) + SUMS, side="right")))
-            here = slice(first_pair[lo_block], first_pair[min(hi_block + 1, total)])
-            m = n[here]
-            post = np.repeat(self.block_first[t[here]] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            rows = hi_block - lo_block
-            bound = np.bincount(np.repeat(b[here] - lo_block, m) * self.blocks + self.block_no[post], self.block_max[post], minlength=(rows + 1) * self.blocks).reshape(rows + 1, self.blocks)
-            reach = bound[:-1] + np.where(last[lo_block:hi_block, None], 0, bound[1:])
-            self._score(words, at, known, starts, counts, block_at, block_doc, lo_block, reach, best)
-            lo_block = hi_block
-        yield from ((d, i, s) for (d, i), s in best.items())
-
-    def _score(self, words: np.ndarray, at: np.ndarray, known: np.ndarray, starts: np.ndarray, counts: np.ndarray, block_at: np.ndarray, block_doc: np.ndarray, lo_block: int, reach: np.ndarray, best: dict[tuple[int, int], float]) -> None:
-        """Scores and verifies the item blocks whose bound is over the threshold, for the passages that start with block lo_block."""
-        span = self.longest
-        for k in (lo_block + np.flatnonzero((reach >= SCORE).any(axis=1))).tolist():
-            d = int(block_doc[k])
-            lo = int(starts[d]) + (k - int(block_at[d])) * span
-            hi = min(lo + 2 * span, int(starts[d] + counts[d]))
-            terms = np.unique(at[lo:hi][known[lo:hi]])
-            n = self.first[terms + 1] - self.first[terms]
-            post = np.repeat(self.first[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            items = self.items[post]
-            ok = reach[k - lo_block][items // BLOCK] >= SCORE
-            score = np.bincount(items[ok], self.impacts[post][ok], minlength=len(self.ids))
-            for i in np.flatnonzero(score >= SCORE).tolist():
-                if best.get((d, i), 0) >= score[i]:
+        low = 0
+        while low < len(piece_doc):  # a bounded number of cursors at a time
+            high = max(low + 1, int(np.searchsorted(at_piece, at_piece[low] + CURSORS // 2, side="right")) - 2)
+            high = min(high, len(piece_doc))
+            one, two = pairs[at_piece[low] : at_piece[high]], pairs[at_piece[low + 1] : at_piece[high + 1]]
+            two = two[~opens[two // terms]] - terms  # the second pieces of passages
+            here = np.unique(np.concatenate([one, two]))
+            here = here[whole[here // terms]]
+            for k, i, score in self._wand(here // terms, here % terms):
+                d = int(piece_doc[k])
+                if best.get((d, i), 0) >= score:
                     continue
-                grams = _grams(words[lo:hi])
+                lo = int(starts[d]) + (k - int(piece_at[d])) * span
+                grams = _grams(words[lo : min(lo + 2 * span, int(starts[d] + counts[d]))])
                 if all(len(part) and np.isin(part, grams).mean() >= OVERLAP for part in (self.question[i], self.answer[i])):
-                    best[d, i] = float(score[i])
+                    best[d, i] = score
+            low = high
+        yield from ((d, i, s) for (d, i), s in best.items())
+
+    def _wand(self, passage: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(passage, item's position, score) of all that score at least SCORE, from distinct pairs."""
+        if not len(passage):
+            return
+        entries = np.repeat(np.arange(len(self.terms)), np.diff(self.first)) * self.blocks + self.block
+        shift = int(passage.min())
+        passage = passage - shift
+        cursor = self.first[term]
+        while True:
+            # a pivot needs terms whose largest impacts reach the threshold; passages without one are done
+            alive = (np.bincount(passage, self.limit[term]) >= SCORE)[passage]
+            passage, term, cursor = passage[alive], term[alive], cursor[alive]
+            if not len(passage):
+                return
+            block = self.block[cursor]
+            order = np.argsort(passage * self.blocks + block)
+            passage, term, cursor, block = passage[order], term[order], cursor[order], block[order]
+            start = np.flatnonzero(np.diff(passage, prepend=-1))
+            total = np.cumsum(self.limit[term])
+            total -= np.repeat((total - self.limit[term])[start], np.diff(np.append(start, len(passage))))
+            reached = np.flatnonzero(total >= SCORE * 0.999999)
+            pivot = np.full(int(passage[-1]) + 1, self.blocks)
+            told = passage[reached]
+            firsts = np.flatnonzero(np.diff(told, prepend=-1))
+            pivot[told[firsts]] = block[reached[firsts]]
+            goal = pivot[passage]
+            behind = block < goal
+            cursor[behind] = np.searchsorted(entries, term[behind] * self.blocks + goal[behind])
+            some = cursor < self.first[term + 1]
+            passage, term, cursor, goal = passage[some], term[some], cursor[some], goal[some]
+            there = self.block[cursor] == goal
+            bound = np.bincount(passage[there], self.most[cursor[there]], minlength=len(pivot))
+            good = there & (bound >= SCORE)[passage]
+            if good.any():
+                yield from self._scored(passage[good], cursor[good], goal[good], shift)
+            cursor[there] += 1
+            some = cursor < self.first[term + 1]
+            passage, term, cursor = passage[some], term[some], cursor[some]
+            if not len(passage):
+                return
+
+    def _scored(self, passage: np.ndarray, cursor: np.ndarray, block: np.ndarray, shift: int) -> Iterator[tuple[int, int, float]]:
+        """Scores the items of one block for each of the passages, from the entries that their cursors are at."""
+        who, slot = np.unique(passage, return_inverse=True)
+        self.scored += len(who)
+        n = self.posting[cursor + 1] - self.posting[cursor]
+        post = np.repeat(self.posting[cursor] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(np.repeat(slot, n) * BLOCK + self.items[post] % BLOCK, self.impacts[post], minlength=len(who) * BLOCK)
+        at = np.zeros(len(who), np.int64)
+        at[slot] = block
+        for x in np.flatnonzero(score >= SCORE).tolist():
+            yield int(who[x // BLOCK]) + shift, int(at[x // BLOCK]) * BLOCK + x % BLOCK, float(score[x])
+
+
+def _statistics(items: DataFrame) -> DataFrame:
+    """(term, n, size, longest, shards), written: for each term the items that have it, and the shards that do; for no term the items, their words and the longest, from (shard, item_id, text)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            words = item_words(list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)))
+            for shard, w in zip(b.column(0).to_pylist(), words, strict=True):
+                if len(w):
+                    t = np.unique(w).view(np.int64)
+                    n = len(t) + 1
+                    yield pa.record_batch([pa.array([shard] * n, pa.int32()), pa.array([None, *t.tolist()], pa.int64()), pa.array([len(w)] + [0] * (n - 1), pa.int64())], names=["shard", "term", "size"])
+
+    rows = items.select("shard", "item_id", "text").mapInArrow(trimmed(run), "shard int, term long, size long")
+    return stored(rows.groupBy("term").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("size").alias("longest"), F.collect_set("shard").alias("shards")), "items")
 
 
 def _indexes(documents: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast[Index]]:
@@ -159,9 +242,15 @@ def _indexes(documents: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast[I
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-int(size) // (2 * SHARD_WORDS)))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    known = _statistics(items)
+    of = known.where("term is null").first()
     for shard in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in rows]))
+        rows = items.where(F.col("shard") == shard).orderBy("item_id", "text").collect()
+        frequency = {r["term"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in known.where("term is not null").where(F.array_contains("shards", shard)).select("term", "n").collect()}  # terms of the shard
+        stats = Statistics(of["n"], of["size"] / of["n"], of["longest"], frequency) if of else Statistics(0, 0.0, 0, {})
+        yield spark.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in rows], stats))
+    discard(known)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

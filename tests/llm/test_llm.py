@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -208,23 +209,65 @@ def test_decontamination(spark, docs):
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
 
 
-def test_search_scores_all_that_brute_force_scores():
+def bm25(items, passage):
+    """Each item's score for a list of words, over its score for itself, by the formula."""
+    sizes = [len(w) for w in items]
+    mean = sum(sizes) / len(sizes)
+    out = []
+    for w in items:
+        impact = {t: math.log(1 + (len(items) - d + 0.5) / (d + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in set(w) for d in [sum(t in x for x in items)]}
+        out.append(sum(v for t, v in impact.items() if t in passage) / sum(impact.values()))
+    return out
+
+
+def test_search_finds_all_that_bm25_finds():
     rnd = random.Random(6)
     rows = [(i, " ".join(f"t{rnd.randrange(60)}" for _ in range(rnd.randrange(3, 15)))) for i in range(50)]
     index = decontaminate.Index.build(rows)
-    passages = [t for _, t in rows] + [" ".join(f"t{rnd.randrange(90)}" for _ in range(25)) for _ in range(50)]
+    passages = [t for _, t in rows] + [" ".join(f"t{rnd.randrange(90)}" for _ in range(rnd.randrange(70))) for _ in range(80)] + ["", "x y"]
     h, n = words.word_hashes(passages, words.NON_WORD)
-    got = {(d, int(index.ids[i])) for d, i, _ in index.search(h, n)}
+    got = {(d, int(index.ids[i])): s for d, i, s in index.search(h, n)}
+    want = {}
     for d, p in enumerate(passages):
-        own = words.word_hashes([p], words.NON_WORD)[0]
-        for i in range(len(index.ids)):
-            best = False
-            for lo in range(0, max(1, len(own)), index.longest):
-                w = own[lo : lo + 2 * index.longest]
-                score = sum(index.impacts[k] for t, a, b in zip(index.terms, index.first, index.first[1:]) if t in w for k in range(a, b) if index.items[k] == i)
-                grams = decontaminate._grams(w)
-                best |= score >= decontaminate.SCORE and all(len(x) and np.isin(x, grams).mean() >= decontaminate.OVERLAP for x in (index.question[i], index.answer[i]))
-            assert ((d, int(index.ids[i])) in got) == best
+        own = p.split()
+        for lo in range(0, max(1, len(own)), index.longest):
+            w = own[lo : lo + 2 * index.longest]
+            grams = {tuple(w[j : j + 3]) for j in range(len(w) - 2)}
+            for i, score in enumerate(bm25([t.split() for _, t in rows], w)):
+                item = rows[i][1].split()
+                cut = max(0, min(len(item) - 3, len(item) - len(item) // 4, 0))
+                parts = [item[:cut] if cut >= 3 else item, item[cut:]]
+                of = [{tuple(x[j : j + 3]) for j in range(len(x) - 2)} for x in parts]
+                if score >= 0.5 and all(x and len(x & grams) >= 0.7 * len(x) for x in of):
+                    want[d, i] = max(want.get((d, i), 0), score)
+    assert got == pytest.approx(want) and len(want) >= 50
+
+
+def test_cursors_skip_and_stop():
+    """Blocks whose largest impacts don't reach the threshold aren't scored, and results are those of scoring all."""
+    rnd = random.Random(7)
+    items = [(i, " ".join(f"u{i}x{j}" for j in range(9)) + " the of") for i in range(400)]
+    index = decontaminate.Index.build(items)
+    passages = [" ".join([*(f"u{rnd.randrange(400)}x{rnd.randrange(9)}" for _ in range(12)), "the", "of"]) for _ in range(60)] + [items[7][1], items[390][1]]
+    h, n = words.word_hashes(passages, words.NON_WORD)
+    assert {(d, i) for d, i, _ in ((d, int(index.ids[i]), s) for d, i, s in index.search(h, n))} == {(60, 7), (61, 390)}
+    assert 2 <= index.scored <= 4 < len(passages) * index.blocks
+    pairs = np.unique(np.repeat(np.arange(len(passages)), n) * len(index.terms) + np.searchsorted(index.terms, h))
+    all_of = {(k, i) for k, i, _ in index._wand(pairs // len(index.terms), pairs % len(index.terms))}
+    assert all_of == {(d, i) for d, p in enumerate(passages) for i, s in enumerate(bm25([t.split() for _, t in items], p.split())) if s >= 0.5 for i in [int(np.flatnonzero(index.ids == i)[0])]}
+
+
+def test_scores_do_not_depend_on_the_shards(spark, monkeypatch):
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(300)}"
+    items = [(i, " ".join(word() for _ in range(rnd.randrange(4, 30)))) for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(word() for _ in range(40)) + " " + items[i][1] + " " + word()) for i in range(60)], "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted((r["doc_id"], r["item_ids"], round(r["best_score"], 9)) for r in decontaminate.contamination(df, bench).collect())
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 600)
+    assert len(list(decontaminate._indexes(df, bench))) > 3
+    assert sorted((r["doc_id"], r["item_ids"], round(r["best_score"], 9)) for r in decontaminate.contamination(df, bench).collect()) == one
+    assert decontaminate.drop_contaminated(df, bench).count() == sum(not x for _, x, _ in one)
 
 
 def test_warc(spark, tmp_path):
