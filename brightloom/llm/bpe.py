@@ -6,7 +6,9 @@ the vocabulary lists the suffixes; a test of the two tokens tells whether mergin
 stored tokens back from the end of the word gives exactly the ids that rank-ordered merging gives.
 
 The vocabulary file is a parameter: a JSON file of a BPE model with byte-level symbols and an end-of-word suffix. The
-driver reads it and broadcasts its text (a few MB, checked), so executors need no local file.
+driver reads it and broadcasts its text (a few MB, checked), so executors need no local file. A file with settings that
+this module doesn't follow (dropout, unknown tokens, byte fallback, ignored merges, a decoder, added tokens that take in
+white space or only whole words) is refused.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to an empty text. Special tokens written in
 a text become their ids. Long texts are encoded whole, word by word. Rows are independent; other columns are ignored.
@@ -39,9 +41,26 @@ PLAIN = re.compile("[^\\t-\\r -~\\xa1-\\u024f]")
 _FAR = 1 << 30
 
 
+#: Settings of the model and of added tokens that must be off, and settings of the file that must be absent.
+MODEL_OFF = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+ADDED_OFF, ABSENT = ("single_word", "lstrip", "rstrip", "normalized"), ("decoder", "post_processor")
+
+
+def refused(spec: dict) -> list[str]:
+    """Settings of a file that this module doesn't follow."""
+    out = [f"model.{k}" for k in MODEL_OFF if spec["model"].get(k)] + [k for k in ABSENT if spec.get(k)]
+    out += [f"added_tokens.{k}" for x in spec["added_tokens"] for k in ADDED_OFF if x.get(k)]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    fits = [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
+    plain = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    return out + ["model.type"] * (spec["model"]["type"] != "BPE") + ["pre_tokenizer"] * (not fits) + ["normalizer"] * (not plain)
+
+
 class Bpe:
     def __init__(self, model: str):
         spec = json.loads(model)
+        if unfit := refused(spec):
+            raise ValueError(f"the tokenizer file has settings that aren't followed: {', '.join(sorted(set(unfit)))}")
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.end: str = spec["model"]["end_of_word_suffix"] or ""
         self.special: dict[str, int] = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -51,6 +70,7 @@ class Bpe:
         self.model = model
         split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(split).findall
+        self.marks = {t[0] for t in self.special}
         self.sections = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # Bytes have printable stand-ins: those that print stand for themselves, others follow from U+0100 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -169,7 +189,7 @@ class Bpe:
 
     def encode(self, text: str) -> tuple[str, str]:
         """(decimal ids joined by one space, decoded text)."""
-        parts = self.sections.split(text) if self.sections and "<" in text else [text]
+        parts = self.sections.split(text) if self.sections and any(x in text for x in self.marks) else [text]
         out: list[tuple[str, str]] = []
         known = self.known
         for p in parts:

@@ -4,10 +4,10 @@ Each language has a codeword. For each bit a logistic regression on hashed byte
 language has that bit. Decoding adds up each bit's logistic loss, weighted by how accurate the bit was on the sample,
 and takes the codeword with the least; a small lead over the next one flags the text as ambiguous.
 
-The classifiers learn from a bounded sample (PER_LANGUAGE documents of each language, chosen by a hash of doc_id, whole
-texts). Scoring covers whole texts of all rows.
+The classifiers learn all values of lang, from a bounded sample (PER_LANGUAGE documents of each, SAMPLE in all, chosen by a
+hash of doc_id, whole texts). Scoring covers whole texts of all rows.
 
-Defined results: null text, or text without a letter, gives `und` with score 0. Without labelled rows every prediction
+Defined results: more than MOST values of lang are no languages and raise an error. null text, or text without a letter, gives `und` with score 0. Without labelled rows every prediction
 is `und`. Rows that repeat get equal results; other columns are ignored. A null doc_id isn't held out and isn't learned from.
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import arrow, prepare, trimmed
 from .linear import among_first, collected_features, fit_logistic, ngram_features
 
-#: Documents of each language in the sample, and the most languages (the most frequent ones).
-PER_LANGUAGE, LANGUAGES = 400, 128
+#: Documents of each language in the sample, documents of the sample, and the most values of lang.
+PER_LANGUAGE, SAMPLE, MOST = 400, 8000, 1000
 #: A lead in probability under this is ambiguous.
 AMBIGUOUS = 0.2
 UNKNOWN = "und"
@@ -68,14 +68,18 @@ class Languages:
 def learn(labelled: DataFrame) -> Languages:
     """From rows (doc_id, text, lang)."""
     rows = labelled.where("doc_id is not null and lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST + 1).collect()}
+    if len(counts) > MOST:
+        raise ValueError(f"lang has more than {MOST} values")
     names = sorted(counts)
     if not names:
         return Languages([], np.ones((0, 1), np.int8), np.zeros((0, 1)), np.zeros(1), np.ones(1))
+    per = min(PER_LANGUAGE, SAMPLE // len(names))
     sizes = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, counts[n])]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.where(F.col("lang").isin(names) & among_first(F.col("doc_id"), PER_LANGUAGE, sizes)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE).select("doc_id", "lang")
-    picked = {r["doc_id"]: r["lang"] for r in picked.collect()}  # PER_LANGUAGE x LANGUAGES rows at most
+    # a doc_id that repeats has the smallest of its values of lang
+    picked = rows.where(among_first(F.col("doc_id"), per, sizes)).groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per).select("doc_id", "lang")
+    picked = {r["doc_id"]: r["lang"] for r in picked.collect()}  # SAMPLE rows at most
     ids, x = collected_features(labelled, list(picked))
     at = np.array([names.index(picked[d]) for d in ids.tolist()])
     code = codewords(len(names))

@@ -49,7 +49,8 @@ def among_first(key: Column, wanted: int, rows: Column | int) -> Column:
 
 
 def collected_features(documents: DataFrame, sample: list[int], features: Callable[[list[str]], Iterator[tuple[int, np.ndarray]]] = ngram_features) -> tuple[np.ndarray, np.ndarray]:
-    """(doc_id, features) of a sample of bounded size: whole texts are counted on the executors, counts come to the driver."""
+    """(doc_id, features) of a sample of bounded size: whole texts are counted on the executors, counts come to the driver.
+    Of rows that repeat a doc_id the smallest features count, so that the choice is the same each time."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -58,22 +59,23 @@ def collected_features(documents: DataFrame, sample: list[int], features: Callab
 
     ids = documents.sparkSession.createDataFrame([(d,) for d in sample], "doc_id long")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(trimmed(run), "doc_id long, x binary").dropDuplicates(["doc_id"]).collect()  # as many as the sample has
+    rows = texts.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(trimmed(run), "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).collect()  # as many as the sample has
     rows.sort(key=lambda r: r["doc_id"])
     return np.array([r["doc_id"] for r in rows], np.int64), np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, bias) for each column of y (targets from 0 to 1), by accelerated gradient steps from zero."""
+    """(weights, bias) for each column of y (targets from 0 to 1), by accelerated gradient steps from zero, all in the type of x."""
     n, d = x.shape
-    w = np.zeros((d + 1, y.shape[1]))
+    w = np.zeros((d + 1, y.shape[1]), x.dtype)
     v, last = w.copy(), w.copy()
     a = np.hstack([x, np.ones((n, 1), x.dtype)])
-    weight = (weight / weight.sum(axis=0)).astype(np.float64)
-    step = 4.0 / float((a * a).sum(axis=1).max())  # the curvature of a row's loss is at most a quarter of its squared length
+    weight, y = (weight / weight.sum(axis=0)).astype(x.dtype), y.astype(x.dtype)
+    step = x.dtype.type(4.0 / float((a * a).sum(axis=1).max()))  # the curvature of a row's loss is at most a quarter of its squared length
+    decay = x.dtype.type(decay)
     for i in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ v, -30, 30)))
         w = v - step * (a.T @ (weight * (p - y)) + decay * v)
-        v = w + (i / (i + 3)) * (w - last)
+        v = w + x.dtype.type(i / (i + 3)) * (w - last)
         last = w
     return w[:-1], w[-1]

@@ -1,7 +1,8 @@
 """Quality classification from weak labels.
 
 Overlapping heuristics vote for or against a document or abstain. Expectation-maximisation over the vote patterns of all
-documents estimates how each heuristic votes on good documents and on each kind of bad ones, and gives each pattern a posterior. Posterior
+documents estimates how each heuristic votes on good documents and on each kind of bad ones, hence its accuracy, and gives
+each pattern a posterior. (With one kind of bad documents only, it gives up the heuristics that see few of them.) Posterior
 labels of a bounded sample (SAMPLE documents of either kind, chosen by a hash of doc_id, whole texts) train a logistic
 regression on hashed features (byte trigrams and the votes), which scores whole texts of all rows.
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare, stored, texts_of, trimmed
+from .common import arrow, prepare, scratch, stored, texts_of, trimmed
 from .linear import DIMENSIONS, among_first, collected_features, fit_logistic, ngram_features
 from .words import word_hashes
 
@@ -117,6 +118,19 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     return post[:, m], table, share
 
 
+def accuracies(patterns: np.ndarray, counts: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """A row for each heuristic, of the documents that it voted on, by the posterior: the share of right votes, of votes
+    against among bad ones, of votes for among good ones; nan where there are none."""
+    out = np.full((len(HEURISTICS), 3), np.nan)
+    for j in range(len(HEURISTICS)):
+        vote = (patterns // 3**j) % 3
+        good, bad = ([float((counts * p)[vote == v].sum()) for v in (GOOD, BAD)] for p in (post, 1 - post))
+        for i, (right, of) in enumerate(((good[0] + bad[1], sum(good) + sum(bad)), (bad[1], sum(bad)), (good[0], sum(good)))):
+            if of > 0:
+                out[j, i] = right / of
+    return out
+
+
 def features(texts: list[str], found: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """Hashed features of whole texts: byte trigrams, and each heuristic with its vote."""
     found = votes(texts)[0] if found is None else found
@@ -132,6 +146,7 @@ class Model:
     bias: float
     linear: bool
     posterior: dict[int, float]
+    accuracies: np.ndarray
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, posterior, number of words) of each text."""
@@ -148,10 +163,15 @@ class Model:
 def train(documents: DataFrame) -> Model:
     """Votes of all documents, posteriors of their patterns, and the scorer from a bounded sample."""
     prepare(documents.sparkSession)
-    rows = stored(vote_rows(documents), "votes").where("words > 0")
+    with scratch():
+        return _trained(documents, stored(vote_rows(documents), "votes").where("words > 0"))
+
+
+def _trained(documents: DataFrame, rows: DataFrame) -> Model:
     found = rows.groupBy("pattern").count().orderBy("pattern").collect()  # 3^8 rows at most
     patterns, counts = np.array([r["pattern"] for r in found], np.int64), np.array([r["count"] for r in found], np.float64)
-    posterior = dict(zip(patterns.tolist(), estimate(patterns, counts)[0].tolist(), strict=True)) if found else {}
+    post = estimate(patterns, counts)[0] if found else np.zeros(0)
+    posterior, right = dict(zip(patterns.tolist(), post.tolist(), strict=True)), accuracies(patterns, counts, post)
     picked: dict[int, float] = {}
     for label in (False, True):
         chosen = [p for p, x in posterior.items() if (x >= 0.5) == label]
@@ -160,12 +180,19 @@ def train(documents: DataFrame) -> Model:
             some = rows.where(F.col("pattern").isin(chosen) & F.col("doc_id").isNotNull() & among_first(F.col("doc_id"), SAMPLE, size)).select("doc_id", "pattern").orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(SAMPLE)
             picked |= {r["doc_id"]: posterior[r["pattern"]] for r in some.collect()}  # SAMPLE rows at most
     if len({x >= 0.5 for x in picked.values()}) < 2:
-        return Model(np.zeros(DIMENSIONS, np.float32), 0.0, False, posterior)
+        return Model(np.zeros(DIMENSIONS, np.float32), 0.0, False, posterior, right)
     ids, x = collected_features(documents, list(picked), features)
     y = np.array([[picked[d]] for d in ids.tolist()])
     weight = np.where(y >= 0.5, 1 / max(1, (y >= 0.5).sum()), 1 / max(1, (y < 0.5).sum()))
     w, b = fit_logistic(x, y, weight)
-    return Model(4 * w[:, 0].astype(np.float32), 4 * float(b[0]), True, posterior)
+    return Model(4 * w[:, 0].astype(np.float32), 4 * float(b[0]), True, posterior, right)
+
+
+def labeller_accuracies(documents: DataFrame) -> DataFrame:
+    """(heuristic, accuracy, sensitivity, specificity) as estimated without labels; null where it didn't vote on such documents."""
+    model = train(documents)
+    rows = [(h, *(None if np.isnan(x) else float(x) for x in a)) for h, a in zip(HEURISTICS, model.accuracies, strict=True)]
+    return documents.sparkSession.createDataFrame(rows, "heuristic string, accuracy double, sensitivity double, specificity double")
 
 
 def quality_scores(documents: DataFrame) -> DataFrame:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, exact_dedup, jaccard, langid, quality, secret_scan, sharding, url_filter, warc
 from .common import prepare, shared_folder
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Terms of hosts that label an url as blocked for training.
-LISTED = ("spam", "pills", "casino", "bets", "ads-", "track", "porn", "viagra", "lottery", "loans")
 SHARDS = 8
+#: The least score of a url without a rule that is blocked.
+SURE = 0.95
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,18 +63,9 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-def listed(host: Column) -> Column:
-    """1 where a host has a listed term."""
-    out = F.lit(False)
-    for t in LISTED:
-        out = out | host.contains(t)
-    return out.cast("int")
-
-
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    labelled = pages.where("url is not null").select("url", listed(url_filter.host_of(F.col("url"))).alias("label"))
-    return url_filter.judge(pages, RULES, labelled)
+    """Urls that no rule covers are blocked only if the trees are almost sure, as they learned from other hosts."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), RULES, limit=SURE)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +80,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_warc, op4_jaccard_join, op5_language_id, op6_quality, op7_bpe, op8_shard, op9_url_filter, op10_secret_scan)
 }
 
+
+def _descend_sql(node: sharding.Node) -> str:
+    """The shard of key k below a node: at each level the child with the smallest draw."""
+    if not node.children:
+        return str(node.shard)
+    out, *rest = [(f"-ln((('0x' || substr(md5(k || '/{c.name}'), 1, 12))::bigint + 1)::double / {2**48 + 1}.0) / {c.weight}", _descend_sql(c)) for c in node.children]
+    if not rest:
+        return out[1]
+    draws = [d for d, _ in (out, *rest)]
+    cases = " ".join(f"when {d} = least({', '.join(draws)}) then {below}" for d, below in (out, *rest))
+    return f"(case {cases} end)"
+
+
+_TREE = sharding.layout(SHARDS)
+
+
+def _secret_sql(kind: int, name: str, pattern: str, keep: str) -> str:
+    """Spans of a kind as [start, kind, end, name]; a match starts after the texts between matches and the matches before it."""
+    return f"""{name}_m as (select doc_id, regexp_extract_all(t, '{pattern}') as m, list_transform(regexp_split_to_array(t, '{pattern}'), lambda x: length(x)) as gaps from texts),
+        {name} as (select doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'a': list_sum(gaps[:i]) + coalesce(list_sum(list_transform(m[: i - 1], lambda y: length(y))), 0), 'k': {kind}, 'z': m[i]}}), lambda x: {keep}) as s from {name}_m)"""
+
+
+_WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c + "?" for c in w) for w in ("password", "passwd", "secret", "token", "api_key"))
+_ASSIGN = f"({_WORDS})[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?([A-Za-z0-9+/_.=-]+)"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
         with a as (select doc_id, length(coalesce(text, '')) as chars,
@@ -108,4 +124,35 @@ ORACLE_SQL: dict[str, str] = {
         both_ways as (select a, b from links union all select b, a from links),
         reach as (select doc_id as node, doc_id as seen from sets union select r.node, l.b from reach r join both_ways l on l.a = r.seen)
         select sets.doc_id, len(s)::bigint as n_shingles, min(seen) as component_id from sets join reach on node = sets.doc_id group by sets.doc_id, s""",
+    "op3_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as x from pages),
+        d as (select *, min(page_id) over (partition by n, x) as first,
+                     list_transform(range(0, 8), lambda i: ('0x' || substr(x, 5 * i + 1, 5))::bigint) as parts from p)
+        select page_id, n::bigint as payload_bytes,
+               array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((v >> s) & 31) + 1)::bigint, 1)), '')), '') as payload_digest,
+               case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from d""",
+    "op8_shard": f"""
+        with cells as (select list(v order by b) as cells from (select b, list_reduce(list_prepend(b::bigint, range(0, 8)), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end) as v from (select unnest(range(0, 256)) as b))),
+        t as (select doc_id, coalesce(doc_id::varchar, 'null') as k, strlen(coalesce(text, '')) + 1 as size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) as bytes from documents),
+        c as (select doc_id, k, size, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda v, b: xor(v >> 8, cells[(xor(v, b) & 255) + 1])), 4294967295) as text_crc32 from t, cells),
+        s as (select *, {_descend_sql(_TREE)} as shard, {_descend_sql(sharding.grown(_TREE, SHARDS))} as grown_shard from c)
+        select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'key' as law, shard::int as shard, row_number() over (partition by shard order by doc_id, text_crc32, size) - 1 as slot, grown_shard::int as grown_shard from s""",
+}
+
+#: SQL for the columns that SQL can express of queries whose other columns it can't.
+PARTIAL_SQL: dict[str, str] = {
+    "op9_url_filter": f"""
+        with p as (select page_id, position('://' in coalesce(url, '')) as mark, coalesce(url, '') as url from pages),
+        r as (select page_id, case when mark > 0 then substr(url, mark + 3) else '' end as rest from p),
+        h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
+        rules as (select rule, split_part(rule, '/', 1) as rule_host, substr(rule, position('/' in rule)) as rule_path from (select unnest({[r for _, r in RULES]}) as rule))
+        select page_id, host, path, (select arg_max(rule, length(rule)) from rules where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)) as rule from h""",
+    "op10_secret_scan": f"""
+        with texts as (select doc_id, coalesce(text, '') as t from documents),
+        {_secret_sql(0, "assign", _ASSIGN, f"length(regexp_extract(x.z, '{_ASSIGN}', 2)) >= 8")},
+        {_secret_sql(1, "access", "AKIA[A-Z0-9]+", "length(x.z) >= 16")},
+        {_secret_sql(2, "hex", "[0-9a-f]+", "length(x.z) >= 32")}
+        select doc_id, len(a.s)::bigint as n_assign, len(b.s)::bigint as n_access, len(c.s)::bigint as n_hex,
+               sha256(array_to_string(list_transform(list_sort(list_concat(a.s, b.s, c.s)), lambda x: ['assign', 'access', 'hex'][x.k + 1] || ':' || x.a || ':' || (x.a + length(x.z))), ',')) as base_sha256
+        from assign a join access b using (doc_id) join hex c using (doc_id)""",
 }

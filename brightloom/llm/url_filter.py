@@ -3,10 +3,11 @@
 Features: length of the url, host and path; depth; digit ratio; entropy; parameters; hyphens; digits at the path's end;
 how often urls with the same host suffix, and with the same path suffix, are blocked among the labelled ones. Trees are
 grown by histograms on a bounded sample (SAMPLE labelled urls of each label, chosen by a hash). Suffix statistics come
-from all labelled urls, in a fixed number of slots.
+from all labelled urls, in a fixed number of slots. Labels come as a table (url, label) or, without one, from the rules: the
+urls that a rule decides are the labelled ones, and the trees carry their verdicts over to the others.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule and is judged by the trees as
-an empty text. Without labelled urls of both labels every url that fits no rule is allowed, or blocked if all labels
+an empty text. Labels other than 0 and 1 don't count. Without labelled urls of both labels every url that fits no rule is allowed, or blocked if all labels
 are blocked. Rows that repeat get equal results; a null page_id stays; other columns are ignored.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, prepare, trimmed
+from .linear import among_first
 
 #: Sampled urls of each label; trees, their depth, step and histogram bins; slots of suffix statistics.
 SAMPLE, TREES, DEPTH, STEP, BINS, SLOTS = 4000, 40, 4, 0.2, 64, 1024
@@ -176,8 +178,10 @@ def train(labelled: DataFrame) -> tuple[Trees, np.ndarray]:
     prepare(labelled.sparkSession)
     rates = suffix_rates(labelled)
     urls, labels = [], []
-    for y in (0, 1):
-        some = labelled.where(F.col("label") == y).select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(SAMPLE).collect()  # SAMPLE rows
+    counts = {r["label"]: r["count"] for r in labelled.where("label in (0, 1)").groupBy("label").count().collect()}  # two rows
+    for y in sorted(counts):
+        few = labelled.where((F.col("label") == y) & among_first(F.col("url"), SAMPLE, counts[y]))
+        some = few.select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(SAMPLE).collect()  # SAMPLE rows
         urls += [r["url"] for r in some]
         labels += [y] * len(some)
     y = np.array(labels, np.float64)

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,21 @@ def none(spark):
     return common.prepare(spark).createDataFrame([], SCHEMA)
 
 
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.01/{t}.parquet')")
+    return c
+
+
+@pytest.mark.parametrize("name", [*queries.ORACLE_SQL, *queries.PARTIAL_SQL])
+def test_same_as_sql(spark, duck, name):
+    got, want = queries.QUERIES[name](spark, "/root/testdata/sf0.01"), duck.sql((queries.ORACLE_SQL | queries.PARTIAL_SQL)[name])
+    assert sorted(want.columns) == sorted(got.columns) if name in queries.ORACLE_SQL else set(want.columns) < set(got.columns)
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_exact_dedup(docs, none):
     got = {r["doc_id"]: r for r in exact_dedup.exact_groups(docs).collect()}
     groups = defaultdict(list)
@@ -332,6 +348,50 @@ def test_language_codes_correct_errors():
             assert model.decode(wrong)[0].tolist() == list(range(n))
 
 
+def test_decoding_by_hand():
+    rng = np.random.default_rng(3)
+    code = langid.codewords(5)
+    trust = rng.random(code.shape[1]) + 0.1
+    model = langid.Languages(list("abcde"), code, np.zeros((1, code.shape[1])), np.zeros(code.shape[1]), trust)
+    margins = rng.normal(0, 2, (40, code.shape[1]))
+    best, p, lead = model.decode(margins)
+    for r in range(40):
+        loss = [sum(t * math.log1p(math.exp(-m * b)) for t, m, b in zip(trust, margins[r], word)) for word in code.tolist()]
+        likely = [math.exp(min(loss) - x) for x in loss]
+        shares = sorted((x / sum(likely) for x in likely), reverse=True)
+        assert best[r] == loss.index(min(loss)) and p[r] == pytest.approx(shares[0]) and lead[r] == pytest.approx(shares[0] - shares[1])
+
+
+def test_the_linear_fit_reaches_the_least_loss():
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 4)).astype(np.float32)
+    y = np.stack([(x[:, 0] + 0.3 * rng.random(300) > 0.6), rng.random(300) < 0.3], axis=1).astype(float)
+    weight = rng.random((300, 2)) + 0.5
+    w, b = linear.fit_logistic(x, y, weight, rounds=20000, decay=1e-3)
+    assert w.dtype == np.float32
+    a, q = np.hstack([x, np.ones((300, 1))]).astype(float), weight / weight.sum(axis=0)
+    for j in range(2):
+        v = np.zeros(5)
+        for _ in range(50):  # Newton's steps
+            p = 1 / (1 + np.exp(-a @ v))
+            v -= np.linalg.solve((a * (q[:, j] * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(5), a.T @ (q[:, j] * (p - y[:, j])) + 1e-3 * v)
+        assert np.append(w[:, j], b[j]) == pytest.approx(v, abs=0.02)
+
+
+def test_all_languages_are_learned(spark, monkeypatch):
+    rnd = random.Random(5)
+    names = [f"l{i:03d}" for i in range(140)]
+    rows = [(14000 * k + i, " ".join(f"{n}{rnd.choice('xyz')}" for _ in range(8)), n) for k in range(3) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    assert model.names == names
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, model).collect()}
+    assert np.mean([got[i] == n for i, _, n in rows]) > 0.9
+    monkeypatch.setattr(langid, "MOST", 100)
+    with pytest.raises(ValueError, match="100"):
+        langid.learn(df)
+
+
 def test_language_on_held_out_documents(spark, data, docs, none):
     df = queries.op5_language_id(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert df.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
@@ -367,6 +427,64 @@ def test_estimated_accuracies():
     assert (told == good).mean() > 0.99
 
 
+def test_planted_accuracies_are_estimated():
+    """Two labellers overlap on each kind of bad documents; each sees its share of them and accuses its share of good ones."""
+    rng = np.random.default_rng(2)
+    n, m = 60000, len(quality.HEURISTICS)
+    good = rng.random(n) < 0.8
+    kind = rng.integers(0, 4, n)
+    false = np.array([0.002, 0.005, 0.001, 0.004, 0.003, 0.001, 0.002, 0.003])
+    sees = np.array([0.95, 0.6, 0.97, 0.85, 0.92, 0.5, 0.9, 0.97])
+    v = np.where(rng.random((n, m)) < false, quality.BAD, quality.GOOD)
+    for j in range(m):
+        own = ~good & (kind == j // 2)
+        v[own, j] = np.where(rng.random(own.sum()) < sees[j], quality.BAD, quality.GOOD)
+    v[rng.random((n, m)) < 0.1] = quality.ABSTAIN
+    patterns, counts = np.unique(v @ quality.PLACES, return_counts=True)
+    got = quality.accuracies(patterns, counts.astype(float), quality.estimate(patterns, counts)[0])
+    want = np.zeros((m, 3))
+    for j in range(m):
+        voted, right = v[:, j] != quality.ABSTAIN, (v[:, j] == quality.GOOD) == good
+        want[j] = right[voted].mean(), right[voted & ~good].mean(), right[voted & good].mean()
+    assert np.abs(got - want)[:, :2].max() < 0.06 and np.abs(got - want)[:, 2].max() < 0.01
+    assert {1, 5} == set(np.argsort(got[:, 1])[:2].tolist())  # the two that see least
+
+
+def test_estimates_by_plain_loops():
+    rng = np.random.default_rng(4)
+    m, rounds = len(quality.HEURISTICS), 6
+    patterns = np.unique(rng.integers(0, 3**m, 40))
+    counts = rng.integers(1, 50, len(patterns)).astype(float)
+    votes_ = [[int(p) // 3**j % 3 for j in range(m)] for p in patterns]
+    post = []
+    for v in votes_:
+        first = v.index(quality.BAD) if quality.BAD in v else m
+        post.append([1 / (m + 1)] * (m + 1) if set(v) == {quality.ABSTAIN} else [0.9 if k == first else 0.1 / m for k in range(m + 1)])
+    for _ in range(rounds):
+        total = [sum(c * p[k] for c, p in zip(counts, post)) for k in range(m + 1)]
+        share = [(t + 1) / (counts.sum() + m + 1) for t in total]
+        table = {}
+        for k in range(m + 1):
+            for j in range(m):
+                x = {w: sum(c * p[k] for c, p, v in zip(counts, post, votes_) if v[j] == w) + 0.1 for w in (0, 1)}
+                x[quality.GOOD] += k == m
+                x[quality.BAD] += k == j
+                table[k, j] = {w: y / (x[0] + x[1]) for w, y in x.items()} | {quality.ABSTAIN: 1.0}
+        post = []
+        for v in votes_:
+            like = [share[k] * math.prod(table[k, j][v[j]] for j in range(m)) for k in range(m + 1)]
+            post.append([x / sum(like) for x in like])
+    got, told, shares = quality.estimate(patterns, counts, rounds)
+    assert got == pytest.approx([p[m] for p in post]) and shares == pytest.approx(share)
+    assert all(told[k, j, w] == pytest.approx(table[k, j][w]) for k, j in table for w in (0, 1))
+
+
+def test_accuracies_are_returned(spark):
+    got = {r["heuristic"]: r for r in quality.labeller_accuracies(common.prepare(spark).read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert set(got) == set(quality.HEURISTICS)
+    assert all(0.8 < r["accuracy"] <= 1 and 0.9 < r["specificity"] <= 1 for r in got.values())
+
+
 def test_quality_against_labels(spark, docs, none):
     d = "/root/testdata/sf0.01"
     got = queries.op6_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
@@ -383,7 +501,7 @@ def test_bpe_is_that_of_the_library(spark, docs, none):
 
     rnd = random.Random(2)
     alphabet = "aabcdefghijklmnopqrstuvwxyzàéïßÀÉİΣσς'’.,!?0123456789  \n\t\x1c\x85 ́日本語🙂ſK<>|ǅ٣½ª\xa0\xad"
-    some = [t for t in texts() if t is None or len(t) < 100_000] + ["".join(rnd.choice(a) for _ in range(rnd.randrange(60))) for a in (alphabet, "aab ", "thein ag") for _ in range(300)]
+    some = [*texts(), "the cat's " * 30_000, "日本語" * 40_000] + ["".join(rnd.choice(a) for _ in range(rnd.randrange(60))) for a in (alphabet, "aab ", "thein ag") for _ in range(300)]
     some += ["a<|endoftext|>b", "<|startoftext|> x<|endoftext|><|endoftext|>", "<|ENDOFTEXT|>", "a" * 300, "!" * 500, "ΑΣ ΑΣΑ", "it's we'LL don't 'S"]
     t = Tokenizer.from_file(queries.tokenizer_path())
     t.no_truncation()
@@ -398,6 +516,28 @@ def test_bpe_is_that_of_the_library(spark, docs, none):
     assert bpe.encode_texts(none, queries.tokenizer_path()).count() == 0
 
 
+def test_tokenizer_files_that_are_not_followed_are_refused():
+    import json
+
+    spec = json.loads(open(queries.tokenizer_path()).read())
+    assert bpe.refused(spec) == []
+    for change in ({"decoder": {"type": "ByteLevel"}}, {"model": spec["model"] | {"dropout": 0.1}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}, {"normalizer": None}, {"pre_tokenizer": None}):
+        with pytest.raises(ValueError, match="settings"):
+            bpe.Bpe(json.dumps(spec | change))
+
+
+def test_special_tokens_may_start_with_anything():
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(queries.tokenizer_path()).read())
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 49408, "content": "[CLS]"})
+    mine, theirs = bpe.Bpe(json.dumps(spec)), Tokenizer.from_str(json.dumps(spec))
+    for t in ("a[CLS]b", "[CLS]", "[cls] <|endoftext|>[CLS"):
+        assert mine.encode(t)[0] == " ".join(map(str, theirs.encode(t, add_special_tokens=False).ids))
+
+
 def test_sharding(spark, docs, none):
     tree = sharding.layout(8)
     more = docs.union(docs.where("doc_id = 3")).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
@@ -444,6 +584,56 @@ def test_url_rules_and_trees(spark):
     assert np.mean([(told[i] == "block") == bool(y) for i, _, y in rows if i >= 600]) > 0.95
 
 
+def test_trees_on_hosts_that_they_did_not_learn_from(spark):
+    """Labels are the rules' verdicts; each fold of hosts is judged by trees that learned from the others."""
+    pages = common.prepare(spark).read.parquet("/root/testdata/sf0.1/pages.parquet")
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    verdict = url_filter.rule_of(host, path, queries.RULES)[1]
+    rows = pages.where(verdict.isNotNull()).select("page_id", "url", (verdict == "block").cast("int").alias("label"), (F.crc32(host) % 5).alias("fold")).cache()
+    found = []
+    for k in range(5):
+        got = url_filter.judge(rows.where(F.col("fold") == k), [], rows.where(F.col("fold") != k)).join(rows, "page_id")
+        found += [(r["score"], r["label"]) for r in got.select("score", "label").collect()]
+    score, label = np.array(found).T
+    assert ((score >= 0.5) == label).mean() > 0.88
+    sure = score >= queries.SURE
+    assert label[sure].mean() > 0.98 and sure[label == 1].mean() > 0.6
+
+
+def test_boosting_by_plain_loops(monkeypatch):
+    """Each leaf's value and each split's gain, over all features and all quantile edges."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 6, (120, 2)).astype(np.float32), rng.integers(0, 2, 120).astype(float)
+    monkeypatch.setattr(url_filter, "TREES", 2)
+    monkeypatch.setattr(url_filter, "DEPTH", 2)
+    got = url_filter.boost(x, y)
+    total = [0.0] * 120
+    w = [60 / max(1, sum(y == t)) for t in y]
+    for r in range(2):
+        p = [1 / (1 + math.exp(-t)) for t in total]
+        g, h = [a * (b - c) for a, b, c in zip(w, p, y)], [a * b * (1 - b) for a, b in zip(w, p)]
+        nodes = {0: list(range(120))}
+        for node in range(3):
+            rows, best = nodes[node], (1e-6, None)
+            for j in range(2):
+                for e in np.unique(np.quantile(x[:, j], np.linspace(0, 1, url_filter.BINS + 1)[1:-1])):
+                    left, right = [i for i in rows if x[i, j] <= e], [i for i in rows if x[i, j] > e]
+                    if min(len(left), len(right)) >= url_filter.LEAST_LEAF:
+                        part = lambda s: sum(g[i] for i in s) ** 2 / (sum(h[i] for i in s) + 1)  # noqa: B023, E731
+                        gain = part(left) + part(right) - part(rows)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, (j, e))
+            j, e = best[1] if best[1] else (0, np.inf)
+            assert got.feature[r, node] == j and got.limit[r, node] == np.float32(e)
+            nodes[2 * node + 1], nodes[2 * node + 2] = [i for i in rows if x[i, j] <= e], [i for i in rows if x[i, j] > e]
+        for leaf in range(4):
+            rows = nodes[3 + leaf]
+            value = -url_filter.STEP * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
+            assert got.value[r, leaf] == pytest.approx(value)
+            for i in rows:
+                total[i] += value
+
+
 def test_trees_fit_an_interaction():
     x = np.random.default_rng(0).random((2000, 3)).astype(np.float32)
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
