@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brightloom.llm.bpe import encode_texts
-from brightloom.llm.common import prepare, stored
+from brightloom.llm.common import discard, prepare, scratch, stored
 from brightloom.llm.decontaminate import drop_contaminated
 from brightloom.llm.exact_dedup import drop_copies
 from brightloom.llm.jaccard import drop_similar
@@ -61,9 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's own tables go when it is written, its result when the next one is."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+    *first, (_, last) = STAGES
+    for i, (name, stage) in enumerate(first):
+        with scratch() as keep:
+            after = keep(stored(stage(spark, docs, sf_dir), name))
+        if i:
+            discard(docs)
+        docs = after
+    return last(spark, docs, sf_dir)
