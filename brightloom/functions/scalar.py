@@ -27,7 +27,9 @@ def shortened(text: Column, limit: int = 50) -> Column:
 
 
 def truncated(x: Column, digits: int) -> Column:
-    return F.floor(x * 10**digits) / 10**digits
+    """Without the digits beyond, as cutting its text does: towards 0."""
+    scaled = x * 10**digits
+    return F.when(x < 0, F.ceil(scaled)).otherwise(F.floor(scaled)) / 10**digits
 
 
 def html_escaped(text: Column) -> Column:

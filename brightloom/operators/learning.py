@@ -1,4 +1,10 @@
-"""Splits, nearest neighbours, stumps, boosting, regressions, trees and stacking."""
+"""Splits, nearest neighbours, stumps, boosting, regressions, trees, votes and stacking.
+
+Defined results: splits rank rows by the SHA-256 of their key, so keys should be unique; a null class is a class, and null keys come
+last in it. Neighbours are defined in `nearest`. Stumps leave out null features, labels and weights; without two distinct values of a feature there is no
+stump, and the result is empty. A regression over rows without variation has a null slope. Estimators of spark.ml skip rows with null features.
+Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +16,17 @@ import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import ranked
+from brightloom.session import checkpointed
+
+from .nearest import best
+from .ranking import digits_for, ranked
+
+#: Rows of a range of a feature's values, and the most ranges of a feature.
+STUMP_ROWS, STUMP_RANGES = 100_000, 256
 
 
 def hash_order(key: str) -> Column:
@@ -22,36 +34,32 @@ def hash_order(key: str) -> Column:
     return F.sha2(F.col(key).cast("string"), 256)
 
 
-def stratified_split(df: DataFrame, key: str, label: str, test: float) -> DataFrame:
-    """Adds is_test: of each class exactly ceil(test * n) rows, the first in hash order."""
-    w = Window.partitionBy(label)
-    n, r = F.count("*").over(w), F.row_number().over(w.orderBy(hash_order(key), key))
-    return df.withColumn("is_test", r <= F.ceil(F.lit(test) * n))
+def _ranked(df: DataFrame, key: str, digits: int, name: str = "rank", within: Column | None = None) -> DataFrame:
+    """Ranks by the key's hash, in buckets of its first digits."""
+    return ranked(df, F.substring(hash_order(key), 1, digits), [hash_order(key), F.col(key)], name, within)
 
 
-def random_split(df: DataFrame, key: str, test: float) -> DataFrame:
-    """Adds is_test: exactly ceil(test * n) rows, the first in hash order, ranked in buckets of the hash's first digits."""
-    want = math.ceil(test * df.count())
-    out = ranked(df, F.substring(hash_order(key), 1, 3), [hash_order(key), F.col(key)])
-    return out.withColumn("is_test", F.col("rank") <= want).drop("rank")
+def stratified_split(df: DataFrame, key: str, label: str, test: float) -> DataFrame:
+    """Adds is_test: of each class exactly ceil(test * n) rows, the first in hash order. No class meets in one task."""
+    rows = _ranked(df, key, digits_for(df.count()), "_rank", F.col(label))
+    wanted = df.groupBy(F.col(label).alias("_of")).agg(F.ceil(F.lit(test) * F.count("*")).alias("_want"))
+    return rows.join(F.broadcast(wanted), F.col(label).eqNullSafe(F.col("_of"))).withColumn("is_test", F.col("_rank") <= F.col("_want")).drop("_rank", "_of", "_want")  # a row for each class
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+def stratified_folds(df: DataFrame, key: str, label: str, folds: int) -> DataFrame:
+    """Adds fold: the rows of each class are dealt out in hash order."""
+    return _ranked(df, key, digits_for(df.count()), "_rank", F.col(label)).withColumn("fold", F.pmod("_rank", F.lit(folds)).cast("int")).drop("_rank")
 
 
-def neighbours(train: DataFrame, query: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """(q, id, label, d, rn) of the k nearest rows of train (id, x, label) for each query (q, x).
+def random_split(df: DataFrame, key: str, test: float) -> DataFrame:
+    """Adds is_test: exactly ceil(test * n) rows, the first in hash order."""
+    n = df.count()
+    return _ranked(df, key, digits_for(n), "_rank").withColumn("is_test", F.col("_rank") <= math.ceil(test * n)).drop("_rank")
 
-    Queries are a stated set; each goes against all rows in blocks of the training rows, with the best k kept in each
-    block before they meet.
-    """
-    train = train.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    asked = query.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("x", "qx")
-    d = F.round(F.sqrt(squared_distance(F.col("qx"), F.col("x"))), 8)
-    pairs = asked.join(train, "_b").select("q", "id", "label", d.alias("d"), "_b")
-    near = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("q", "_b").orderBy("d", "id"))).where(F.col("rn") <= k)
-    return near.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("rn") <= k).drop("_b")
+
+def neighbours(train: DataFrame, query: DataFrame, k: int) -> DataFrame:
+    """(q, id, label, d, rn) of the k nearest rows of train (id, x, label) for each query (q, x)."""
+    return best(train.select("id", "x", "label"), query.select("q", "x"), k, "d")
 
 
 def neighbour_votes(train: DataFrame, query: DataFrame, ks: list[int], features: list[str], label: str = "y", block: int = 4096) -> DataFrame:
@@ -106,20 +114,42 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return neighbours(train, query, k).groupBy("q").agg(F.avg("label").alias("pred"))
 
 
-def stump(df: DataFrame, features: list[str], label: str = "y", weight: str | None = None) -> DataFrame:
+def value_edges(df: DataFrame, features: list[str]) -> dict[str, list[float]]:
+    """For each feature values that part its rows into ranges of about STUMP_ROWS; none for small tables, STUMP_RANGES at most."""
+    ranges = min(STUMP_RANGES, math.ceil(df.count() / STUMP_ROWS))
+    if ranges < 2:
+        return {f: [] for f in features}
+    found = df.select(*[F.col(f).cast("double").alias(f) for f in features]).approxQuantile(features, [i / ranges for i in range(1, ranges)], 0.1 / ranges)
+    return {f: sorted(set(x)) for f, x in zip(features, found, strict=True)}
+
+
+def stump(df: DataFrame, features: list[str], label: str = "y", weight: str | None = None, edges: dict[str, list[float]] | None = None) -> DataFrame:
     """(feature, threshold, gini): the exact binary split of least weighted impurity for labels 0 and 1.
 
-    Rows of equal value are summed first, so windows run over distinct values, one feature in each partition.
+    Rows of equal value are summed first. Running sums go over the distinct values within ranges (`edges`), to which the
+    totals of the ranges before are added, so no feature meets in one task. The ranges don't change the result.
     """
+    edges = value_edges(df, features) if edges is None else edges
     w = F.col(weight) if weight else F.lit(1.0)
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s"), F.col(label).alias("y"), w.alias("w")).select("s.feature", "s.x", "y", "w")
-    at = long.groupBy("feature", "x").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p"))
+    at = long.where("x is not null and y is not null and w is not null").groupBy("feature", "x").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p"))
+    part = F.lit(0)
+    for f, cuts in edges.items():
+        if cuts:
+            part = F.when(F.col("feature") == f, F.size(F.filter(F.array(*map(F.lit, cuts)), lambda e: e < F.col("x")))).otherwise(part)
+    at = at.withColumn("part", part)
+    # a row for each range: what lies before it, the feature's totals, and the first value of the next range
     by = Window.partitionBy("feature")
-    up = by.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    c = at.select("feature", "x", F.lead("x").over(by.orderBy("x")).alias("nx"), F.sum("n").over(up).alias("nl"), F.sum("p").over(up).alias("pl"), F.sum("n").over(by).alias("n"), F.sum("p").over(by).alias("p")).where("nx is not null")
+    parts = at.groupBy("feature", "part").agg(F.sum("n").alias("pn"), F.sum("p").alias("pp"), F.min("x").alias("px"))
+    parts = parts.select("feature", "part", (F.sum("pn").over(by.orderBy("part")) - F.col("pn")).alias("bn"), (F.sum("pp").over(by.orderBy("part")) - F.col("pp")).alias("bp"), F.sum("pn").over(by).alias("n"), F.sum("pp").over(by).alias("p"), F.lead("px").over(by.orderBy("part")).alias("after"))
+    own = Window.partitionBy("feature", "part").orderBy("x")
+    up = own.rowsBetween(Window.unboundedPreceding, 0)
+    c = at.select("feature", "part", "x", F.lead("x").over(own).alias("next"), F.sum("n").over(up).alias("on"), F.sum("p").over(up).alias("op"))
+    c = c.join(F.broadcast(parts), ["feature", "part"])  # STUMP_RANGES rows a feature at most
+    c = c.select("feature", "x", F.coalesce("next", "after").alias("nx"), (F.col("on") + F.col("bn")).alias("nl"), (F.col("op") + F.col("bp")).alias("pl"), "n", "p").where("nx is not null")
     gini = lambda n, p: n * (1 - F.pow(p / n, 2) - F.pow((n - p) / n, 2))
     nr, pr = F.col("n") - F.col("nl"), F.col("p") - F.col("pl")
-    c = c.withColumn("gini", (gini(F.col("nl"), F.col("pl")) + gini(nr, pr)) / F.col("n"))
+    c = c.where((F.col("nl") > 0) & (nr > 0)).withColumn("gini", (gini(F.col("nl"), F.col("pl")) + gini(nr, pr)) / F.col("n"))
     c = c.select("feature", ((F.col("x") + F.col("nx")) / 2).alias("threshold"), F.round("gini", 12).alias("gini"), (F.col("pl") / F.col("nl") >= 0.5).cast("int").alias("left"), (pr / nr >= 0.5).cast("int").alias("right"))
     return c.orderBy("gini", "feature", "threshold").limit(1)
 
@@ -127,9 +157,9 @@ def stump(df: DataFrame, features: list[str], label: str = "y", weight: str | No
 def adaboost(df: DataFrame, key: str, features: list[str], label: str = "y", rounds: int = 10, every: int = 5) -> list[tuple[str, float, int, int, float]]:
     """SAMME over stumps: (feature, threshold, left, right, alpha) of each round. Weights are checkpointed every few rounds."""
     rows = df.select(key, label, *features).withColumn("w", F.lit(1.0))
-    out = []
+    out, edges = [], value_edges(rows, features)
     for i in range(rounds):
-        s = stump(rows, features, label, "w").first()
+        s = stump(rows, features, label, "w", edges).first()
         if s is None:
             break
         pred = F.when(F.col(s["feature"]) <= s["threshold"], s["left"]).otherwise(s["right"])
@@ -143,7 +173,7 @@ def adaboost(df: DataFrame, key: str, features: list[str], label: str = "y", rou
             break
         rows = rows.withColumn("w", F.col("w") * F.when(pred != F.col(label), math.exp(alpha)).otherwise(1.0) / total["w"])
         if (i + 1) % every == 0:
-            rows = rows.checkpoint()
+            rows = checkpointed(rows)
     return out
 
 
@@ -171,6 +201,8 @@ def classifier(kind: str, label: str = "y", rows: int = 1000, **more):
         return RandomForestClassifier(labelCol=label, numTrees=more.pop("numTrees", 100), seed=42, maxBins=64, **more)
     if kind == "logistic":
         return LogisticRegression(labelCol=label, maxIter=1000, regParam=1 / max(1, rows), standardization=False, **more)
+    if kind == "linear":
+        return LinearRegression(labelCol=label, solver="normal", regParam=0.0, **more)
     if kind == "regression_tree":
         return DecisionTreeRegressor(labelCol=label, maxBins=256, seed=42, **more)
     raise ValueError(kind)
@@ -179,8 +211,7 @@ def classifier(kind: str, label: str = "y", rows: int = 1000, **more):
 def stacking(train: DataFrame, test: DataFrame, key: str, features: list[str], label: str = "y", folds: int = 5) -> DataFrame:
     """(key, pred) for the test rows: a logistic regression, trees of depth 3 and 5, and 5 and 7 nearest neighbours, whose
     out-of-fold probabilities go into a logistic regression."""
-    w = Window.partitionBy(label).orderBy(hash_order(key), key)
-    train = assembled(train, features).withColumn("fold", F.row_number().over(w) % folds)
+    train = stratified_folds(assembled(train, features), key, label, folds)
     test = assembled(test, features)
     n = train.count()
     bases = {"lr": lambda: classifier("logistic", label, n), "dt3": lambda: classifier("tree", label, maxDepth=3), "dt5": lambda: classifier("tree", label, maxDepth=5)}

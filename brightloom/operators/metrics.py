@@ -1,4 +1,8 @@
-"""Metrics as aggregations over (y_true, y_pred)."""
+"""Metrics as aggregations over (y_true, y_pred).
+
+Defined results: rows with a null in either column don't count. Without rows, errors and accuracy are null, ratios 0 or null, and the
+confusion table is empty. Rows that repeat count as often as they are there.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +15,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
 
 
+def _paired(df: DataFrame, y: str, p: str) -> DataFrame:
+    return df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+
+
 def confusion(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """(y_true, y_pred, n) over all pairs of classes, those without rows included. The classes are few, so pairing them is bounded."""
-    counts = df.groupBy(y, p).agg(F.count("*").alias("n"))
+    counts = _paired(df, y, p).groupBy(y, p).agg(F.count("*").alias("n"))
     classes = F.array_sort(F.array_union(F.collect_set(y), F.collect_set(p)))
     grid = counts.agg(classes.alias("c")).select(F.explode("c").alias(y), "c").select(y, F.explode("c").alias(p))
     return grid.join(counts, [y, p], "left").select(y, p, F.coalesce("n", F.lit(0)).alias("n"))
@@ -25,7 +33,7 @@ def accuracy(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
 
 def binary_prf(df: DataFrame, positive: int = 1, y: str = "y_true", p: str = "y_pred") -> DataFrame:
     t, q = F.col(y) == positive, F.col(p) == positive
-    s = df.agg(F.count_if(t & q).alias("tp"), F.count_if(~t & q).alias("fp"), F.count_if(t & ~q).alias("fn"))
+    s = _paired(df, y, p).agg(F.count_if(t & q).alias("tp"), F.count_if(~t & q).alias("fp"), F.count_if(t & ~q).alias("fn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return s.select(ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
@@ -51,7 +59,7 @@ def rmse(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
 def rmse_all_pairs(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """Over each truth with each forecast, from sums alone: mean((p-y)^2) = mean(p^2) - 2 mean(p) mean(y) + mean(y^2)."""
     a, b = F.col(y), F.col(p)
-    return df.agg(F.sqrt(F.avg(b * b) - 2 * F.avg(a) * F.avg(b) + F.avg(a * a)).alias("rmse"))
+    return _paired(df, y, p).agg(F.sqrt(F.avg(b * b) - 2 * F.avg(a) * F.avg(b) + F.avg(a * a)).alias("rmse"))
 
 
 def best(scores: DataFrame, score: str = "score", order: str = "ord") -> DataFrame:

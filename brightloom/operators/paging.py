@@ -1,4 +1,9 @@
-"""Pages of a table with the related row attached."""
+"""Pages of a table with the related row attached.
+
+Defined results: an order that ends in a unique key gives each row one page; nulls sort as Spark has them (last when
+descending). A page beyond the end is empty, an empty table has empty pages. A row whose key is null, or has no related
+row, keeps nulls in the related columns. Columns of the two sides must differ in name.
+"""
 
 from __future__ import annotations
 
@@ -22,8 +27,15 @@ def keyset_page(rows: DataFrame, stamp: str, key: str, after: tuple | None, limi
 
 
 def with_related(paged: DataFrame, related: DataFrame, left: str, right: str) -> DataFrame:
-    """Attaches the related rows to a page: of at most 100 rows, so the page is the side to broadcast."""
-    return related.join(F.broadcast(paged), F.col(right) == F.col(left), "right")
+    """Attaches to a page of at most 100 rows the related row of each; `right` is unique. The page is fetched first and its keys
+    go into the second scan as a filter, so the related table is neither shuffled nor read beyond what the keys select."""
+    rows = paged.take(101)
+    if len(rows) > 100:
+        raise ValueError("a page has at most 100 rows")
+    keys = sorted({r[left] for r in rows if r[left] is not None})
+    found = related.where(F.col(right).isin(keys))
+    page_rows = paged.sparkSession.createDataFrame(rows, paged.schema)
+    return page_rows.join(F.broadcast(found), F.col(left) == F.col(right), "left")  # a row for each key, 100 at most
 
 
 def envelope(rows: DataFrame, skip: int, limit: int) -> DataFrame:

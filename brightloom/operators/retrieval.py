@@ -1,10 +1,16 @@
-"""Chunks of documents, cosine search and conversation context."""
+"""Chunks of documents, cosine search and conversation context.
+
+Defined results: null and empty texts have no chunks, and null texts share no digest (they are one group, without a digest). A null html
+gives null. Cosine search is defined in `nearest`. Null roles and texts of turns count as empty; turns that repeat are lines of their own, in the order of role and text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nearest import best
+
 
 def chunks(df: DataFrame, key: str, text: str, size: int, step: int) -> DataFrame:
     """(key, chunk_no, chunk): overlapping slices of whole texts; an empty text has none."""
@@ -23,17 +29,9 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, "(?s)<[^>]*>", " "), "\\s+", " "))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """(q, id, score, rn): a stated query set (q, qv) against all rows (id, v) in blocks, the best k of each block first."""
-    v = vectors.select("id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("len"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_b"))
-    q = queries.select("q", "qv", F.sqrt(dot(F.col("qv"), F.col("qv"))).alias("qlen")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    s = q.join(v, "_b").where("id <> q").select("q", "id", "_b", F.round(dot(F.col("v"), F.col("qv")) / (F.col("len") * F.col("qlen")), 8).alias("score"))
-    near = s.withColumn("rn", F.row_number().over(Window.partitionBy("q", "_b").orderBy(F.desc("score"), "id"))).where(F.col("rn") <= k)
-    return near.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rn") <= k).drop("_b")
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(q, id, score, rn): a stated query set (q, qv) against all rows (id, v) but the one with its own id."""
+    return best(vectors.select("id", F.col("v").alias("x")), queries.select("q", F.col("qv").alias("x")), k, "score", cosine=True)
 
 
 def context(turns: DataFrame, last: int = 3) -> DataFrame:

@@ -1,10 +1,16 @@
 """Daily series (series_id, ds, value): gaps, differences, autocorrelation, unit roots, ARIMA fits and forecasts.
 
 Windows are partitioned by series_id. Fits run one series in a group, in NumPy over Arrow.
+
+Defined results: one row for each day of a series is expected; of rows that repeat a day the order is that of their values. Rows
+without a day or a value are left out, as days that are missing, but gaps() looks at days alone. A null series_id is a series. Fits take
+the days that are there as neighbours. A series without variation has null autocorrelations, statistics and fits, and so has
+one that is too short (LEAST days for a fit or a unit root test, 4 for the Dickey-Fuller statistic, 3 for an AR(1) by least squares). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -13,34 +19,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Days of the shortest series that is fitted; steps of the longest random walk and walks that are simulated at a time.
+LEAST, LONGEST, DRAWS = 8, 1000, 250
+
+
 def _w(key: str = "series_id", ds: str = "ds") -> Window:
     return Window.partitionBy(key).orderBy(ds)
 
 
+def _known(df: DataFrame) -> DataFrame:
+    return df.where("ds is not null and value is not null")
+
+
+def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A series in order of days."""
+    return pdf.sort_values(["ds", "value"])
+
+
+def _fits(v: np.ndarray) -> bool:
+    return len(v) >= LEAST and float(np.ptp(v)) > 0
+
+
 def gaps(df: DataFrame) -> DataFrame:
     """(series_id, ds, next_ds): days after which the next day is missing."""
-    return df.withColumn("next_ds", F.lead("ds").over(_w())).where(F.datediff("next_ds", "ds") != 1).select("series_id", "ds", "next_ds")
+    return df.where("ds is not null").withColumn("next_ds", F.lead("ds").over(_w())).where(F.datediff("next_ds", "ds") != 1).select("series_id", "ds", "next_ds")
 
 
 def diff(df: DataFrame) -> DataFrame:
-    return df.withColumn("d", F.col("value") - F.lag("value").over(_w())).where("d is not null").select("series_id", "ds", "d")
+    return _known(df).withColumn("d", F.col("value") - F.lag("value").over(_w())).where("d is not null").select("series_id", "ds", "d")
 
 
 def ordered_split(df: DataFrame, share: float = 0.75) -> DataFrame:
     """Adds n and is_train: the first floor(share * rows) days."""
-    return df.withColumns({"n": F.row_number().over(_w()), "size": F.count("*").over(Window.partitionBy("series_id"))}).withColumn("is_train", F.col("n") <= F.floor(F.col("size") * share))
+    return _known(df).withColumns({"n": F.row_number().over(_w()), "size": F.count("*").over(Window.partitionBy("series_id"))}).withColumn("is_train", F.col("n") <= F.floor(F.col("size") * share))
 
 
 def acf(df: DataFrame, lags: int = 20) -> DataFrame:
     """(series_id, lag, acf, band): biased denominators; Bartlett's 95% half-width."""
-    c = df.withColumn("c", F.col("value") - F.avg("value").over(Window.partitionBy("series_id")))
+    c = _known(df).withColumn("c", F.col("value") - F.avg("value").over(Window.partitionBy("series_id")))
     c = c.select("series_id", "c", *[F.lag("c", k).over(_w()).alias(f"l{k}") for k in range(1, lags + 1)])
     sums = c.groupBy("series_id").agg(F.count("*").alias("n"), F.sum(F.col("c") * F.col("c")).alias("c0"), *[F.sum(F.col("c") * F.col(f"l{k}")).alias(f"c{k}") for k in range(1, lags + 1)])
-    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), (F.coalesce(F.col(f"c{k}"), F.lit(0.0)) / F.col("c0")).alias("acf")) for k in range(lags + 1)])
+    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(F.coalesce(F.col(f"c{k}"), F.lit(0.0)), F.col("c0")).alias("acf")) for k in range(lags + 1)])
     out = sums.select("series_id", "n", F.explode(pairs).alias("p")).select("series_id", "n", "p.lag", "p.acf")
     before = Window.partitionBy("series_id").orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
     inner = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf")).otherwise(0.0)).over(before), F.lit(0.0))
-    return out.withColumn("band", F.when(F.col("lag") == 0, 0.0).otherwise(1.959963984540054 * F.sqrt((1 + 2 * inner) / F.col("n")))).drop("n")
+    return out.withColumn("band", F.when(F.col("acf").isNull(), F.lit(None)).when(F.col("lag") == 0, 0.0).otherwise(1.959963984540054 * F.sqrt((1 + 2 * inner) / F.col("n")))).drop("n")
 
 
 def durbin_levinson(r: list[float]) -> list[float]:
@@ -59,7 +82,7 @@ def pacf(df: DataFrame, lags: int = 20) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("lag")
-        return pd.DataFrame({"series_id": pdf["series_id"], "lag": pdf["lag"], "pacf": durbin_levinson(pdf["acf"].tolist())})
+        return pd.DataFrame({"series_id": pdf["series_id"], "lag": pdf["lag"], "pacf": durbin_levinson(pdf["acf"].tolist()) if pdf["acf"].notna().all() else np.nan}).replace({np.nan: None})
 
     kind = dict(df.dtypes)["series_id"]
     return acf(df, lags).select("series_id", "lag", "acf").groupBy("series_id").applyInPandas(run, f"series_id {kind}, lag int, pacf double")
@@ -67,9 +90,10 @@ def pacf(df: DataFrame, lags: int = 20) -> DataFrame:
 
 def df_tstat(df: DataFrame) -> DataFrame:
     """(series_id, t): Dickey-Fuller statistic with a constant and no lagged difference."""
-    x = df.withColumn("x", F.lag("value").over(_w())).where("x is not null").withColumn("y", F.col("value") - F.col("x"))
+    x = _known(df).withColumn("x", F.lag("value").over(_w())).where("x is not null").withColumn("y", F.col("value") - F.col("x"))
     s = x.groupBy("series_id").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("b"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"))
-    return s.select("series_id", (F.col("b") / F.sqrt((F.col("syy") - F.col("b") * F.col("sxy")) / (F.col("n") - 2) / F.col("sxx"))).alias("t"))
+    spread = F.try_divide(F.try_divide(F.greatest(F.lit(0.0), F.col("syy") - F.col("b") * F.col("sxy")), F.col("n") - 2), F.col("sxx"))
+    return s.select("series_id", F.when(F.col("n") > 2, F.try_divide(F.col("b"), F.sqrt(spread))).alias("t"))
 
 
 def _regress(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float, float]:
@@ -99,25 +123,35 @@ def adf_stat(v: np.ndarray) -> tuple[float, int]:
     return _regress(*design(at, at))[2], at
 
 
+@functools.lru_cache(256)
+def _walks(n: int, draws: int, seed: int) -> np.ndarray:
+    """Lag-0 statistics of simulated random walks, a bounded number at a time, so that results don't depend on it."""
+    rng, out = np.random.default_rng(seed), []
+    for at in range(0, draws, DRAWS):
+        walks = np.cumsum(rng.standard_normal((min(DRAWS, draws - at), n)), axis=1)
+        x, y = walks[:, :-1], np.diff(walks, axis=1)
+        xc, yc = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+        sxx, sxy, syy = (xc * xc).sum(axis=1), (xc * yc).sum(axis=1), (yc * yc).sum(axis=1)
+        b = sxy / sxx
+        out.append(b / np.sqrt((syy - b * sxy) / (n - 3) / sxx))
+    return np.concatenate(out)
+
+
 def adf_pvalue(t: float, n: int, draws: int = 2000, seed: int = 7) -> float:
-    """Share of simulated random walks of the same length with a smaller lag-0 statistic; seeded, so it is reproducible."""
-    walks = np.cumsum(np.random.default_rng(seed).standard_normal((draws, n)), axis=1)
-    x, y = walks[:, :-1], np.diff(walks, axis=1)
-    xc, yc = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
-    sxx, sxy, syy = (xc * xc).sum(axis=1), (xc * yc).sum(axis=1), (yc * yc).sum(axis=1)
-    b = sxy / sxx
-    return float((b / np.sqrt((syy - b * sxy) / (n - 3) / sxx) <= t).mean())
+    """Share of simulated random walks of the same length, LONGEST at most, with a smaller lag-0 statistic; seeded, so it is
+    reproducible. Walks are simulated once for each length that a worker meets."""
+    return float((_walks(min(n, LONGEST), draws, seed) <= t).mean())
 
 
 def adf(df: DataFrame) -> DataFrame:
     """(series_id, stat, lag, pvalue). The p-value is simulated, as the published response surface isn't at hand."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("ds")["value"].to_numpy()
-        t, lag = adf_stat(v)
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "stat": [t], "lag": [lag], "pvalue": [adf_pvalue(t, len(v))]})
+        v = _sorted(pdf)["value"].to_numpy()
+        t, lag = adf_stat(v) if _fits(v) else (None, None)
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "stat": [t], "lag": [lag], "pvalue": [None if t is None else adf_pvalue(t, len(v))]})
 
-    return df.groupBy("series_id").applyInPandas(run, f"series_id {dict(df.dtypes)['series_id']}, stat double, lag int, pvalue double")
+    return _known(df).groupBy("series_id").applyInPandas(run, f"series_id {dict(df.dtypes)['series_id']}, stat double, lag int, pvalue double")
 
 
 def _innovations(v: np.ndarray, ar: float, ma: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -173,33 +207,36 @@ def arima(df: DataFrame, p: int, d: int, q: int) -> DataFrame:
     """(series_id, ar, ma, mean) of each series."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit = arima_fit(pdf.sort_values("ds")["value"].to_numpy(), p, d, q)
+        v = _sorted(pdf)["value"].to_numpy()
+        fit = arima_fit(v, p, d, q) if _fits(v) else dict.fromkeys(("ar", "ma", "mean"))
         return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], **{k: [x] for k, x in fit.items()}})
 
-    return df.groupBy("series_id").applyInPandas(run, f"series_id {dict(df.dtypes)['series_id']}, ar double, ma double, mean double")
+    return _known(df).groupBy("series_id").applyInPandas(run, f"series_id {dict(df.dtypes)['series_id']}, ar double, ma double, mean double")
 
 
 def arima_holdout(df: DataFrame, p: int, d: int, q: int, share: float = 0.75) -> DataFrame:
     """(series_id, ds, y_true, y_pred): fitted on the first days, forecast over the rest."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
+        pdf = _sorted(pdf)
         v = pdf["value"].to_numpy()
         n = int(len(v) * share)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[n:], "ds": pdf["ds"].iloc[n:], "y_true": v[n:], "y_pred": arima_forecast(v[:n], arima_fit(v[:n], p, d, q), d, len(v) - n)})
+        told = arima_forecast(v[:n], arima_fit(v[:n], p, d, q), d, len(v) - n) if _fits(v[:n]) else None
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[n:], "ds": pdf["ds"].iloc[n:], "y_true": v[n:], "y_pred": told})
 
-    return df.groupBy("series_id").applyInPandas(run, f"series_id {dict(df.dtypes)['series_id']}, ds date, y_true double, y_pred double")
+    return _known(df).groupBy("series_id").applyInPandas(run, f"series_id {dict(df.dtypes)['series_id']}, ds date, y_true double, y_pred double")
 
 
 def ar1_cls(df: DataFrame) -> DataFrame:
     """(series_id, phi, intercept) by least squares on the day before."""
-    x = df.withColumn("x", F.lag("value").over(_w()))
+    x = _known(df).withColumn("x", F.lag("value").over(_w()))
     return x.where("x is not null").groupBy("series_id").agg(F.regr_slope("value", "x").alias("phi"), F.regr_intercept("value", "x").alias("intercept"))
 
 
 def ar1_forecast(df: DataFrame, steps: int) -> DataFrame:
-    """(series_id, h, forecast): mu + phi^h (last - mu)."""
-    last = df.groupBy("series_id").agg(F.max_by("value", "ds").alias("last"))
-    mu = F.col("intercept") / (1 - F.col("phi"))
-    out = ar1_cls(df).join(last, "series_id").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    return out.select("series_id", "h", (mu + F.pow("phi", F.col("h")) * (F.col("last") - mu)).alias("forecast"))
+    """(series_id, h, forecast): mu + phi^h (last - mu); a random walk with drift where phi is 1."""
+    last = _known(df).groupBy("series_id").agg(F.max_by("value", "ds").alias("last"))
+    mu = F.try_divide(F.col("intercept"), 1 - F.col("phi"))
+    out = ar1_cls(df).withColumnRenamed("series_id", "_id").join(last, F.col("_id").eqNullSafe(F.col("series_id"))).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    drift = F.col("last") + F.col("h") * F.col("intercept")
+    return out.select("series_id", "h", F.when(F.col("phi") == 1, drift).otherwise(mu + F.pow("phi", F.col("h")) * (F.col("last") - mu)).alias("forecast"))

@@ -1,4 +1,8 @@
-"""Rules of records as columns, and constraints as queries that return the rows that break them."""
+"""Rules of records as columns, and constraints as queries that return the rows that break them.
+
+Defined results: a null value breaks length and email rules. Null keys are no duplicates and null foreign keys no orphans, as
+in SQL. Rows that repeat are counted or returned as often as they are there. Empty tables break nothing.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +25,7 @@ def violations(*rules: Column) -> Column:
 
 
 def not_unique(df: DataFrame, key: Column) -> DataFrame:
-    return df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    return df.where(key.isNotNull()).groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def without_parent(df: DataFrame, fk: str, parents: DataFrame, pk: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,13 +100,8 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("l_quantity").alias("x1"), F.col("l_extendedprice").alias("x2"), F.col("l_returnflag").alias("y"))
 
 
-@query("select l_quantity as x1, l_extendedprice as x2, l_returnflag as y from lineitem where l_orderkey <= 500")
-def scan_project(s, d):
-    return _features(table(s, d, "lineitem").where("l_orderkey <= 500"))
-
-
 @query("select l_quantity as x1, l_extendedprice as x2, l_returnflag as y from lineitem")
-def scan_project_all(s, d):
+def scan_project(s, d):
     return _features(table(s, d, "lineitem"))
 
 
@@ -141,17 +137,9 @@ def _strings(rows: DataFrame) -> DataFrame:
 
 @query("""select o_orderkey, strftime(o_orderdate, '%B %d, %Y') as day, substr(o_orderpriority, 1, 5) as prefix, o_orderstatus || '''s order' as title,
     case when length(o_orderpriority) > 6 then substr(o_orderpriority, 1, 6) || '...' else o_orderpriority end as short,
-    floor(o_totalprice / 1000 * 1000) / 1000 as truncated, replace(replace(replace('<a&' || o_orderpriority || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped,
-    try_cast(substr(o_orderpriority, 1, 1) as int) as number, try_cast(o_orderpriority as int) as no_number from orders where o_orderkey <= 2000""")
-def string_fns(s, d):
-    return _strings(orders(s, d).where("o_orderkey <= 2000"))
-
-
-@query("""select o_orderkey, strftime(o_orderdate, '%B %d, %Y') as day, substr(o_orderpriority, 1, 5) as prefix, o_orderstatus || '''s order' as title,
-    case when length(o_orderpriority) > 6 then substr(o_orderpriority, 1, 6) || '...' else o_orderpriority end as short,
-    floor(o_totalprice / 1000 * 1000) / 1000 as truncated, replace(replace(replace('<a&' || o_orderpriority || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped,
+    trunc(o_totalprice / 1000 * 1000) / 1000 as truncated, replace(replace(replace('<a&' || o_orderpriority || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped,
     try_cast(substr(o_orderpriority, 1, 1) as int) as number, try_cast(o_orderpriority as int) as no_number from orders""")
-def string_fns_all(s, d):
+def string_fns(s, d):
     return _strings(orders(s, d))
 
 
@@ -162,7 +150,22 @@ def settings_fns(s, d):
     return table(s, d, "region").select("r_name", scalar.debug_flag(m).alias("debug"), F.expr("(5 * 1024 * 1024 + r_regionkey) div (1024 * 1024)").alias("mb"), scalar.token_hash(F.col("r_name")).alias("digest"))
 
 
-@query()
+def _blob(data: bytes) -> str:
+    return "'" + "".join(f"\\x{b:02x}" for b in data) + "'::blob"
+
+
+def _url64(blob: str) -> str:
+    return f"rtrim(translate(to_base64({blob}), '+/', '-_'), '=')"
+
+
+_PAD = KEY.ljust(64, b"\0")
+_INNER, _OUTER = (_blob(bytes(b ^ x for b in _PAD)) for x in (0x36, 0x5C))
+_SIGNED = f"""{_url64('encode(\'{"alg":"HS256","typ":"JWT"}\')')} || '.' || {_url64("encode('{\"sub\":\"' || c_custkey || '\",\"exp\":' || (1800000000 + c_custkey) || '}')")}"""
+
+
+@query(f"""with t as (select c_custkey, {_SIGNED} as signed from customer)
+    select c_custkey, signed || '.' || {_url64(f"unhex(sha256({_OUTER} || unhex(sha256({_INNER} || encode(signed)))))")} as token,
+    case when 1800000000 + c_custkey > 1800000100 then c_custkey::varchar end as subject, cast(null as varchar) as forged from t""")
 def jwt_round_trip(s, d):
     rows = customers(s, d).select("c_custkey", scalar.jwt(F.col("c_custkey"), F.lit(1_800_000_000) + F.col("c_custkey"), KEY).alias("token"))
     now = F.lit(1_800_000_100)
@@ -175,6 +178,13 @@ def json_envelope(s, d):
     return table(s, d, "events").select("event_id", parsed["k"].alias("k"))
 
 
+@query("select c_custkey, to_json({'id': c_custkey, 'username': c_name, 'segment': c_mktsegment})::varchar as body from customer")
+def json_response(s, d):
+    """The public columns as a response's text; null fields are written."""
+    of = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("segment"))
+    return customers(s, d).select("c_custkey", F.to_json(of, {"ignoreNullFields": "false"}).alias("body"))
+
+
 # ---- Filters and joins -----------------------------------------------------------------------------
 
 
@@ -208,13 +218,8 @@ def _outcomes(s: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     return snapshot.outcomes(changes, orders(s, d), "o_orderkey", "o_custkey", "caller")
 
 
-@query("select o_orderkey, case when o_custkey <> 7 then 403 else 200 end as status from orders where o_orderkey <= 1000 union all select -1, 404")
-def authz_decision(s, d):
-    return _outcomes(s, d, orders(s, d).where("o_orderkey <= 1000"))
-
-
 @query("select o_orderkey, case when o_custkey <> 7 then 403 else 200 end as status from orders union all select -1, 404")
-def authz_decision_all(s, d):
+def authz_decision(s, d):
     return _outcomes(s, d, orders(s, d))
 
 
@@ -272,18 +277,31 @@ def _registered(s: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     return snapshot.insert_unique(old, rows.select((k + 1000000).alias("id"), name.alias("username")), ["username"], "id")
 
 
-@query("""with old as (select c_custkey as id, c_name as username from customer), new as (select c_custkey + 1000000 as id, case when c_custkey % 2 = 0 then upper(c_name) else 'New' || c_custkey // 4 end as username from customer where c_custkey <= 100),
+@query("""with old as (select c_custkey as id, c_name as username from customer), new as (select c_custkey + 1000000 as id, case when c_custkey % 2 = 0 then upper(c_name) else 'New' || c_custkey // 4 end as username from customer),
     fresh as (select *, row_number() over (partition by lower(username) order by id) as n from new where lower(username) not in (select lower(username) from old))
     select id, username from old union all select id, username from fresh where n = 1""")
 def dml_insert_unique(s, d):
-    return _registered(s, d, customers(s, d).where("c_custkey <= 100"))
+    return _registered(s, d, customers(s, d))
 
 
-@query("""with old as (select c_custkey as id, c_name as username from customer), new as (select c_custkey + 1000000 as id, case when c_custkey % 2 = 0 then upper(c_name) else 'New' || c_custkey // 4 end as username from customer),
-    fresh as (select *, row_number() over (partition by lower(username) order by id) as n from new where lower(username) not in (select lower(username) from old))
-    select id, username from old union all select id, username from fresh where n = 1""")
-def dml_insert_unique_all(s, d):
-    return _registered(s, d, customers(s, d))
+def _two_keys(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("c_custkey")
+    old = customers(s, d).select(k.alias("id"), F.col("c_name").alias("username"), F.concat(F.lit("c"), k.cast("string"), F.lit("@x.org")).alias("email"))
+    name = F.when(k % 3 == 0, F.upper("c_name")).otherwise(F.concat(F.lit("New"), F.floor(k / 2).cast("string")))
+    mail = F.when(k % 5 == 0, F.concat(F.lit("C"), k.cast("string"), F.lit("@X.org"))).otherwise(F.concat(F.lit("N"), F.floor((k + 1) / 2).cast("string"), F.lit("@X.org")))
+    return old, customers(s, d).select((k + 1000000).alias("id"), name.alias("username"), mail.alias("email"))
+
+
+@query("""with recursive old as (select c_custkey as id, c_name as username, 'c' || c_custkey || '@x.org' as email from customer),
+    new as (select c_custkey + 1000000 as id, case when c_custkey % 3 = 0 then upper(c_name) else 'New' || c_custkey // 2 end as username, lower(case when c_custkey % 5 = 0 then 'C' || c_custkey || '@X.org' else 'N' || (c_custkey + 1) // 2 || '@X.org' end) as email from customer),
+    open as (select *, row_number() over (order by id) as n from new where lower(username) not in (select lower(username) from old) and email not in (select email from old)),
+    ahead as (select b.n, list(a.n) as before from open a join open b on a.n < b.n and (lower(a.username) = lower(b.username) or a.email = b.email) group by b.n),
+    walk as (select 0::bigint as n, []::bigint[] as kept union all select walk.n + 1, case when list_has_any(kept, coalesce((select before from ahead where ahead.n = walk.n + 1), [])) then kept else list_append(kept, walk.n + 1) end from walk where walk.n < (select count(*) from open)),
+    added as (select unnest(kept) as n from walk where n = (select count(*) from open))
+    select id, username, email from old union all select id, username, email from open join added using (n)""")
+def dml_insert_two_keys(s, d):
+    """Each new row is checked against those that are stored by then, in both keys."""
+    return snapshot.insert_unique(*_two_keys(s, d), ["username", "email"], "id", folded=("email",))
 
 
 @query("select o_orderkey as id, o_custkey as user_id, 1 as likes from orders union all select c_custkey + 10000000, c_custkey, 0 from customer")
@@ -315,6 +333,20 @@ def dml_patch(s, d):
     return snapshot.patch(old, changes, "c_custkey", ["c_name", "c_mktsegment"])
 
 
+@query("""with old as (select c_custkey, c_name, c_mktsegment from customer),
+    c as (select c_custkey as id, case c_custkey % 4 when 0 then 'CUSTOMER#' || lpad((c_custkey + 1)::varchar, 9, '0') when 1 then upper(c_name) when 2 then 'Fresh' || c_custkey // 8 else null end as name from customer where c_custkey % 3 <> 2),
+    m as (select id, name from c join old on id = c_custkey where name is not null and lower(name) <> lower(c_name)),
+    bad as (select id from m where lower(name) in (select lower(c_name) from old) union select id from (select id, min(id) over (partition by lower(name)) as first from m) where id <> first)
+    select c_custkey, case when c.id is null or bad.id is not null then c_name else name end as c_name, c_mktsegment from old left join c on c.id = c_custkey left join bad on bad.id = c_custkey""")
+def dml_patch_unique(s, d):
+    """New names are checked only where they differ in more than case; those that another row has are refused."""
+    old = customers(s, d).select("c_custkey", "c_name", "c_mktsegment")
+    k = F.col("c_custkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("CUSTOMER#"), F.lpad((k + 1).cast("string"), 9, "0"))).when(k % 4 == 1, F.upper("c_name")).when(k % 4 == 2, F.concat(F.lit("Fresh"), F.floor(k / 8).cast("string")))
+    changes = old.where(k % 3 != 2).select("c_custkey", name.alias("c_name"), k.alias("at"), F.array(F.lit("c_name")).alias("fields_set"))
+    return snapshot.patch_unique(old, changes, "c_custkey", ["c_name"], ["c_name"], "at")
+
+
 @query("select * replace (case when c_custkey = 5 then 0.0 else c_acctbal end as c_acctbal) from customer")
 def dml_update(s, d):
     return snapshot.update(customers(s, d), F.col("c_custkey") == 5, {"c_acctbal": F.lit(0.0)})
@@ -401,9 +433,11 @@ def rmse_join(s, d):
     return metrics.rmse(_forecast(s, d)).select(F.round("rmse", 6).alias("rmse"))
 
 
-@query(f"select round(sqrt(avg(y_pred * y_pred) - 2 * avg(y_true) * avg(y_pred) + avg(y_true * y_true)), 6) as rmse from {_FORECAST}")
+@query("select round(sqrt(avg(pow(a.s_acctbal - 100 * b.s_nationkey, 2))), 6) as rmse from supplier a cross join supplier b")
 def rmse_allpairs(s, d):
-    return metrics.rmse_all_pairs(_forecast(s, d)).select(F.round("rmse", 6).alias("rmse"))
+    """Each truth with each forecast, as unaligned arrays give it; from sums, without the pairs."""
+    rows = table(s, d, "supplier").select(F.col("s_acctbal").alias("y_true"), (100.0 * F.col("s_nationkey")).alias("y_pred"))
+    return metrics.rmse_all_pairs(rows).select(F.round("rmse", 6).alias("rmse"))
 
 
 _MODELS = [("short", 400), ("mid", 700), ("long", 1500), ("mid_again", 700)]
@@ -483,14 +517,17 @@ def knn_regress(s, d):
     return learning.knn_regress(*_vectors(s, d), 5).select("q", F.round("pred", 6).alias("pred"))
 
 
+def _knn_members(s: SparkSession, d: str) -> DataFrame:
+    """(q, pred) of classifiers by 3, 4 and 5 neighbours, which are found once."""
+    near = learning.neighbours(*_vectors(s, d), 5)
+    ks = F.explode(F.array(*[F.lit(k) for k in (3, 4, 5)]))
+    n = near.select("q", "label", "rn", ks.alias("k")).where(F.col("rn") <= F.col("k")).groupBy("q", "k", "label").agg(F.count("*").alias("n"))
+    return n.groupBy("q", "k").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label").alias("l")))["l"].alias("pred")).drop("k")
+
+
 @query(f"select q, pred as vote from (select q, pred, row_number() over (partition by q order by count(*) desc, pred) as r from ({' union all '.join(f'select q, pred from {_votes(k)}' for k in (3, 4, 5))}) group by q, pred) where r = 1")
 def hard_vote(s, d):
-    near = learning.neighbours(*_vectors(s, d), 5)
-    parts = []
-    for k in (3, 4, 5):  # the neighbours are found once
-        n = near.where(F.col("rn") <= k).groupBy("q", "label").agg(F.count("*").alias("n"))
-        parts.append(n.groupBy("q").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label").alias("l")))["l"].alias("pred")))
-    return metrics.hard_vote(parts[0].unionByName(parts[1]).unionByName(parts[2]), "q")
+    return metrics.hard_vote(_knn_members(s, d), "q")
 
 
 @query("select round(regr_slope(l_extendedprice, l_quantity), 6) as slope, round(regr_intercept(l_extendedprice, l_quantity), 4) as intercept from lineitem")
@@ -506,6 +543,30 @@ def vote_regress(s, d):
     return learning.knn_regress(train, asked, 5).unionByName(lr).groupBy("q").agg(F.round(F.avg("pred"), 6).alias("pred"))
 
 
+def _trees(s: SparkSession, d: str, kind: str, depth: int) -> DataFrame:
+    """(q, pred) of a tree over all features, learned from the rows that aren't asked."""
+    train, asked = _vectors(s, d)
+    model = learning.classifier(kind, "label", maxDepth=depth).fit(train.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label")))
+    return model.transform(asked.select("q", array_to_vector("x").alias("features"))).select("q", F.col("prediction").alias("pred"))
+
+
+@query()
+def hard_vote_five(s, d):
+    """Three nearest-neighbour classifiers and trees of depth 3 and 4."""
+    trees = [_trees(s, d, "tree", n).select("q", F.col("pred").cast("int").alias("pred")) for n in (3, 4)]
+    return metrics.hard_vote(_knn_members(s, d).unionByName(trees[0]).unionByName(trees[1]), "q")
+
+
+@query()
+def vote_regress_three(s, d):
+    """A linear regression, five nearest neighbours and a tree of depth 5, over all features."""
+    train, asked = _vectors(s, d)
+    rows = train.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"))
+    line = learning.classifier("linear", "label").fit(rows).transform(asked.select("q", array_to_vector("x").alias("features"))).select("q", F.col("prediction").alias("pred"))
+    members = learning.knn_regress(train, asked, 5).unionByName(line).unionByName(_trees(s, d, "regression_tree", 5))
+    return members.groupBy("q").agg(F.avg("pred").alias("pred"))
+
+
 @query("""with pts as (select n_chars::double as x, count(*)::double as n, sum(quality)::double as p from labels join documents using (doc_id) group by 1),
     c as (select x, lead(x) over (order by x) as nx, sum(n) over (order by x) as nl, sum(p) over (order by x) as pl, sum(n) over () as n, sum(p) over () as p from pts)
     select 'n_chars' as feature, (x + nx) / 2 as threshold, round((nl * (1 - pow(pl / nl, 2) - pow((nl - pl) / nl, 2)) + (n - nl) * (1 - pow((p - pl) / (n - nl), 2) - pow((n - nl - p + pl) / (n - nl), 2))) / n, 6) as gini
@@ -553,10 +614,6 @@ def rf_classify(s, d):
 
 @query()
 def adaboost_fit(s, d):
-    if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     train, test = _training(s, d)
     model = learning.adaboost(train, "doc_id", _FEATURES, rounds=60)
     return test.select("doc_id", "y", learning.boosted(model).alias("pred"))
@@ -598,30 +655,22 @@ def ts_split(s, d):
 
 
 _ACF = f"""with c as (select series_id, row_number() over (partition by series_id order by ds) as t, value - avg(value) over (partition by series_id) as c from {_DAILY}),
-    v as (select series_id, sum(c * c) as c0 from c group by 1), acf as (select a.series_id, k as lag, sum(a.c * b.c) / any_value(c0) as r from c a cross join range(0, 6) g(k) join c b on b.series_id = a.series_id and b.t = a.t - k join v on v.series_id = a.series_id group by all)"""
+    v as (select series_id, sum(c * c) as c0 from c group by 1), acf as (select a.series_id, k as lag, sum(a.c * b.c) / any_value(c0) as r from c a cross join range(0, 21) g(k) join c b on b.series_id = a.series_id and b.t = a.t - k join v on v.series_id = a.series_id group by all)"""
 
 
-@query(f"{_ACF} select series_id, cast(lag as int) as lag, round(r, 6) as acf from acf")
+@query(f"{_ACF} select series_id, cast(lag as int) as lag, round(r, 6) as acf, round(case when lag = 0 then 0 else 1.959963984540054 * sqrt((1 + 2 * coalesce(sum(case when lag > 0 then r * r else 0 end) over (partition by series_id order by lag rows between unbounded preceding and 1 preceding), 0)) / n) end, 6) as band from acf join (select series_id, count(*) as n from c group by 1) using (series_id)")
 def ts_acf(s, d):
-    return series.acf(_daily(s, d), 5).select("series_id", "lag", F.round("acf", 6).alias("acf"))
-
-
-_ACF_ALL = _ACF.replace("range(0, 6)", "range(0, 21)")
-
-
-@query(f"{_ACF_ALL} select series_id, cast(lag as int) as lag, round(r, 6) as acf, round(case when lag = 0 then 0 else 1.959963984540054 * sqrt((1 + 2 * coalesce(sum(case when lag > 0 then r * r else 0 end) over (partition by series_id order by lag rows between unbounded preceding and 1 preceding), 0)) / n) end, 6) as band from acf join (select series_id, count(*) as n from c group by 1) using (series_id)")
-def ts_acf_all(s, d):
     return series.acf(_daily(s, d), 20).select("series_id", "lag", F.round("acf", 6).alias("acf"), F.round("band", 6).alias("band"))
 
 
-@query(f"{_ACF} select series_id, 0 as lag, 1.0::double as pacf from v union all select series_id, 1, round(r, 6) from acf where lag = 1 union all select a.series_id, 2, round((b.r - a.r * a.r) / (1 - a.r * a.r), 6) from acf a join acf b on a.series_id = b.series_id and a.lag = 1 and b.lag = 2")
+@query(f"""{_ACF.replace("with c as", "with recursive c as", 1)},
+    r as (select series_id, list(r order by lag) as r from acf group by 1),
+    step as (select series_id, r, 0 as k, [1.0::double] as out, []::double[] as phi from r
+        union all select series_id, r, k + 1, list_append(out, a), list_append(list_transform(range(1, k + 1), lambda j: phi[j] - a * phi[k + 1 - j]), a) from
+            (select *, (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])), 0)) / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1])), 0)) as a from step where k < 20))
+    select series_id, cast(lag as int) as lag, round(out[lag + 1], 6) as pacf from step cross join range(0, 21) g(lag) where k = 20""")
 def ts_pacf(s, d):
-    return series.pacf(_daily(s, d), 5).where("lag <= 2").select("series_id", "lag", F.round("pacf", 6).alias("pacf"))
-
-
-@query()
-def ts_pacf_all(s, d):
-    return series.pacf(_daily(s, d), 20)
+    return series.pacf(_daily(s, d), 20).select("series_id", "lag", F.round("pacf", 6).alias("pacf"))
 
 
 @query(f"with x as (select series_id, value - p as y, p as x from (select *, lag(value) over (partition by series_id order by ds) as p from {_DAILY}) where p is not null), r as (select series_id, count(*) as n, regr_slope(y, x) as b, regr_sxx(y, x) as sxx, regr_syy(y, x) as syy, regr_sxy(y, x) as sxy from x group by 1) select series_id, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 6) as t from r")
@@ -649,6 +698,14 @@ def ts_arima111(s, d):
     return series.arima_holdout(_daily(s, d), 1, 1, 1)
 
 
+@query()
+def ts_forecast_rmse(s, d):
+    """(series_id, rmse, rmse_all_pairs) of the ARIMA(1,1,1) forecasts over the last quarter of each series."""
+    held = series.arima_holdout(_daily(s, d), 1, 1, 1)
+    y, p = F.col("y_true"), F.col("y_pred")
+    return held.groupBy("series_id").agg(F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"), F.sqrt(F.avg(p * p) - 2 * F.avg(p) * F.avg(y) + F.avg(y * y)).alias("rmse_all_pairs"))
+
+
 _CLS = f"(select series_id, regr_slope(value, p) as phi, regr_intercept(value, p) as a from (select *, lag(value) over (partition by series_id order by ds) as p from {_DAILY}) where p is not null group by 1)"
 
 
@@ -657,9 +714,9 @@ def ts_ar1_cls(s, d):
     return series.ar1_cls(_daily(s, d)).select("series_id", F.round("phi", 6).alias("phi"), F.round("intercept", 4).alias("intercept"))
 
 
-@query(f"select series_id, cast(h as int) as h, round(a / (1 - phi) + pow(phi, h) * (last - a / (1 - phi)), 4) as forecast from {_CLS} join (select series_id, arg_max(value, ds) as last from {_DAILY} group by 1) using (series_id) cross join range(1, 6) g(h)")
+@query(f"select series_id, cast(h as int) as h, round(a / (1 - phi) + pow(phi, h) * (last - a / (1 - phi)), 4) as forecast from {_CLS} join (select series_id, arg_max(value, ds) as last from {_DAILY} group by 1) using (series_id) cross join range(1, 31) g(h)")
 def ts_forecast(s, d):
-    return series.ar1_forecast(_daily(s, d), 5).select("series_id", "h", F.round("forecast", 4).alias("forecast"))
+    return series.ar1_forecast(_daily(s, d), 30).select("series_id", "h", F.round("forecast", 4).alias("forecast"))
 
 
 # ---- Extensions: retrieval and streams -------------------------------------------------------------

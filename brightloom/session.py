@@ -1,8 +1,11 @@
-"""A Spark session with the settings that the library expects."""
+"""A Spark session with the settings that the library expects, and checkpoints in a folder that all machines reach."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "brightloom", **conf: str) -> SparkSession:
@@ -11,3 +14,15 @@ def session(app: str = "brightloom", **conf: str) -> SparkSession:
     for k, v in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", **conf}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written once, so that lineage ends and lost executors cost nothing. Local mode may use a folder of its own;
+    a cluster must name one in spark.checkpoint.dir."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors can reach")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
+    return df.checkpoint(eager=True)

@@ -1,10 +1,19 @@
-"""Sources and sinks: explicit schemas for CSV, Parquet tables, JDBC options, bulk deletes, snapshots."""
+"""Sources and sinks: explicit schemas for CSV, Parquet tables, JDBC options, bulk deletes, snapshots.
+
+Defined results: CSV fields that don't parse are null, as are empty ones. A snapshot that breaks a rule isn't there afterwards. Paths that
+don't exist are deleted without a word.
+"""
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brightloom.operators import validation
 
 SERIES_SCHEMA = "date DATE, value DOUBLE"
 LABELLED_SCHEMA = "X1 DOUBLE, X2 DOUBLE, y INT"
@@ -32,9 +41,24 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, SERIES_SCHEMA).orderBy("date")
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1) -> DataFrame:
-    """A table of an external store, read in parallel ranges of a numeric key if one is given."""
-    options = {"url": url, "dbtable": name}
+#: Environment variables that describe an external store, and the options that they set.
+JDBC_ENVIRONMENT = {"DATABASE_URL": "url", "DATABASE_USER": "user", "DATABASE_PASSWORD": "password", "DATABASE_DRIVER": "driver"}
+
+
+def jdbc_options(environment: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Options of the external store from the environment; a url without a scheme of JDBC gets one."""
+    environment = os.environ if environment is None else environment
+    found = {option: environment[name] for name, option in JDBC_ENVIRONMENT.items() if environment.get(name)}
+    if "url" not in found:
+        raise ValueError("DATABASE_URL isn't set")
+    if not found["url"].startswith("jdbc:"):
+        found["url"] = "jdbc:" + found["url"]
+    return found
+
+
+def read_jdbc(spark: SparkSession, name: str, url: str | None = None, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1) -> DataFrame:
+    """A table of an external store, by default the environment's, read in parallel ranges of a numeric key if one is given."""
+    options = ({"url": url} if url else jdbc_options()) | {"dbtable": name}
     if key:
         options |= {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
     return spark.read.format("jdbc").options(**options).load()
@@ -63,6 +87,48 @@ def write_snapshot(df: DataFrame, root: str) -> str:
     return path
 
 
+#: Keys of the blog service's tables: unique columns (compared in any case), and foreign keys as (column, table, column).
+UNIQUE = {"users": ["username", "email"], "posts": [], "password_reset_tokens": ["token_hash"]}
+FOREIGN = {"users": [], "posts": [("user_id", "users", "id")], "password_reset_tokens": [("user_id", "users", "id")]}
+
+Rule = Callable[[DataFrame], DataFrame]
+
+
+class ConstraintError(ValueError):
+    """A snapshot broke rules; `broken` names them."""
+
+    def __init__(self, broken: list[str]):
+        super().__init__(f"broken: {', '.join(broken)}")
+        self.broken = broken
+
+
+def write_checked(df: DataFrame, root: str, rules: dict[str, Rule]) -> str:
+    """Writes a new version, holds each rule against what was written, and takes it back if one returns a row."""
+    path = write_snapshot(df, root)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    broken = [name for name, rule in rules.items() if not rule(written).isEmpty()]
+    if broken:
+        delete_paths(df.sparkSession, [path])
+        raise ConstraintError(broken)
+    return path
+
+
+def table_rules(name: str, others: dict[str, DataFrame]) -> dict[str, Rule]:
+    """The rules of a table of the blog service: primary key, required and unique columns, and foreign keys into the other tables."""
+    required = [c.split()[0] for c in SCHEMAS[name].split(", ") if c.endswith("NOT NULL")]
+    rules: dict[str, Rule] = {"required": lambda df: validation.not_null(df, required), "primary key": lambda df: validation.not_unique(df, F.col("id"))}
+    for c in UNIQUE[name]:
+        rules[f"unique {c}"] = lambda df, c=c: validation.not_unique(df, F.lower(c))
+    for fk, parent, pk in FOREIGN[name]:
+        rules[f"foreign {fk}"] = lambda df, fk=fk, parent=parent, pk=pk: validation.without_parent(df, fk, others[parent], pk)
+    return rules
+
+
+def truncated(spark: SparkSession, root: str) -> dict[str, str]:
+    """Empty snapshots of all tables, children first: the path of each."""
+    return {name: write_snapshot(df, f"{root}/{name}") for name, df in empty_tables(spark).items()}
+
+
 def delete_paths(spark: SparkSession, paths: list[str]) -> int:
     """Bulk delete through Hadoop's file system of each path; the number that was there."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

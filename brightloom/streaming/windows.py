@@ -1,4 +1,8 @@
-"""Windowed counts of an event stream with a watermark; the same expression serves batch and stream."""
+"""Windowed counts of an event stream with a watermark; the same expression serves batch and stream.
+
+Defined results: events without a time are left out; a null event_type is a type. Null values count in n, not in the total, which is null
+without any. Events that repeat count as often. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -45,19 +45,19 @@ def test_same_as_sql(spark, data, duck, name):
     assert rows_of(names, df.columns, df.collect()) == rows_of(names, list(q.columns), q.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"stacking"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_rows(spark, data, name):
     assert catalog.QUERIES[name](spark, data).count() > 0
 
 
-@pytest.mark.parametrize(("name", "of", "extra"), [("scan_project_all", "lineitem", 0), ("string_fns_all", "orders", 0), ("authz_decision_all", "orders", 1)])
+@pytest.mark.parametrize(("name", "of", "extra"), [("scan_project", "lineitem", 0), ("string_fns", "orders", 0), ("authz_decision", "orders", 1)])
 def test_whole_tables_are_read(spark, data, duck, name, of, extra):
     assert catalog.QUERIES[name](spark, data).count() == duck.sql(f"select count(*) from {of}").fetchall()[0][0] + extra
 
 
 def test_new_rows_of_all_customers_are_inserted(spark, data, duck):
     n, odd = duck.sql("select count(*), count(distinct c_custkey // 4) filter (c_custkey % 2 = 1) from customer").fetchall()[0]
-    assert catalog.QUERIES["dml_insert_unique_all"](spark, data).count() == n + odd
+    assert catalog.QUERIES["dml_insert_unique"](spark, data).count() == n + odd
 
 
 def test_ensembles_have_the_size_of_the_reference(spark, data, monkeypatch):
@@ -79,4 +79,4 @@ def test_ensembles_have_the_size_of_the_reference(spark, data, monkeypatch):
 
 
 def test_autocorrelations_reach_lag_20(spark, data):
-    assert {r["lag"] for r in catalog.QUERIES["ts_acf_all"](spark, data).select("lag").distinct().collect()} == set(range(21))
+    assert {r["lag"] for r in catalog.QUERIES["ts_acf"](spark, data).select("lag").distinct().collect()} == set(range(21))
