@@ -60,6 +60,12 @@ def answer_start(text: str, n: int) -> int:
     return max(0, min(n - len(word_hashes([answer.lower()], NON_WORD)[0]), n - GRAM, n - n // 4))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, once each; runs that are sorted already cost little."""
+    x = np.sort(x, kind="stable")
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 @dataclass
 class Statistics:
     """Of all items with words: their number, their mean and largest lengths, and for a shard's terms the number of items that have them."""
@@ -88,6 +94,7 @@ class Index:
     terms: np.ndarray  # sorted hashes of the items' words
     first: np.ndarray  # of a term's entries, one for each block that has it
     block: np.ndarray  # an entry's block
+    entry: np.ndarray  # its term and block in one number, ascending
     most: np.ndarray  # its largest impact
     posting: np.ndarray  # its first posting
     items: np.ndarray
@@ -125,7 +132,7 @@ class Index:
         limit = np.maximum.reduceat(most, first[:-1]) if len(items) else impact
         cut = [answer_start(rows[i][1], len(own[i])) for i in order]
         grams = [[_grams(own[i][:c] if c >= GRAM else own[i]) for i, c in zip(order, cut, strict=True)], [_grams(own[i][c:]) for i, c in zip(order, cut, strict=True)]]
-        return cls(np.array([rows[i][0] for i in order], np.int64), np.array(names, np.uint64), first, items[starts] // BLOCK, most, np.append(starts, len(items)), items, impact, limit, blocks, *grams, of.longest)
+        return cls(np.array([rows[i][0] for i in order], np.int64), np.array(names, np.uint64), first, items[starts] // BLOCK, term[starts] * blocks + items[starts] // BLOCK, most, np.append(starts, len(items)), items, impact, limit, blocks, *grams, of.longest)
 
     def search(self, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(document's position, item's position, score) of each verified pair, from the words of many documents."""
@@ -140,7 +147,7 @@ class Index:
         piece_at = np.cumsum(per_doc) - per_doc
         doc = np.repeat(np.arange(len(counts)), counts)[known]
         piece = piece_at[doc] + (np.flatnonzero(known) - starts[doc]) // span
-        pairs = np.unique(piece * terms + at[known])
+        pairs = _distinct(piece * terms + at[known])
         piece_doc = np.repeat(np.arange(len(counts)), per_doc)
         opens, whole = np.zeros(len(piece_doc) + 1, bool), np.ones(len(piece_doc), bool)
         opens[piece_at] = True
@@ -153,7 +160,7 @@ class Index:
             high = min(high, len(piece_doc))
             one, two = pairs[at_piece[low] : at_piece[high]], pairs[at_piece[low + 1] : at_piece[high + 1]]
             two = two[~opens[two // terms]] - terms  # the second pieces of passages
-            here = np.unique(np.concatenate([one, two]))
+            here = _distinct(np.concatenate([one, two]))
             here = here[whole[here // terms]]
             for k, i, score in self._wand(here // terms, here % terms):
                 d = int(piece_doc[k])
@@ -167,45 +174,40 @@ class Index:
         yield from ((d, i, s) for (d, i), s in best.items())
 
     def _wand(self, passage: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(passage, item's position, score) of all that score at least SCORE, from distinct pairs."""
+        """(passage, item's position, score) of all that score at least SCORE, from distinct pairs in order."""
         if not len(passage):
             return
-        entries = np.repeat(np.arange(len(self.terms)), np.diff(self.first)) * self.blocks + self.block
-        shift = int(passage.min())
-        passage = passage - shift
-        cursor = self.first[term]
+        shift = int(passage[0])
+        passage = (passage - shift).astype(np.int32)
+        limit, cursor, end, list_at = self.limit[term], self.first[term], self.first[term + 1], term * self.blocks
+        keep = np.ones(len(passage), bool)
+        start = np.flatnonzero(np.diff(passage, prepend=-1))
         while True:
             # a pivot needs terms whose largest impacts reach the threshold; passages without one are done
-            alive = (np.bincount(passage, self.limit[term]) >= SCORE)[passage]
-            passage, term, cursor = passage[alive], term[alive], cursor[alive]
+            alive = np.add.reduceat(np.where(keep, limit, 0.0), start) >= SCORE
+            keep &= np.repeat(alive, np.diff(np.append(start, len(passage))))
+            passage, limit, cursor, end, list_at = passage[keep], limit[keep], cursor[keep], end[keep], list_at[keep]
             if not len(passage):
                 return
-            block = self.block[cursor]
-            order = np.argsort(passage * self.blocks + block)
-            passage, term, cursor, block = passage[order], term[order], cursor[order], block[order]
             start = np.flatnonzero(np.diff(passage, prepend=-1))
-            total = np.cumsum(self.limit[term])
-            total -= np.repeat((total - self.limit[term])[start], np.diff(np.append(start, len(passage))))
-            reached = np.flatnonzero(total >= SCORE * 0.999999)
-            pivot = np.full(int(passage[-1]) + 1, self.blocks)
-            told = passage[reached]
-            firsts = np.flatnonzero(np.diff(told, prepend=-1))
-            pivot[told[firsts]] = block[reached[firsts]]
-            goal = pivot[passage]
-            behind = block < goal
-            cursor[behind] = np.searchsorted(entries, term[behind] * self.blocks + goal[behind])
-            some = cursor < self.first[term + 1]
-            passage, term, cursor, goal = passage[some], term[some], cursor[some], goal[some]
-            there = self.block[cursor] == goal
-            bound = np.bincount(passage[there], self.most[cursor[there]], minlength=len(pivot))
-            good = there & (bound >= SCORE)[passage]
+            size = np.diff(np.append(start, len(passage)))
+            block = self.block[cursor]
+            order = np.argsort(passage * np.int64(self.blocks) + block)  # passages stay where they are
+            total = np.cumsum(limit[order])
+            total -= np.repeat(total[start] - limit[order[start]], size)
+            before = np.add.reduceat(total < SCORE * 0.999999, start, dtype=np.int64)
+            goal = np.repeat(block[order[start + np.minimum(before, size - 1)]], size)
+            behind = np.flatnonzero(block < goal)
+            cursor[behind] = np.searchsorted(self.entry, list_at[behind] + goal[behind])
+            there = (cursor < end) & (self.block[np.minimum(cursor, len(self.block) - 1)] == goal)
+            at = np.flatnonzero(there)
+            most = np.zeros(len(passage))
+            most[at] = self.most[cursor[at]]
+            good = np.repeat(np.add.reduceat(most, start) >= SCORE, size) & there
             if good.any():
                 yield from self._scored(passage[good], cursor[good], goal[good], shift)
-            cursor[there] += 1
-            some = cursor < self.first[term + 1]
-            passage, term, cursor = passage[some], term[some], cursor[some]
-            if not len(passage):
-                return
+            cursor[at] += 1
+            keep = cursor < end
 
     def _scored(self, passage: np.ndarray, cursor: np.ndarray, block: np.ndarray, shift: int) -> Iterator[tuple[int, int, float]]:
         """Scores the items of one block for each of the passages, from the entries that their cursors are at."""
