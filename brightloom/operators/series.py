@@ -10,7 +10,6 @@ one that is too short (LEAST days for a fit or a unit root test, 4 for the Dicke
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -19,8 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Days of the shortest series that is fitted; steps of the longest random walk and walks that are simulated at a time.
-LEAST, LONGEST, DRAWS = 8, 1000, 250
+#: Days of the shortest series that is fitted.
+LEAST = 8
+#: Fixed values of MacKinnon (1994), one variable, constant term: the statistic's range, and the polynomials that give the
+#: normal quantile of the p-value up to TAU_STAR and beyond it.
+TAU_LEAST, TAU_STAR, TAU_MOST = -18.83, -1.61, 2.74
+TAU_SMALL = (2.1659, 1.4412, 0.038269)
+TAU_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 
 
 def _w(key: str = "series_id", ds: str = "ds") -> Window:
@@ -123,33 +127,23 @@ def adf_stat(v: np.ndarray) -> tuple[float, int]:
     return _regress(*design(at, at))[2], at
 
 
-@functools.lru_cache(256)
-def _walks(n: int, draws: int, seed: int) -> np.ndarray:
-    """Lag-0 statistics of simulated random walks, a bounded number at a time, so that results don't depend on it."""
-    rng, out = np.random.default_rng(seed), []
-    for at in range(0, draws, DRAWS):
-        walks = np.cumsum(rng.standard_normal((min(DRAWS, draws - at), n)), axis=1)
-        x, y = walks[:, :-1], np.diff(walks, axis=1)
-        xc, yc = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
-        sxx, sxy, syy = (xc * xc).sum(axis=1), (xc * yc).sum(axis=1), (yc * yc).sum(axis=1)
-        b = sxy / sxx
-        out.append(b / np.sqrt((syy - b * sxy) / (n - 3) / sxx))
-    return np.concatenate(out)
-
-
-def adf_pvalue(t: float, n: int, draws: int = 2000, seed: int = 7) -> float:
-    """Share of simulated random walks of the same length, LONGEST at most, with a smaller lag-0 statistic; seeded, so it is
-    reproducible. Walks are simulated once for each length that a worker meets."""
-    return float((_walks(min(n, LONGEST), draws, seed) <= t).mean())
+def adf_pvalue(t: float) -> float:
+    """The asymptotic p-value of a Dickey-Fuller statistic with a constant, by MacKinnon's (1994) approximation."""
+    if t > TAU_MOST:
+        return 1.0
+    if t < TAU_LEAST:
+        return 0.0
+    z = sum(c * t**i for i, c in enumerate(TAU_SMALL if t <= TAU_STAR else TAU_LARGE))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
 def adf(df: DataFrame) -> DataFrame:
-    """(series_id, stat, lag, pvalue). The p-value is simulated, as the published response surface isn't at hand."""
+    """(series_id, stat, lag, pvalue)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = _sorted(pdf)["value"].to_numpy()
         t, lag = adf_stat(v) if _fits(v) else (None, None)
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "stat": [t], "lag": [lag], "pvalue": [None if t is None else adf_pvalue(t, len(v))]})
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "stat": [t], "lag": [lag], "pvalue": [None if t is None else adf_pvalue(t)]})
 
     return _known(df).groupBy("series_id").applyInPandas(run, f"series_id {dict(df.dtypes)['series_id']}, stat double, lag int, pvalue double")
 

@@ -92,8 +92,19 @@ def test_arima_recovers_simulated_parameters():
 
 def test_unit_root_is_told_from_a_stationary_series():
     e = np.random.default_rng(5).standard_normal(300)
-    assert series.adf_pvalue(series.adf_stat(e)[0], 300) < 0.01
-    assert series.adf_pvalue(series.adf_stat(np.cumsum(e))[0], 300) > 0.05
+    assert series.adf_pvalue(series.adf_stat(e)[0]) < 0.01
+    assert series.adf_pvalue(series.adf_stat(np.cumsum(e))[0]) > 0.05
+
+
+def test_pvalues_are_those_of_random_walks():
+    walks = np.cumsum(np.random.default_rng(7).standard_normal((20000, 400)), axis=1)
+    x, y = walks[:, :-1], np.diff(walks, axis=1)
+    xc, yc = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+    sxx, sxy, syy = (xc * xc).sum(axis=1), (xc * yc).sum(axis=1), (yc * yc).sum(axis=1)
+    t = np.sort(sxy / sxx / np.sqrt((syy - sxy**2 / sxx) / 397 / sxx))
+    for p in (0.01, 0.05, 0.1, 0.3, 0.45, 0.6, 0.9):
+        assert series.adf_pvalue(t[int(p * 20000)]) == pytest.approx(p, abs=0.015)
+    assert (series.adf_pvalue(-30), series.adf_pvalue(5)) == (0.0, 1.0)
 
 
 def test_nearest_neighbours_by_brute_force(spark):
