@@ -14,6 +14,9 @@ NON_WORD = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
 #: A-Z in lower case, all else as it is.
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
+#: Bytes of a long text that are hashed at a time.
+STEP = 1 << 18
+_ALL = (1 << 64) - 1
 _BASE = 0x5851F42D4C957F2D | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -45,26 +48,41 @@ def _slice_hashes(data: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), start
 
 
+def _long_word(data: np.ndarray, at: int, apart: np.ndarray) -> tuple[np.ndarray, int]:
+    """(hash of the word that starts at a place, where it ends), in steps, so that a word of any length needs tables of one step only."""
+    total, power, size = 0, 1, 0
+    while at < len(data):
+        piece = data[at : at + STEP]
+        gaps = np.flatnonzero(apart[piece])
+        piece = piece[: gaps[0]] if len(gaps) else piece
+        own = ((LOWER[piece].astype(np.uint64) + np.uint64(1)) * _tables(STEP + 1)[0][: len(piece)]).sum(dtype=np.uint64)
+        total = (total + power * int(own)) & _ALL
+        power = power * pow(_BASE, len(piece), 1 << 64) & _ALL
+        size, at = size + len(piece), at + len(piece)
+        if len(gaps):
+            break
+    return mix(np.array([total ^ size * 0x9E3779B97F4A7C15 & _ALL], np.uint64)), at
+
+
 def word_hashes(texts: list[str], apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, number of words of each text), A-Z lower-cased. Texts of any length are cut between words."""
+    """(hashes of all words, number of words of each text), A-Z lower-cased. Texts of any length are cut between words, words of any length in steps."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     hashes: list[np.ndarray] = []
     counts = np.zeros(len(raw), np.int64)
     for i, j in batches_of(raw):
-        if j == i + 1 and len(raw[i]) > 1 << 19:
+        if j == i + 1 and len(raw[i]) > 2 * STEP:
             data, at = np.frombuffer(raw[i], np.uint8), 0
             while at < len(data):
-                stop = at + (1 << 18)
-                while stop < len(data):
-                    near = np.flatnonzero(apart[data[stop : stop + 65536]])
-                    if len(near):
-                        stop += int(near[0])
-                        break
-                    stop += 65536
-                h, _ = _slice_hashes(data[at : min(stop, len(data))], apart)
+                stop = min(len(data), at + STEP)
+                gaps = np.flatnonzero(apart[data[at:stop]])
+                if not len(gaps) and stop < len(data):
+                    h, at = _long_word(data, at, apart)
+                else:
+                    stop = stop if stop == len(data) else at + int(gaps[-1]) + 1
+                    h, _ = _slice_hashes(data[at:stop], apart)
+                    at = stop
                 hashes.append(h)
                 counts[i] += len(h)
-                at = stop
             continue
         data = np.frombuffer(b"\n".join(raw[i:j]) + b"\n", np.uint8)
         ends = np.cumsum([len(x) + 1 for x in raw[i:j]])
