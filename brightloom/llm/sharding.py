@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, whole
+from .common import discard, prepare, stored, whole
 
 #: Shards of a rack, and racks of a region, where a plain number of shards is laid out.
 RACK, REGION = 2, 2
@@ -87,7 +87,9 @@ def shard_documents(documents: DataFrame, tree: Node, more: Node) -> DataFrame:
     # The last sort key parts rows that are alike, so that a key with a third of all rows spreads over ranges.
     rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
     order = ["shard", "doc_id", "text_crc32", "size", "salt"]
-    rows = whole(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).drop("salt"))
+    narrow = stored(rows, "sharded")  # the ranges' sample and their shuffle then don't draw again
+    rows = whole(narrow.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).drop("salt"))
+    discard(narrow)
     placed = rows.withColumn("row", F.monotonically_increasing_id())
     part, place = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
     held = placed.groupBy(part.cast("int").alias("part"), "shard").count().collect()  # a row for each range and shard in it
