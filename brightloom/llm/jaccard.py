@@ -10,7 +10,8 @@
    to every member. Only groups over the bound are opened, and members are compared exactly.
 5. Links become component ids.
 
-Frequency only orders tokens. Any order gives the same links, so the sketch's errors can't lose one.
+Frequency only orders tokens, and tells those that many documents may have: these meet in a join of their own, of written tables,
+which can split a token. Any order gives the same links, so the sketch's errors can't lose one.
 
 Defined results: null counts as empty. A text without words has an empty set and links with nothing. Rows that repeat
 are documents with equal sets. If a doc_id repeats with other words, the row whose set has the smallest fingerprint stands
@@ -32,6 +33,8 @@ from .words import shingle_sets
 
 #: Cells of the frequency sketch, the blocks that it is summed in.
 CELLS, BLOCKS = 1 << 21, 64
+#: Documents from which on a token is taken for a frequent one.
+FREQUENT = 1 << 16
 #: Members of a group, their tokens, and queries that one task compares with a group at a time.
 GROUP_ROWS, GROUP_TOKENS, QUERY_ROWS = 256, 1 << 20, 512
 
@@ -112,15 +115,19 @@ def frequency_sketch(rows: DataFrame) -> np.ndarray:
 
 
 def probe_rows(documents: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, fp, n, cell, tokens): a document's rarest tokens, of which any partner shares one, and its group's key."""
+    """(doc_id, fp, n, cell, tokens, frequent): a document's rarest tokens, of which any partner shares one, apart by how frequent they are, and its group's key."""
     held = documents.sparkSession.sparkContext.broadcast(sketch)
     step = np.log(den / num)
-    kind = "doc_id long, fp binary, n long, cell long, tokens array<long>"
+    many = min(255, round(8 * np.log(FREQUENT)))
+    kind = "doc_id long, fp binary, n long, cell long, tokens array<long>, frequent array<long>"
     out = arrow(kind)
 
+    def lists(of: list[np.ndarray]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, of)]).astype(np.int32)), pa.array(np.concatenate(of) if of else np.zeros(0, np.int64)))
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            ids, fps, ns, groups, tokens = [], [], [], [], []
+            ids, fps, ns, groups, tokens, frequent = [], [], [], [], [], []
             for i, s in zip(b.column(0).to_pylist(), shingle_sets(texts_of(b.column(1)), k), strict=True):
                 if len(s) and i is not None:
                     n = len(s)
@@ -132,10 +139,10 @@ def probe_rows(documents: DataFrame, k: int, num: int, den: int, sketch: np.ndar
                     fps.append(set_print(s))
                     ns.append(n)
                     groups.append(int(mix(np.array([int(mix(s).min()) ^ band], np.uint64))[0].astype(np.int64)))
-                    tokens.append(s[rare].astype(np.int64))
-            at = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], schema=out)
+                    own, often = s[rare].astype(np.int64), held.value[_cells(s[rare])] >= many
+                    tokens.append(own[~often])
+                    frequent.append(own[often])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(groups, pa.int64()), lists(tokens), lists(frequent)], schema=out)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), kind)
 
@@ -230,20 +237,30 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 4, den: int
     splits = probes.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / GROUP_ROWS, F.sum("n") / GROUP_TOKENS)).alias("splits")).where("splits > 1")
     splits = stored(splits, "splits")  # a plain table: the join can then split a hot group's rows
     part = F.when(F.col("splits").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.pmod(F.xxhash64("doc_id"), F.col("splits"))))
-    grouped = stored(probes.join(splits, "cell", "left").select("doc_id", "n", "tokens", part.alias("g")), "grouped")
+    grouped = stored(probes.join(splits, "cell", "left").select("doc_id", "n", "tokens", "frequent", part.alias("g")), "grouped")
     discard(probes, splits)
 
-    tokens = grouped.select("doc_id", "n", "g", F.explode("tokens").alias("token"))
-    # A frequent token's groups meet in many tasks here; below, both sides of the join are plain tables, so that it can split the token.
-    matrix = stored(tokens.groupBy("token", "g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")), "matrix")
-    asks = tokens.select("token", F.col("doc_id").alias("q"), F.col("n").alias("qn"), F.col("g").alias("qg"))
-    fits = (F.col("qn") * num <= F.col("high") * den) & (F.col("low") * num <= F.col("qn") * den)
-    found = asks.join(matrix, "token").where((F.col("qg") < F.col("g")) & fits | (F.col("qg") == F.col("g")) & (F.col("members") > 1))
-    found = found.groupBy("q", "g").agg(F.first("qn").alias("qn"), F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
-    found = stored(found.where(F.col("shared") >= least_shared(F.col("qn"), F.col("low"), F.col("high"), num, den)).select("q", "g"), "candidates")
+    def met(column: str) -> DataFrame:
+        """(q, qn, g, low, high) for each token of a document and each group of the matrix that has it and may hold a partner."""
+        tokens = grouped.select("doc_id", "n", "g", F.explode(column).alias("token"))
+        of = F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")
+        if column == "tokens":
+            matrix = tokens.repartition("token").groupBy("token", "g").agg(*of)  # the join follows this partitioning
+        else:
+            matrix = stored(tokens.groupBy("token", "g").agg(*of), "matrix")  # both sides are plain tables, so the join can split a token
+        asks = tokens.select("token", F.col("doc_id").alias("q"), F.col("n").alias("qn"), F.col("g").alias("qg"))
+        fits = (F.col("qn") * num <= F.col("high") * den) & (F.col("low") * num <= F.col("qn") * den)
+        return asks.join(matrix, "token").where((F.col("qg") < F.col("g")) & fits | (F.col("qg") == F.col("g")) & (F.col("members") > 1)).select("q", "qn", "g", "low", "high")
+
+    with scratch() as keep:
+        found = met("tokens")
+        if not grouped.where(F.size("frequent") > 0).isEmpty():
+            found = found.union(met("frequent"))
+        found = found.groupBy("q", "g").agg(F.first("qn").alias("qn"), F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+        found = keep(stored(found.where(F.col("shared") >= least_shared(F.col("qn"), F.col("low"), F.col("high"), num, den)).select("q", "g"), "candidates"))
 
     opened = stored(grouped.select("doc_id", "g", "n").join(found.select("g").distinct(), "g", "left_semi"), "members")
-    discard(grouped, matrix)
+    discard(grouped)
     needed = opened.select("doc_id").union(found.select("q")).distinct()
     held = token_sets(semi(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), needed, "doc_id"), k).where("fp is not null")
     whole_sets = stored(held.groupBy("doc_id").agg(F.min_by("tokens", "fp").alias("tokens")), "whole")
