@@ -13,8 +13,9 @@ threshold, its items are scored; those cursors move on. A passage without a pivo
 Whatever scores at least the threshold is verified: enough of the question's and of the answer's word n-grams must be in
 the passage. The last line of an item is the answer, or its last sentence if it has one line, and a quarter of it at least.
 
-The items are indexed in shards of at most SHARD_WORDS words; each is broadcast and goes over all documents. Document
-frequencies, mean and largest lengths are those of all items, so scores don't depend on the shards.
+The items are indexed in shards of at most SHARD_WORDS words. Where one holds them all, documents are searched where they lie.
+Else each shard goes over all documents in a job of its own, which writes what it found by the text's SHA-256, so that one broadcast is held
+at a time. Document frequencies, mean and largest lengths are those of all items, so scores don't depend on the shards.
 
 Defined results: null counts as empty. Items without words match nothing. A text shorter than an item is one passage.
 Rows that repeat get equal results, a null doc_id too; other columns are ignored. Without items nothing is contaminated.
@@ -31,10 +32,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, discard, mix, prepare, stored, texts_of, trimmed
+from .common import arrow, discard, in_bitmap, key_bitmap, mix, prepare, stored, texts_of, trimmed, unused
 from .words import NON_WORD, word_hashes
 
 #: Least share of an item's score for itself, and of the n-grams of its question and of its answer.
@@ -238,61 +239,105 @@ def _statistics(items: DataFrame) -> DataFrame:
     return stored(rows.groupBy("term").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("size").alias("longest"), F.collect_set("shard").alias("shards")), "items")
 
 
-def _indexes(documents: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast[Index]]:
-    """A broadcast index for each shard of the items; about 2 x SHARD_WORDS characters each."""
+def _indexes(documents: DataFrame, benchmark: DataFrame) -> tuple[int, Iterator[Broadcast[Index]]]:
+    """The number of shards, and a broadcast index for each; about 2 x SHARD_WORDS characters."""
     spark = prepare(documents.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-int(size) // (2 * SHARD_WORDS)))
     items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
-    known = _statistics(items)
-    of = known.where("term is null").first()
-    for shard in range(shards):
-        rows = items.where(F.col("shard") == shard).orderBy("item_id", "text").collect()
-        frequency = {r["term"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in known.where("term is not null").where(F.array_contains("shards", shard)).select("term", "n").collect()}  # terms of the shard
-        stats = Statistics(of["n"], of["size"] / of["n"], of["longest"], frequency) if of else Statistics(0, 0.0, 0, {})
-        yield spark.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in rows], stats))
-    discard(known)
+
+    def built() -> Iterator[Broadcast[Index]]:
+        known = _statistics(items)
+        try:
+            of = known.where("term is null").first()
+            for shard in range(shards):
+                rows = items.where(F.col("shard") == shard).orderBy("item_id", "text").collect()
+                frequency = {r["term"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in known.where("term is not null").where(F.array_contains("shards", shard)).select("term", "n").collect()}  # terms of the shard
+                stats = Statistics(of["n"], of["size"] / of["n"], of["longest"], frequency) if of else Statistics(0, 0.0, 0, {})
+                yield spark.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in rows], stats))
+        finally:
+            discard(known)
+
+    return shards, built()
+
+
+def _by_text(documents: DataFrame, indexes: Iterator[Broadcast[Index]]) -> DataFrame:
+    """(sha, item_ids, best_score) of each text that has an item of any shard, written."""
+    kind = "sha string, item_ids array<long>, best_score double"
+    out = arrow(kind)
+    texts = documents.select(_sha(), F.col("text").cast("string").alias("text"))
+    parts = []
+    for index in indexes:
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, best = _matches(index.value, texts_of(b.column(1)))
+                some = pa.array([bool(x) for x in ids], pa.bool_())
+                yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], schema=out).filter(some)
+
+        parts.append(stored(texts.mapInArrow(trimmed(run), kind), "found"))
+        index.destroy()
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    found = every.groupBy("sha").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.max("best_score").alias("best_score"))
+    found = stored(found, "contaminated")
+    discard(*parts)
+    return found
+
+
+def _sha() -> Column:
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("sha")
+
+
+def _matches(index: Index, texts: list[str]) -> tuple[list[list[int]], list[float]]:
+    """For each text the items that it has, and the best score."""
+    ids: list[set[int]] = [set() for _ in texts]
+    best = [0.0] * len(texts)
+    words, counts = word_hashes([t.lower() for t in texts], NON_WORD)
+    for d, i, s in index.search(words, counts):
+        ids[d].add(int(index.ids[i]))
+        best[d] = max(best[d], s)
+    return list(map(sorted, ids)), best
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, best_score) of each row."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("best_score"))
-    indexes = list(_indexes(documents, benchmark))
-    for i, index in enumerate(indexes):
-        rows = _searched(rows, index, i == len(indexes) - 1)
+    shards, indexes = _indexes(documents, benchmark)
+    if shards > 1:
+        found = _by_text(documents, indexes)
+        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _sha()).join(found, "sha", "left")
+        rows = rows.select("doc_id", F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
+    else:
+        rows = _searched(documents, next(indexes))
     return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "best_score")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without a verified item, with all their columns; searched where they lie, so nothing is joined."""
-    at = documents.columns.index("text")
-    for index in _indexes(documents, benchmark):
+    """The rows without a verified item, with all their columns; of one shard searched where they lie, so nothing is joined."""
+    shards, indexes = _indexes(documents, benchmark)
+    if shards > 1:
+        found = _by_text(documents, indexes).select(F.struct("sha").alias(told := unused(documents, "found")))
+        maybe = in_bitmap(documents.sparkSession, key_bitmap(found.select(F.xxhash64(f"{told}.sha").alias("key")), "key"), F.xxhash64(_sha()))
+        return documents.where(~maybe).unionByName(documents.where(maybe).join(found, _sha() == F.col(f"{told}.sha"), "left_anti"))
+    at, index = documents.columns.index("text"), next(indexes)
 
-        def run(parts: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in parts:
-                words, counts = word_hashes([t.lower() for t in texts_of(b.column(at))], NON_WORD)
-                clean = np.ones(b.num_rows, bool)
-                for d, _, _ in index.value.search(words, counts):
-                    clean[d] = False
-                yield b.filter(pa.array(clean))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            yield b.filter(pa.array([not x for x in _matches(index.value, texts_of(b.column(at)))[0]], pa.bool_()))
 
-        documents = documents.mapInArrow(trimmed(run), documents.schema)
-    return documents
+    return documents.mapInArrow(trimmed(run), documents.schema)
 
 
-def _searched(rows: DataFrame, index: Broadcast[Index], last: bool) -> DataFrame:
-    """The rows with the items of one shard added; after the last one without their texts."""
-    kind = "doc_id long, text string, item_ids array<long>, best_score double".replace("text string, ", "" if last else "text string, ")
+def _searched(documents: DataFrame, index: Broadcast[Index]) -> DataFrame:
+    """(doc_id, item_ids, best_score) of each row."""
+    kind = "doc_id long, item_ids array<long>, best_score double"
     out = arrow(kind)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            ids, best = b.column(2).to_pylist(), b.column(3).to_pylist()
-            words, counts = word_hashes([t.lower() for t in texts_of(b.column(1))], NON_WORD)
-            for d, i, s in index.value.search(words, counts):
-                ids[d] = sorted({*ids[d], int(index.value.ids[i])})
-                best[d] = max(best[d], s)
-            yield pa.record_batch([b.column(0), *([] if last else [b.column(1)]), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], schema=out)
-
-    return rows.mapInArrow(trimmed(run), kind)
+            ids, best = _matches(index.value, texts_of(b.column(1)))
+            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], schema=out)
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), kind)

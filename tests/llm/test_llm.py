@@ -153,9 +153,10 @@ def components_of(sets, num, den):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize(("k", "num", "den"), [(3, 90, 100), (5, 4, 5), (1, 1, 2)])
-def test_jaccard_join(docs, none, k, num, den, monkeypatch):
+@pytest.mark.parametrize(("k", "num", "den", "frequent"), [(3, 90, 100, 1 << 16), (5, 4, 5, 4), (1, 1, 2, 4), (1, 1, 2, 1)])
+def test_jaccard_join(docs, none, k, num, den, frequent, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP_ROWS", 3)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)  # tokens of so many documents meet in the join that can split them
     sets = [sets_of(t, k) for t in texts()]
     want = components_of(sets, num, den)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, k, num, den).collect()}
@@ -277,13 +278,16 @@ def test_scores_do_not_depend_on_the_shards(spark, monkeypatch):
     rnd = random.Random(11)
     word = lambda: f"w{rnd.randrange(300)}"
     items = [(i, " ".join(word() for _ in range(rnd.randrange(4, 30)))) for i in range(60)]
-    df = spark.createDataFrame([(i, " ".join(word() for _ in range(40)) + " " + items[i][1] + " " + word()) for i in range(60)], "doc_id long, text string").repartition(2)
+    rows = [(i, " ".join(word() for _ in range(40)) + " " + (items[i][1] if i % 4 else "") + " " + word(), "f") for i in range(60)] + [(1, "other", "f"), (None, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, found string").repartition(2)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    one = sorted((r["doc_id"], r["item_ids"], round(r["best_score"], 9)) for r in decontaminate.contamination(df, bench).collect())
+    told = lambda: sorted((repr(r["doc_id"]), r["item_ids"], round(r["best_score"], 9)) for r in decontaminate.contamination(df, bench).collect())
+    left = lambda: sorted(map(repr, decontaminate.drop_contaminated(df, bench).collect()))
+    one, stay = told(), left()
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 600)
-    assert len(list(decontaminate._indexes(df, bench))) > 3
-    assert sorted((r["doc_id"], r["item_ids"], round(r["best_score"], 9)) for r in decontaminate.contamination(df, bench).collect()) == one
-    assert decontaminate.drop_contaminated(df, bench).count() == sum(not x for _, x, _ in one)
+    assert decontaminate._indexes(df, bench)[0] > 3
+    assert told() == one and left() == stay and len(stay) == sum(not x for _, x, _ in one)
+    assert decontaminate.drop_contaminated(df, bench).columns == df.columns
 
 
 def test_warc(spark, tmp_path):
@@ -695,6 +699,22 @@ def test_unique_blobs_are_scanned_in_place(spark):
     assert got == sorted((i, 1, f"assign:0:{len(t)}") for i, t in some)
 
 
+def test_words_of_any_length_are_hashed_in_steps(monkeypatch):
+    rnd = random.Random(3)
+    some = ["".join(rnd.choice("aBc") for _ in range(n)) for n in (1, 63, 64, 65, 128, 129, 500, 1000)]
+    some += [" ".join("".join(rnd.choice("aBc") for _ in range(rnd.randrange(1, 200))) for _ in range(40)), "  " + some[-1] + "  x", some[-1] + " ", " " * 300, "x" + " " * 300 + "y", ""]
+    one = [words.word_hashes([t]) for t in some]
+    own = {w.lower() for t in some for w in t.split()}
+    assert len({int(x) for h, _ in one for x in h}) == len(own)
+    monkeypatch.setattr(words, "STEP", 64)
+    for t, (h, n) in zip(some, one):
+        got, counts = words.word_hashes([t])
+        assert got.tolist() == h.tolist() and counts.tolist() == n.tolist() == [len(t.split())]
+    monkeypatch.undo()
+    words._powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    assert len(words.word_hashes(["y" * 30_000_000 + " z"])[0]) == 2 and len(words._powers[0]) <= 4 * words.STEP
+
+
 def test_scratch_deletes_what_is_not_kept(spark, docs):
     there = lambda df: spark.read.parquet(df.stored_at).count()
     with common.scratch() as keep:
