@@ -715,6 +715,16 @@ def test_words_of_any_length_are_hashed_in_steps(monkeypatch):
     assert len(words.word_hashes(["y" * 30_000_000 + " z"])[0]) == 2 and len(words._powers[0]) <= 4 * words.STEP
 
 
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(common, "_shipped", {"app"})
+    conf = SimpleNamespace(set=lambda *_: None, get=lambda *_: None)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(applicationId="app", getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.prepare(session)
+
+
 def test_scratch_deletes_what_is_not_kept(spark, docs):
     there = lambda df: spark.read.parquet(df.stored_at).count()
     with common.scratch() as keep:
