@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, exact_dedup, jaccard, langid, quality, secret_scan, sharding, url_filter, warc
-from .common import prepare, shared_folder
+from .common import discard, prepare, shared_folder
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 SHARDS = 8
@@ -72,7 +72,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus arrives in two scans of one ledger: half of the documents, then all; the second scans only blobs that are new."""
     documents = _table(spark, sf_dir, "documents")
     ledger = shared_folder(spark, "ledger")
-    secret_scan.scan(documents.where(F.xxhash64("doc_id") % 2 == 0), ledger)
+    discard(secret_scan.record(documents.where(F.xxhash64("doc_id") % 2 == 0), ledger))
     return secret_scan.scan(documents, ledger).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 

@@ -108,10 +108,9 @@ def _per_blob(found: DataFrame) -> DataFrame:
     return stored(found.drop("rules").dropDuplicates(["blob"]), "findings")
 
 
-def scan(documents: DataFrame, ledger: str | None = None, rules: str = RULES) -> DataFrame:
-    """(doc_id, blob, n_assign, n_access, n_hex, base_sha256, spans) of each row. ledger: a folder that stays between scans."""
+def record(documents: DataFrame, ledger: str, rules: str = RULES) -> DataFrame:
+    """Scans what the ledger lacks and appends it; the rows' (doc_id, blob), written."""
     spark = prepare(documents.sparkSession)
-    ledger = ledger or shared_folder(spark, "ledger")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     versions = stored(rows.select("doc_id", F.sha2("text", 256).alias("blob")), "versions")
@@ -119,9 +118,17 @@ def scan(documents: DataFrame, ledger: str | None = None, rules: str = RULES) ->
     seen = _known(spark, ledger, rules).select("blob").distinct().withColumn("seen", F.lit(True))
     blobs = stored(blobs.join(seen, "blob", "left").select("blob", "doc_id", "n", F.coalesce("seen", F.lit(False)).alias("seen")), "blobs")
     if not blobs.where("not seen").isEmpty():
-        _record(rows, blobs, rules).write.mode("append").parquet(f"{ledger}/findings")
+        _unseen(rows, blobs, rules).write.mode("append").parquet(f"{ledger}/findings")
     _add_versions(versions, ledger)
     discard(blobs)
+    return versions
+
+
+def scan(documents: DataFrame, ledger: str | None = None, rules: str = RULES) -> DataFrame:
+    """(doc_id, blob, n_assign, n_access, n_hex, base_sha256, spans) of each row. ledger: a folder that stays between scans."""
+    spark = prepare(documents.sparkSession)
+    ledger = ledger or shared_folder(spark, "ledger")
+    versions = record(documents, ledger, rules)
     return versions.join(_per_blob(_known(spark, ledger, rules)), "blob").select("doc_id", "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
@@ -137,16 +144,17 @@ def _add_versions(versions: DataFrame, ledger: str) -> None:
     pairs.select("doc_id", F.lit(number).alias("scan"), "blob").write.mode("append").parquet(f"{ledger}/versions")
 
 
-def _record(rows: DataFrame, blobs: DataFrame, rules: str) -> DataFrame:
+def _unseen(rows: DataFrame, blobs: DataFrame, rules: str) -> DataFrame:
     """Findings of each unseen blob, once. Rows whose blob is surely neither repeated nor seen are scanned in place. Of the
     others the row with an unseen blob's smallest doc_id is scanned; rows that repeat that doc_id have the blob only if their hash says so."""
     spark = rows.sparkSession
-    key = lambda *of: F.xxhash64(*of).alias("key")
-    others = key_bitmap(blobs.where("n > 1 or seen").select(key("blob")), "key")
+    repeated = lambda: F.xxhash64(F.lit("repeated or seen"), "blob")
+    chosen = lambda doc_id: F.xxhash64(F.lit("chosen"), doc_id, "blob")
     pick = blobs.where("not seen").select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"))
+    keys = F.array_compact(F.array(F.when(F.col("seen") | (F.col("n") > 1), repeated()), F.when(~F.col("seen"), chosen("doc_id"))))
+    bitmap = key_bitmap(blobs.select(F.explode(keys).alias("key")), "key")  # one bitmap has both kinds of keys
     rows = rows.withColumns({"blob": F.sha2("text", 256), "_d": F.coalesce("doc_id", F.lit(0))})
-    maybe = in_bitmap(spark, others, F.xxhash64("blob"))
-    picked = in_bitmap(spark, key_bitmap(blobs.where("not seen").select(key("doc_id", "blob")), "key"), F.xxhash64("_d", "blob"))
+    maybe, picked = in_bitmap(spark, bitmap, repeated()), in_bitmap(spark, bitmap, chosen("_d"))
     again = rows.where(maybe & picked).join(pick.hint("merge"), (F.col("_d") == F.col("_id")) & (F.col("blob") == F.col("_blob")), "left_semi")
     return findings(rows.where(~maybe).select("blob", "text").union(again.select("blob", "text").dropDuplicates(["blob"])), rules)
 

@@ -662,7 +662,7 @@ def test_secrets_and_the_ledger(spark, docs, none, tmp_path, monkeypatch):
     assert "jwt:0:" in got[6]["spans"] and got[7]["spans"] == ""
     scanned = lambda rules="2": spark.read.parquet(f"{ledger}/findings").where(F.col("rules") == rules).count()
     assert scanned() == len({t or "" for t in some})
-    monkeypatch.setattr(secret_scan, "_record", lambda *_: pytest.fail("an unchanged corpus is scanned again"))
+    monkeypatch.setattr(secret_scan, "_unseen", lambda *_: pytest.fail("an unchanged corpus is scanned again"))
     assert {r["doc_id"]: r for r in secret_scan.scan(df, ledger).collect()} == got
     monkeypatch.undo()
     secret_scan.scan(df.union(spark.createDataFrame([(50, "new", "c")], df.schema)), ledger)
