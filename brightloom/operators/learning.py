@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from brightloom.session import checkpointed
 
 from .nearest import best
-from .ranking import digits_for, ranked
+from .ranking import digits_for, free, ranked
 
 #: Rows of a range of a feature's values, and the most ranges of a feature.
 STUMP_ROWS, STUMP_RANGES = 100_000, 256
@@ -41,20 +41,22 @@ def _ranked(df: DataFrame, key: str, digits: int, name: str = "rank", within: Co
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float) -> DataFrame:
     """Adds is_test: of each class exactly ceil(test * n) rows, the first in hash order. No class meets in one task."""
-    rows = _ranked(df, key, digits_for(df.count()), "_rank", F.col(label))
-    wanted = df.groupBy(F.col(label).alias("_of")).agg(F.ceil(F.lit(test) * F.count("*")).alias("_want"))
-    return rows.join(F.broadcast(wanted), F.col(label).eqNullSafe(F.col("_of"))).withColumn("is_test", F.col("_rank") <= F.col("_want")).drop("_rank", "_of", "_want")  # a row for each class
+    rank, of, want = (free(df, x) for x in ("_rank", "_of", "_want"))
+    rows = _ranked(df, key, digits_for(df.count()), rank, F.col(label))
+    wanted = df.groupBy(F.col(label).alias(of)).agg(F.ceil(F.lit(test) * F.count("*")).alias(want))
+    return rows.join(F.broadcast(wanted), F.col(label).eqNullSafe(F.col(of))).withColumn("is_test", F.col(rank) <= F.col(want)).drop(rank, of, want)  # a row for each class
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int) -> DataFrame:
     """Adds fold: the rows of each class are dealt out in hash order."""
-    return _ranked(df, key, digits_for(df.count()), "_rank", F.col(label)).withColumn("fold", F.pmod("_rank", F.lit(folds)).cast("int")).drop("_rank")
+    rank = free(df, "_rank")
+    return _ranked(df, key, digits_for(df.count()), rank, F.col(label)).withColumn("fold", F.pmod(rank, F.lit(folds)).cast("int")).drop(rank)
 
 
 def random_split(df: DataFrame, key: str, test: float) -> DataFrame:
     """Adds is_test: exactly ceil(test * n) rows, the first in hash order."""
-    n = df.count()
-    return _ranked(df, key, digits_for(n), "_rank").withColumn("is_test", F.col("_rank") <= math.ceil(test * n)).drop("_rank")
+    n, rank = df.count(), free(df, "_rank")
+    return _ranked(df, key, digits_for(n), rank).withColumn("is_test", F.col(rank) <= math.ceil(test * n)).drop(rank)
 
 
 def neighbours(train: DataFrame, query: DataFrame, k: int) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 BUCKET_ROWS = 50_000
 
 
-def _free(df: DataFrame, name: str) -> str:
+def free(df: DataFrame, name: str) -> str:
+    """The name, with underscores so that no column has it."""
     while name in df.columns:
         name += "_"
     return name
@@ -24,7 +25,7 @@ def _free(df: DataFrame, name: str) -> str:
 def ranked(df: DataFrame, bucket: Column, order: list[Column], name: str = "rank", within: Column | None = None) -> DataFrame:
     """Numbers rows from 1 by (bucket, order), in each class of `within` if it is given. Rows are ranked within their bucket; the buckets' starts come from their
     sizes, a table of a row for each bucket. Buckets must follow the order, and be small."""
-    b, c, n, s = (_free(df, x) for x in ("_bucket", "_class", "_size", "_start"))
+    b, c, n, s = (free(df, x) for x in ("_bucket", "_class", "_size", "_start"))
     rows = df.withColumns({b: bucket, c: F.lit(0) if within is None else within})
     sizes = rows.groupBy(c, b).agg(F.count("*").alias(n))
     starts = sizes.select(F.struct(F.col(c).alias("c"), F.col(b).alias("b")).alias(n + "k"), (F.sum(n).over(Window.partitionBy(c).orderBy(b)) - F.col(n)).alias(s))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from brightloom.session import checkpointed
 
-from .ranking import ranked
+from .ranking import free, ranked
 
 
 def insert(old: DataFrame, new: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
@@ -27,9 +27,10 @@ def insert(old: DataFrame, new: DataFrame, defaults: dict[str, Column] | None =
 
 def _without(new: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
     """Rows none of whose keys, in any case, is among those of `taken`."""
+    name = free(new, "_taken")
     for k in keys:
-        held = taken.select(F.lower(k).alias("_taken")).distinct()
-        new = new.join(held, F.lower(k) == F.col("_taken"), "left_anti")
+        held = taken.select(F.lower(k).alias(name)).distinct()
+        new = new.join(held, F.lower(k) == F.col(name), "left_anti")
     return new
 
 
@@ -43,17 +44,17 @@ def insert_unique(old: DataFrame, new: DataFrame, keys: list[str], order: str, f
     new = _without(new, old, keys).withColumns({c: F.lower(c) for c in folded})
     first = lambda k, by: F.col(k).isNull() | (F.row_number().over(Window.partitionBy(F.lower(k)).orderBy(*by)) == 1)
     if len(keys) == 1:
-        rest = sorted(c for c in new.columns if c != order)
-        return insert(old, new.withColumn("_first", first(keys[0], [order, *rest])).where("_first").drop("_first"))
-    left = checkpointed(new.withColumn("_row", F.monotonically_increasing_id()))
+        rest, mark = sorted(c for c in new.columns if c != order), free(new, "_first")
+        return insert(old, new.withColumn(mark, first(keys[0], [order, *rest])).where(mark).drop(mark))
+    row, marks = free(new, "_row"), [free(new, f"_first{i}") for i in range(len(keys))]
+    left = checkpointed(new.withColumn(row, F.monotonically_increasing_id()))
     out = old
     while not left.isEmpty():
-        marked = checkpointed(left.withColumns({f"_first{i}": first(k, [order, "_row"]) for i, k in enumerate(keys)}))
-        added = marked
-        for i in range(len(keys)):
-            added = added.where(f"_first{i}")
+        added = checkpointed(left.withColumns({m: first(k, [order, row]) for m, k in zip(marks, keys, strict=True)}))
+        for m in marks:
+            added = added.where(m)
         out = insert(out, added)
-        left = checkpointed(_without(left.join(added.select("_row"), "_row", "left_anti"), added, keys))
+        left = checkpointed(_without(left.join(added.select(row), row, "left_anti"), added, keys))
     return out
 
 
@@ -63,14 +64,15 @@ def _later(changes: DataFrame, key: str, order: str | None) -> list[Column]:
 
 def _last(changes: DataFrame, key: str, order: str | None) -> DataFrame:
     """Of rows with the same key the last; rows without one as they are."""
-    by = [c.desc_nulls_last() for c in _later(changes, key, order)]
+    by, n = [c.desc_nulls_last() for c in _later(changes, key, order)], free(changes, "_n")
     rest = [F.col(c).desc_nulls_last() for c in sorted(changes.columns) if c != key]
-    return changes.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*by, *rest))).where(F.col(key).isNull() | (F.col("_n") == 1)).drop("_n")
+    return changes.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(*by, *rest))).where(F.col(key).isNull() | (F.col(n) == 1)).drop(n)
 
 
 def replace_by(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Delete-then-insert: one live row for each key among the new rows."""
-    return old.join(new.select(F.col(key).alias("_key")).distinct(), F.col(key) == F.col("_key"), "left_anti").select(old.columns).unionByName(_last(new, key, order).select(old.columns))
+    gone = free(old, "_key")
+    return old.join(new.select(F.col(key).alias(gone)).distinct(), F.col(key) == F.col(gone), "left_anti").select(old.columns).unionByName(_last(new, key, order).select(old.columns))
 
 
 def update(old: DataFrame, match: Column, values: dict[str, Column]) -> DataFrame:
@@ -131,8 +133,8 @@ def delete(old: DataFrame, match: Column) -> DataFrame:
 
 def delete_cascade(parents: DataFrame, gone: Column, key: str, children: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The parents that stay, and the children of those: for each child table its foreign key."""
-    ids = parents.where(gone).select(F.col(key).alias("_gone")).distinct()
-    return delete(parents, gone), {n: c.join(ids, F.col(fk) == F.col("_gone"), "left_anti") for n, (c, fk) in children.items()}
+    ids = parents.where(gone).select(F.col(key)).distinct()
+    return delete(parents, gone), {n: c.join(ids.toDF(lost := free(c, "_gone")), F.col(fk) == F.col(lost), "left_anti") for n, (c, fk) in children.items()}
 
 
 def outcomes(changes: DataFrame, old: DataFrame, key: str, owner: str, caller: str) -> DataFrame:

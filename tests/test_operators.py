@@ -226,6 +226,13 @@ def test_new_rows_come_one_after_the_other(spark):
         if n not in names and e not in mails:
             names.add(n), mails.add(e), want.append(i)
     assert ids(new) == want
+    odd = [f"{n} string" for n in ("_row", "_first", "_first0", "_taken", "_n", "_key", "_gone")]
+    wide = spark.createDataFrame([(1, "n1", "e1", *"abcdefg"), (1, "n1", "e2", *"abcdefg")], ", ".join([kind, *odd]))
+    for keys in (["n"], ["n", "e"]):
+        got = snapshot.insert_unique(wide.limit(0), wide, keys, "id")
+        assert got.columns == wide.columns and got.count() == 1 and tuple(got.first())[3:] == tuple("abcdefg")
+    assert snapshot.replace_by(wide, wide, "id").count() == 1 and snapshot.put(wide.limit(1), wide, "id", ["_n"]).columns == wide.columns
+    assert snapshot.delete_cascade(wide, F.col("e") == "e1", "id", {"c": (wide, "id")})[1]["c"].count() == 0
     folded = snapshot.insert_unique(old, spark.createDataFrame([(1, "A", "MAIL@X")], kind), ["n", "e"], "id", folded=("e",))
     assert (1, "A", "mail@x") in [tuple(r) for r in folded.collect()]
 
