@@ -35,7 +35,7 @@ from .common import arrow, give_back, prepare, texts_of, trimmed
 #: Largest vocabulary file that is broadcast.
 MODEL_BYTES = 64 << 20
 #: Words whose encodings each of a worker's two tables remembers, and token pairs whose tests it remembers.
-REMEMBERED, PAIRS = 50_000, 150_000
+REMEMBERED, PAIRS = 80_000, 150_000
 #: Texts of these characters only are normalised and split here; NFC leaves them as they are. Others go through the file's own normaliser and splitter.
 PLAIN = re.compile("[^\\t-\\r -~\\xa1-\\u024f]")
 _FAR = 1 << 30
