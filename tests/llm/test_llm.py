@@ -328,6 +328,14 @@ def test_archives_are_those_of_the_rows_alone(spark, tmp_path):
     assert all((tmp_path / "a" / f.name).read_bytes() == f.read_bytes() for f in (tmp_path / "c").iterdir())
 
 
+def test_pages_without_ids_and_with_odd_columns(spark, tmp_path):
+    names = ["range", "kind", "sha", "size", "row", "refers_to"]
+    df = spark.createDataFrame([(None, "u", t, *names) for t in ("a", "a", "", None, "b" * 500_000)], "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    assert sum(x["records"] for x in warc.write_warc(df, f"file://{tmp_path}/n")) == 5
+    got = sorted((r["payload_bytes"], r["record_type"], r["page_id"], r["refers_to"]) for r in warc.read_warc(spark, f"file://{tmp_path}/n").collect())
+    assert got == [(0, "response", None, None), (0, "revisit", None, None), (1, "response", None, None), (1, "revisit", None, None), (500_000, "response", None, None)]
+
+
 def test_ranges_hold_equal_bytes(spark):
     sizes = spark.createDataFrame([(i * i - 50, 1 + i % 7) for i in range(1000)] + [(-99, 4000)], "page_id long, bytes long").repartition(5)
     bounds = warc.range_bounds(sizes, 10)
