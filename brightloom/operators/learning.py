@@ -20,7 +20,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightloom.session import checkpointed
+from brightloom.session import checkpointed, shipped
 
 from .nearest import best
 from .ranking import digits_for, free, ranked
@@ -71,6 +71,7 @@ def neighbour_votes(train: DataFrame, query: DataFrame, ks: list[int], features:
     Blocks of queries meet blocks of training rows, dense in NumPy; the best of each block meet afterwards.
     """
     most = max(ks)
+    shipped(train)
     n, asked = max(1, math.ceil(train.count() / block)), max(1, math.ceil(query.count() / block))
     x = lambda: F.array(*[F.col(c).cast("double") for c in features]).alias("x")
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brightloom.session import shipped
+
 #: Queries that are broadcast at a time, and rows that are compared with them at a time.
 SLICE, ROWS = 4096, 512
 
@@ -87,7 +89,7 @@ class Best:
 def best(table: DataFrame, queries: DataFrame, k: int, value: str, cosine: bool = False) -> DataFrame:
     """(q, id, value, rn, and label if the table has it): rows (id, x, label) for queries (q, x). With cosine the greatest
     values, and a row isn't compared with a query of its id."""
-    spark = table.sparkSession
+    spark = shipped(table).sparkSession
     label = dict(table.dtypes).get("label")
     kind = "q long, slot long, id long, found double" + (f", label {label}" if label else "")
     slices = max(1, math.ceil(queries.count() / SLICE))

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brightloom.session import shipped
+
 
 #: Days of the shortest series that is fitted.
 LEAST = 8
@@ -32,7 +34,7 @@ def _w(key: str = "series_id", ds: str = "ds") -> Window:
 
 
 def _known(df: DataFrame) -> DataFrame:
-    return df.where("ds is not null and value is not null")
+    return shipped(df).where("ds is not null and value is not null")
 
 
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:

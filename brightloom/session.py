@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +29,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors can reach")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """The same rows; Python functions over them find this package on every executor, wherever the driver was started."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        top = Path(__file__).resolve().parent
+        path = os.path.join(tempfile.mkdtemp(), f"{top.name}_library.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(path)
+    return df
