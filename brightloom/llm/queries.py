@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard, langid, quality, secret_scan, sharding, url_filter, warc
+from . import bpe, decontaminate, exact_dedup, jaccard, langid, quality, secret_scan, sharding, time_tree, url_filter, warc
 from .common import discard, prepare, shared_folder
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -76,8 +76,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents, ledger).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op13_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return time_tree.point_in_time(*(_table(spark, sf_dir, t) for t in ("clicks", "sales", "sale_lines")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_warc, op4_jaccard_join, op5_language_id, op6_quality, op7_bpe, op8_shard, op9_url_filter, op10_secret_scan)
+    f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_warc, op4_jaccard_join, op5_language_id, op6_quality, op7_bpe, op8_shard, op9_url_filter, op10_secret_scan, op13_point_in_time)
 }
 
 
@@ -96,6 +100,12 @@ def _descend_sql(node: sharding.Node) -> str:
 _TREE = sharding.layout(SHARDS)
 
 
+def _crc_sql(table: str, text: str) -> str:
+    """Common tables: `cells` of the checksum, and `table` with crc for each distinct text of a query with one column k."""
+    return f"""cells as (select list(v order by b) as cells from (select b, list_reduce(list_prepend(b::bigint, range(0, 8)), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end) as v from (select unnest(range(0, 256)) as b))),
+        {table} as (select k, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(k)), '..'), lambda x: ('0x' || x)::bigint)), lambda v, b: xor(v >> 8, cells[(xor(v, b) & 255) + 1])), 4294967295) as crc from ({text}), cells)"""
+
+
 def _secret_sql(kind: int, name: str, pattern: str, keep: str) -> str:
     """Spans of a kind as [start, kind, end, name]; a match starts after the texts between matches and the matches before it."""
     return f"""{name}_m as (select doc_id, regexp_extract_all(t, '{pattern}') as m, list_transform(regexp_split_to_array(t, '{pattern}'), lambda x: length(x)) as gaps from texts),
@@ -131,6 +141,20 @@ ORACLE_SQL: dict[str, str] = {
         select page_id, n::bigint as payload_bytes,
                array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((v >> s) & 31) + 1)::bigint, 1)), '')), '') as payload_digest,
                case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from d""",
+    "op13_point_in_time": f"""
+        with {_crc_sql("hashes", "select distinct coalesce(sale_id::varchar, '') as k from sales")},
+        s as (select row_number() over () as r, *, epoch_us(sold_at) as moment, epoch_us(arrived_at) + 14400000000 as known, coalesce(floor(100 * total + 0.5), 0)::bigint as paid from sales where client_id is not null and sold_at is not null),
+        probes as (select s.r, sale_id, client_id, d, d * 86400000000 as span, moment + crc % 259200 * 1000000 as t_us from s join hashes on k = coalesce(sale_id::varchar, ''), (values (2), (14)) as w(d)),
+        c as (select client_id, click_id, kind, epoch_us(ts) as moment, epoch_us(arrived_at) + 14400000000 as known, coalesce(floor(100 * value + 0.5), 0)::bigint as paid from (select distinct * from clicks)),
+        pc as (select r, d, count(*) as n_clicks, count(*) filter (where kind = 'purchase') as n_purchases, sum(paid) as click_cents, first(click_id order by moment desc, click_id desc nulls last) as last_click_id
+               from probes p join c using (client_id) where moment > t_us - span and moment <= t_us and known <= t_us group by all),
+        ps as (select p.r, d, t_us, s.sale_id, s.paid from probes p join s using (client_id) where moment > t_us - span and moment <= t_us and known <= t_us),
+        pt as (select r, d, count(*) as n_sales, sum(paid) as sale_cents from ps group by all),
+        pl as (select r, d, count(*) as n_lines, count(distinct item_id) as n_items, sum(coalesce(floor(100 * amount + 0.5), 0)::bigint) as line_cents from ps join sale_lines l using (sale_id) where epoch_us(shipped_at) <= t_us group by all),
+        later as (select distinct p.r from probes p join s using (client_id) where moment > t_us and moment <= t_us + 604800000000)
+        select sale_id, d::int as d, t_us::bigint as t_us, later.r is not null as label, coalesce(n_clicks, 0)::bigint as n_clicks, coalesce(n_purchases, 0)::bigint as n_purchases, coalesce(click_cents, 0)::bigint as click_cents, last_click_id,
+               coalesce(n_sales, 0)::bigint as n_sales, coalesce(sale_cents, 0)::bigint as sale_cents, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_items, 0)::bigint as n_items, coalesce(line_cents, 0)::bigint as line_cents
+        from probes p left join pc using (r, d) left join pt using (r, d) left join pl using (r, d) left join later on later.r = p.r""",
     "op8_shard": f"""
         with cells as (select list(v order by b) as cells from (select b, list_reduce(list_prepend(b::bigint, range(0, 8)), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end) as v from (select unnest(range(0, 256)) as b))),
         t as (select doc_id, coalesce(doc_id::varchar, 'null') as k, strlen(coalesce(text, '')) + 1 as size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) as bytes from documents),
