@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard, langid, quality, secret_scan, sharding, time_tree, url_filter, warc
+from . import bpe, decontaminate, exact_dedup, filter_audit, jaccard, langid, quality, secret_scan, sharding, time_tree, toxicity, url_filter, warc
 from .common import discard, prepare, shared_folder
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -76,12 +76,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents, ledger).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, out = _table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"))
+    model = toxicity.learn(documents, _table(spark, sf_dir, "labels").where(~out))
+    return toxicity.toxicity(documents, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op13_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_tree.point_in_time(*(_table(spark, sf_dir, t) for t in ("clicks", "sales", "sale_lines")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_warc, op4_jaccard_join, op5_language_id, op6_quality, op7_bpe, op8_shard, op9_url_filter, op10_secret_scan, op13_point_in_time)
+    f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_warc, op4_jaccard_join, op5_language_id, op6_quality, op7_bpe, op8_shard, op9_url_filter, op10_secret_scan, op11_filter_audit, op12_toxicity, op13_point_in_time)
 }
 
 
@@ -141,6 +151,20 @@ ORACLE_SQL: dict[str, str] = {
         select page_id, n::bigint as payload_bytes,
                array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((v >> s) & 31) + 1)::bigint, 1)), '')), '') as payload_digest,
                case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from d""",
+    "op11_filter_audit": r"""
+        with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        m as (select doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(min(doc_id) over (partition by t) < doc_id, false)] as fails from d),
+        l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as bad from labels group by doc_id),
+        c as (select part, fails, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(bad, 0)) as bad from m left join l using (doc_id) group by part, fails),
+        f as (select unnest(range(1, 6)) as i),
+        o as (select [a.i, b.i, c.i, d.i, e.i] as places from f a, f b, f c, f d, f e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        s as (select part, places, step, places[step] as own, fails[places[step]] as fail, list_bool_or(list_transform(places[: step - 1], lambda p: fails[p])) as gone, len(list_filter(fails, lambda x: x)) as bits, n, good, bad from c, o, (select unnest(range(1, 6)) as step)),
+        r as (select part, own, sum(n) filter (where fail and not coalesce(gone, false)) as shapley from s group by part, own)
+        select s.part, array_to_string(list_transform(places, lambda p: substr('ABCDE', p, 1)), '') as filter_order, step::int as step,
+               coalesce(sum(n) filter (where not fail and not coalesce(gone, false)), 0)::bigint as kept, coalesce(sum(n) filter (where fail and not coalesce(gone, false)), 0)::bigint as removed,
+               coalesce(sum(n) filter (where fail and gone), 0)::bigint as redundant, coalesce(sum(n) filter (where fail and bits = 1), 0)::bigint as unique_fails,
+               coalesce(sum(good) filter (where fail and not coalesce(gone, false)), 0)::bigint as good_lost, coalesce(sum(bad) filter (where fail and not coalesce(gone, false)), 0)::bigint as toxic_lost, coalesce(any_value(shapley), 0)::bigint as shapley
+        from s left join r on s.part = r.part and s.own = r.own group by s.part, places, step""",
     "op13_point_in_time": f"""
         with {_crc_sql("hashes", "select distinct coalesce(sale_id::varchar, '') as k from sales")},
         s as (select row_number() over () as r, *, epoch_us(sold_at) as moment, epoch_us(arrived_at) + 14400000000 as known, coalesce(floor(100 * total + 0.5), 0)::bigint as paid from sales where client_id is not null and sold_at is not null),
