@@ -7,8 +7,9 @@ client and node brings it the sums of all that is active, since each interval ha
 
 A stretch of a client with BUCKET probes at most is a leaf: it isn't split further, and its probes are compared with the
 intervals that reach into it. So an interval has few rows where probes are rare, and at most two for each level where they
-are dense. Levels are worked STEP at a time, from stretches as long as the longest window down to the time unit; only
-stretches that hold more probes go on to the next step. A client with a third of all rows thus spreads over its stretches.
+are dense. The first stretches are as long as the longest window. One that holds more probes is split as many levels down as
+their number asks for; stretches there that still hold too many go into another round, where the sums of their ancestors
+count as one interval that covers them. A client with a third of all rows thus spreads over its stretches.
 
 Distinct items: of the active intervals of one client and item, each keeps what those that started before it leave free.
 The parts are disjoint, so a probe meets one node at most for each item, and the nodes' counts add up to the distinct number.
@@ -32,11 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import prepare, scratch, stored
 
-#: Probes of a stretch that are compared instead of split, and levels that are worked at a time.
-BUCKET, STEP = 64, 7
+#: Probes of a stretch that are compared instead of split.
+BUCKET = 64
 DAY, MINUTE = 86_400_000_000, 60_000_000
-#: Kinds of intervals. Items have one kind for either window, as their parts differ.
-CLICKS, SALES, LINES, ITEMS_SHORT, ITEMS_LONG, LATER = range(6)
+#: Kinds of intervals. Of distinct items some count in both windows, some in one.
+CLICKS, SALES, LINES, ITEMS, ITEMS_SHORT, ITEMS_LONG, LATER = range(7)
 #: Packs (time, id) into one decimal; ids are within 2^63 of 0, and null is below all.
 _PLACE, _NO_ID = Decimal(20_000_000_000_000_000_000), Decimal(-9_300_000_000_000_000_000)
 
@@ -59,10 +60,6 @@ def _ceiled(x: Column, unit: int) -> Column:
     return F.call_function("div", x + F.pmod(-x, F.lit(unit)), F.lit(unit)) if unit > 1 else x
 
 
-def _at(level: str, x: str) -> str:
-    return f"shiftright({x}, {level})"
-
-
 def _packed(time: Column, number: Column) -> Column:
     return (time.cast("decimal(19,0)") * F.lit(_PLACE)).cast("decimal(38,0)") + F.coalesce(number.cast("decimal(19,0)"), F.lit(_NO_ID))
 
@@ -73,81 +70,104 @@ def _number_of(packed: Column) -> Column:
     return F.when(rest > F.lit(_NO_ID), rest.cast("long"))
 
 
+def _sums() -> list[Column]:
+    return [*(F.sum(c).alias(c) for c in ("n", "p", "c")), F.max("x").alias("x")]
+
+
 def _summed(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys, "kind", "short").agg(*(F.sum(c).alias(c) for c in ("n", "p", "c")), F.max("x").alias("x"))
+    return rows.groupBy(*keys, "kind", "short").agg(*_sums())
 
 
-def _cut(pieces: DataFrame, level: int) -> DataFrame:
-    """Intervals (lo, mid, hi) clipped to their stretch."""
-    start, end = F.col("cell") * F.lit(1 << level), (F.col("cell") + 1) * F.lit(1 << level)
-    lo, hi = F.greatest("lo", start), F.least("hi", end)
+def _cut(pieces: DataFrame) -> DataFrame:
+    """Intervals (lo, mid, hi) clipped to their stretch, which is the cell at the level."""
+    lo, hi = F.greatest("lo", F.expr("shiftleft(cell, level)")), F.least("hi", F.expr("shiftleft(cell + 1, level)"))
     return pieces.withColumns({"lo": lo, "hi": hi, "mid": F.least(F.greatest("mid", lo), hi)})
 
 
-def active(intervals: DataFrame, probes: DataFrame, span: int, bucket: int = BUCKET, step: int = STEP) -> DataFrame:
+def _cells(level: int) -> list[Column]:
+    """A row for each stretch that [lo, hi) reaches into."""
+    return [F.lit(level).alias("level"), F.explode(F.expr(f"sequence(shiftright(lo, {level}), shiftright(hi - 1, {level}))")).alias("cell")]
+
+
+def active(intervals: DataFrame, probes: DataFrame, span: int, bucket: int = BUCKET) -> DataFrame:
     """(client, t, kind, short, n, p, c, x): sums of what is active at each probe (client, t), several rows for one of them.
 
     Intervals are (client, lo, mid, hi, kind, n, p, c, x), at most span long. short: t lies in [lo, mid), else in [mid, hi).
     n, p and c are added up; of x the largest counts. Whole numbers of time units. Intermediate tables are stored.
     """
-    level = (span - 1).bit_length()
-    cells = F.explode(F.expr(f"sequence({_at(str(level), 'lo')}, {_at(str(level), 'hi - 1')})")).alias("cell")
-    pieces = _cut(intervals.where("lo < hi").select("*", cells), level)
-    found = []
+    top, at = (span - 1).bit_length(), ["client", "level", "cell"]
+    pieces = _cut(intervals.where("lo < hi").select("*", *_cells(top)))
+    probes = probes.select("client", "t", F.lit(top).alias("level"), F.shiftright("t", top).alias("cell"))
+    found, result = [], ("client", "t", "kind", "short", "n", "p", "c", "x")
     while True:
-        probes = probes.select("client", "t", F.shiftright("t", level).alias("cell"))
-        held = stored(probes.groupBy("client", "cell").count(), "cells")
-        dense = held.where(F.col("count") > bucket).select("client", "cell")
-        few = probes.join(held.where(F.col("count") <= bucket).select("client", "cell"), ["client", "cell"], "left_semi")
-        compared = pieces.join(few, ["client", "cell"]).where("t >= lo and t < hi")
-        none = F.lit(None).cast("long")
-        pairs = _summed(compared.withColumn("short", F.expr("t < mid")), "client", "t").select("client", "t", "kind", "short", "n", "p", "c", "x", *(none.alias(k) for k in ("cell", "lo", "mid", "hi")))
+        held = probes.groupBy(at).agg(F.count("*").alias("held"))
+        # so many levels down that a stretch has about a quarter of a bucket to half of it, were the probes spread evenly
+        down = F.least("level", F.ceil(F.log2(F.col("held") / bucket)).cast("int") + 1)
+        held = stored(held.select(*at, F.when(F.col("held") > bucket, F.col("level") - down).alias("below")), "cells")
+        dense = held.where("below is not null")
+        probes = stored(probes.join(held.hint("merge"), at), "probes")
+        compared = pieces.join(probes.where("below is null").drop("below").hint("merge"), at).where("t >= lo and t < hi")
+        pairs = _summed(compared.withColumn("short", F.expr("t < mid")), "client", "t").select(*result)
         if dense.isEmpty():
-            return reduce(DataFrame.unionByName, found, stored(pairs, "active").select("client", "t", "kind", "short", "n", "p", "c", "x"))
-        rest = pieces.join(dense, ["client", "cell"], "left_semi").select("client", none.alias("t"), "kind", F.lit(None).cast("boolean").alias("short"), "n", "p", "c", "x", "cell", "lo", "mid", "hi")
-        both = stored(pairs.unionByName(rest), "active")
-        found.append(both.where("t is not null").select("client", "t", "kind", "short", "n", "p", "c", "x"))
-        split = both.where("t is null").drop("t", "short")
-        probes = stored(probes.join(dense, ["client", "cell"], "left_semi"), "probes")
-        below = max(0, level - step)
-        levels = F.explode(F.sequence(F.lit(below), F.lit(level))).alias("level")
-        nodes = _summed(_canonical(split.select("*", levels), level), "client", "level", "node")
-        above = probes.select("client", "t", levels).withColumn("node", F.expr(_at("level", "t")))
-        found.append(stored(_summed(above.join(nodes, ["client", "level", "node"]), "client", "t"), "active"))
-        if not below:
-            return reduce(DataFrame.unionByName, found)
-        ends = [F.when(F.pmod(F.col(e), F.lit(1 << below)) != 0, F.shiftright(e, below)) for e in ("lo", "mid", "hi")]
-        inner = split.withColumn("cell", F.explode(F.array_distinct(F.array(*ends)))).where("cell is not null")
-        pieces, level = _cut(inner, below).where("lo < hi"), below
-
-
-def _canonical(split: DataFrame, top: int) -> DataFrame:
-    """The canonical nodes of both parts of an interval at its level. Above a step's levels only the stretch itself can be one."""
-    part = split.withColumn("short", F.explode(F.array(F.lit(True), F.lit(False))))
-    part = part.withColumns({"a": F.expr("if(short, lo, mid)"), "b": F.expr("if(short, mid, hi)")})
-    part = part.withColumns({"l": F.expr(f"{_at('level', 'a - 1')} + 1"), "r": F.expr(_at("level", "b"))}).where("a < b and l < r")
-    nodes = F.explode(F.array(F.expr(f"if(level = {top} or l % 2 <> 0, l, null)"), F.expr(f"if(level < {top} and r % 2 <> 0, r - 1, null)"))).alias("node")
-    return part.select("client", "level", nodes, "kind", "short", "n", "p", "c", "x").where("node is not null")
-
-
-def _interval(kind: int, lo: Column, mid: Column, hi: Column, n: Column, p: Column | None = None, c: Column | None = None, x: Column | None = None) -> list[Column]:
+            return reduce(DataFrame.unionByName, found, stored(pairs, "active"))
+        # one pass over the shuffled intervals gives both the sums of leaves and the intervals that go on
+        rest = pieces.join(dense.hint("merge"), at).select(*at, "below", "kind", "n", "p", "c", "x", "lo", "mid", "hi")
+        both = stored(pairs.unionByName(rest, allowMissingColumns=True), "active")
+        found.append(both.where("t is not null").select(*result))
+        split = both.where("t is null").drop("t", "short").withColumnRenamed("level", "top")
+        nodes = _summed(_canonical(split), "client", "level", "node")
+        # probes of one stretch of the lowest level have the same ancestors
+        probes = probes.where("below is not null").select("client", "t", F.col("level").alias("top"), F.col("below"), F.expr("shiftright(t, below)").alias("cell"))
+        inner = probes.select("client", "top", "below", "cell").distinct().select("client", "below", "cell", F.explode(F.sequence("below", "top")).alias("level"))
+        above = inner.withColumn("node", F.expr("shiftright(cell, level - below)"))
+        sums = stored(_summed(above.join(nodes.hint("merge"), ["client", "level", "node"]), "client", "below", "cell"), "nodes").withColumnRenamed("below", "level")
+        start, end = F.expr("shiftleft(cell, level)"), F.expr("shiftleft(cell + 1, level)")
+        covering = sums.select("*", start.alias("lo"), F.when(F.col("short"), end).otherwise(start).alias("mid"), end.alias("hi")).drop("short")
+        ends = [F.expr(f"if(shiftleft(shiftright({e}, below), below) <> {e}, shiftright({e}, below), null)") for e in ("lo", "mid", "hi")]
+        edges = split.withColumn("cell", F.explode(F.array_distinct(F.array(*ends)))).where("cell is not null").withColumnRenamed("below", "level")
+        # ends at one time, as of lines shipped on one day or of one sale, are added up before they are dealt out
+        pieces = _cut(edges).where("lo < hi").groupBy(*at, "lo", "mid", "hi", "kind").agg(*_sums()).unionByName(covering)
+        probes = probes.select("client", "t", F.col("below").alias("level"), "cell")
+
+
+def _canonical(split: DataFrame) -> DataFrame:
+    """The canonical nodes of both parts of an interval, between the levels below and top, with the intervals' measures.
+
+    Parts that begin and end in the same stretches of the lowest level have the same nodes, and are added up first.
+    """
+    parts = F.explode(F.array(*(F.struct(F.lit(short).alias("short"), F.expr(f"shiftright({a} - 1, below) + 1").alias("l"), F.expr(f"shiftright({b}, below)").alias("r")) for short, a, b in ((True, "lo", "mid"), (False, "mid", "hi"))))).alias("part")
+    whole = split.select("client", "below", "top", "kind", "n", "p", "c", "x", parts).where("part.l < part.r").withColumns({k: F.col(f"part.{k}") for k in ("short", "l", "r")})
+    whole = _summed(whole, "client", "below", "top", "l", "r")
+    each = whole.select("*", F.explode(F.sequence("below", "top")).alias("level"))
+    each = each.withColumns({"l": F.expr("shiftright(l - 1, level - below) + 1"), "r": F.expr("shiftright(r, level - below)")}).where("l < r")
+    nodes = F.explode(F.array(F.expr("if(level = top or l % 2 <> 0, l, null)"), F.expr("if(level < top and r % 2 <> 0, r - 1, null)"))).alias("node")
+    return each.select("client", "level", nodes, "kind", "short", "n", "p", "c", "x").where("node is not null")
+
+
+def _interval(kind: int | Column, lo: Column, mid: Column, hi: Column, n: Column, p: Column | None = None, c: Column | None = None, x: Column | None = None) -> list[Column]:
     zero = F.lit(0).cast("long")
-    cols = {"lo": F.least(lo, hi), "mid": F.greatest(F.least(lo, hi), F.least(mid, hi)), "hi": hi, "kind": F.lit(kind), "n": n.cast("long"), "p": zero if p is None else p, "c": zero if c is None else c, "x": F.lit(None).cast("decimal(38,0)") if x is None else x}
+    cols = {"lo": F.least(lo, hi), "mid": F.greatest(F.least(lo, hi), F.least(mid, hi)), "hi": hi, "kind": kind if isinstance(kind, Column) else F.lit(kind), "n": n.cast("long"), "p": zero if p is None else p, "c": zero if c is None else c, "x": F.lit(None).cast("decimal(38,0)") if x is None else x}
     return [F.col("client"), *(v.alias(k) for k, v in cols.items())]
 
 
-def _items(lines: DataFrame, kind: int, end: str, level: int) -> DataFrame:
-    """Intervals of distinct items: within stretches, of those of one client and item each keeps what earlier ones leave free."""
-    cells = F.explode(F.expr(f"sequence({_at(str(level), 'lo')}, {_at(str(level), f'{end} - 1')})")).alias("cell")
-    parts = lines.where(f"item is not null and lo < {end}").select("client", "item", "lo", F.col(end).alias("hi"), F.col(end).alias("mid"), cells)
+def _items(lines: DataFrame, level: int) -> DataFrame:
+    """Intervals of distinct items: within stretches, of those of one client and item each keeps what earlier ones leave free.
+
+    Where the windows' free parts start together, one interval stands for both.
+    """
+    parts = lines.where("item is not null").select("client", "item", "lo", "mid", "hi", *_cells(level))
     # one row for each start, so a client's item has no more rows in a stretch than that has time units
-    parts = _cut(parts, level).groupBy("client", "item", "cell", "lo").agg(F.max("hi").alias("hi"))
+    parts = _cut(parts).groupBy("client", "item", "cell", "lo").agg(F.max("mid").alias("mid"), F.max("hi").alias("hi"))
     before = Window.partitionBy("client", "item", "cell").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    free = parts.withColumn("lo", F.greatest("lo", F.max("hi").over(before))).where("lo < hi")
-    return free.select(*_interval(kind, F.col("lo"), F.col("hi"), F.col("hi"), F.lit(1)))
+    free = parts.select("client", "mid", "hi", F.greatest("lo", F.max("mid").over(before)).alias("short_lo"), F.greatest("lo", F.max("hi").over(before)).alias("long_lo"))
+    both = "short_lo = long_lo"
+    kinds = [(ITEMS, both, "long_lo", "mid", "hi"), (ITEMS_SHORT, f"not ({both}) and short_lo < mid", "short_lo", "mid", "mid"), (ITEMS_LONG, f"not ({both}) and long_lo < hi", "long_lo", "long_lo", "hi")]
+    some = F.explode(F.array(*(F.when(F.expr(cond), F.struct(F.lit(k).alias("kind"), *(F.col(c).alias(n) for c, n in ((lo, "lo"), (mid, "mid"), (hi, "hi"))))) for k, cond, lo, mid, hi in kinds)))
+    rows = free.select("client", some.alias("r")).where("r is not null").select("client", "r.kind", "r.lo", "r.mid", "r.hi").where("lo < hi")
+    return rows.select(*_interval(F.col("kind"), F.col("lo"), F.col("mid"), F.col("hi"), F.lit(1)))
 
 
-def point_in_time(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple[int, int] = (2, 14), lag_minutes: int = 240, horizon: int = 7, spread: int = 259_200, bucket: int = BUCKET, step: int = STEP) -> DataFrame:
+def point_in_time(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple[int, int] = (2, 14), lag_minutes: int = 240, horizon: int = 7, spread: int = 259_200, bucket: int = BUCKET) -> DataFrame:
     """(sale_id, d, t_us, label, n_clicks, n_purchases, click_cents, last_click_id, n_sales, sale_cents, n_lines, n_items,
     line_cents) for each sale and window of d days, shorter one first.
 
@@ -180,31 +200,35 @@ def point_in_time(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows
         shipped = lines.where("sale_id is not null and shipped_at is not null").groupBy("sale_id", micros(F.col("shipped_at")).alias("shipped"), F.col("item_id").alias("item")).agg(F.count("*").alias("n"), F.sum(cents(F.col("amount"))).alias("paid"))
         of_sale = told.where("known is not null and sale_id is not null").select("sale_id", "client", "at", "known")
         bounds = {"lo": in_units(F.greatest(at, known, F.col("shipped"))), "mid": ends[0], "hi": ends[1]}
-        rows = stored(shipped.join(of_sale, "sale_id").select("client", "item", "n", "paid", *(v.alias(k) for k, v in bounds.items())).where("lo < hi"), "lines")
-        put = rows.select(*_interval(LINES, F.col("lo"), F.col("mid"), F.col("hi"), F.col("n"), c=F.col("paid")))
+        rows = stored(shipped.join(of_sale.hint("merge"), "sale_id").select("client", "item", "n", "paid", *(v.alias(k) for k, v in bounds.items())).where("lo < hi"), "lines")
+        put = rows.groupBy("client", "lo", "mid", "hi").agg(F.sum("n").alias("n"), F.sum("paid").alias("paid")).select(*_interval(LINES, F.col("lo"), F.col("mid"), F.col("hi"), F.col("n"), c=F.col("paid")))
         level = max(0, (last - 1).bit_length() - 2)
-        items = _items(rows, ITEMS_SHORT, "mid", level).unionByName(_items(rows, ITEMS_LONG, "hi", level))
+        items = _items(rows, level)
 
         probes = told.select("client", F.call_function("div", F.col("t_us"), F.lit(unit)).alias("t")).distinct()
         events = reduce(DataFrame.unionByName, [own, sold, later, put, items])
         most = max(last, (horizon * DAY + unit - 1) // unit + 1)
-        sums = active(events, probes, most, bucket, step)
+        sums = active(events, probes, most, bucket)
         features = _features(sums, windows)
         told = told.withColumns({"t": F.call_function("div", F.col("t_us"), F.lit(unit))})
-        out = told.join(features, ["client", "t"], "left").select("sale_id", "t_us", F.coalesce("label", F.lit(False)).alias("label"), F.explode(_by_window(windows)).alias("f"))
+        out = told.join(features.hint("merge"), ["client", "t"], "left").select("sale_id", "t_us", F.coalesce("label", F.lit(False)).alias("label"), F.explode(_by_window(windows)).alias("f"))
         return keep(stored(out.select("sale_id", "f.d", "t_us", "label", *(f"f.{m}" for m in MEASURES)), "features"))
 
 
-#: Each measure: its column of the sums, its kinds of intervals for the shorter and the longer window.
-MEASURES = {"n_clicks": ("n", CLICKS, CLICKS), "n_purchases": ("p", CLICKS, CLICKS), "click_cents": ("c", CLICKS, CLICKS), "last_click_id": ("x", CLICKS, CLICKS), "n_sales": ("n", SALES, SALES), "sale_cents": ("c", SALES, SALES), "n_lines": ("n", LINES, LINES), "n_items": ("n", ITEMS_SHORT, ITEMS_LONG), "line_cents": ("c", LINES, LINES)}
+#: Each measure: its column of the sums, its kinds of intervals; those that count for the shorter or the longer window only.
+MEASURES = {"n_clicks": ("n", CLICKS), "n_purchases": ("p", CLICKS), "click_cents": ("c", CLICKS), "last_click_id": ("x", CLICKS), "n_sales": ("n", SALES), "sale_cents": ("c", SALES), "n_lines": ("n", LINES), "n_items": ("n", ITEMS), "line_cents": ("c", LINES)}
+ALONE = {ITEMS: (ITEMS_SHORT, ITEMS_LONG)}
 
 
 def _features(sums: DataFrame, windows: tuple[int, int]) -> DataFrame:
     """A row for each probe at which anything is active."""
     aggs = [(F.coalesce(F.max(F.col("kind") == LATER), F.lit(False))).alias("label")]
     for i in range(len(windows)):
-        for m, (c, *kinds) in MEASURES.items():
-            counts = (F.col("kind") == kinds[i]) & (F.lit(True) if i else F.col("short"))
+        for m, (c, kind) in MEASURES.items():
+            counts = F.col("kind") == kind
+            counts = counts if i else counts & F.col("short")
+            if kind in ALONE:
+                counts |= F.col("kind") == ALONE[kind][i]
             aggs.append((F.max if c == "x" else F.sum)(F.when(counts, F.col(c))).alias(f"{m}_{i}"))
     return sums.groupBy("client", "t").agg(*aggs)
 
