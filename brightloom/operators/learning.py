@@ -9,7 +9,9 @@ Empty tables give no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from .ranking import digits_for, free, ranked
 
 #: Rows of a range of a feature's values, and the most ranges of a feature.
 STUMP_ROWS, STUMP_RANGES = 100_000, 256
+#: The most classes of stumps, trees and boosting.
+CLASSES = 100
 
 
 def hash_order(key: str) -> Column:
@@ -126,51 +130,91 @@ def value_edges(df: DataFrame, features: list[str]) -> dict[str, list[float]]:
     return {f: sorted(set(x)) for f, x in zip(features, found, strict=True)}
 
 
-def stump(df: DataFrame, features: list[str], label: str = "y", weight: str | None = None, edges: dict[str, list[float]] | None = None) -> DataFrame:
-    """(feature, threshold, gini): the exact binary split of least weighted impurity for labels 0 and 1.
+def classes_of(df: DataFrame, label: str) -> list:
+    """The labels in order; more than CLASSES of them are an error, as each is a column of the running sums."""
+    found = [r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().limit(CLASSES + 1).collect()]
+    if len(found) > CLASSES:
+        raise ValueError(f"{label} has more than {CLASSES} values")
+    return sorted(found)
+
+
+def class_sums(label: str, classes: list, weight: Column) -> list[Column]:
+    """c0, c1...: a row's weight in the column of its class."""
+    return [F.when(F.col(label) == c, weight).otherwise(0.0).alias(f"c{i}") for i, c in enumerate(classes)]
+
+
+def gini(left: list[Column], right: list[Column]) -> Column:
+    """The weighted Gini impurity of a split, from the weights of each class on either side."""
+    total = lambda x: reduce(add, x)
+    side = lambda x: total(x) * (1 - total([v / total(x) * (v / total(x)) for v in x]))
+    return (side(left) + side(right)) / (total(left) + total(right))
+
+
+def splits(rows: DataFrame, features: list[str], sums: list[str], impurity: Callable[[list[Column], list[Column]], Column], edges: dict[str, list[float]]) -> DataFrame:
+    """(node, feature, threshold, score, left, total): every split between neighbouring values of a feature, for each node of
+    rows (node, features, sums), with the sums on its left and of the node. The first of the sums, or all, count the rows' weight.
 
     Rows of equal value are summed first. Running sums go over the distinct values within ranges (`edges`), to which the
     totals of the ranges before are added, so no feature meets in one task. The ranges don't change the result.
     """
-    edges = value_edges(df, features) if edges is None else edges
-    w = F.col(weight) if weight else F.lit(1.0)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s"), F.col(label).alias("y"), w.alias("w")).select("s.feature", "s.x", "y", "w")
-    at = long.where("x is not null and y is not null and w is not null").groupBy("feature", "x").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p"))
+    long = rows.select("node", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s"), *sums)
+    at = long.select("node", "s.feature", "s.x", *sums).where("x is not null and not isnan(x)").groupBy("node", "feature", "x").agg(*[F.sum(m).alias(m) for m in sums])
     part = F.lit(0)
     for f, cuts in edges.items():
         if cuts:
             part = F.when(F.col("feature") == f, F.size(F.filter(F.array(*map(F.lit, cuts)), lambda e: e < F.col("x")))).otherwise(part)
     at = at.withColumn("part", part)
     # a row for each range: what lies before it, the feature's totals, and the first value of the next range
-    by = Window.partitionBy("feature")
-    parts = at.groupBy("feature", "part").agg(F.sum("n").alias("pn"), F.sum("p").alias("pp"), F.min("x").alias("px"))
-    parts = parts.select("feature", "part", (F.sum("pn").over(by.orderBy("part")) - F.col("pn")).alias("bn"), (F.sum("pp").over(by.orderBy("part")) - F.col("pp")).alias("bp"), F.sum("pn").over(by).alias("n"), F.sum("pp").over(by).alias("p"), F.lead("px").over(by.orderBy("part")).alias("after"))
-    own = Window.partitionBy("feature", "part").orderBy("x")
+    by = Window.partitionBy("feature", "node")
+    parts = at.groupBy("feature", "node", "part").agg(*[F.sum(m).alias(m) for m in sums], F.min("x").alias("px"))
+    parts = parts.select("feature", "node", "part", *[(F.sum(m).over(by.orderBy("part")) - F.col(m)).alias(f"b_{m}") for m in sums], *[F.sum(m).over(by).alias(f"t_{m}") for m in sums], F.lead("px").over(by.orderBy("part")).alias("after"))
+    own = Window.partitionBy("feature", "node", "part").orderBy("x")
     up = own.rowsBetween(Window.unboundedPreceding, 0)
-    c = at.select("feature", "part", "x", F.lead("x").over(own).alias("next"), F.sum("n").over(up).alias("on"), F.sum("p").over(up).alias("op"))
-    c = c.join(F.broadcast(parts), ["feature", "part"])  # STUMP_RANGES rows a feature at most
-    c = c.select("feature", "x", F.coalesce("next", "after").alias("nx"), (F.col("on") + F.col("bn")).alias("nl"), (F.col("op") + F.col("bp")).alias("pl"), "n", "p").where("nx is not null")
-    gini = lambda n, p: n * (1 - F.pow(p / n, 2) - F.pow((n - p) / n, 2))
-    nr, pr = F.col("n") - F.col("nl"), F.col("p") - F.col("pl")
-    c = c.where((F.col("nl") > 0) & (nr > 0)).withColumn("gini", (gini(F.col("nl"), F.col("pl")) + gini(nr, pr)) / F.col("n"))
-    c = c.select("feature", ((F.col("x") + F.col("nx")) / 2).alias("threshold"), F.round("gini", 12).alias("gini"), (F.col("pl") / F.col("nl") >= 0.5).cast("int").alias("left"), (pr / nr >= 0.5).cast("int").alias("right"))
-    return c.orderBy("gini", "feature", "threshold").limit(1)
-
-
-def adaboost(df: DataFrame, key: str, features: list[str], label: str = "y", rounds: int = 10, every: int = 5) -> list[tuple[str, float, int, int, float]]:
-    """SAMME over stumps: (feature, threshold, left, right, alpha) of each round. Weights are checkpointed every few rounds."""
-    rows = df.select(key, label, *features).withColumn("w", F.lit(1.0))
+    c = at.select("feature", "node", "part", "x", F.lead("x").over(own).alias("next"), *[F.sum(m).over(up).alias(f"o_{m}") for m in sums])
+    c = c.join(F.broadcast(parts), ["feature", "node", "part"])  # STUMP_RANGES rows a feature and node at most
+    left = [F.col(f"o_{m}") + F.col(f"b_{m}") for m in sums]
+    c = c.select("node", "feature", "x", F.coalesce("next", "after").alias("nx"), *[v.alias(f"l_{m}") for v, m in zip(left, sums, strict=True)], *[f"t_{m}" for m in sums]).where("nx is not null")
+    below, above = [F.col(f"l_{m}") for m in sums], [F.col(f"t_{m}") - F.col(f"l_{m}") for m in sums]
+    weight = (lambda x: x[0]) if impurity is not gini else (lambda x: reduce(add, x))
+    c = c.where((weight(below) > 0) & (weight(above) > 0))
+    return c.select("node", "feature", ((F.col("x") + F.col("nx")) / 2).alias("threshold"), F.round(impurity(below, above), 12).alias("score"), F.array(*below).alias("left"), F.array(*[F.col(f"t_{m}") for m in sums]).alias("total"))
+
+
+def heaviest(sums: Column, classes: list) -> Column:
+    """The class of the largest sum, of equal ones the first."""
+    return F.element_at(F.array(*map(F.lit, classes)), F.array_position(sums, F.array_max(sums)).cast("int"))
+
+
+def stump(df: DataFrame, features: list[str], label: str = "y", weight: str | None = None, edges: dict[str, list[float]] | None = None, classes: list | None = None) -> DataFrame:
+    """(feature, threshold, gini, left, right): the exact binary split of least weighted impurity, and the heaviest class of
+    either side, for labels of any number of classes up to CLASSES."""
+    edges = value_edges(df, features) if edges is None else edges
+    classes = classes_of(df, label) if classes is None else classes
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    names = [f"c{i}" for i in range(len(classes))] or ["c0"]
+    sums = class_sums(label, classes, w) or [F.lit(0.0).alias("c0")]
+    rows = df.where(F.col(label).isNotNull() & w.isNotNull()).select(F.lit(1).alias("node"), *features, *sums)
+    best = splits(rows, features, names, gini, edges).orderBy("score", "feature", "threshold").limit(1)
+    right = F.transform(F.arrays_zip("left", "total"), lambda z: z["total"] - z["left"])
+    return best.select("feature", "threshold", F.col("score").alias("gini"), heaviest(F.col("left"), classes or [0]).alias("left"), heaviest(right, classes or [0]).alias("right"))
+
+
+def adaboost(df: DataFrame, key: str, features: list[str], label: str = "y", rounds: int = 10, every: int = 5) -> list[tuple]:
+    """SAMME over stumps, for any number of classes up to CLASSES: (feature, threshold, left, right, alpha) of each round.
+    Rows are written before the first round, weights every few rounds."""
+    rows = checkpointed(df.select(key, label, *features).withColumn("w", F.lit(1.0)))
+    classes = classes_of(rows, label)
     out, edges = [], value_edges(rows, features)
     for i in range(rounds):
-        s = stump(rows, features, label, "w", edges).first()
+        s = stump(rows, features, label, "w", edges, classes).first()
         if s is None:
             break
-        pred = F.when(F.col(s["feature"]) <= s["threshold"], s["left"]).otherwise(s["right"])
+        pred = F.when(F.col(s["feature"]) <= s["threshold"], F.lit(s["left"])).otherwise(F.lit(s["right"]))
         total = rows.agg((F.sum(F.when(pred != F.col(label), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("e"), F.sum("w").alias("w")).first()
         e = min(max(total["e"], 1e-10), 1 - 1e-10)
-        if e >= 0.5:
+        if e >= 1 - 1 / max(2, len(classes)):
             break
-        alpha = math.log((1 - e) / e)
+        alpha = math.log((1 - e) / e) + math.log(max(2, len(classes)) - 1)
         out.append((s["feature"], s["threshold"], s["left"], s["right"], alpha))
         if total["e"] <= 1e-10:
             break
@@ -180,12 +224,13 @@ def adaboost(df: DataFrame, key: str, features: list[str], label: str = "y", rou
     return out
 
 
-def boosted(model: list[tuple[str, float, int, int, float]]) -> Column:
-    """The prediction of adaboost's stumps."""
-    score = F.lit(0.0)
-    for f, t, left, right, a in model:
-        score = score + F.when(F.col(f) <= t, F.lit(a if left else -a)).otherwise(F.lit(a if right else -a))
-    return (score > 0).cast("int")
+def boosted(model: list[tuple]) -> Column:
+    """The class that adaboost's stumps give most weight, of equal ones the first; null without a stump."""
+    classes = sorted({c for _, _, left, right, _ in model for c in (left, right)})
+    if not classes:
+        return F.lit(None).cast("int")
+    votes = [reduce(add, [F.when(F.when(F.col(f) <= t, F.lit(left)).otherwise(F.lit(right)) == c, a).otherwise(0.0) for f, t, left, right, a in model]) for c in classes]
+    return heaviest(F.array(*votes), classes)
 
 
 def ols(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.functions import scalar
-from brightloom.operators import learning, metrics, paging, ranking, retrieval, series, snapshot, validation
+from brightloom.operators import cart, learning, metrics, paging, ranking, retrieval, series, snapshot, validation
 from brightloom.sources.tables import table
 from brightloom.streaming import windows
 
@@ -368,7 +368,8 @@ def date_backfill(s, d):
     ids = customers(s, d).select("c_custkey")
     r = ranking.ranked(ids, F.floor(F.col("c_custkey") / 100_000), [F.col("c_custkey")]).select("c_custkey", (F.col("rank") - 1).alias("i"), F.lit(ids.count()).alias("n"))
     hours = F.when(F.col("i") == 0, F.lit(90 * 24)).otherwise((F.col("n") - F.col("i")) * 36 + F.pmod(F.col("i") * 7, F.lit(24)))
-    return r.select("c_custkey", (F.lit("2025-01-01").cast("timestamp_ntz") - F.make_dt_interval(hours=hours.cast("int"))).alias("date_posted"))
+    back = F.make_dt_interval(days=F.floor(hours / 24).cast("int"), hours=F.pmod(hours, F.lit(24)).cast("int"))  # hours alone overflow from 60 million rows on
+    return r.select("c_custkey", (F.lit("2025-01-01").cast("timestamp_ntz") - back).alias("date_posted"))
 
 
 # ---- Metrics ---------------------------------------------------------------------------------------
@@ -592,14 +593,73 @@ def _fitted(s: SparkSession, d: str, kind: str, **more: int) -> DataFrame:
     return model.transform(learning.assembled(test, _FEATURES)).select("doc_id", "y", F.col("prediction").alias("pred"))
 
 
-@query()
+_X = """n_chars::double as chars, length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g'))::double as capitals, length(regexp_replace(coalesce(text, ''), '[^!#$%&*|]', '', 'g'))::double as marks"""
+_TRAINING = f"(select doc_id, quality::int as y, {_X}, row_number() over (partition by quality order by sha256(doc_id::varchar), doc_id) <= ceil(0.3::double * count(*) over (partition by quality)) as is_test from labels join documents using (doc_id))"
+_THREE = f"(select doc_id, case when quality = 0 then 0 when toxic = 1 then 2 else 1 end as y, {_X} from labels join documents using (doc_id))"
+
+
+def _level_sql(rows: str, sums: list[str], score: str, impure: str, level: int) -> str:
+    """Common tables of one level of an exact tree: b<level> has the best split of each node of `rows`."""
+    over = "(partition by node, f"
+    return f"""long{level} as (select node, y, unnest(['chars', 'capitals', 'marks']) as f, unnest([chars, capitals, marks]) as x from {rows}),
+        at{level} as (select node, f, x, {", ".join(f"{m} as m{i}" for i, m in enumerate(sums))} from long{level} group by all),
+        run{level} as (select node, f, x, lead(x) over {over} order by x) as nx, {", ".join(f"sum(m{i}) over {over} order by x) as l{i}, sum(m{i}) over {over}) as t{i}" for i in range(len(sums)))} from at{level}),
+        b{level} as (select *, (x + nx) / 2 as threshold from (select *, round({score}, 12) as score, row_number() over (partition by node order by round({score}, 12), f, x) as rn from run{level} where nx is not null and {impure}) where rn = 1)"""
+
+
+def _gini_sql(k: int) -> str:
+    side = lambda x: (n := "(" + " + ".join(x) + ")") + f" * (1 - ({' + '.join(f'{v} / {n} * ({v} / {n})' for v in x)}))"
+    return f"({side([f'l{i}' for i in range(k)])} + {side([f'(t{i} - l{i})' for i in range(k)])}) / ({' + '.join(f't{i}' for i in range(k))})"
+
+
+def _tree_sql(depth: int, sums: list[str], score: str, impure: str, leaf: str) -> str:
+    """Predictions of the test rows by an exact tree: each level sends rows to the children of their node."""
+    steps = [f"r0 as (select *, 1 as node from {_TRAINING})"]
+    for i in range(depth):
+        steps.append(_level_sql(f"(select * from r{i} where not is_test)", sums, score, impure, i))
+        steps.append(f"r{i + 1} as (select r.doc_id, r.y, r.chars, r.capitals, r.marks, r.is_test, case when b.node is null then r.node when case b.f when 'chars' then chars when 'capitals' then capitals else marks end <= threshold then 2 * r.node else 2 * r.node + 1 end as node from r{i} r left join b{i} b on b.node = r.node)")
+    return f"with {', '.join(steps)}, v as (select node, {leaf} as pred from r{depth} where not is_test group by node) select doc_id, y, pred from r{depth} join v using (node) where is_test"
+
+
+_CLASSES2 = [f"count(*) filter (where y = {k})::double" for k in (0, 1)]
+_MOMENTS = ["count(*)::double", "sum(y)::double", "sum(y * y)::double"]
+_MSE = "((l2 - l1 * l1 / l0) + ((t2 - l2) - (t1 - l1) * (t1 - l1) / (t0 - l0))) / t0"
+
+
+@query(_tree_sql(4, _CLASSES2, _gini_sql(2), "t0 > 0 and t1 > 0", "case when count(*) filter (where y = 1) > count(*) filter (where y = 0) then 1 else 0 end"))
 def dt_classify(s, d):
-    return _fitted(s, d, "tree", maxDepth=4)
+    train, test = _training(s, d)
+    return test.select("doc_id", "y", cart.classification_tree(train, _FEATURES, depth=4).predict().alias("pred"))
 
 
-@query()
+@query(_tree_sql(5, _MOMENTS, _MSE, "t2 / t0 - pow(t1 / t0, 2) > 1e-12", "round(avg(y), 9)"))
 def dt_regress(s, d):
-    return _fitted(s, d, "regression_tree", maxDepth=5)
+    train, test = _training(s, d)
+    return test.select("doc_id", "y", F.round(cart.regression_tree(train, _FEATURES, depth=5).predict(), 9).alias("pred"))
+
+
+def _three_classes(s: SparkSession, d: str) -> DataFrame:
+    """Bad, good and clean, good and toxic documents with their features."""
+    train, test = _training(s, d)
+    toxic = table(s, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("bad"))
+    y = F.when(F.col("y") == 0, 0).when(F.col("bad"), 2).otherwise(1)
+    return train.unionByName(test).join(toxic, "doc_id").withColumn("y", y).drop("bad")
+
+
+@query(f"""with {_level_sql(f"(select *, 1 as node from {_THREE})", [f"count(*) filter (where y = {k})::double" for k in (0, 1, 2)], _gini_sql(3), "true", 0)}
+    select f as feature, threshold, round(score, 6) as gini, case when l0 >= l1 and l0 >= l2 then 0 when l1 >= l2 then 1 else 2 end as "left",
+           case when t0 - l0 >= t1 - l1 and t0 - l0 >= t2 - l2 then 0 when t1 - l1 >= t2 - l2 then 1 else 2 end as "right" from b0""")
+def stump_three(s, d):
+    """The best split among three classes."""
+    return learning.stump(_three_classes(s, d), _FEATURES).withColumn("gini", F.round("gini", 6))
+
+
+@query()
+def adaboost_three(s, d):
+    """SAMME with three classes: the vote of 20 stumps."""
+    rows = learning.stratified_split(_three_classes(s, d), "doc_id", "y", 0.3)
+    model = learning.adaboost(rows.where("not is_test"), "doc_id", _FEATURES, rounds=20)
+    return rows.where("is_test").select("doc_id", "y", learning.boosted(model).alias("pred"))
 
 
 @query()
