@@ -43,3 +43,20 @@ def envelope(rows: DataFrame, skip: int, limit: int) -> DataFrame:
     total = F.count("*")
     returned = F.greatest(F.lit(0), F.least(F.lit(limit), total - skip))
     return rows.agg(total.alias("total"), F.lit(skip).alias("skip"), F.lit(limit).alias("limit"), returned.cast("long").alias("returned"), (F.lit(skip) + returned < total).alias("has_more"))
+
+
+def response(rows: DataFrame, order: list[Column], related: DataFrame, left: str, right: str, item: list[Column], author: list[Column], skip: int = 0, limit: int = 10) -> DataFrame:
+    """One row (posts, total, skip, limit, has_more): the page as an array in its order, each item a struct of `item` and of
+    author, a struct of `author` over the related row (null where there is none). Beyond the end the array is empty.
+
+    Only the page's rows are brought together; the total is one count."""
+    some = page(rows, order, skip, limit)
+    taken = some.collect()  # `limit` rows, 100 at most
+    session, at = rows.sparkSession, "position" + "_" * max(map(len, [*rows.columns, *related.columns]))
+    placed = session.createDataFrame([(i, *r) for i, r in enumerate(taken)], f"{at} int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema))
+    joined = with_related(placed, related, left, right)
+    of = F.when(F.col(right).isNotNull(), F.struct(*author)).alias("author")
+    one = F.struct(F.col(at), F.struct(*item, of).alias("item"))
+    posts = joined.agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["item"]).alias("posts"))
+    numbers = envelope(rows, skip, limit).select("total", "skip", "limit", "has_more")
+    return posts.join(F.broadcast(numbers), F.lit(True))  # one row each

@@ -73,6 +73,18 @@ def page_envelope(s, d):
     return paging.envelope(orders(s, d), 20, 10)
 
 
+@query("""with p as (select * from orders order by o_orderdate desc, o_orderkey desc limit 10 offset 20), n as (select count(*) as total from orders)
+    select to_json(list({'id': o_orderkey, 'title': o_orderstatus, 'date_posted': strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), 'user_id': o_custkey, 'author': case when c_custkey is not null then {'id': c_custkey, 'username': c_name} end} order by o_orderdate desc, o_orderkey desc))::varchar as posts,
+           any_value(total) as total, 20 as skip, 10 as "limit", 20 + count(*) < any_value(total) as has_more from p left join customer on c_custkey = o_custkey, n""")
+def page_response(s, d):
+    """The nested page with its authors, as the text of the response's array."""
+    item = [F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("date_posted"), F.col("o_custkey").alias("user_id")]
+    author = [F.col("c_custkey").alias("id"), F.col("c_name").alias("username")]
+    rows = orders(s, d).select("o_orderkey", "o_orderstatus", "o_orderdate", "o_custkey")
+    got = paging.response(rows, newest(), customers(s, d).select("c_custkey", "c_name"), "o_custkey", "c_custkey", item, author, 20, 10)
+    return got.withColumn("posts", F.to_json("posts", {"ignoreNullFields": "false"}))
+
+
 @query("with r as (select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey desc) - 1 as n from orders) select cast(n // 10 as int) as page, o_orderkey from r where n < 50")
 def page_sequence(s, d):
     parts = [paging.page(orders(s, d).select("o_orderkey", "o_orderdate"), newest(), 10 * i, 10).select(F.lit(i).alias("page"), "o_orderkey") for i in range(5)]
@@ -185,6 +197,23 @@ def json_response(s, d):
     return customers(s, d).select("c_custkey", F.to_json(of, {"ignoreNullFields": "false"}).alias("body"))
 
 
+_BODY = [validation.Field("k", "int", least=0, most=89), validation.Field("device.ver", required=False, most=3)]
+
+
+@query("""with c as (select click_id, props, json_valid(props) as ok, case when json_valid(props) then props ->> '$.k' end as k, case when json_valid(props) then json_extract_string(props, '$.device.ver') end as ver, case when json_valid(props) then json_type(props, '$.device') end as device from clicks),
+    e as (select *, case when props is null then {'p': 'body', 'm': 'Field required'} when not ok then {'p': 'body', 'm': 'JSON decode error'} end as e0,
+             case when ok then case when k is null then {'p': 'body.k', 'm': 'Field required'} when not regexp_full_match(trim(k), '[+-]?[0-9]{1,18}') then {'p': 'body.k', 'm': 'Input should be a valid integer'}
+                 when trim(k)::bigint < 0 then {'p': 'body.k', 'm': 'Input should be greater than or equal to 0'} when trim(k)::bigint > 89 then {'p': 'body.k', 'm': 'Input should be less than or equal to 89'} end end as e1,
+             case when ok then case when device is not null and device <> 'NULL' and ver is null then {'p': 'body.device.ver', 'm': 'Field required'} when length(ver) > 3 then {'p': 'body.device.ver', 'm': 'String should have at most 3 characters'} end end as e2 from c),
+    l as (select *, list_filter([e0, e1, e2], lambda x: x is not null) as errors from e)
+    select click_id, case when e0 is null and e1 is null then trim(k)::bigint end as k, case when e0 is null and e2 is null then ver end as ver, array_to_string(list_transform(errors, lambda x: x.p), ',') as places, array_to_string(list_transform(errors, lambda x: x.m), '. ') as message from l""")
+def request_errors(s, d):
+    """Bodies of clicks: typed fields of the good ones, places and messages of the bad ones, in one pass."""
+    rows = validation.checked(table(s, d, "clicks").select("click_id", "props"), "props", _BODY)
+    places = F.array_join(F.transform("errors", lambda e: e["place"]), ",")
+    return rows.select("click_id", "parsed.k", F.col("parsed.device_ver").alias("ver"), places.alias("places"), scalar.joined_messages(F.col("errors")).alias("message"))
+
+
 # ---- Filters and joins -----------------------------------------------------------------------------
 
 

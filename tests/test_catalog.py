@@ -9,7 +9,7 @@ import pytest
 from brightloom.operators import learning
 from brightloom.plans import catalog
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks".split()
 
 
 @pytest.fixture(scope="session")
