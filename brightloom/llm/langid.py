@@ -57,7 +57,8 @@ class Languages:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(best language's index, its probability, its lead) for rows of one margin a bit."""
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]) @ self.trust
+        # a bit's loss has two values, so the sums over bits are two products; rows x languages is all that is held
+        loss = (np.logaddexp(0, -margins) * self.trust) @ (self.code.T > 0) + (np.logaddexp(0, margins) * self.trust) @ (self.code.T < 0)
         p = np.exp(loss.min(axis=1, keepdims=True) - loss)
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
@@ -80,7 +81,7 @@ def learn(labelled: DataFrame) -> Languages:
     # a doc_id that repeats has the smallest of its values of lang
     picked = rows.where(among_first(F.col("doc_id"), per, sizes)).groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per).select("doc_id", "lang")
     picked = {r["doc_id"]: r["lang"] for r in picked.collect()}  # SAMPLE rows at most
-    ids, x = collected_features(labelled, list(picked))
+    ids, x = collected_features(labelled, list(picked.items()), label="lang")
     at = np.array([names.index(picked[d]) for d in ids.tolist()])
     code = codewords(len(names))
     y = (code[at] > 0).astype(np.float64)

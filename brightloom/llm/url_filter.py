@@ -176,9 +176,10 @@ def suffix_rates(labelled: DataFrame) -> np.ndarray:
 def train(labelled: DataFrame) -> tuple[Trees, np.ndarray]:
     """(trees, suffix statistics) from rows (url, label), label 1 for blocked."""
     prepare(labelled.sparkSession)
+    labelled = labelled.where("label in (0, 1)")
     rates = suffix_rates(labelled)
     urls, labels = [], []
-    counts = {r["label"]: r["count"] for r in labelled.where("label in (0, 1)").groupBy("label").count().collect()}  # two rows
+    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}  # two rows
     for y in sorted(counts):
         few = labelled.where((F.col("label") == y) & among_first(F.col("url"), SAMPLE, counts[y]))
         some = few.select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(SAMPLE).collect()  # SAMPLE rows
