@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, scratch, stored
 
-#: Probes of a stretch that are compared instead of split.
-BUCKET = 64
+#: Probes of a stretch that are compared instead of split, and the least number of levels that one is split into at once.
+BUCKET, DOWN = 64, 6
 DAY, MINUTE = 86_400_000_000, 60_000_000
 #: Kinds of intervals. Of distinct items some count in both windows, some in one.
 CLICKS, SALES, LINES, ITEMS, ITEMS_SHORT, ITEMS_LONG, LATER = range(7)
@@ -101,8 +101,9 @@ def active(intervals: DataFrame, probes: DataFrame, span: int, bucket: int = BUC
     found, result = [], ("client", "t", "kind", "short", "n", "p", "c", "x")
     while True:
         held = probes.groupBy(at).agg(F.count("*").alias("held"))
-        # so many levels down that a stretch has about a quarter of a bucket to half of it, were the probes spread evenly
-        down = F.least("level", F.ceil(F.log2(F.col("held") / bucket)).cast("int") + 1)
+        # so many levels down that a stretch has about a quarter of a bucket to half of it, were the probes spread evenly;
+        # as they aren't, a few levels more save most stretches another round
+        down = F.least("level", F.greatest(F.lit(DOWN), F.ceil(F.log2(F.col("held") / bucket)).cast("int") + 1))
         held = stored(held.select(*at, F.when(F.col("held") > bucket, F.col("level") - down).alias("below")), "cells")
         dense = held.where("below is not null")
         probes = stored(probes.join(held.hint("merge"), at), "probes")
@@ -126,7 +127,8 @@ def active(intervals: DataFrame, probes: DataFrame, span: int, bucket: int = BUC
         ends = [F.expr(f"if(shiftleft(shiftright({e}, below), below) <> {e}, shiftright({e}, below), null)") for e in ("lo", "mid", "hi")]
         edges = split.withColumn("cell", F.explode(F.array_distinct(F.array(*ends)))).where("cell is not null").withColumnRenamed("below", "level")
         # ends at one time, as of lines shipped on one day or of one sale, are added up before they are dealt out
-        pieces = _cut(edges).where("lo < hi").groupBy(*at, "lo", "mid", "hi", "kind").agg(*_sums()).unionByName(covering)
+        same = _cut(edges).where("lo < hi").groupBy(*at, "lo", "mid", "hi", "kind").agg(*_sums())
+        pieces = stored(same.unionByName(covering), "pieces")
         probes = probes.select("client", "t", F.col("below").alias("level"), "cell")
 
 
