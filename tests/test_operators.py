@@ -374,9 +374,11 @@ def test_unit_root_statistic_by_least_squares():
     assert t == pytest.approx(b[0] / np.sqrt(s2 * np.linalg.inv(x.T @ x)[0, 0]))
 
 
-def test_search_in_slices_of_any_vectors(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "SLICE", 5)
-    monkeypatch.setattr(nearest, "ROWS", 7)
+@pytest.mark.parametrize(("cell", "part", "block"), [(16384, 16384, 4096), (8, 3, 5), (30, 16384, 2)])
+def test_search_of_any_vectors(spark, monkeypatch, cell, part, block):
+    monkeypatch.setattr(nearest, "CELL", cell)
+    monkeypatch.setattr(nearest, "PART", part)
+    monkeypatch.setattr(nearest, "QUERIES", block)
     rng = np.random.default_rng(1)
     x = [rng.integers(0, 4, 3).astype(float).tolist() for _ in range(90)] + [None, [1.0, None, 2.0], [1.0, 2.0], [0.0, 0.0, 0.0], []]
     table = spark.createDataFrame([(i, v, f"l{i % 3}", "qx") for i, v in enumerate(x)] + [(None, [1.0, 1.0, 1.0], "l", "qx")], "id long, x array<double>, label string, qx string").repartition(4)
@@ -399,7 +401,39 @@ def test_search_in_slices_of_any_vectors(spark, monkeypatch):
             want += [(q, n, i, round(-d, 6)) for n, (d, i) in enumerate(near, 1)]
     assert found == sorted(want)
     assert learning.neighbours(table.limit(0), query, 2).count() == 0 and learning.neighbours(table, query.limit(0), 2).count() == 0
-    assert "Exchange hashpartitioning(id" not in plan_of(learning.neighbours(table, query, 2))
+
+
+def test_pivots_rule_out_cells(spark, monkeypatch):
+    """Clustered rows, a third of them alike: the same rows as by trying all, from a share of the rows that falls as the table grows."""
+    monkeypatch.setattr(nearest, "CELL", 50)
+    monkeypatch.setattr(nearest, "PART", 60)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 6)) * 20
+    shares = []
+    for n in (600, 3600):
+        x = centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 6))
+        x[: n // 3] = x[0]
+        rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)]
+        table = spark.createDataFrame(rows, "id long, x array<double>, label int").repartition(4)
+        query = table.where("id % 20 = 0").select(F.col("id").alias("q"), "x")
+        for cosine in (False, True):
+            search = nearest.Search(table, query, 3, cosine)
+            got = sorted((r["q"], r["rn"], r["id"], r["label"], round(r["found"], 7)) for r in search.result().collect())
+            want = []
+            for q in range(0, n, 20):
+                if cosine:
+                    v = -np.round(x @ x[q] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q]), 8)
+                    v[q] = np.inf
+                else:
+                    v = np.round(np.linalg.norm(x - x[q], axis=1), 8)
+                order = np.lexsort((np.arange(n), v))[:3]
+                want += [(q, m, int(i), int(i) % 3, round(float(abs(v[i]) if not cosine else -v[i]), 7)) for m, i in enumerate(order, 1)]
+            assert got == sorted(want)
+            met = search.compared().where("q >= %d" % (n // 3 + 1)).agg(F.avg("rows")).first()[0] / n
+            assert met < 0.5
+            if not cosine:
+                shares.append(met)
+    assert shares[1] < 0.7 * shares[0]
 
 
 def best_split(rows, features):
