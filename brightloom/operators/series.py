@@ -1,16 +1,17 @@
-"""Daily series (series_id, ds, value): gaps, differences, autocorrelation, unit roots, ARIMA fits and forecasts.
+"""Daily series (series_id, ds, value): gaps, a spine of days, differences, autocorrelation, unit roots, ARIMA fits and forecasts.
 
-Windows are partitioned by series_id. Fits run one series in a group, in NumPy over Arrow.
+Windows are partitioned by series_id. ARIMA fits run TOGETHER series at a time, in NumPy over Arrow, as rows stream in order.
 
 Defined results: one row for each day of a series is expected; of rows that repeat a day the order is that of their values. Rows
-without a day or a value are left out, as days that are missing, but gaps() looks at days alone. A null series_id is a series. Fits take
-the days that are there as neighbours. A series without variation has null autocorrelations, statistics and fits, and so has
+without a day or a value are left out, as days that are missing, but gaps() looks at days alone. A null series_id is a series. ARIMA fits skip
+missing days, with the likelihood of those that are there; differences, autocorrelations, unit root tests and ar1_cls take the days that are there as neighbours. A series without variation has null autocorrelations, statistics and fits, and so has
 one that is too short (LEAST days for a fit or a unit root test, 4 for the Dickey-Fuller statistic, 3 for an AR(1) by least squares). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from brightloom.session import shipped
 
 #: Days of the shortest series that is fitted.
 LEAST = 8
+#: Series that are fitted together.
+TOGETHER = 32
 #: Fixed values of MacKinnon (1994), one variable, constant term: the statistic's range, and the polynomials that give the
 #: normal quantile of the p-value up to TAU_STAR and beyond it.
 TAU_LEAST, TAU_STAR, TAU_MOST = -18.83, -1.61, 2.74
@@ -51,6 +54,15 @@ def gaps(df: DataFrame) -> DataFrame:
     return df.where("ds is not null").withColumn("next_ds", F.lead("ds").over(_w())).where(F.datediff("next_ds", "ds") != 1).select("series_id", "ds", "next_ds")
 
 
+def spine(df: DataFrame) -> DataFrame:
+    """(series_id, ds, value): a row for each day from a series' first to its last, with a null value where the day is missing.
+    Days come from a series' two ends; of rows that repeat a day the smallest value stays."""
+    known = _known(df).groupBy("series_id", F.col("ds").cast("date").alias("ds")).agg(F.min("value").alias("value"))
+    days = known.groupBy("series_id").agg(F.min("ds").alias("a"), F.max("ds").alias("b")).select(F.col("series_id").alias("of"), F.explode(F.sequence("a", "b")).alias("day"))
+    joined = days.join(known, F.col("of").eqNullSafe(F.col("series_id")) & (F.col("day") == F.col("ds")), "left")
+    return joined.select(F.col("of").alias("series_id"), F.col("day").alias("ds"), "value")
+
+
 def diff(df: DataFrame) -> DataFrame:
     return _known(df).withColumn("d", F.col("value") - F.lag("value").over(_w())).where("d is not null").select("series_id", "ds", "d")
 
@@ -150,77 +162,159 @@ def adf(df: DataFrame) -> DataFrame:
     return _known(df).groupBy("series_id").applyInPandas(run, f"series_id {dict(df.dtypes)['series_id']}, stat double, lag int, pvalue double")
 
 
-def _innovations(v: np.ndarray, ar: float, ma: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """(one-step errors, their variances over sigma^2, the next step's mean) of a stationary ARMA(1,1), by the Kalman filter."""
-    p11 = (1 + 2 * ar * ma + ma * ma) / (1 - ar * ar)
-    a1, a2, p12, p22 = 0.0, 0.0, ma, ma * ma
-    e, f = np.empty(len(v)), np.empty(len(v))
-    for t, y in enumerate(v):
-        e[t], f[t] = y - a1, p11
-        g1, g2 = p11 / f[t], p12 / f[t]
-        u1, u2 = a1 + g1 * e[t], a2 + g2 * e[t]
-        c11, c12, c22 = p11 - g1 * p11, p12 - g1 * p12, p22 - g2 * p12
-        a1, a2 = ar * u1 + u2, 0.0
-        p11, p12, p22 = ar * ar * c11 + 2 * ar * c12 + c22 + 1, ma, ma * ma
-    return e, f, a1
-
-
-def arima_fit(v: np.ndarray, p: int, d: int, q: int) -> dict[str, float]:
-    """Exact maximum likelihood of ARIMA(p<=1, d<=1, q<=1), with a constant where d is 0, by a refined grid.
+def _filtered(y: np.ndarray, ar: np.ndarray, ma: np.ndarray, d: int, mean: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The Kalman filter of ARIMA(1,d,1) for many series (rows of y, NaN where a day is missing) and many parameters at once.
 
-    The mean of an undifferenced series is profiled out by least squares on the whitened series.
+    (days, sum of squared scaled errors, sum of log variances, mean, the next days' state) for each series and parameter. The
+    state is (level before the day, w of the day, what the day's error adds tomorrow). A missing day moves the state on without
+    an error, so the likelihood is that of the days that are there. With d the first day that is there is given, and its
+    level known. With mean, a second filter over ones gives the mean by least squares.
     """
-    w = np.diff(v) if d else v
-
-    def likelihood(ar: float, ma: float) -> tuple[float, float]:
+    one = np.ones(np.broadcast_shapes(y[:, :1].shape, ar.shape))
+    ar, ma, zero = ar * one, ma * one, 0 * one
+    # variances and covariances of the state over sigma^2: those of a stationary w
+    pww, pwu, puu, pll, plw, plu = (1 + 2 * ar * ma + ma * ma) / (1 - ar * ar), ma.copy(), ma * ma, zero.copy(), zero.copy(), zero.copy()
+    a = [[zero.copy(), zero.copy(), zero.copy()] for _ in range(1 + mean)]  # states of the series and of ones
+    n, logs = zero.copy(), zero.copy()
+    sums = [[zero.copy() for _ in range(1 + mean)] for _ in range(1 + mean)]
+    begun = np.zeros((len(y), 1), bool)
+    for t in range(y.shape[1]):
+        now = y[:, t : t + 1]
+        there = ~np.isnan(now)
         if d:
-            mean = 0.0
-            e, f, _ = _innovations(w, ar, ma)
+            first = there & ~begun
+            a[0][0] = np.where(first, now - a[0][1], a[0][0])  # the first day sets the level; its w isn't told by it
+            pll, plw, plu = np.where(first, pww, pll), np.where(first, -pww, plw), np.where(first, -pwu, plu)
+            seen = there & begun
+            begun = begun | there
         else:
-            e1, f, _ = _innovations(w, ar, ma)
-            e0, _, _ = _innovations(np.ones(len(w)), ar, ma)
-            mean = float((e0 * e1 / f).sum() / (e0 * e0 / f).sum())
-            e = e1 - mean * e0
-        return len(w) * math.log(max(1e-300, float((e * e / f).mean()))) + float(np.log(f).sum()), mean
-
-    at, width = [0.0, 0.0], 0.96
+            seen = there
+        # the day's value is w, and the level with d
+        f = pww + (pll + 2 * plw if d else 0)
+        cl, cw, cu = (pll + plw, plw + pww, plu + pwu) if d else (plw, pww, pwu)
+        use = seen & (f > 0)
+        f = np.where(use, f, 1.0)
+        e = [np.where(use, v - (s[1] + s[0] if d else s[1]), 0.0) for v, s in zip((now, 1.0), a)]
+        gl, gw, gu = (np.where(use, c / f, 0.0) for c in (cl, cw, cu))
+        n, logs = n + use, logs + np.where(use, np.log(f), 0.0)
+        for i in range(1 + mean):
+            for j in range(i + 1):
+                sums[i][j] = sums[i][j] + e[i] * e[j] / f
+        pll, plw, plu, pww, pwu, puu = pll - gl * cl, plw - gl * cw, plu - gl * cu, pww - gw * cw, pwu - gw * cu, puu - gu * cu
+        a = [[s[0] + gl * x, s[1] + gw * x, s[2] + gu * x] for s, x in zip(a, e)]
+        # tomorrow: the level takes in w, w' = ar w + u + error, u' = ma error
+        a = [[s[0] + s[1], ar * s[1] + s[2], zero] for s in a]
+        if d:
+            pll, plw = pll + 2 * plw + pww, ar * (plw + pww) + plu + pwu
+            plu = zero
+        pww, pwu, puu = ar * ar * pww + 2 * ar * pwu + puu + 1, ma, ma * ma
+    m = sums[1][0] / np.where(sums[1][1] > 0, sums[1][1], 1.0) if mean else zero
+    square = sums[0][0] - (2 * m * sums[1][0] - m * m * sums[1][1] if mean else 0.0)
+    state = np.stack([a[0][i] - (m * a[1][i] if mean else 0.0) for i in range(2)] + [a[0][2]])
+    return n, square, logs, m, state
+
+
+def arima_fits(y: np.ndarray, p: int, d: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ar, ma, mean) of each row of y, whose missing days are NaN: exact maximum likelihood of ARIMA(p<=1, d<=1, q<=1), with a
+    constant where d is 0, by a refined grid. All rows and grid points are filtered together."""
+    at, width = np.zeros((len(y), 2)), 0.96
     for _ in range(9):
-        axis = [np.unique(np.clip(np.linspace(c - width, c + width, 9), -0.995, 0.995)) if used else np.zeros(1) for c, used in zip(at, (p, q), strict=True)]
-        _, at = min((likelihood(a, m)[0], [float(a), float(m)]) for a in axis[0] for m in axis[1])
+        axes = [np.clip(c[:, None] + np.linspace(-width, width, 9), -0.995, 0.995) if used else np.zeros((len(y), 1)) for c, used in zip(at.T, (p, q), strict=True)]
+        ar, ma = np.repeat(axes[0], axes[1].shape[1], axis=1), np.tile(axes[1], (1, axes[0].shape[1]))
+        n, square, logs, _, _ = _filtered(y, ar, ma, d, not d)
+        best = (n * np.log(np.maximum(1e-300, square / np.maximum(1, n))) + logs).argmin(axis=1)
+        at = np.stack([ar[np.arange(len(y)), best], ma[np.arange(len(y)), best]], axis=1)
         width /= 3
-    mean = likelihood(*at)[1]
-    return {"ar": at[0], "ma": at[1], "mean": mean}
+    return at[:, 0], at[:, 1], _filtered(y, at[:, :1], at[:, 1:], d, not d)[3][:, 0]
+
+
+def arima_fit(v: np.ndarray, p: int, d: int, q: int) -> dict[str, float]:
+    """The fit of one series, in which NaN is a missing day."""
+    return dict(zip(("ar", "ma", "mean"), (float(x[0]) for x in arima_fits(v[None], p, d, q)), strict=True))
 
 
 def arima_forecast(v: np.ndarray, fit: dict[str, float], d: int, steps: int) -> np.ndarray:
-    w = (np.diff(v) if d else v) - fit["mean"]
-    nxt = _innovations(w, fit["ar"], fit["ma"])[2]
+    """The means of the days after v, in which NaN is a missing day."""
+    level, nxt = _filtered((v - fit["mean"])[None], np.array([[fit["ar"]]]), np.array([[fit["ma"]]]), d, False)[4][:2, 0, 0]
     out = fit["mean"] + nxt * fit["ar"] ** np.arange(steps)
-    return v[-1] + np.cumsum(out) if d else out
+    return level + np.cumsum(out) if d else out
+
+
+def _series(parts: Iterator[pd.DataFrame]) -> Iterator[list[tuple[object, pd.Series, np.ndarray]]]:
+    """Lists of up to TOGETHER series (id, days, values) from sorted rows; a series may span batches."""
+    held, of = [], []
+
+    def closed() -> tuple[object, pd.Series, np.ndarray]:
+        whole = pd.concat(of)
+        return whole["series_id"].iloc[0], whole["ds"], whole["value"].to_numpy(np.float64)
+
+    for pdf in parts:
+        starts = (pdf["series_id"] != pdf["series_id"].shift()) & ~(pdf["series_id"].isna() & pdf["series_id"].shift().isna())
+        for _, some in pdf.groupby(starts.cumsum()) if len(pdf) else ():
+            new, old = some["series_id"].iloc[0], of[0]["series_id"].iloc[0] if of else None
+            if of and not (new == old or pd.isna(new) and pd.isna(old)):
+                held.append(closed())
+                of = []
+                if len(held) == TOGETHER:
+                    yield held
+                    held = []
+            of.append(some)
+    if of:
+        yield [*held, closed()]
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    """Known days, each series in one partition and in order."""
+    return _known(df).select("series_id", F.col("ds").cast("date").alias("ds"), F.col("value").cast("double").alias("value")).repartition("series_id").sortWithinPartitions("series_id", "ds", "value")
+
+
+def on_days(ds: pd.Series, v: np.ndarray) -> np.ndarray:
+    """Values by day from the first to the last, NaN where a day is missing; of rows that repeat a day the smallest value."""
+    at = (pd.to_datetime(ds) - pd.to_datetime(ds.iloc[0])).dt.days.to_numpy()
+    out = np.full(at[-1] + 1, np.nan)
+    out[at[::-1]] = v[::-1]
+    return out
 
 
-def arima(df: DataFrame, p: int, d: int, q: int) -> DataFrame:
-    """(series_id, ar, ma, mean) of each series."""
+def _padded(days: list[np.ndarray]) -> np.ndarray:
+    """One row for each series; days after the end are missing ones."""
+    out = np.full((len(days), max(map(len, days))), np.nan)
+    for i, v in enumerate(days):
+        out[i, : len(v)] = v
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = _sorted(pdf)["value"].to_numpy()
-        fit = arima_fit(v, p, d, q) if _fits(v) else dict.fromkeys(("ar", "ma", "mean"))
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], **{k: [x] for k, x in fit.items()}})
 
-    return _known(df).groupBy("series_id").applyInPandas(run, f"series_id {dict(df.dtypes)['series_id']}, ar double, ma double, mean double")
+def arima(df: DataFrame, p: int, d: int, q: int) -> DataFrame:
+    """(series_id, ar, ma, mean) of each series. Missing days are skipped by the filter."""
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in _series(parts):
+            fit = [i for i, (_, _, v) in enumerate(some) if _fits(v)]
+            out = pd.DataFrame({"series_id": [x[0] for x in some]}).assign(ar=np.nan, ma=np.nan, mean=np.nan)
+            if fit:
+                out.loc[fit, ["ar", "ma", "mean"]] = np.stack(arima_fits(_padded([on_days(*some[i][1:]) for i in fit]), p, d, q), axis=1)
+            yield out.astype({"series_id": object}).replace({np.nan: None})
 
-def arima_holdout(df: DataFrame, p: int, d: int, q: int, share: float = 0.75) -> DataFrame:
-    """(series_id, ds, y_true, y_pred): fitted on the first days, forecast over the rest."""
+    return _in_order(df).mapInPandas(run, f"series_id {dict(df.dtypes)['series_id']}, ar double, ma double, mean double")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted(pdf)
-        v = pdf["value"].to_numpy()
-        n = int(len(v) * share)
-        told = arima_forecast(v[:n], arima_fit(v[:n], p, d, q), d, len(v) - n) if _fits(v[:n]) else None
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[n:], "ds": pdf["ds"].iloc[n:], "y_true": v[n:], "y_pred": told})
 
-    return _known(df).groupBy("series_id").applyInPandas(run, f"series_id {dict(df.dtypes)['series_id']}, ds date, y_true double, y_pred double")
+def arima_holdout(df: DataFrame, p: int, d: int, q: int, share: float = 0.75) -> DataFrame:
+    """(series_id, ds, y_true, y_pred): fitted on the first share of the known days, forecast for the others by the calendar."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in _series(parts):
+            cut = [int(len(v) * share) for _, _, v in some]
+            fit = [i for i, (_, _, v) in enumerate(some) if _fits(v[: cut[i]])]
+            days = {i: on_days(some[i][1].iloc[: cut[i]], some[i][2][: cut[i]]) for i in fit}
+            fits = dict(zip(fit, zip(*arima_fits(_padded(list(days.values())), p, d, q), strict=True), strict=True)) if fit else {}
+            for i, (key, ds, v) in enumerate(some):
+                rest, told = ds.iloc[cut[i] :], None
+                if i in fits and len(rest):
+                    ahead = (pd.to_datetime(rest) - pd.to_datetime(ds.iloc[cut[i] - 1])).dt.days.to_numpy()
+                    told = arima_forecast(days[i], dict(zip(("ar", "ma", "mean"), map(float, fits[i]), strict=True)), d, int(ahead[-1]))[np.maximum(ahead - 1, 0)]
+                yield pd.DataFrame({"series_id": pd.Series([key] * len(rest), dtype=object), "ds": rest.to_numpy(), "y_true": v[cut[i] :], "y_pred": told})
+
+    return _in_order(df).mapInPandas(run, f"series_id {dict(df.dtypes)['series_id']}, ds date, y_true double, y_pred double")
 
 
 def ar1_cls(df: DataFrame) -> DataFrame:

@@ -733,6 +733,21 @@ def ts_gaps(s, d):
     return series.gaps(_daily(s, d).where(F.dayofmonth("ds") % 7 != 0))
 
 
+_SOME_DAYS = f"(select * from {_DAILY} where day(ds) % 7 <> 0)"
+
+
+@query(f"select series_id, ds, value from (select series_id, cast(unnest(generate_series(min(ds), max(ds), interval 1 day)) as date) as ds from {_SOME_DAYS} group by 1) left join {_SOME_DAYS} using (series_id, ds)")
+def ts_spine(s, d):
+    """The series of ts_gaps with every day from first to last."""
+    return series.spine(_daily(s, d).where(F.dayofmonth("ds") % 7 != 0))
+
+
+@query()
+def ts_arma_gaps(s, d):
+    """ARMA(1,1) fits of the series of ts_gaps, whose missing days are skipped."""
+    return series.arima(_daily(s, d).where(F.dayofmonth("ds") % 7 != 0), 1, 0, 1)
+
+
 @query(f"select series_id, ds, round(value - p, 6) as d from (select *, lag(value) over (partition by series_id order by ds) as p from {_DAILY}) where p is not null")
 def ts_diff(s, d):
     return series.diff(_daily(s, d)).select("series_id", "ds", F.round("d", 6).alias("d"))

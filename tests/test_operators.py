@@ -1,7 +1,8 @@
+import base64
+import datetime
 import hashlib
 import hmac
 import json
-import base64
 
 import numpy as np
 import pytest
@@ -495,3 +496,54 @@ def test_logistic_regression_reaches_the_least_loss(spark):
         p = 1 / (1 + np.exp(-a @ v))
         v -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ v)
     assert [*model.coefficients.toArray(), model.intercept] == pytest.approx(v.tolist(), abs=1e-3)
+
+
+def test_likelihood_with_missing_days_is_that_of_the_joint_normal():
+    """Days left out of the covariance matrix; with d=1, of the changes since the first day that is there."""
+    rng = np.random.default_rng(3)
+    for d in (0, 1):
+        v = rng.standard_normal(24) * 0.5 + np.convolve(rng.standard_normal(25), [1, 0.4])[1:25]
+        v = np.cumsum(v) if d else v + 3
+        v[[0, 1, 5, 9, 10, 11, 20]] = np.nan
+        there = np.flatnonzero(~np.isnan(v))
+        for ar, ma in ((0.5, 0.3), (-0.4, 0.2), (0.0, -0.6), (0.9, 0.0)):
+            psi = np.array([1.0, *((ar + ma) * ar ** np.arange(3000))])
+            gamma = np.array([float((psi[: len(psi) - k] * psi[k:]).sum()) for k in range(24)])
+            cov = gamma[np.abs(np.arange(24)[:, None] - np.arange(24))]
+            pick = np.array([[float(there[0] < j <= t) if d else float(j == t) for j in range(24)] for t in there[d:]])
+            cov, y = pick @ cov @ pick.T, v[there[d:]] - (v[there[0]] if d else 0)
+            inv, one = np.linalg.inv(cov), np.ones(len(y))
+            m = 0.0 if d else float(one @ inv @ y / (one @ inv @ one))
+            n, square, logs, mean, _ = (x[0, 0] if x.ndim == 2 else x for x in series._filtered(np.stack([v, v[::-1]]), np.array([[ar]]), np.array([[ma]]), d, not d))
+            assert (n, square, logs, mean) == pytest.approx((len(y), (y - m) @ inv @ (y - m), np.linalg.slogdet(cov)[1], m), rel=1e-6, abs=1e-8)
+            # the forecast is the mean of the days to come, given those that are there
+            full = np.array([[float((psi[: len(psi) - abs(i - j)] * psi[abs(i - j) :]).sum()) for j in range(27)] for i in range(27)])
+            wide = np.array([[float(there[0] < j <= t) if d else float(j == t) for j in range(27)] for t in [*there[d:], 24, 25, 26]])
+            c = wide @ full @ wide.T
+            told = m + c[-3:, :-3] @ inv @ (y - m) + (v[there[0]] if d else 0)
+            assert series.arima_forecast(v, {"ar": ar, "ma": ma, "mean": m}, d, 3) == pytest.approx(told, abs=1e-6)
+
+
+def test_fits_of_many_series_with_gaps(spark, monkeypatch):
+    """Series that span batches and share one array have the fits that each has alone; days that are missing aren't neighbours."""
+    rng, rows, alone = np.random.default_rng(12), [], {}
+    for k in [*range(70), None]:
+        v = rng.standard_normal(30 + (k or 0) % 9)
+        keep = [i for i in range(len(v)) if i == 0 or i % (5 + (k or 0) % 3)]
+        rows += [(k, datetime.date(2024, 1, 1) + datetime.timedelta(i), float(v[i])) for i in keep]
+        alone[k] = np.array([v[i] if i in keep else np.nan for i in range(max(keep) + 1)])
+    df = spark.createDataFrame(rows, "series_id int, ds date, value double").repartition(5)
+    got = {r["series_id"]: tuple(r)[1:] for r in series.arima(df, 1, 0, 1).collect()}
+    assert got.keys() == alone.keys()
+    for k in (0, 3, 35, 69, None):
+        assert got[k] == pytest.approx(tuple(series.arima_fit(alone[k], 1, 0, 1).values()), abs=1e-9)
+    days = {(r["series_id"], r["ds"]): r["value"] for r in series.spine(df).collect()}
+    assert len(days) == sum(map(len, alone.values()))
+    for k, v in alone.items():
+        assert [days[k, datetime.date(2024, 1, 1) + datetime.timedelta(i)] for i in range(len(v))] == [None if np.isnan(x) else x for x in v.tolist()]
+    held = [r for r in series.arima_holdout(df, 1, 1, 1).collect() if r["series_id"] == 7]
+    known = [r for r in rows if r[0] == 7]
+    cut = int(len(known) * 0.75)
+    v = alone[7][: (known[cut - 1][1] - known[0][1]).days + 1]
+    told = series.arima_forecast(v, series.arima_fit(v, 1, 1, 1), 1, 20)
+    assert {r["ds"]: r["y_pred"] for r in held} == pytest.approx({t[1]: told[(t[1] - known[cut - 1][1]).days - 1] for t in known[cut:]})
