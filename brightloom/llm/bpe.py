@@ -7,7 +7,7 @@ stored tokens back from the end of the word gives exactly the ids that rank-orde
 
 The vocabulary file is a parameter: a JSON file of a BPE model with byte-level symbols and an end-of-word suffix. The
 driver reads it and broadcasts its text (a few MB, checked), so executors need no local file. A file with settings that
-this module doesn't follow (dropout, unknown tokens, byte fallback, ignored merges, a decoder, added tokens that take in
+this module doesn't follow (dropout, unknown tokens, byte fallback, ignored merges, a decoder, tokens of more than LONGEST symbols, added tokens that take in
 white space or only whole words) is refused.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to an empty text. Special tokens written in
@@ -34,8 +34,11 @@ from .common import arrow, give_back, prepare, texts_of, trimmed
 
 #: Largest vocabulary file that is broadcast.
 MODEL_BYTES = 64 << 20
-#: Words whose encodings each of a worker's two tables remembers, and token pairs whose tests it remembers.
-REMEMBERED, PAIRS = 80_000, 150_000
+#: Words whose encodings each of a worker's two tables remembers, the characters that they and their results have, and
+#: token pairs whose tests it remembers.
+REMEMBERED, REMEMBERED_SIZE, PAIRS = 80_000, 8 << 20, 150_000
+#: The longest token, in symbols.
+LONGEST = 255
 #: Texts of these characters only are normalised and split here; NFC leaves them as they are. Others go through the file's own normaliser and splitter.
 PLAIN = re.compile("[^\\t-\\r -~\\xa1-\\u024f]")
 _FAR = 1 << 30
@@ -53,6 +56,7 @@ def refused(spec: dict) -> list[str]:
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
     fits = [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
     plain = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    out += ["model.vocab"] * any(len(t) > LONGEST for t in spec["model"]["vocab"])
     return out + ["model.type"] * (spec["model"]["type"] != "BPE") + ["pre_tokenizer"] * (not fits) + ["normalizer"] * (not plain)
 
 
@@ -103,6 +107,7 @@ class Bpe:
         # Words go to the older table when the first is full, and come back when they are met again.
         self.known: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
+        self.size = 0  # characters of the first
         give_back()
 
     def _symbols(self, token: str) -> str:
@@ -167,10 +172,14 @@ class Bpe:
             plain = word.isascii() and word.isprintable() and " " not in word  # such bytes stand for themselves
             ids = self.encode_word(word if plain else "".join([self.byte[b] for b in word.encode()]))
             out = (" ".join(map(str, ids)), self.decode(ids))
-        if len(self.known) >= REMEMBERED:
+        size = len(word) + len(out[0]) + len(out[1])
+        if len(self.known) >= REMEMBERED or self.size + size > REMEMBERED_SIZE:
             self.older = self.known.copy()
             self.known.clear()
-        self.known[word] = out
+            self.size = 0
+        if size <= REMEMBERED_SIZE >> 6:  # a longer one would drive out many
+            self.known[word] = out
+            self.size += size
         return out
 
     @functools.cached_property

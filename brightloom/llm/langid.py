@@ -81,8 +81,8 @@ def learn(labelled: DataFrame) -> Languages:
     # a doc_id that repeats has the smallest of its values of lang
     picked = rows.where(among_first(F.col("doc_id"), per, sizes)).groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per).select("doc_id", "lang")
     picked = {r["doc_id"]: r["lang"] for r in picked.collect()}  # SAMPLE rows at most
-    ids, x = collected_features(labelled, list(picked.items()), label="lang")
-    at = np.array([names.index(picked[d]) for d in ids.tolist()])
+    keys, x = collected_features(labelled, list(picked.items()), label="lang")
+    at = np.array([names.index(lang) for _, lang in keys])
     code = codewords(len(names))
     y = (code[at] > 0).astype(np.float64)
     per_class = 1 / np.bincount(at, minlength=len(names))[at]

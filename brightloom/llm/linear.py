@@ -48,23 +48,21 @@ def among_first(key: Column, wanted: int, rows: Column | int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 11) < F.lit(float(1 << 53)) * share
 
 
-def collected_features(documents: DataFrame, sample: list[int] | list[tuple[int, str]], features: Callable[[list[str]], Iterator[tuple[int, np.ndarray]]] = ngram_features, label: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(doc_id, features) of a sample of bounded size: whole texts are counted on the executors, counts come to the driver.
-    With a label column the sample is of (doc_id, label), and only rows that have both count. Of rows that repeat them the
-    smallest features count, so that the choice is the same each time."""
+def collected_features(documents: DataFrame, sample: list[tuple[int, str]], features: Callable[[list[str]], Iterator[tuple[int, np.ndarray]]] = ngram_features, label: str = "label") -> tuple[list[tuple[int, str]], np.ndarray]:
+    """(keys, features) of a sample (doc_id, label) of bounded size: whole texts are counted on the executors, counts come
+    to the driver. Only rows that have both count. Of rows that repeat them the smallest features count, so that the choice
+    is the same each time."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             x = [f.astype(np.float16).tobytes() for _, f in features(texts_of(b.column(1)))]
-            yield pa.record_batch([b.column(0), pa.array(x, pa.binary())], names=["doc_id", "x"])
-
-    keys = ["doc_id", "label"] if label else ["doc_id"]
-    ids = documents.sparkSession.createDataFrame([d if label else (d,) for d in sample], "doc_id long, label string" if label else "doc_id long")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(label).cast("string").alias("label")] if label else []))
-    texts = texts.where(F.col("text").isNotNull()) if label else texts
-    rows = texts.join(F.broadcast(ids), keys, "left_semi").select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).collect()  # as many as the sample has
-    rows.sort(key=lambda r: r["doc_id"])
-    return np.array([r["doc_id"] for r in rows], np.int64), np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["doc_id", "label", "x"])
+
+    ids = documents.sparkSession.createDataFrame(sample, "doc_id long, label string")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("label")).where("text is not null")
+    rows = texts.join(F.broadcast(ids), ["doc_id", "label"], "left_semi").select("doc_id", "text", "label").mapInArrow(trimmed(run), "doc_id long, label string, x binary").groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect()  # as many as the sample has
+    rows.sort(key=lambda r: (r["doc_id"], r["label"]))
+    return [(r["doc_id"], r["label"]) for r in rows], np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:

@@ -172,17 +172,25 @@ def _trained(documents: DataFrame, rows: DataFrame) -> Model:
     patterns, counts = np.array([r["pattern"] for r in found], np.int64), np.array([r["count"] for r in found], np.float64)
     post = estimate(patterns, counts)[0] if found else np.zeros(0)
     posterior, right = dict(zip(patterns.tolist(), post.tolist(), strict=True)), accuracies(patterns, counts, post)
-    picked: dict[int, float] = {}
+    picked: set[tuple[int, int]] = set()
     for label in (False, True):
         chosen = [p for p, x in posterior.items() if (x >= 0.5) == label]
         if chosen:
             size = int(sum(n for p, n in zip(patterns.tolist(), counts.tolist(), strict=True) if p in set(chosen)))
-            some = rows.where(F.col("pattern").isin(chosen) & F.col("doc_id").isNotNull() & among_first(F.col("doc_id"), SAMPLE, size)).select("doc_id", "pattern").orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(SAMPLE)
-            picked |= {r["doc_id"]: posterior[r["pattern"]] for r in some.collect()}  # SAMPLE rows at most
-    if len({x >= 0.5 for x in picked.values()}) < 2:
+            some = rows.where(F.col("pattern").isin(chosen) & F.col("doc_id").isNotNull() & among_first(F.col("doc_id"), SAMPLE, size)).select("doc_id", "pattern").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(SAMPLE)
+            picked |= {(r["doc_id"], r["pattern"]) for r in some.collect()}  # SAMPLE rows at most
+    if len({posterior[p] >= 0.5 for _, p in picked}) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), 0.0, False, posterior, right)
-    ids, x = collected_features(documents, list(picked), features)
-    y = np.array([[picked[d]] for d in ids.tolist()])
+    sampled = documents.sparkSession.createDataFrame(sorted({(d,) for d, _ in picked}), "doc_id long")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sampled), "doc_id", "left_semi")  # SAMPLE rows of either label
+
+    @F.arrow_udf("string")
+    def pattern_of(texts: pa.Array) -> pa.Array:
+        return pa.array(map(str, (votes(texts_of(texts))[0].astype(np.int64) @ PLACES).tolist()))
+
+    # an id's rows count only where they have a pattern that was picked, so text and label belong together
+    keys, x = collected_features(texts.withColumn("pattern", pattern_of("text")), sorted((d, str(p)) for d, p in picked), features, label="pattern")
+    y = np.array([[posterior[int(p)]] for _, p in keys])
     weight = np.where(y >= 0.5, 1 / max(1, (y >= 0.5).sum()), 1 / max(1, (y < 0.5).sum()))
     w, b = fit_logistic(x, y, weight)
     return Model(4 * w[:, 0].astype(np.float32), 4 * float(b[0]), True, posterior, right)

@@ -9,7 +9,8 @@ under a temporary name and renamed when it is closed; a task returns a manifest
 by renaming the manifest and removes what failed attempts left. Readers open only files that the manifest lists, and
 check sizes and digests.
 
-Files go through pyarrow's file systems, so the folder may be in any store that these reach.
+Files go through pyarrow's file systems, so the folder may be in any store that these reach. A folder without a scheme lies in
+Hadoop's default file system, as elsewhere in Spark.
 
 Defined results: a null html is an empty payload. Of equal payloads of at least MIN_REVISIT bytes the record with the
 smallest page_id is the response, the others revisit it; smaller ones are all responses. Rows that repeat a page_id are
@@ -40,7 +41,7 @@ from .common import arrow, discard, prepare, shared_folder, stored, trimmed, who
 #: Compressed bytes after which a file is closed, and the smallest payload that can be revisited.
 ROLL_BYTES, MIN_REVISIT = 64 << 20, 0
 #: Payload bytes of a range: the lesser where there are FEW ranges at most, the greater beyond. Bytes that headers count.
-LEAST_RANGE, FEW, RANGE, HEADERS = 8 << 20, 1024, 1 << 30, 600
+LEAST_RANGE, FEW, RANGE, HEADERS = 8 << 20, 64, 1 << 30, 600
 #: Records carry this time, as pages have none.
 DATE = "2000-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -133,6 +134,16 @@ class Writer:
             self.number, self.out = self.number + 1, None
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as pyarrow's file systems name it. One without a scheme lies in Hadoop's default file system, as it does
+    for Spark; s3a and s3n are s3."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    uri = hadoop.Path(folder).toUri()
+    at = uri if uri.getScheme() else hadoop.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration())
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(at.getScheme(), at.getScheme())
+    return f"{scheme}://{at.getRawAuthority() or ''}{uri.getPath()}"
+
+
 def range_bounds(sizes: DataFrame, shards: int | None = None) -> list[int]:
     """The largest page_id of each range, from distinct rows (page_id, bytes) without nulls."""
     spark = sizes.sparkSession
@@ -155,6 +166,7 @@ def range_bounds(sizes: DataFrame, shards: int | None = None) -> list[int]:
 def write_warc(pages: DataFrame, folder: str, shards: int | None = None, roll: int = ROLL_BYTES) -> list[dict]:
     """Writes a record for each page and commits; the manifest's lines, sorted by file. shards: ranges, nearly; without, by the bytes."""
     spark = prepare(pages.sparkSession)
+    folder = qualified(spark, folder)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     # Equality of payloads is that of SHA-256 and length; rows get numbers so that repeated rows are told apart.
@@ -218,7 +230,7 @@ def write_warc(pages: DataFrame, folder: str, shards: int | None = None, roll: i
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record that the manifest lists."""
-    prepare(spark)
+    folder = qualified(prepare(spark), folder)
     files, root = fs.FileSystem.from_uri(folder)
     with files.open_input_stream(f"{root}/manifest.json") as f:
         lines = json.loads(f.read())["files"]

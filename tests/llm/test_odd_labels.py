@@ -1,8 +1,11 @@
 """Labels that don't fit, and ids that repeat with other labels."""
 
+import json
+
 import numpy as np
+from tokenizers import Tokenizer
 
-from brightloom.llm import common, langid, url_filter
+from brightloom.llm import bpe, common, langid, quality, queries, url_filter, warc
 
 
 def test_labels_other_than_0_and_1_do_not_count(spark):
@@ -43,3 +46,51 @@ def test_decoding_adds_up_each_bits_loss():
     for k in range(5):
         loss = [sum(model.trust[b] * np.logaddexp(0, -margins[k, b] * code[i, b]) for b in range(code.shape[1])) for i in range(12)]
         assert best[k] == int(np.argmin(loss)) and np.isclose(p[k], 1 / sum(np.exp(min(loss) - x) for x in loss))
+
+
+def test_a_repeated_id_keeps_text_and_weak_label_together(spark):
+    """Each id once with a good text and once with a bad one: the scorer still learns which is which."""
+    common.prepare(spark)
+    good = "The old house by the river has a garden, and the people of the town walk there in the evening with their children"
+    bad = "BUY NOW!! $$$ ### 12345 99999 BUY NOW!! $$$ ### 12345 99999 BUY NOW!! $$$ ### 12345 99999"
+    both = [(i, f"{t} {i}") for i in range(150) for t in (good, bad)]
+    df = spark.createDataFrame(both + [(None, good), (7, None), (8, "")], "doc_id long, text string").repartition(3)
+    apart = spark.createDataFrame([(2 * i + (t == bad), f"{t} {i}") for i in range(150) for t in (good, bad)], "doc_id long, text string")
+    model = quality.train(df)
+    assert model.linear == quality.train(apart).linear
+    score = model.score([f"{good} 3", f"{bad} 3"])[0]
+    assert score[0] > 0.9 > 0.1 > score[1]
+
+
+def test_folders_without_a_scheme_lie_in_the_default_file_system(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert warc.qualified(spark, "/a/b") == "file:///a/b" and warc.qualified(spark, "file:/a b/c%20d") == "file:///a b/c%20d"
+    old = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "hdfs://names:8020")
+    try:
+        assert warc.qualified(spark, "/a/b") == "hdfs://names:8020/a/b"
+        assert warc.qualified(spark, "s3a://bucket/a") == "s3://bucket/a" and warc.qualified(spark, "file:///a") == "file:///a"
+    finally:
+        conf.set("fs.defaultFS", old)
+
+
+def test_words_are_remembered_up_to_a_size(monkeypatch):
+    """Long distinct words: results stay those of the library, and what is remembered stays small."""
+    path = queries.tokenizer_path()
+    monkeypatch.setattr(bpe, "REMEMBERED_SIZE", 20_000)
+    one, library = bpe.Bpe(bpe._model_text(path)), Tokenizer.from_file(path)
+    rng = np.random.default_rng(2)
+    for n in (3, 40, 300, 5000):
+        for _ in range(60):
+            word = "".join(rng.choice(list("abcdefgh0123é"), n))
+            text = f"{word} the {word}"
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert one.encode(text) == (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
+            assert one.size <= 20_000 and one.size == sum(len(w) + len(a) + len(b) for w, (a, b) in one.known.items())
+
+
+def test_vocabularies_with_longer_tokens_are_refused():
+    spec = json.loads(bpe._model_text(queries.tokenizer_path()))
+    assert bpe.refused(spec) == []
+    spec["model"]["vocab"]["a" * 256] = 1
+    assert bpe.refused(spec) == ["model.vocab"]
