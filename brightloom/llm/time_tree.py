@@ -5,9 +5,9 @@ The tree's nodes are the aligned stretches of 2^k time units. An active interval
 fewest that cover it; events are summed for each client and node; a probe explodes to its ancestors, and an equi-join on
 client and node brings it the sums of all that is active, since each interval has one node at most above a probe.
 
-A stretch of a client with BUCKET probes at most is a leaf: it isn't split further, and its probes are compared with the
-intervals that reach into it. So an interval has few rows where probes are rare, and at most two for each level where they
-are dense. The first stretches are as long as the longest window. One that holds more probes is split as many levels down as
+A stretch of a client with BUCKET probes at most is a leaf. Below it the tree goes on over the places of its probes in time
+order instead of time itself: an interval that reaches into the leaf covers a run of places, and has the canonical nodes of
+that run. So an interval has few rows where probes are rare, and at most two for each level where they are dense. The first stretches are as long as the longest window. One that holds more probes is split as many levels down as
 their number asks for; stretches there that still hold too many go into another round, where the sums of their ancestors
 count as one interval that covers them. A client with a third of all rows thus spreads over its stretches.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, scratch, stored
 
-#: Probes of a stretch that are compared instead of split, and the least number of levels that one is split into at once.
+#: Probes of a stretch whose tree is one over their places, and the least number of levels that one is split into at once.
 BUCKET, DOWN = 64, 6
 DAY, MINUTE = 86_400_000_000, 60_000_000
 #: Kinds of intervals. Of distinct items some count in both windows, some in one.
@@ -107,8 +107,7 @@ def active(intervals: DataFrame, probes: DataFrame, span: int, bucket: int = BUC
         held = stored(held.select(*at, F.when(F.col("held") > bucket, F.col("level") - down).alias("below")), "cells")
         dense = held.where("below is not null")
         probes = stored(probes.join(held.hint("merge"), at), "probes")
-        compared = pieces.join(probes.where("below is null").drop("below").hint("merge"), at).where("t >= lo and t < hi")
-        pairs = _summed(compared.withColumn("short", F.expr("t < mid")), "client", "t").select(*result)
+        pairs = _within(pieces, probes.where("below is null").groupBy(at).agg(F.sort_array(F.collect_list("t")).alias("ts"))).select(*result)
         if dense.isEmpty():
             return reduce(DataFrame.unionByName, found, stored(pairs, "active"))
         # one pass over the shuffled intervals gives both the sums of leaves and the intervals that go on
@@ -132,6 +131,20 @@ def active(intervals: DataFrame, probes: DataFrame, span: int, bucket: int = BUC
         probes = probes.select("client", "t", F.col("below").alias("level"), "cell")
 
 
+def _within(pieces: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Sums of what is active at each probe of the leaves (client, level, cell, ts); ts are the times of its probes, BUCKET at most."""
+    at, ends = ["client", "level", "cell"], ("lo", "mid", "hi")
+    leaves = leaves.withColumn("top", F.ceil(F.log2(F.size("ts"))).cast("int"))
+    places = pieces.join(leaves.hint("merge"), at).withColumns({e: F.expr(f"size(filter(ts, t -> t < {e}))") for e in ends}).where("lo < hi")
+    # places after the last probe are all the same, so what reaches there ends with the tree
+    places = places.withColumns({e: F.expr(f"if({e} = size(ts), shiftleft(1, top), {e})") for e in ends})
+    leaf = F.struct(*at).alias("client")
+    nodes = _summed(_canonical(places.select(leaf, "top", F.lit(0).alias("below"), *ends, "kind", "n", "p", "c", "x")), "client", "level", "node")
+    probes = leaves.select(leaf, "top", F.posexplode("ts").alias("place", "t")).select("client", "t", "place", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
+    met = probes.withColumn("node", F.expr("shiftright(place, level)")).join(nodes.hint("merge"), ["client", "level", "node"])
+    return _summed(met.withColumn("client", F.col("client.client")), "client", "t")
+
+
 def _canonical(split: DataFrame) -> DataFrame:
     """The canonical nodes of both parts of an interval, between the levels below and top, with the intervals' measures.
 
