@@ -6,6 +6,7 @@ line items for training rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from brightloom.functions import scalar
 from brightloom.operators import cart, learning, metrics, paging, ranking, retrieval, series, snapshot, validation
+from brightloom.session import shared_folder
 from brightloom.sources.tables import table
-from brightloom.streaming import windows
+from brightloom.streaming import tokens, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -859,3 +861,17 @@ def conv_context(s, d):
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
 def event_windows(s, d):
     return windows.windowed(table(s, d, "events"))
+
+
+@query("""with last as (select user_id, max_by(event_id, (ts, event_id)) as id, max(ts) as ts from events where user_id is not null and ts is not null and event_id is not null group by 1)
+select user_id, id, sha256(id::varchar) as token from last where epoch_ms(ts + interval 12 hours) >= (select max(epoch_ms(ts)) from events where user_id is not null and event_id is not null)""")
+def token_life_cycle(s, d):
+    """A stream of all events as requests for tokens that live for twelve hours; what is live at its end."""
+    path = f"{d}/events.parquet"
+    # a stream's source is a folder or a pattern; the table may be one file
+    asked = s.readStream.schema(s.read.parquet(path).schema).parquet(f"{path}*")
+    asked = asked.select("user_id", F.col("event_id").alias("id"), F.sha2(F.col("event_id").cast("string"), 256).alias("token"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("interval 12 hours")).alias("expires_at"))
+    users = customers(s, d).select(F.col("c_custkey").alias("user_id"), F.concat("c_name", F.lit("@example.org")).alias("address"), F.col("c_name").alias("name"))
+    root = f"{shared_folder(s)}/tokens-{uuid.uuid4().hex}"
+    tokens.start(asked, users, root).awaitTermination()
+    return tokens.live_tokens(tokens.read_finished(s, f"{root}/log", tokens.CHANGES))

@@ -19,15 +19,21 @@ def session(app: str = "brightloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written once, so that lineage ends and lost executors cost nothing. Local mode may use a folder of its own;
-    a cluster must name one in spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which all machines reach. Local mode may use one of its own; a cluster must name one in
+    spark.checkpoint.dir."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.match(r"local(\[|$)", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors can reach")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written once, so that lineage ends and lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
