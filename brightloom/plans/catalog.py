@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from brightloom.functions import scalar
 from brightloom.operators import cart, learning, metrics, paging, ranking, retrieval, series, snapshot, validation
 from brightloom.session import shared_folder
+from brightloom.sources import layout
 from brightloom.sources.tables import table
 from brightloom.streaming import tokens, windows
 
@@ -875,3 +876,15 @@ def token_life_cycle(s, d):
     root = f"{shared_folder(s)}/tokens-{uuid.uuid4().hex}"
     tokens.start(asked, users, root).awaitTermination()
     return tokens.live_tokens(tokens.read_finished(s, f"{root}/log", tokens.CHANGES))
+
+
+@query("select c_custkey, case when c_nationkey = 3 then 'renamed' else c_name end as c_name, c_nationkey from customer where c_nationkey is distinct from 7")
+def dml_part(s, d):
+    """Customers in key buckets: those of one nation are renamed and those of another deleted, by writes of their buckets alone."""
+    rows = customers(s, d).select("c_custkey", "c_name", "c_nationkey")
+    path = f"{shared_folder(s)}/customers-{uuid.uuid4().hex}"
+    layout.write_buckets(rows, path, "c_custkey", 256)
+    renamed, gone = (rows.where(F.col("c_nationkey") == n) for n in (3, 7))
+    layout.change_buckets(s, path, "c_custkey", 256, renamed, lambda t: snapshot.update(t, F.col("c_nationkey") == 3, {"c_name": F.lit("renamed")}))
+    layout.change_buckets(s, path, "c_custkey", 256, gone, lambda t: snapshot.delete(t, F.col("c_nationkey") == 7))
+    return layout.read_buckets(s, path).select(rows.columns)
