@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .nearest import best
+from .ranking import free
 
 
 def chunks(df: DataFrame, key: str, text: str, size: int, step: int) -> DataFrame:
     """(key, chunk_no, chunk): overlapping slices of whole texts; an empty text has none."""
     starts = F.sequence(F.lit(1), F.length(text), F.lit(step))
-    return df.where(F.length(text) > 0).select(key, text, F.posexplode(starts).alias("chunk_no", "_at")).select(key, "chunk_no", F.substring(F.col(text), F.col("_at"), F.lit(size)).alias("chunk"))
+    at, n = free(df, "_at"), free(df, "_n")
+    places = df.where(F.length(text) > 0).select(key, text, F.posexplode(starts).alias(n, at))
+    return places.select(key, F.col(n).alias("chunk_no"), F.substring(F.col(text), F.col(at), F.lit(size)).alias("chunk"))
 
 
 def dedup(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -108,22 +108,25 @@ def refused_changes(old: DataFrame, changes: DataFrame, key: str, unique: list[s
     refused if another row of the table has it, in any case, or if an earlier change, of another row, asks for it.
     """
     out = None
-    own = old.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_own{i}") for i, c in enumerate(unique)])
-    asked = changes.join(own, F.col(key) == F.col("_key"))
-    for i, c in enumerate(unique):
+    row, value, first = free(changes, "_key"), free(changes, "_new"), free(changes, "_ahead")
+    mine = [free(changes, f"_own{i}") for i in range(len(unique))]
+    own = old.select(F.col(key).alias(row), *[F.col(c).alias(m) for c, m in zip(unique, mine, strict=True)])
+    asked = changes.join(own, F.col(key) == F.col(row))
+    for c, m in zip(unique, mine, strict=True):
         new = F.lower(c)
-        moved = asked.where(F.array_contains("fields_set", c) & F.col(c).isNotNull() & ~new.eqNullSafe(F.lower(f"_own{i}"))).select(key, order, new.alias("_new"))
-        held = moved.join(old.select(F.lower(c).alias("_new")).distinct(), "_new", "left_semi").select(key, order)
-        ahead = F.first(F.col(key)).over(Window.partitionBy("_new").orderBy(order, key))
-        late = moved.withColumn("_ahead", ahead).where(F.col("_ahead") != F.col(key)).select(key, order)
+        moved = asked.where(F.array_contains("fields_set", c) & F.col(c).isNotNull() & ~new.eqNullSafe(F.lower(m))).select(key, order, new.alias(value))
+        held = moved.join(old.select(F.lower(c).alias(value)).distinct(), value, "left_semi").select(key, order)
+        ahead = F.first(F.col(key)).over(Window.partitionBy(value).orderBy(order, key))
+        late = moved.withColumn(first, ahead).where(F.col(first) != F.col(key)).select(key, order)
         out = held.union(late) if out is None else out.union(held).union(late)
     return out.distinct()
 
 
 def patch_unique(old: DataFrame, changes: DataFrame, key: str, columns: list[str], unique: list[str], order: str) -> DataFrame:
     """Partial update without the changes that refused_changes names."""
-    refused = refused_changes(old, changes, key, unique, order).select(F.col(key).alias("_key"), F.col(order).alias("_order"))
-    fit = changes.join(refused, (F.col(key) == F.col("_key")) & F.col(order).eqNullSafe(F.col("_order")), "left_anti")
+    row, at = free(changes, "_key"), free(changes, "_order")
+    refused = refused_changes(old, changes, key, unique, order).select(F.col(key).alias(row), F.col(order).alias(at))
+    fit = changes.join(refused, (F.col(key) == F.col(row)) & F.col(order).eqNullSafe(F.col(at)), "left_anti")
     return patch(old, fit, key, columns, order)
 
 
