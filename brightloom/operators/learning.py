@@ -38,6 +38,10 @@ def hash_order(key: str) -> Column:
     return F.sha2(F.col(key).cast("string"), 256)
 
 
+#: Classes whose sizes are broadcast at most; more of them are joined by a shuffle.
+SENT_CLASSES = 100_000
+
+
 def _ranked(df: DataFrame, key: str, digits: int, name: str = "rank", within: Column | None = None) -> DataFrame:
     """Ranks by the key's hash, in buckets of its first digits."""
     return ranked(df, F.substring(hash_order(key), 1, digits), [hash_order(key), F.col(key)], name, within)
@@ -46,9 +50,13 @@ def _ranked(df: DataFrame, key: str, digits: int, name: str = "rank", within: Co
 def stratified_split(df: DataFrame, key: str, label: str, test: float) -> DataFrame:
     """Adds is_test: of each class exactly ceil(test * n) rows, the first in hash order. No class meets in one task."""
     rank, of, want = (free(df, x) for x in ("_rank", "_of", "_want"))
-    rows = _ranked(df, key, digits_for(df.count()), rank, F.col(label))
-    wanted = df.groupBy(F.col(label).alias(of)).agg(F.ceil(F.lit(test) * F.count("*")).alias(want))
-    return rows.join(F.broadcast(wanted), F.col(label).eqNullSafe(F.col(of))).withColumn("is_test", F.col(rank) <= F.col(want)).drop(rank, of, want)  # a row for each class
+    counts = checkpointed(df.groupBy(F.col(label).alias(of)).agg(F.count("*").alias(want)))
+    classes, total = counts.agg(F.count("*"), F.coalesce(F.sum(want), F.lit(0))).first()
+    rows = _ranked(df, key, digits_for(total), rank, F.col(label))
+    wanted = counts.withColumn(want, F.ceil(F.lit(test) * F.col(want)))
+    # beyond the bound the rows of hot classes are split by the adaptive plan, as nothing else in that stage needs them together
+    wanted = F.broadcast(wanted) if classes <= SENT_CLASSES else wanted.hint("merge")
+    return rows.join(wanted, F.col(label).eqNullSafe(F.col(of))).withColumn("is_test", F.col(rank) <= F.col(want)).drop(rank, of, want)
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int) -> DataFrame:

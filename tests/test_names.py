@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from brightloom.operators import retrieval, snapshot
+from brightloom.operators import learning, retrieval, snapshot
 
 
 def test_chunks_of_columns_with_the_names_of_helpers(spark):
@@ -20,3 +20,13 @@ def test_changes_with_the_names_of_helpers(spark):
         assert sorted(map(tuple, snapshot.refused_changes(old, changes, "id", ["name", "mail"], "at").collect())) == [(1, 1), (2, 3)]
         got = snapshot.patch_unique(old, changes, "id", ["name", "mail"], ["name", "mail"], "at").collect()
         assert sorted(map(tuple, got), key=str) == [(1, "d", None), (2, "e", "y"), (None, "c", "z")]
+
+
+def test_splits_are_the_same_with_classes_beyond_the_broadcast(spark, monkeypatch):
+    df = spark.range(500).selectExpr("id", "if(id % 7 = 0, null, if(id % 3 = 0, 0, id % 50)) as y", "'a' as _want")
+    sent = sorted(map(tuple, learning.stratified_split(df, "id", "y", 0.3).collect()), key=str)
+    monkeypatch.setattr(learning, "SENT_CLASSES", 0)
+    split = learning.stratified_split(df, "id", "y", 0.3)
+    assert "SortMergeJoin" in split._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, split.collect()), key=str) == sent and len(sent) == 500
+    assert learning.stratified_split(df.limit(0), "id", "y", 0.3).count() == 0
