@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions import scalar
 from brightloom.operators import cart, learning, metrics, paging, ranking, retrieval, series, snapshot, validation
-from brightloom.session import shared_folder
+from brightloom.session import checkpointed, shared_folder
 from brightloom.sources import layout
 from brightloom.sources.tables import table
 from brightloom.streaming import tokens, windows
@@ -612,7 +612,9 @@ def stump_fit(s, d):
 def _training(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = F.coalesce("text", F.lit(""))
     x = table(s, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("chars"), F.length(F.regexp_replace(t, "[^A-Z]", "")).cast("double").alias("capitals"), F.length(F.regexp_replace(t, "[^!#$%&*|]", "")).cast("double").alias("marks"))
-    rows = learning.stratified_split(table(s, d, "labels").select("doc_id", F.col("quality").cast("int").alias("y")).join(x, "doc_id"), "doc_id", "y", 0.3)
+    # numbers only, written once: learners pass over them many times, and texts are read for them once
+    rows = checkpointed(table(s, d, "labels").select("doc_id", F.col("quality").cast("int").alias("y")).join(x, "doc_id"))
+    rows = checkpointed(learning.stratified_split(rows, "doc_id", "y", 0.3))
     return rows.where("not is_test").drop("is_test"), rows.where("is_test").drop("is_test")
 
 
