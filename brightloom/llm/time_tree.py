@@ -25,13 +25,14 @@ repeat count each time and give a row each. Other columns matter only for the eq
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, scratch, stored
+from .common import discard, prepare, scratch, stored
 
 #: Probes of a stretch whose tree is one over their places, and the least number of levels that one is split into at once.
 BUCKET, DOWN = 64, 6
@@ -90,15 +91,16 @@ def _cells(level: int) -> list[Column]:
 
 
 def active(intervals: DataFrame, probes: DataFrame, span: int, bucket: int = BUCKET) -> DataFrame:
-    """(client, t, kind, short, n, p, c, x): sums of what is active at each probe (client, t), several rows for one of them.
+    """(client, t, label, measures): a row for each probe (client, t) at which anything is active.
 
     Intervals are (client, lo, mid, hi, kind, n, p, c, x), at most span long. short: t lies in [lo, mid), else in [mid, hi).
-    n, p and c are added up; of x the largest counts. Whole numbers of time units. Intermediate tables are stored.
+    n, p and c are added up; of x the largest counts. Whole numbers of time units. Intermediate tables are stored, and go when
+    nothing reads them any more.
     """
     top, at = (span - 1).bit_length(), ["client", "level", "cell"]
     pieces = _cut(intervals.where("lo < hi").select("*", *_cells(top)))
     probes = probes.select("client", "t", F.lit(top).alias("level"), F.shiftright("t", top).alias("cell"))
-    found, result = [], ("client", "t", "kind", "short", "n", "p", "c", "x")
+    found, result, last = [], ("client", "t", "label", *_MEASURED), []
     while True:
         held = probes.groupBy(at).agg(F.count("*").alias("held"))
         # so many levels down that a stretch has about a quarter of a bucket to half of it, were the probes spread evenly;
@@ -106,43 +108,55 @@ def active(intervals: DataFrame, probes: DataFrame, span: int, bucket: int = BUC
         down = F.least("level", F.greatest(F.lit(DOWN), F.ceil(F.log2(F.col("held") / bucket)).cast("int") + 1))
         held = stored(held.select(*at, F.when(F.col("held") > bucket, F.col("level") - down).alias("below")), "cells")
         dense = held.where("below is not null")
-        probes = stored(probes.join(held.hint("merge"), at), "probes")
+        probes = now = stored(probes.join(held.hint("merge"), at), "probes")
         pairs = _within(pieces, probes.where("below is null").groupBy(at).agg(F.sort_array(F.collect_list("t")).alias("ts"))).select(*result)
         if dense.isEmpty():
-            return reduce(DataFrame.unionByName, found, stored(pairs, "active"))
+            return reduce(DataFrame.unionByName, found, _swept(pairs, "active", last))
         # one pass over the shuffled intervals gives both the sums of leaves and the intervals that go on
         rest = pieces.join(dense.hint("merge"), at).select(*at, "below", "kind", "n", "p", "c", "x", "lo", "mid", "hi")
-        both = stored(pairs.unionByName(rest, allowMissingColumns=True), "active")
+        both = _swept(pairs.unionByName(rest, allowMissingColumns=True), "active", last)
         found.append(both.where("t is not null").select(*result))
-        split = both.where("t is null").drop("t", "short").withColumnRenamed("level", "top")
+        split = both.where("t is null").select(*rest.columns).withColumnRenamed("level", "top")
         nodes = _summed(_canonical(split), "client", "level", "node")
         # probes of one stretch of the lowest level have the same ancestors
         probes = probes.where("below is not null").select("client", "t", F.col("level").alias("top"), F.col("below"), F.expr("shiftright(t, below)").alias("cell"))
         inner = probes.select("client", "top", "below", "cell").distinct().select("client", "below", "cell", F.explode(F.sequence("below", "top")).alias("level"))
         above = inner.withColumn("node", F.expr("shiftright(cell, level - below)"))
-        sums = stored(_summed(above.join(nodes.hint("merge"), ["client", "level", "node"]), "client", "below", "cell"), "nodes").withColumnRenamed("below", "level")
+        summed = _swept(_summed(above.join(nodes.hint("merge"), ["client", "level", "node"]), "client", "below", "cell"), "nodes")
+        sums = summed.withColumnRenamed("below", "level")
         start, end = F.expr("shiftleft(cell, level)"), F.expr("shiftleft(cell + 1, level)")
         covering = sums.select("*", start.alias("lo"), F.when(F.col("short"), end).otherwise(start).alias("mid"), end.alias("hi")).drop("short")
         ends = [F.expr(f"if(shiftleft(shiftright({e}, below), below) <> {e}, shiftright({e}, below), null)") for e in ("lo", "mid", "hi")]
         edges = split.withColumn("cell", F.explode(F.array_distinct(F.array(*ends)))).where("cell is not null").withColumnRenamed("below", "level")
         # ends at one time, as of lines shipped on one day or of one sale, are added up before they are dealt out
         same = _cut(edges).where("lo < hi").groupBy(*at, "lo", "mid", "hi", "kind").agg(*_sums())
-        pieces = stored(same.unionByName(covering), "pieces")
+        pieces = _swept(same.unionByName(covering), "pieces", [held, summed])
+        last = [pieces, now]
         probes = probes.select("client", "t", F.col("below").alias("level"), "cell")
 
 
+def _swept(df: DataFrame, name: str, read: Sequence[DataFrame] = ()) -> DataFrame:
+    """Stores the rows and deletes the tables that they alone were still to be read for. Spark deletes shuffle files once the
+    driver has collected their garbage, which is long after if its heap is large; so it is told to."""
+    out = stored(df, name)
+    discard(*read)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def _within(pieces: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Sums of what is active at each probe of the leaves (client, level, cell, ts); ts are the times of its probes, BUCKET at most."""
+    """The measures of what is active at each probe of the leaves (client, level, cell, ts); ts are the times of its probes, BUCKET
+    at most. A node has all its kinds in one row, so a probe meets a row for each level at most."""
     at, ends = ["client", "level", "cell"], ("lo", "mid", "hi")
     leaves = leaves.withColumn("top", F.ceil(F.log2(F.size("ts"))).cast("int"))
     places = pieces.join(leaves.hint("merge"), at).withColumns({e: F.expr(f"size(filter(ts, t -> t < {e}))") for e in ends}).where("lo < hi")
     # places after the last probe are all the same, so what reaches there ends with the tree
     places = places.withColumns({e: F.expr(f"if({e} = size(ts), shiftleft(1, top), {e})") for e in ends})
     leaf = F.struct(*at).alias("client")
-    nodes = _summed(_canonical(places.select(leaf, "top", F.lit(0).alias("below"), *ends, "kind", "n", "p", "c", "x")), "client", "level", "node")
+    nodes = _features(_canonical(places.select(leaf, "top", F.lit(0).alias("below"), *ends, "kind", "n", "p", "c", "x")), "client", "level", "node")
     probes = leaves.select(leaf, "top", F.posexplode("ts").alias("place", "t")).select("client", "t", "place", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
     met = probes.withColumn("node", F.expr("shiftright(place, level)")).join(nodes.hint("merge"), ["client", "level", "node"])
-    return _summed(met.withColumn("client", F.col("client.client")), "client", "t")
+    return met.groupBy(F.col("client.client").alias("client"), "t").agg(F.max("label").alias("label"), *(_add(m)(m).alias(m) for m in _MEASURED))
 
 
 def _canonical(split: DataFrame) -> DataFrame:
@@ -223,8 +237,7 @@ def point_in_time(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows
         probes = told.select("client", F.call_function("div", F.col("t_us"), F.lit(unit)).alias("t")).distinct()
         events = reduce(DataFrame.unionByName, [own, sold, later, put, items])
         most = max(last, (horizon * DAY + unit - 1) // unit + 1)
-        sums = active(events, probes, most, bucket)
-        features = _features(sums, windows)
+        features = active(events, probes, most, bucket)
         told = told.withColumns({"t": F.call_function("div", F.col("t_us"), F.lit(unit))})
         out = told.join(features.hint("merge"), ["client", "t"], "left").select("sale_id", "t_us", F.coalesce("label", F.lit(False)).alias("label"), F.explode(_by_window(windows)).alias("f"))
         return keep(stored(out.select("sale_id", "f.d", "t_us", "label", *(f"f.{m}" for m in MEASURES)), "features"))
@@ -235,17 +248,25 @@ MEASURES = {"n_clicks": ("n", CLICKS), "n_purchases": ("p", CLICKS), "click_cent
 ALONE = {ITEMS: (ITEMS_SHORT, ITEMS_LONG)}
 
 
-def _features(sums: DataFrame, windows: tuple[int, int]) -> DataFrame:
-    """A row for each probe at which anything is active."""
+#: The measures of both windows, as columns.
+_MEASURED = [f"{m}_{i}" for i in range(2) for m in MEASURES]
+
+
+def _add(measured: str) -> Callable[[str], Column]:
+    return F.max if MEASURES[measured[:-2]][0] == "x" else F.sum
+
+
+def _features(sums: DataFrame, *keys: str) -> DataFrame:
+    """Both windows' measures of rows (keys, kind, short, n, p, c, x)."""
     aggs = [(F.coalesce(F.max(F.col("kind") == LATER), F.lit(False))).alias("label")]
-    for i in range(len(windows)):
+    for i in range(2):
         for m, (c, kind) in MEASURES.items():
             counts = F.col("kind") == kind
             counts = counts if i else counts & F.col("short")
             if kind in ALONE:
                 counts |= F.col("kind") == ALONE[kind][i]
-            aggs.append((F.max if c == "x" else F.sum)(F.when(counts, F.col(c))).alias(f"{m}_{i}"))
-    return sums.groupBy("client", "t").agg(*aggs)
+            aggs.append(_add(f"{m}_{i}")(F.when(counts, F.col(c))).alias(f"{m}_{i}"))
+    return sums.groupBy(*keys).agg(*aggs)
 
 
 def _by_window(windows: tuple[int, int]) -> Column:

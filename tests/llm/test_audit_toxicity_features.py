@@ -217,3 +217,19 @@ def test_toxicity_of_odd_tables(spark):
 def test_the_fold_is_not_learned_from(spark):
     ids = spark.range(1000).withColumn("out", langid.held_out(F.col("id"))).collect()
     assert {r["id"] for r in ids if r["out"]} == {i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 0}
+
+
+def test_a_probe_has_one_row_for_all_kinds(spark):
+    """Else the join of ancestors and nodes grows with the kinds that are active together, which a busy client has all of."""
+    common.prepare(spark)
+    kinds = [time_tree.CLICKS, time_tree.SALES, time_tree.LINES, time_tree.ITEMS, time_tree.LATER]
+    rows = [(1, k, lo, lo + 4, lo + 9, 1, 1, 1, None) for k in kinds for lo in range(8)]
+    intervals = spark.createDataFrame(rows, "client long, kind int, lo long, mid long, hi long, n long, p long, c long, x decimal(38,0)")
+    probes = spark.createDataFrame([(1, t) for t in range(12)], "client long, t long")
+    for bucket in (2, 64):
+        with common.scratch():
+            got = {r["t"]: r for r in time_tree.active(intervals, probes, 16, bucket).collect()}
+            assert time_tree.active(intervals, probes, 16, bucket).count() == 12 == len(got)
+        for t in range(12):
+            assert got[t]["label"] and got[t]["n_sales_1"] == sum(lo <= t < lo + 9 for lo in range(8))
+            assert (got[t]["n_clicks_0"] or 0) == sum(lo <= t < lo + 4 for lo in range(8))
