@@ -29,6 +29,8 @@ from brightloom.session import checkpointed, shipped
 CELL, PIVOTS, PIVOT_BYTES = 16_384, 1024, 16 << 20
 #: Rows and bytes of a part of a cell, queries of a block, and rows that are compared with a block at a time.
 PART, PART_BYTES, QUERIES, ROWS = 16_384, 64 << 20, 4096, 512
+#: Queries of a block that are in work at a time: a worker's matrices have this many times ROWS elements.
+ASKED = 512
 
 
 def _rounded(x: np.ndarray) -> np.ndarray:
@@ -229,12 +231,14 @@ class Search:
                 (a, m), (b, x) = q[n], rows[n]
                 own, ids = sides[0]["id"].to_numpy()[a], sides[1]["id"].to_numpy()[b]
                 labels = np.array(flat(sides[1]["label"]).take(pa.array(b)).to_pylist(), object) if more else np.full(len(b), None, object)
-                top = Best(m, own, k, cosine)
-                for lo in range(0, len(x), ROWS):
-                    top.add(x[lo : lo + ROWS], ids[lo : lo + ROWS], labels[lo : lo + ROWS])
-                i, j = np.nonzero(np.isfinite(top.value))
-                columns = [own[i], sides[0]["slot"].to_numpy()[a][i], top.row[i, j], top.value[i, j] * (-1.0 if cosine else 1.0)]
-                yield from pa.table([*map(pa.array, columns), *([pa.array(top.label[i, j].tolist(), t.schema.field("label").type)] if more else [])], names=names).to_batches()
+                slots = sides[0]["slot"].to_numpy()[a]
+                for at in range(0, len(m), ASKED):
+                    top = Best(m[at : at + ASKED], own[at : at + ASKED], k, cosine)
+                    for lo in range(0, len(x), ROWS):
+                        top.add(x[lo : lo + ROWS], ids[lo : lo + ROWS], labels[lo : lo + ROWS])
+                    i, j = np.nonzero(np.isfinite(top.value))
+                    columns = [top.ids[i], slots[at + i], top.row[i, j], top.value[i, j] * (-1.0 if cosine else 1.0)]
+                    yield from pa.table([*map(pa.array, columns), *([pa.array(top.label[i, j].tolist(), t.schema.field("label").type)] if more else [])], names=names).to_batches()
 
         kind = "q long, slot long, id long, found double" + (f", label {self.label}" if more else "")
         schema = pa.schema([("q", pa.int64()), ("slot", pa.int64()), ("id", pa.int64()), ("found", pa.float64())])

@@ -48,3 +48,18 @@ def test_training_rows_are_written_once(spark, data):
 def test_forests_keep_node_ids(spark):
     """Else each level walks all rows down all trees."""
     assert learning.classifier("forest", "y", maxDepth=30).getCacheNodeIds()
+
+
+def test_a_search_works_on_a_bounded_matrix(spark):
+    from brightloom.operators import nearest
+
+    assert nearest.ASKED * nearest.ROWS <= 1 << 18
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 5, (700, 3)).astype(float)  # more queries than are in work at a time, many ties
+    table = spark.createDataFrame([(i, x[i].tolist(), i % 3) for i in range(700)], "id long, x array<double>, label int")
+    got = {}
+    for r in nearest.best(table, table.select(F.col("id").alias("q"), "x"), 3, "d").collect():
+        got.setdefault(r["q"], []).append((r["rn"], r["id"], r["label"]))
+    for i in range(700):
+        near = np.lexsort((np.arange(700), ((x - x[i]) ** 2).sum(axis=1)))[:3].tolist()
+        assert sorted(got[i]) == [(n + 1, j, j % 3) for n, j in enumerate(near)]
