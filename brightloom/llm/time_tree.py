@@ -90,17 +90,21 @@ def _cells(level: int) -> list[Column]:
     return [F.lit(level).alias("level"), F.explode(F.expr(f"sequence(shiftright(lo, {level}), shiftright(hi - 1, {level}))")).alias("cell")]
 
 
-def active(intervals: DataFrame, probes: DataFrame, span: int, bucket: int = BUCKET) -> DataFrame:
+def active(intervals: DataFrame, probes: DataFrame, span: int, bucket: int = BUCKET, read: Sequence[DataFrame] = ()) -> DataFrame:
     """(client, t, label, measures): a row for each probe (client, t) at which anything is active.
 
     Intervals are (client, lo, mid, hi, kind, n, p, c, x), at most span long. short: t lies in [lo, mid), else in [mid, hi).
     n, p and c are added up; of x the largest counts. Whole numbers of time units. Intermediate tables are stored, and go when
-    nothing reads them any more.
+    nothing reads them any more, as do those of `read`, which only the intervals come from.
+
+    Spark's tasks send the driver the metrics of all operators below an aggregate or a sort, up to the tables that are scanned.
+    Intervals and nodes are stored so that no plan is deep, and what a task sends stays near what Spark's tasks send anyway.
     """
     top, at = (span - 1).bit_length(), ["client", "level", "cell"]
-    pieces = _cut(intervals.where("lo < hi").select("*", *_cells(top)))
+    intervals = _swept(intervals.where("lo < hi"), "intervals", read)
+    pieces = _cut(intervals.select("*", *_cells(top)))
     probes = probes.select("client", "t", F.lit(top).alias("level"), F.shiftright("t", top).alias("cell"))
-    found, result, last = [], ("client", "t", "label", *_MEASURED), []
+    found, last = [], [intervals]
     while True:
         held = probes.groupBy(at).agg(F.count("*").alias("held"))
         # so many levels down that a stretch has about a quarter of a bucket to half of it, were the probes spread evenly;
@@ -109,14 +113,17 @@ def active(intervals: DataFrame, probes: DataFrame, span: int, bucket: int = BUC
         held = stored(held.select(*at, F.when(F.col("held") > bucket, F.col("level") - down).alias("below")), "cells")
         dense = held.where("below is not null")
         probes = now = stored(probes.join(held.hint("merge"), at), "probes")
-        pairs = _within(pieces, probes.where("below is null").groupBy(at).agg(F.sort_array(F.collect_list("t")).alias("ts"))).select(*result)
+        leaves = probes.where("below is null").groupBy(at).agg(F.sort_array(F.collect_list("t")).alias("ts")).withColumn("top", F.ceil(F.log2(F.size("ts"))).cast("int"))
+        within = _within(pieces, leaves)
         if dense.isEmpty():
-            return reduce(DataFrame.unionByName, found, _swept(pairs, "active", last))
+            nodes = _swept(within, "nodes", last)
+            found.append(_swept(_met(leaves, nodes), "active", [nodes, now]))
+            return reduce(DataFrame.unionByName, found)
         # one pass over the shuffled intervals gives both the sums of leaves and the intervals that go on
         rest = pieces.join(dense.hint("merge"), at).select(*at, "below", "kind", "n", "p", "c", "x", "lo", "mid", "hi")
-        both = _swept(pairs.unionByName(rest, allowMissingColumns=True), "active", last)
-        found.append(both.where("t is not null").select(*result))
-        split = both.where("t is null").select(*rest.columns).withColumnRenamed("level", "top")
+        both = _swept(within.unionByName(rest, allowMissingColumns=True), "nodes", last)
+        found.append(_swept(_met(leaves, both.where("node is not null").select(*within.columns)), "active"))
+        split = both.where("node is null").select(*rest.columns).withColumnRenamed("level", "top")
         nodes = _summed(_canonical(split), "client", "level", "node")
         # probes of one stretch of the lowest level have the same ancestors
         probes = probes.where("below is not null").select("client", "t", F.col("level").alias("top"), F.col("below"), F.expr("shiftright(t, below)").alias("cell"))
@@ -130,7 +137,7 @@ def active(intervals: DataFrame, probes: DataFrame, span: int, bucket: int = BUC
         edges = split.withColumn("cell", F.explode(F.array_distinct(F.array(*ends)))).where("cell is not null").withColumnRenamed("below", "level")
         # ends at one time, as of lines shipped on one day or of one sale, are added up before they are dealt out
         same = _cut(edges).where("lo < hi").groupBy(*at, "lo", "mid", "hi", "kind").agg(*_sums())
-        pieces = _swept(same.unionByName(covering), "pieces", [held, summed])
+        pieces = _swept(same.unionByName(covering), "pieces", [held, summed, both])
         last = [pieces, now]
         probes = probes.select("client", "t", F.col("below").alias("level"), "cell")
 
@@ -145,18 +152,21 @@ def _swept(df: DataFrame, name: str, read: Sequence[DataFrame] = ()) -> DataFram
 
 
 def _within(pieces: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The measures of what is active at each probe of the leaves (client, level, cell, ts); ts are the times of its probes, BUCKET
-    at most. A node has all its kinds in one row, so a probe meets a row for each level at most."""
+    """The trees' nodes (leaf, level, node, label, measures) of what is active within the leaves (client, level, cell, ts, top); ts are
+    the times of a leaf's probes, BUCKET at most. A node has all its kinds in one row, so a probe meets a row for each level at most."""
     at, ends = ["client", "level", "cell"], ("lo", "mid", "hi")
-    leaves = leaves.withColumn("top", F.ceil(F.log2(F.size("ts"))).cast("int"))
     places = pieces.join(leaves.hint("merge"), at).withColumns({e: F.expr(f"size(filter(ts, t -> t < {e}))") for e in ends}).where("lo < hi")
     # places after the last probe are all the same, so what reaches there ends with the tree
     places = places.withColumns({e: F.expr(f"if({e} = size(ts), shiftleft(1, top), {e})") for e in ends})
-    leaf = F.struct(*at).alias("client")
-    nodes = _features(_canonical(places.select(leaf, "top", F.lit(0).alias("below"), *ends, "kind", "n", "p", "c", "x")), "client", "level", "node")
-    probes = leaves.select(leaf, "top", F.posexplode("ts").alias("place", "t")).select("client", "t", "place", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
-    met = probes.withColumn("node", F.expr("shiftright(place, level)")).join(nodes.hint("merge"), ["client", "level", "node"])
-    return met.groupBy(F.col("client.client").alias("client"), "t").agg(F.max("label").alias("label"), *(_add(m)(m).alias(m) for m in _MEASURED))
+    split = places.select(F.struct(*at).alias("client"), "top", F.lit(0).alias("below"), *ends, "kind", "n", "p", "c", "x")
+    return _features(_canonical(split), "client", "level", "node").withColumnRenamed("client", "leaf")
+
+
+def _met(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(client, t, label, measures): the sums of the nodes above each probe of the leaves."""
+    probes = leaves.select(F.struct("client", "level", "cell").alias("leaf"), "top", F.posexplode("ts").alias("place", "t")).select("leaf", "t", "place", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
+    met = probes.withColumn("node", F.expr("shiftright(place, level)")).join(nodes.hint("merge"), ["leaf", "level", "node"])
+    return met.groupBy(F.col("leaf.client").alias("client"), "t").agg(F.max("label").alias("label"), *(_add(m)(m).alias(m) for m in _MEASURED))
 
 
 def _canonical(split: DataFrame) -> DataFrame:
@@ -237,7 +247,7 @@ def point_in_time(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows
         probes = told.select("client", F.call_function("div", F.col("t_us"), F.lit(unit)).alias("t")).distinct()
         events = reduce(DataFrame.unionByName, [own, sold, later, put, items])
         most = max(last, (horizon * DAY + unit - 1) // unit + 1)
-        features = active(events, probes, most, bucket)
+        features = active(events, probes, most, bucket, [rows])
         told = told.withColumns({"t": F.call_function("div", F.col("t_us"), F.lit(unit))})
         out = told.join(features.hint("merge"), ["client", "t"], "left").select("sale_id", "t_us", F.coalesce("label", F.lit(False)).alias("label"), F.explode(_by_window(windows)).alias("f"))
         return keep(stored(out.select("sale_id", "f.d", "t_us", "label", *(f"f.{m}" for m in MEASURES)), "features"))
