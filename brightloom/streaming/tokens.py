@@ -8,6 +8,9 @@ left out, as the stream can't tell any more what they replace.
 Changes go to a log and mails to an outbox, a folder for each micro-batch. A batch that is replayed after a failure adds
 nothing: a folder that was finished isn't written again, an unfinished one is overwritten, and readers take finished ones only.
 
+Only a user's newest request of a batch matters, so rows are dealt by user and cut to the newest before they reach the state:
+Python sees rows one by one there, and has a row for each user and batch, not for each request.
+
 Defined results: requests without user, id, time or expiry are left out. Repeated requests change nothing. A token that has expired when
 its request arrives still replaces the one before. A null token is one. Mails go to known users only; of several rows of one user the
 smallest address and name count. Columns of requests other than the five named are ignored. An empty stream gives an empty log.
@@ -18,14 +21,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from brightloom.operators import snapshot
 from brightloom.session import shipped
 
+#: Rows that a task holds while it looks for the newest of each user.
+HELD = 1 << 18
 CHANGES = "user_id long, id long, token string, expires_us long, change int"
 MAILS = "user_id long, id long, address string, name string, token string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -38,41 +44,63 @@ class OneToken(StatefulProcessor):
         self.handle = handle
         self.live = handle.getValueState("live", "created_us long, id long, token string, expires_us long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         old = tuple(self.live.get()) if self.live.exists() else None
         new = old
-        for frame in rows:
-            for r in zip(frame["created_us"].tolist(), frame["id"].tolist(), frame["token"].tolist(), frame["expires_us"].tolist(), strict=True):
-                if new is None or r[:2] > new[:2]:
-                    new = r
+        for r in rows:
+            if new is None or (r.created_us, r.id) > new[:2]:
+                new = (r.created_us, r.id, r.token, r.expires_us)
         if new == old:
             return
-        out = []
         if old is not None:
             self.handle.deleteTimer(old[3] // 1000 + 1)
-            out.append((old, -1))
+            yield _change(key, old, -1)
         if new[3] // 1000 < timerValues.getCurrentWatermarkInMs():
             self.live.clear()
         else:
             self.live.update(new)
             # timers fire once the watermark reaches them
             self.handle.registerTimer(new[3] // 1000 + 1)
-            out.append((new, 1))
-        yield _changes(key, out)
+            yield _change(key, new, 1)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         old = tuple(self.live.get()) if self.live.exists() else None
         if old is not None and old[3] // 1000 < timerValues.getCurrentWatermarkInMs():
             self.live.clear()
-            yield _changes(key, [(old, -1)])
+            yield _change(key, old, -1)
 
     def close(self) -> None:
         pass
 
 
-def _changes(key: Any, rows: list[tuple]) -> pd.DataFrame:
-    columns = ["user_id", "id", "token", "expires_us", "change"]
-    return pd.DataFrame([(key[0], r[1], r[2], r[3], n) for r, n in rows], columns=columns).astype({"change": "int32"})
+def _change(key: Any, token: tuple, change: int) -> Row:
+    return Row(user_id=key[0], id=token[1], token=token[2], expires_us=token[3], change=change)
+
+
+def newest(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: of each user's rows (user_id, created_at, id, ...) the newest. So many rows are held at most, and a batch; a task with
+    more users than half of that gives some users several rows."""
+    kept: list[pa.RecordBatch] = []
+    rows = 0
+
+    def cut() -> pa.Table:
+        table = pa.Table.from_batches(kept)
+        table = table.take(pc.sort_indices(table, [("user_id", "ascending"), ("created_at", "descending"), ("id", "descending")])).combine_chunks()
+        users = table.column("user_id").to_numpy()
+        first = pa.array([True] * min(1, len(users)) + (users[1:] != users[:-1]).tolist(), pa.bool_())
+        return table.filter(first)
+
+    for b in batches:
+        kept.append(b)
+        rows += b.num_rows
+        if rows > held:
+            table = cut()
+            kept, rows = table.to_batches(), table.num_rows
+            if rows > held // 2:
+                yield from kept
+                kept, rows = [], 0
+    if rows:
+        yield from cut().to_batches()
 
 
 def _asked(requests: DataFrame) -> DataFrame:
@@ -84,7 +112,8 @@ def _asked(requests: DataFrame) -> DataFrame:
 def token_changes(requests: DataFrame, late: str = "0 seconds") -> DataFrame:
     """CHANGES of a stream of requests (user_id, id, token, created_at, expires_at); those over `late` behind the newest are left out."""
     rows = _asked(requests).withColumns({"created_us": F.unix_micros("created_at"), "expires_us": F.unix_micros("expires_at")}).drop("expires_at")
-    return shipped(rows.withWatermark("created_at", late)).groupBy("user_id").transformWithStateInPandas(OneToken(), CHANGES, "Update", "EventTime")
+    rows = shipped(rows).repartition("user_id").mapInArrow(newest, rows.schema)
+    return rows.withWatermark("created_at", late).groupBy("user_id").transformWithState(OneToken(), CHANGES, "Update", "EventTime")
 
 
 def live_tokens(changes: DataFrame) -> DataFrame:
